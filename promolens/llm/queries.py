@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_quality": quality.op2_quality,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
