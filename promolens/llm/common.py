@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Scratch, shared_dir  # noqa: F401
+
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, return.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,45 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-class Scratch:
-    """A folder of one run in the shared folder, for tables that cut lineage.
-
-    The tables outlive a lost executor, and a rerun starts a folder of its own.
-    Files go when the caller calls ``drop``; a query whose result is lazy leaves
-    them to the owner of the shared folder.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def put(self, df: DataFrame, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
-        self.n += 1
-        path = f"{self.path}/{self.n}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def table(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        return self.put(df, partition_by)[0]
-
-    def drop(self, path: str | None = None) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path or self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; plain lower() where the string is all ASCII, which is faster."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -102,3 +62,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_POWERS: list[np.ndarray] = []
+_BASE = 0x9E3779B97F4A7C15
+#: A random 64-bit value for each byte; A-Z have the values of a-z.
+_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_FOLDED = _VALUE.copy()
+_FOLDED[65:91] = _VALUE[97:123]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n-1 of an odd base modulo 2^64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            out.append(np.cumprod(x, dtype=np.uint64))
+        _POWERS[:] = out
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def prefix_hash(raw: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
+    """H with H[j] - H[i] = the hash of raw[i:j] times base^i, modulo 2^64."""
+    up, _ = powers(len(raw) + 1)
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values[raw] * up[: len(raw)], out=out[1:])
+    return out
+
+
+def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word of a byte array, A-Z folded."""
+    black = np.ones(256, bool)
+    black[[32, *range(9, 14)]] = False
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = black[raw]
+    edge = np.flatnonzero(np.diff(inside))
+    start, end = edge[::2], edge[1::2]
+    h = prefix_hash(raw, _FOLDED)
+    return start, mix64((h[end] - h[start]) * powers(len(raw) + 1)[1][start] + (end - start).astype(np.uint64))
+
+
+def blocks(offsets: np.ndarray, size: int, rows: int = 1 << 12):
+    """Ranges of rows with about ``size`` bytes each; a longer text is a range of its own."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1
+        j = min(n, i + rows, max(i + 1, j))
+        yield i, j
+        i = j
