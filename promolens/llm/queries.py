@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, quality, toxicity
+from . import line_dedup, mixing, near_dedup, neighbours, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_quality": quality.op2_quality,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_line_dedup": line_dedup.op9_line_dedup,
