@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, neighbours, quality, toxicity
+from . import html_extract, line_dedup, mixing, near_dedup, neighbours, quality, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op10_html_extraction": html_extract.op10_html_extraction,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
