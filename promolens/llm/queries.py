@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_extract, line_dedup, mixing, near_dedup, neighbours, quality, toxicity
+from . import decontaminate, html_extract, line_dedup, mixing, near_dedup, neighbours, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_quality": quality.op2_quality,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
