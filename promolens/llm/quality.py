@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
     """Fit on at most ``per_class`` labelled documents of each class."""
     rows, counts = sample(docs, labels, label, F.lit(True) if usable is None else usable, per_class, id_col, text_col)
     found = rows.collect() if min(counts) else []
-    return fit(sorted((r["y"], r["text"]) for r in found), counts)
+    return fit([(r["y"], r["text"]) for r in sorted(found, key=lambda r: (r["k"], r["text"]))], counts)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:

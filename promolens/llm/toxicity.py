@@ -19,7 +19,7 @@ from .labelled import crc_rest, sample
 
 GRAMS, BITS = (4, 6), 18
 #: Documents of each class that the fit uses at most.
-PER_CLASS = 3000
+PER_CLASS = 2500
 #: Bytes of text that are turned into features at a time, and rows at most.
 BLOCK, BLOCK_ROWS = 1 << 18, 1 << 12
 
@@ -82,35 +82,35 @@ def _features(batches):
     import pyarrow as pa
 
     for batch in batches:
-        data, offsets = blobs(batch.column(1))
-        y, out = batch.column(0), []
+        data, offsets = blobs(batch.column(2))
+        out = []
         for i, j in _blocks(offsets):
             row, feature = _grams(data, offsets[i : j + 1])
             cuts = np.searchsorted(row, np.arange(j - i + 1))
             out += [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([y, pa.array(out, pa.binary())], ["y", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["y", "k", "features"])
 
 
-def fit(rows: list[tuple[int, bytes]], counts: list[int], steps: int = 150, l2: float = 3e-4, smooth: float = 1.0) -> Model:
-    """Fit on (class, features) rows; ``counts`` are the classes' sizes among all usable labels.
+def fit(classes: np.ndarray, features: list[np.ndarray], counts: list[int], steps: int = 150, l2: float = 3e-4, smooth: float = 1.0) -> Model:
+    """Fit on rows of a class and distinct features; ``counts`` are the classes' sizes among all usable labels.
 
     The rows of a class weigh as much as the class among all labels.  Without rows of
     both classes the score is the share of class 1 (0 without labels).
     """
     size = len(GRAMS) << BITS
-    if min(counts) == 0 or not rows:
+    if min(counts) == 0 or not len(classes):
         share = counts[1] / max(1, sum(counts))
         return Model(np.zeros(size, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    y = np.array([r[0] for r in rows], np.float64)
-    feats = [np.frombuffer(r[1], np.int32) for r in rows]
-    lengths = np.array([len(x) for x in feats])
-    flat, owner = np.concatenate(feats), np.repeat(np.arange(len(rows)), lengths)
-    df = [np.bincount(flat[y[owner] == k], minlength=size) for k in (0, 1)]
+    y = classes.astype(np.float64)
+    df = np.zeros((2, size))
+    for k, x in zip(classes, features):
+        df[k, x] += 1  # a row's features are distinct
     n = [max(1, int((y == k).sum())) for k in (0, 1)]
     ratio = np.log((df[1] + smooth) / (n[1] + 2 * smooth)) - np.log((df[0] + smooth) / (n[0] + 2 * smooth))
     ratio[(df[0] + df[1] < 3) | (np.abs(ratio) < 0.7)] = 0
-    keep = ratio[flat] != 0
-    flat, owner = flat[keep], owner[keep]
+    features = [x[ratio[x] != 0] for x in features]
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in features])
+    flat = np.concatenate(features)
     x = ratio[flat]
     weight = np.where(y == 1, counts[1] / n[1], counts[0] / n[0])
     weight /= weight.sum()
@@ -131,8 +131,12 @@ def fit(rows: list[tuple[int, bytes]], counts: list[int], steps: int = 150, l2:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``per_class`` labelled documents of each class."""
     rows, counts = sample(docs, labels, label, F.lit(True) if usable is None else usable, per_class, id_col, text_col)
-    found = rows.mapInArrow(_features, "y int, features binary").collect() if min(counts) else []
-    return fit([(r["y"], bytes(r["features"])) for r in sorted(found, key=lambda r: (r["y"], bytes(r["features"])))], counts)
+    if min(counts) == 0:
+        return fit(np.zeros(0, np.int64), [], counts)
+    found = rows.mapInArrow(_features, "y int, k long, features binary").toArrow()  # 2 * per_class rows
+    order = np.argsort(found["k"].to_numpy(), kind="stable")
+    kept = [np.frombuffer(x.as_buffer(), np.int32) for x in found["features"]]
+    return fit(found["y"].to_numpy()[order], [kept[i] for i in order], counts)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
