@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, line_dedup, mixing, near_dedup, neighbours, quality, sentence_dedup, toxicity
+from . import decontaminate, html_extract, line_dedup, mixing, near_dedup, neighbours, quality, sentence_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality": quality.op2_quality,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_sentence_dedup": sentence_dedup.op6_sentence_dedup,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
