@@ -7,8 +7,10 @@ coordinate fills; most documents are full after a few rounds (Dahlgaard, Knudsen
 Thorup, 2017: the estimate concentrates as that of as many independent MinHashes).
 
 Documents with equal sets form classes.  Bands over the sketch find candidates between
-classes; an estimate from one bit of each coordinate drops the clearly dissimilar ones,
-and the rest are confirmed on the full shingle sets.  Inside a bucket every member is
+classes.  Two summaries drop dissimilar ones: a parity sketch of the set, whose differing
+bits never outnumber the differing shingles, so that it drops no link, and one bit of
+each coordinate, which matters for sets larger than the parity sketch.  The rest are
+confirmed on the full shingle sets.  Inside a bucket every member is
 first compared with the bucket's smallest id only.  Buckets whose members then still lie
 in different components are searched further: members outside the bucket's main
 component against all members of other components.
@@ -31,6 +33,10 @@ MISS = 1e-8
 #: Standard deviations below the threshold at which the one-bit estimate drops a pair.
 SIGMAS = 5.5
 BLOCK = 1 << 19
+#: Bits of the parity sketch of a set.
+ODD = 512
+#: The columns of the two summaries.
+BITS = [*(f"b{i}" for i in range(COORDS // 64)), *(f"o{i}" for i in range(ODD // 64))]
 _TURN = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -111,10 +117,13 @@ def _signatures(k: int, rows: int, bands: int):
                 band = mix64(band + np.arange(bands, dtype=np.uint64))
                 bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
                 starts = np.concatenate(([0], np.cumsum(counts)))
+                odd = np.repeat(np.arange(j - i), counts) * ODD + (mix64(flat + np.uint64(0x51ED270B)) % np.uint64(ODD)).astype(np.int64)
+                odd = np.packbits((np.bincount(odd, minlength=(j - i) * ODD) & 1).astype(np.uint8).reshape(j - i, ODD), axis=1).view(np.int64)
+                bits = np.concatenate((bits, odd), 1)
                 f1, f2 = _running(mix64(flat)), _running(mix64(flat * np.uint64(0x9FB21C651E98DF25) + np.uint64(1)))
                 f1, f2 = f1[starts[1:]] - f1[starts[:-1]], f2[starts[1:]] - f2[starts[:-1]]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, *[pa.array(np.ascontiguousarray(bits[:, c])) for c in range(4)]], ["doc", "n", "f1", "f2", "bands", "b0", "b1", "b2", "b3"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, *[pa.array(np.ascontiguousarray(bits[:, c])) for c in range(len(BITS))]], ["doc", "n", "f1", "f2", "bands", *BITS])
 
     return run
 
@@ -150,12 +159,23 @@ def _linked(percent: int):
     return run
 
 
+def _side(side: str) -> list[Column]:
+    """The summaries of one side of a pair, renamed."""
+    return [F.col("n").alias(f"n{side}"), *[F.col(c).alias(side + c) for c in BITS]]
+
+
 def _near(percent: int) -> Column:
-    """Sizes within the threshold, and the one-bit estimate not clearly below it."""
-    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(4)), F.lit(0))
+    """Sizes within the threshold, and neither summary against it."""
+    apart = lambda cols: sum((F.bit_count(F.col("x" + c).bitwiseXOR(F.col("y" + c))) for c in cols), F.lit(0))
     p = (1 - percent / 100) / 2
     most = math.floor(COORDS * p + SIGMAS * math.sqrt(COORDS * p * (1 - p)))
-    return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (apart <= most)
+    # intersection / union >= t means that at most (1 - t) / (1 + t) of the two sizes differ
+    differ = (100 - percent) * (F.col("nx") + F.col("ny"))
+    return (
+        (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+        & ((100 + percent) * apart([c for c in BITS if c[0] == "o"]) <= differ)
+        & (apart([c for c in BITS if c[0] == "b"]) <= most)
+    )
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -182,28 +202,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch = Scratch(spark, "near")
     rows, bands = banding(percent)
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sig = slim.mapInArrow(_signatures(k, rows, bands), "doc long, n long, f1 long, f2 long, bands array<long>, b0 long, b1 long, b2 long, b3 long")
+    sig = slim.mapInArrow(_signatures(k, rows, bands), "doc long, n long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{c} long" for c in BITS))
     sig = scratch.table(sig)
     classes = scratch.table(sig.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep")))
     reps = scratch.table(sig.where("n > 0").join(classes, ["f1", "f2"]).where("doc = rep").drop("rep", "f1", "f2").dropDuplicates(["doc"]))
     member = reps.select("doc", F.explode("bands").alias("band"))
     buckets = member.groupBy("band").agg(F.min("doc").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     star = member.join(buckets, "band").where("doc <> pivot").select("doc", "pivot").distinct()
-    x = reps.select(F.col("doc"), F.col("n").alias("nx"), *[F.col(f"b{i}").alias(f"x{i}") for i in range(4)])
-    y = reps.select(F.col("doc").alias("pivot"), F.col("n").alias("ny"), *[F.col(f"b{i}").alias(f"y{i}") for i in range(4)])
+    x, y = reps.select("doc", *_side("x")), reps.select(F.col("doc").alias("pivot"), *_side("y"))
     star = star.join(x, "doc").join(y, "pivot").where(_near(percent)).select(F.col("pivot").alias("src"), F.col("doc").alias("dst"))
     first = _confirm(star, slim, k, percent, scratch)
     label = scratch.table(components(first))
     # buckets that hold more than one component
-    known = reps.select("doc", "n", "bands", "b0", "b1", "b2", "b3").join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    known = reps.select("doc", "n", "bands", *BITS).join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     known = scratch.table(known)
     lab = known.select("doc", "component", F.explode("bands").alias("band"))
     per = lab.groupBy("band", "component").agg(F.count("*").alias("c"))
     open_ = per.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size")).where("parts > 1 AND size > 2").select("band", "main")
-    inside = known.select("doc", "component", "n", "b0", "b1", "b2", "b3", F.explode("bands").alias("band")).join(open_, "band")
-    inside = scratch.table(inside)
-    a = inside.where("component <> main").select("band", F.col("doc").alias("p"), F.col("component").alias("cp"), F.col("n").alias("nx"), *[F.col(f"b{i}").alias(f"x{i}") for i in range(4)])
-    b = inside.select(F.col("band").alias("band2"), F.col("doc").alias("q"), F.col("component").alias("cq"), "main", F.col("n").alias("ny"), *[F.col(f"b{i}").alias(f"y{i}") for i in range(4)])
+    inside = known.select("doc", "component", "n", *BITS, F.explode("bands").alias("band")).join(open_, "band")
+    a = inside.where("component <> main").select("band", F.col("doc").alias("p"), F.col("component").alias("cp"), *_side("x"))
+    b = inside.select(F.col("band").alias("band2"), F.col("doc").alias("q"), F.col("component").alias("cq"), "main", *_side("y"))
     pairs = a.join(b, (F.col("band") == F.col("band2")) & (F.col("cp") != F.col("cq")) & ((F.col("cq") == F.col("main")) | (F.col("p") < F.col("q"))) & _near(percent))
     pairs = pairs.select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).distinct()
     pairs = pairs.join(star, ["src", "dst"], "left_anti")
