@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import relational, search_writes
 
-FAMILIES = [relational]
+FAMILIES = [relational, search_writes]
 
 
 def queries() -> dict:
