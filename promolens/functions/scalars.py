@@ -114,7 +114,7 @@ def card_name(chain: Column, card: Column, mechanic: Column) -> Column:
 
 
 def raw_quantity(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"(\d)\s+(kg|gr|g|l|ml|cl|pz)\b", "$1 $2")))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"(?i)(\d)\s*(kg|gr|g|l|ml|cl|pz)\b", "$1 $2")))
 
 
 def norm_text(c: Column) -> Column:
@@ -155,7 +155,7 @@ def first_rule(c: Column, rules: Sequence[tuple[str, Sequence[str]]], default: s
 def dietary_tags(c: Column, words: dict[str, str] | None = None) -> Column:
     """All tags whose word occurs in the name."""
     text = F.lower(c)
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(t)) for t, w in (words or TAG_WORDS).items()]))
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(t)) for w, t in (words or TAG_WORDS).items()]))
 
 
 def week_start(c: Column) -> Column:
@@ -180,7 +180,7 @@ def italian_range(text: Column, year: Column) -> Column:
     t = F.lower(F.regexp_replace(text, r"[\s ]+", " "))
     get = lambda p, i: F.regexp_extract(t, p, i)
     month = "(gen|feb|mar|apr|mag|giu|lug|ago|set|ott|nov|dic)[a-z]*"
-    day_ = lambda y, m, d: F.when(m.between(1, 12) & d.between(1, 31), F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")))
+    day_ = lambda y, m, d: F.when(m.between(1, 12) & d.between(1, 31), F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd"))
     num = lambda c: c.try_cast("int")
     yr = lambda c: F.coalesce(num(c), year)
     both = lambda a, b: F.when(b.isNotNull(), F.struct(a.alias("valid_from"), b.alias("valid_to")))

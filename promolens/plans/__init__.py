@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, search_writes
+from . import functions_extract, relational, search_writes
 
-FAMILIES = [relational, search_writes]
+FAMILIES = [relational, search_writes, functions_extract]
 
 
 def queries() -> dict:

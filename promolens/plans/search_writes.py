@@ -129,7 +129,8 @@ reg.add("im2_backfill_images", lambda r: im.backfill_images(IMG(r).withColumn("e
 HEAL = f"WITH {IMGSQL} SELECT i.id, coalesce(i.image_url, b.u) AS image_url FROM img i LEFT JOIN (SELECT product_id, arg_max(image_url, id) FILTER (WHERE image_url IS NOT NULL) AS u FROM img WHERE product_id IS NOT NULL GROUP BY 1) b ON i.product_id = b.product_id"
 reg.add("j16_heal_images", lambda r: im.heal_images(IMG(r)).select("id", "image_url"), HEAL, "skus")
 reg.add("im3_heal_summary", lambda r: im.heal_images(IMG(r)).groupBy("chain_id").agg(F.count("image_url").alias("with_image")), f"SELECT s.chain_id, count(h.image_url) AS with_image FROM skus s JOIN ({HEAL}) h ON h.id = s.id GROUP BY 1", "skus")
-reg.add("j15_attach_images", lambda r: im.attach_images(r.products.withColumn("image_url", F.lit(None).cast("string")), r.products.where("id % 9 = 0").selectExpr("IF(id % 2 = 0, name, concat(name, '/other thing')) AS name", "concat('https://img/', name) AS image_url", "id AS pos"), "name").where("image_url IS NOT NULL").select("id", "image_url"), "SELECT id, 'https://img/' || name AS image_url FROM products WHERE name IN (SELECT name FROM products WHERE id % 9 = 0)", "products")
+reg.add("j15_attach_images", lambda r: im.attach_images(r.products.withColumn("image_url", F.lit(None).cast("string")), r.products.where("id % 9 = 0").selectExpr("IF(id % 2 = 0, name, concat(name, '/other thing')) AS name", "concat('https://img/', name) AS image_url", "id AS pos"), "name").where("image_url IS NOT NULL").select("id", "image_url"), """WITH i AS (SELECT CASE WHEN id % 2 = 0 THEN name ELSE name || '/other thing' END AS k, 'https://img/' || name AS image_url, id AS pos, name FROM products WHERE id % 9 = 0)
+        SELECT p.id, arg_min(i.image_url, (CASE WHEN p.name = k THEN 1 WHEN p.name = i.name THEN 2 ELSE 3 END, pos)) AS image_url FROM products p JOIN i ON p.name = i.name OR ((contains(p.name, k) OR contains(k, p.name)) AND list_has_any([w FOR w IN string_split(p.name, ' ') IF length(w) >= 4], [w FOR w IN string_split(k, ' ') IF length(w) >= 4])) GROUP BY p.id""", "products")
 LIB = lambda r: r.runs.selectExpr("run_type AS source", "CAST(id % 40 AS STRING) AS ean", "started_at AS created_at", "concat('u', id % 20) AS image_url")
 LIBSQL = "lib AS (SELECT run_type AS source, (id % 40)::VARCHAR AS ean, started_at AS created_at, 'u' || id % 20 AS image_url FROM runs)"
 reg.add("g9_image_library_status", lambda r: im.image_library_status(LIB(r), NOW), f"WITH {LIBSQL} SELECT source, count(*) AS images, count(DISTINCT ean) AS eans, count(*) FILTER (WHERE created_at >= {TS} - INTERVAL 7 DAY) AS new_7, count(*) FILTER (WHERE created_at >= {TS} - INTERVAL 30 DAY) AS new_30, min(created_at) AS first_seen, max(created_at) AS last_seen FROM lib GROUP BY source", "runs")
