@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Vectors that the trees are grown on at most; rows that a leaf should hold; rows of a piece of a large leaf.
-SAMPLE, LEAF_ROWS, PIECE = 20_000, 128, 2_000
+#: Vectors that the trees are grown on at most; rows that a leaf should hold; rows of a block of leaves, and of a piece of a larger leaf.
+SAMPLE, LEAF_ROWS, BLOCK_ROWS = 20_000, 128, 4_096
 
 
 @dataclass
@@ -98,6 +98,17 @@ def visits(forest: list[Tree], sizes: list[dict[int, int]], query: np.ndarray, b
     return found
 
 
+def leaf_blocks(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Leaf to (block, pieces): neighbouring leaves share a block of about BLOCK_ROWS rows, larger leaves are cut into pieces."""
+    out, block, rows = {}, 0, 0
+    for leaf in sorted(sizes):
+        if rows and rows + sizes[leaf] > BLOCK_ROWS:
+            block, rows = block + 1, 0
+        out[leaf] = (block, max(1, -(-sizes[leaf] // BLOCK_ROWS)))
+        rows += sizes[leaf]
+    return out
+
+
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -157,24 +168,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
     placed = classes.mapInArrow(place, f"tree int, leaf int, ids array<long>, v {kind}")
     counts = classes.mapInArrow(place, f"tree int, leaf int, ids array<long>, v {kind}").groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()  # a row a leaf, bounded by the sample
     sizes = [{r["leaf"]: r["n"] for r in counts if r["tree"] == t} for t in range(trees)]
-    pieces = {(r["tree"], r["leaf"]): -(-r["n"] // PIECE) for r in counts}
-    shared_sizes = spark.sparkContext.broadcast((sizes, pieces))
+    layout = [leaf_blocks(x) for x in sizes]
+    shared_sizes = spark.sparkContext.broadcast((sizes, layout))
 
     def route(batches):
-        sizes, pieces = shared_sizes.value
+        sizes, layout = shared_sizes.value
         for batch in batches:
             x = _matrix(batch.column(1))
             for i in range(len(x)):
-                found = visits(shared.value, sizes, x[i], share * n)
-                at = [(t, leaf, p) for t, leaf in found for p in range(pieces[t, leaf])]
-                cols = np.array(at, np.int32).reshape(-1, 3)
+                at: dict[tuple[int, int, int], list[int]] = {}
+                for t, leaf in visits(shared.value, sizes, x[i], share * n):
+                    block, pieces = layout[t][leaf]
+                    for p in range(pieces):
+                        at.setdefault((t, block, p), []).append(leaf)
+                cols = np.array(list(at), np.int32).reshape(-1, 3)
                 one = batch.slice(i, 1).take(pa.array(np.zeros(len(cols), np.int64)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(cols[:, c]) for c in range(3)), one.column(0), one.column(1)], ["tree", "leaf", "piece", "id", "v"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(cols[:, c]) for c in range(3)), one.column(0), one.column(1), pa.array(list(at.values()), pa.list_(pa.int32()))], ["tree", "block", "piece", "id", "v", "leaves"])
 
-    # a leaf of many rows is cut into pieces of about PIECE rows, each with all queries of the leaf
-    leaf_pieces = spark.createDataFrame([(t, leaf, p) for (t, leaf), p in pieces.items()], "tree int, leaf int, pieces int")
-    pieced = placed.join(F.broadcast(leaf_pieces), ["tree", "leaf"]).withColumn("piece", F.pmod(F.xxhash64("ids"), F.col("pieces")).cast("int"))
-    routed = asked.mapInArrow(route, f"tree int, leaf int, piece int, id long, v {kind}")
+    # a block's vectors meet all queries that visit one of its leaves
+    where_leaf = spark.createDataFrame([(t, leaf, *at) for t, x in enumerate(layout) for leaf, at in x.items()], "tree int, leaf int, block int, pieces int")
+    pieced = placed.join(F.broadcast(where_leaf), ["tree", "leaf"]).withColumn("piece", F.pmod(F.xxhash64("ids"), F.col("pieces")).cast("int"))
+    routed = asked.mapInArrow(route, f"tree int, block int, piece int, id long, v {kind}, leaves array<int>")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -183,9 +197,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
             ids = right["ids"].combine_chunks()
             starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
             near = (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)
-            m = min(k + 1, len(x))
+            known, place_of = np.unique(right["leaf"].to_numpy(), return_inverse=True)
+            asked_leaves = left["leaves"].combine_chunks()
+            visited = np.zeros((len(q), len(known) + 1), bool)
+            spot = np.searchsorted(known, asked_leaves.values.to_numpy())
+            spot[known[np.minimum(spot, len(known) - 1)] != asked_leaves.values.to_numpy()] = len(known)
+            visited[np.repeat(np.arange(len(q)), np.diff(asked_leaves.offsets.to_numpy())), spot] = True
+            near[~visited[:, place_of]] = np.inf
             for i, qid in enumerate(left["id"].to_numpy()):
                 # the k+1 classes nearest by the fast formula, with room for its rounding, then exact distances
+                m = min(k + 1, int(np.isfinite(near[i]).sum()))
+                if not m:
+                    continue
                 limit = np.partition(near[i], m - 1)[m - 1]
                 pick = np.flatnonzero(near[i] <= limit + 1e-9 * (1 + abs(limit)))
                 d = np.sqrt(((x[pick] - q[i]) ** 2).sum(1))
@@ -201,8 +224,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
                 out["score"].append(s[best])
         return pa.table({name: pa.array(np.concatenate(v) if v else np.zeros(0), kind) for (name, v), kind in zip(out.items(), (pa.int64(), pa.int64(), pa.float64()))})
 
-    where = ["tree", "leaf", "piece"]
-    found = routed.groupBy(*where).cogroup(pieced.select(*where, "ids", "v").groupBy(*where)).applyInArrow(rank, "query_id long, vec_id long, score double")
+    where = ["tree", "block", "piece"]
+    found = routed.groupBy(*where).cogroup(pieced.select(*where, "leaf", "ids", "v").groupBy(*where)).applyInArrow(rank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
