@@ -36,20 +36,25 @@ def trigram_join(left: DataFrame, right: DataFrame, text: str, block: Sequence[s
     of; pairs are then verified on the whole sets.  Null keys join nothing.
     """
     def prepared(df: DataFrame) -> DataFrame:
-        return df.select(on, *block, trigrams(F.col(text)).alias("g")).where(F.size("g") > 0)
+        # equal texts of a block are one row until the end
+        texts = df.where(F.col(text).isNotNull()).select(*block, text).distinct()
+        return texts.select(F.xxhash64(text, *block).alias("k"), *block, text, trigrams(F.col(text)).alias("g")).where(F.size("g") > 0)
 
     a, b = prepared(left), prepared(right)
     freq = a.select(F.explode("g").alias("t")).unionByName(b.select(F.explode("g").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
 
     def prefix(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select(on, *block, F.size("g").alias("n"), F.explode("g").alias("t")).join(freq, "t")
-        rare = Window.partitionBy(on, *block).orderBy("f", "t")
-        rows = rows.withColumn("k", F.row_number().over(rare)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * t) + 1)
-        return rows.select(F.col(on).alias(f"{side}_id"), "t", *block)
-
-    pairs = prefix(a, "l").join(prefix(b, "r"), ["t", *block]).select("l_id", "r_id").distinct()
-    pairs = pairs.join(a.select(F.col(on).alias("l_id"), F.col("g").alias("lg")), "l_id").join(b.select(F.col(on).alias("r_id"), F.col("g").alias("rg")), "r_id")
-    return pairs.select("l_id", "r_id", set_similarity(F.col("lg"), F.col("rg")).alias("similarity")).where(F.col("similarity") > t)
+        rows = df.select("k", *block, F.size("g").alias("n"), F.explode("g").alias("t")).join(freq, "t")
+        rare = Window.partitionBy("k", *block).orderBy("f", "t")
+        rows = rows.withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * t) + 1)
+        return rows.select(F.col("k").alias(f"{side}_k"), "t", *block)
+
+    pairs = prefix(a, "l").join(prefix(b, "r"), ["t", *block]).select("l_k", "r_k", *block).distinct()
+    side = lambda df, s: df.select(F.col("k").alias(f"{s}_k"), *block, F.col(text).alias(f"{s}_text"), F.col("g").alias(f"{s}_g"))
+    pairs = pairs.join(side(a, "l"), ["l_k", *block]).join(side(b, "r"), ["r_k", *block])
+    pairs = pairs.select(*block, "l_text", "r_text", set_similarity(F.col("l_g"), F.col("r_g")).alias("similarity")).where(F.col("similarity") > t)
+    ids = lambda df, s: df.select(F.col(on).alias(f"{s}_id"), *block, F.col(text).alias(f"{s}_text"))
+    return pairs.join(ids(left, "l"), ["l_text", *block]).join(ids(right, "r"), ["r_text", *block]).select("l_id", "r_id", "similarity")
 
 
 def stems(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_text
 from ..functions.similarity import trigram_join
+from ..storage import Scratch
 from .offers import first_per
 
 
@@ -29,16 +30,17 @@ def lookup_image(sk: DataFrame, registry: DataFrame, same_brand: float = 0.3, an
     """(id, image_url, step) by the first step that finds one: EAN, exact triple, name, similar name of the brand, similar name."""
     n = lambda c: norm_text(F.col(c))
     s = sk.select("id", "ean", n("raw_name").alias("name"), n("brand").alias("brand"), n("raw_quantity").alias("quantity"))
-    r = registry.select(F.monotonically_increasing_id().alias("rid"), "ean", n("name").alias("name"), n("brand").alias("brand"), n("quantity").alias("quantity"), "image_url", "times_seen")
+    r = registry.select("ean", n("name").alias("name"), n("brand").alias("brand"), n("quantity").alias("quantity"), "image_url", "times_seen")
     r = r.withColumn("rid", F.xxhash64("ean", "name", "brand", "quantity", "image_url"))  # the same in every run
     seen = [F.desc("times_seen"), F.col("image_url")]
-    found, rest = None, s
+    scratch = Scratch(sk.sparkSession, "images")  # each step reads what the one before left
+    found, rest = None, scratch.table(s)
 
     def take(hits: DataFrame, step: int, order=None) -> None:
         nonlocal found, rest
-        best = first_per(hits, ["id"], order or seen).select("id", "image_url", F.lit(step).alias("step"))
+        best = scratch.table(first_per(hits, ["id"], order or seen).select("id", "image_url", F.lit(step).alias("step")))
         found = best if found is None else found.unionByName(best)
-        rest = rest.join(best.select("id"), "id", "left_anti")
+        rest = scratch.table(rest.join(best.select("id"), "id", "left_anti"))
 
     rr = r.select("image_url", "times_seen", "ean", *[F.col(c).alias("r_" + c) for c in ("name", "brand", "quantity")])
     take(rest.join(rr.where("ean IS NOT NULL"), "ean"), 1)
