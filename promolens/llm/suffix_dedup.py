@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .anchors import GRAM, runs
 from .common import Scratch, blobs
 
-#: Texts that are picked in one pass over the documents; classes of a k-gram that one task compares; windows that it sorts at a time.
+#: Places that are sent to the tasks at most (16 bytes each); classes of a k-gram that one task compares; windows that it sorts at a time.
 AT_ONCE, MOST_CLASSES, WINDOWS = 2_000_000, 20_000, 50_000
 LEVEL = "kh long, x long, o long, m long, body binary"
 
@@ -60,21 +60,30 @@ def _anchors(length: int):
     return run
 
 
-def _texts(given, length: int):
-    """(kh, x, o, m, body) of the runs whose (doc, p) is among the given ones."""
+def _picked(length: int, given=None):
+    """(kh, x, o, m, body) of the runs at given first windows.
+
+    The places are in ``given``, sorted by document, or in the rows' third column.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        docs, places = given.value  # sorted by document
         for batch in batches:
             data, offsets = blobs(batch.column(1))
-            ids, out = batch.column(0).to_numpy(zero_copy_only=False), []
-            lo, hi = np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right")
-            for i in np.flatnonzero(hi > lo):
+            out = []
+            if given is None:
+                lists = batch.column(2)
+                at = [(i, lists[i].values.to_numpy()) for i in range(len(lists))]
+            else:
+                docs, places = given.value
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                lo, hi = np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right")
+                at = [(i, places[lo[i] : hi[i]]) for i in np.flatnonzero(hi > lo)]
+            for i, spots in at:
                 raw = data[offsets[i] : offsets[i + 1]]
                 kh, x, first, last, anchor = runs(raw, length)
-                for j in np.flatnonzero(np.isin(first, places[lo[i] : hi[i]])):
+                for j in np.flatnonzero(np.isin(first, spots)):
                     out.append((_signed(kh[j : j + 1])[0], _signed(x[j : j + 1])[0], anchor[j] - first[j], last[j] - first[j], raw[first[j] : last[j] + length].tobytes()))
             cols = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["kh", "x", "o", "m", "body"])
@@ -183,28 +192,25 @@ def repeated_windows(docs: DataFrame, length: int, batches: int, scratch: Scratc
     classes = scratch.table(classes)
     per = classes.groupBy("kh").agg(F.count("*").alias("classes")).where("classes > 1")
     contested = scratch.table(classes.join(per, "kh").select("kh", "x", "at.doc", "at.p", "classes"))
-    # the text of one member of each contested class, picked in blocks of classes
-    parts, bodies = -(-contested.count() // AT_ONCE), []
-    for b in range(parts):
-        picked = contested.where(F.pmod(F.xxhash64("doc"), F.lit(parts)) == b).select("doc", "p").toArrow()
-        docs_, places = picked["doc"].to_numpy(), picked["p"].to_numpy()
-        order = np.argsort(docs_, kind="stable")
-        given = spark.sparkContext.broadcast((docs_[order], places[order]))  # about AT_ONCE pairs
-        bodies.append(scratch.table(docs.mapInArrow(_texts(given, length), LEVEL).dropDuplicates(["kh", "x"])))
-    found = spark.createDataFrame([], "kh long, x long, w long")
-    hot_keys = per.where(F.col("classes") > MOST_CLASSES).select("kh")
-    everything = None
-    for body in bodies:
-        everything = body if everything is None else everything.unionByName(body)
-    if everything is not None:
-        # very many classes of one k-gram: windows are grouped by hash, with partial counts before the shuffle
-        window = scratch.table(everything.join(hot_keys, "kh", "left_semi").mapInArrow(_windows(length), "kh long, x long, w long, h1 long, h2 long"))
-        twice = window.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-        found = window.join(twice, ["h1", "h2"], "left_semi").select("kh", "x", "w")
-        index = SuffixLevels(spark, length)
-        cool = scratch.table(everything.join(hot_keys, "kh", "left_anti"))
-        for b in range(batches):
-            found = found.unionByName(index.add(cool.where(F.pmod(F.xxhash64("x"), F.lit(batches)) == b)))
+    # the text of one member of each contested class: few places go to the tasks, many are joined with the documents
+    if contested.count() <= AT_ONCE:
+        places = contested.select("doc", "p").toArrow()
+        order = np.argsort(places["doc"].to_numpy(), kind="stable")
+        given = spark.sparkContext.broadcast((places["doc"].to_numpy()[order], places["p"].to_numpy()[order]))
+        bodies = docs.mapInArrow(_picked(length, given), LEVEL)
+    else:
+        of_doc = contested.groupBy(F.col("doc").alias("d")).agg(F.collect_list("p").alias("places"))
+        bodies = docs.join(of_doc, F.col("doc") == F.col("d")).select("doc", "body", "places").mapInArrow(_picked(length), LEVEL)
+    bodies = scratch.table(bodies.dropDuplicates(["kh", "x"]))
+    # very many classes of one k-gram: windows are grouped by hash, with partial counts before the shuffle
+    hot = per.where(F.col("classes") > MOST_CLASSES).select("kh")
+    window = scratch.table(bodies.join(hot, "kh", "left_semi").mapInArrow(_windows(length), "kh long, x long, w long, h1 long, h2 long"))
+    twice = window.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    found = window.join(twice, ["h1", "h2"], "left_semi").select("kh", "x", "w")
+    index = SuffixLevels(spark, length)
+    cool = scratch.table(bodies.join(hot, "kh", "left_anti"))
+    for b in range(batches):
+        found = found.unionByName(index.add(cool.where(F.pmod(F.xxhash64("x"), F.lit(batches)) == b)))
     # windows of single classes, as ranges of consecutive ones
     flat = found.groupBy("kh", "x").agg(F.array_sort(F.collect_set("w")).alias("w"))
     breaks = F.filter("w", lambda v, i: (i == 0) | (F.get("w", i - 1) != v - 1))

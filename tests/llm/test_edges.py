@@ -140,6 +140,8 @@ def test_hot_kgrams_take_the_hashed_path(spark, monkeypatch):
     a, tails = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(150)), ["xx", "yy", "zzz"]
     rows = [(i, a[:330] + t * 80, "x") for i, t in enumerate(tails)]
     plain = {(r.doc_id, r.n_removed) for r in suffix_dedup.drop_repeated_bytes(docs(spark, rows)).collect()}
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 0)
+    assert {(r.doc_id, r.n_removed) for r in suffix_dedup.drop_repeated_bytes(docs(spark, rows)).collect()} == plain
     monkeypatch.setattr(suffix_dedup, "MOST_CLASSES", 1)
     assert {(r.doc_id, r.n_removed) for r in suffix_dedup.drop_repeated_bytes(docs(spark, rows)).collect()} == plain
     assert all(n > 0 for _, n in plain)
