@@ -99,6 +99,13 @@ def image_borrowed(sk: DataFrame, reg: DataFrame) -> DataFrame:
     return rows.groupBy("chain_id").agg(n.alias("with_image"), b.alias("borrowed"), F.expr("(count_if(source <> chain_id) * 100) div count(*)").alias("borrowed_pct"))
 
 
+def borrowed_images(sk: DataFrame, reg: DataFrame) -> DataFrame:
+    """SKUs whose image other chains registered, with the number of those chains."""
+    src = reg.select("image_url", "source").distinct()
+    rows = sk.where("image_url IS NOT NULL").join(src, "image_url").where(F.col("source") != F.col("chain_id"))
+    return rows.groupBy("id", "chain_id").agg(F.count("*").alias("lenders"))
+
+
 def image_coverage(sk: DataFrame, live: DataFrame) -> DataFrame:
     """Per chain: active SKUs, and those with an image."""
     have = sk.join(live.select(F.col("sku_id").alias("id")), "id", "left_semi")

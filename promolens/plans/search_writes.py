@@ -137,6 +137,8 @@ reg.add("g9_image_library_status", lambda r: im.image_library_status(LIB(r), NOW
 reg.add("g10_image_growth", lambda r: im.image_growth(LIB(r)), f"WITH {LIBSQL} SELECT date_trunc('week', created_at)::DATE AS week, count(*) AS images, count(DISTINCT source) AS sources FROM lib GROUP BY 1", "runs")
 reg.add("g10_image_borrowed", lambda r: im.image_borrowed(IMG(r), IMG(r).where("image_url IS NOT NULL").select("image_url", F.col("chain_id").alias("source"))),
         f"WITH {IMGSQL}, o AS (SELECT image_url, min(chain_id) AS source FROM img GROUP BY 1) SELECT chain_id, count(*) AS with_image, count(*) FILTER (WHERE source <> chain_id) AS borrowed, (count(*) FILTER (WHERE source <> chain_id)) * 100 // count(*) AS borrowed_pct FROM img JOIN o USING (image_url) GROUP BY chain_id", "skus")
+reg.add("j17_borrowed_images", lambda r: im.borrowed_images(IMG(r), IMG(r).where("image_url IS NOT NULL").select("image_url", F.col("chain_id").alias("source"))),
+        f"WITH {IMGSQL}, o AS (SELECT DISTINCT image_url, chain_id AS source FROM img WHERE image_url IS NOT NULL) SELECT id, chain_id, count(*) AS lenders FROM img JOIN o USING (image_url) WHERE source <> chain_id GROUP BY ALL", "skus")
 reg.add("g20_image_coverage", lambda r: im.image_coverage(IMG(r), live(r)), f"WITH {IMGSQL} SELECT chain_id, count(*) AS skus, count(image_url) AS with_image, count(image_url) * 100 // count(*) AS pct FROM img WHERE id IN (SELECT sku_id FROM active) GROUP BY 1", "active")
 reg.add("g26_registry_delta", lambda r: im.registry_delta(r.skus.where("id % 3 = 0"), r.skus), "SELECT count(*) FILTER (WHERE id % 3 = 0) AS before, count(*) AS after, count(*) - count(*) FILTER (WHERE id % 3 = 0) AS added FROM skus", "skus")
 reg.add("s13_missing_images", lambda r: im.missing_images(IMG(r), live(r)), f"WITH {IMGSQL} SELECT img.id, img.raw_name, img.brand, count(*) AS offers FROM img JOIN active a ON a.sku_id = img.id WHERE image_url IS NULL AND length(img.raw_name) BETWEEN 6 AND 90 GROUP BY ALL", "active")
