@@ -180,13 +180,16 @@ def _near(percent: int) -> Column:
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (src, dst) whose full sets meet the threshold."""
-    pairs = scratch.table(pairs)
+    pairs, pairs_at = scratch.put(pairs)
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()
     sets = docs.join(ids, "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary")
-    sets = scratch.table(sets.dropDuplicates(["doc"]))  # one text an id
+    sets, sets_at = scratch.put(sets.dropDuplicates(["doc"]))  # one text an id
     left = pairs.join(sets.select(F.col("doc").alias("src"), F.col("shingles").alias("s")), "src")
     both = left.join(sets.select(F.col("doc").alias("dst"), F.col("shingles").alias("t")), "dst").select("src", "dst", "s", "t")
-    return scratch.table(both.mapInArrow(_linked(percent), "src long, dst long"))
+    links = scratch.table(both.mapInArrow(_linked(percent), "src long, dst long"))
+    for path in (pairs_at, sets_at):  # the links are written; the sets are the largest table here
+        scratch.drop(path)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
