@@ -28,9 +28,10 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(7919), *cols).alias("h2")]
 
 
-def with_columns(df: DataFrame, **cols: Column) -> DataFrame:
-    """Set columns; an input column of the same name gives way."""
-    return df.withColumns(cols)
+def about(k: int, n: int, *key: Column) -> Column:
+    """A filter by hash that keeps about 2k of n rows (all if n is small): what a choice of k rows must sort stays small."""
+    share = min(1.0, (2 * k + 100) / max(1, n))
+    return F.bitwise_not(F.xxhash64(*key)).bitwiseAND(F.lit((1 << 30) - 1)) >= int((1 - share) * (1 << 30))
 
 
 # ---- numpy helpers for Arrow batches -------------------------------------------------

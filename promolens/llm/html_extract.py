@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import about
 from .html_blocks import Block, blocks
 
 #: Built layouts and sampled pages that the fit uses at most.
@@ -214,8 +215,10 @@ def train(pages: DataFrame | None = None, built: int = BUILT, sampled: int = SAM
     """Fit on ``built`` layouts and ``sampled`` pages of the table at most, those with the smallest hash of id."""
     own = []
     if pages is not None and sampled:
-        rows = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).orderBy(F.xxhash64("i"), "i").limit(sampled).collect()
-        own = marked_pages([r["h"] for r in rows])
+        keyed = pages.where(F.col(html_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(html_col).alias("h"))
+        ids = keyed.select("i").where(about(sampled, keyed.count(), F.col("i"))).orderBy(F.xxhash64("i"), "i").limit(sampled)
+        rows = keyed.join(F.broadcast(ids.distinct()), "i").collect()  # about ``sampled`` pages
+        own = marked_pages([r["h"] for r in sorted(rows, key=lambda r: (str(r["i"]), r["h"]))])
     return fit(labelled_pages(built) + own)
 
 

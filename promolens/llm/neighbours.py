@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, about
 
 #: Vectors that the trees are grown on at most; rows that a leaf should hold; rows of a block of leaves, and of a piece of a larger leaf.
 SAMPLE, LEAF_ROWS, BLOCK_ROWS = 20_000, 128, 4_096
@@ -152,7 +152,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
     ranked = base.select("*", *key).withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
     classes = scratch.table(ranked.groupBy("f1", "f2").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")).select("ids", "v"))
     n = classes.count()
-    grown = classes.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).select("v").limit(sample).toArrow()
+    grown = classes.where(about(sample, n, F.col("ids")[0])).orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).select("v").limit(sample).toArrow()
     points = _matrix(grown["v"])
     draw = np.random.default_rng(seed)
     forest = [grow(points, max(2, min(LEAF_ROWS, n // 64) * len(points) // n), draw) for _ in range(trees)]

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs
+from .common import Scratch, blobs
 from .labelled import crc_rest, sample
 
 GRAMS, BITS = (4, 6), 18
@@ -78,20 +78,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def _features(batches):
+def _counts(batches):
+    """(feature, n0, n1): the sample rows of each class that have a feature."""
     import pyarrow as pa
 
+    out = np.zeros((2, len(GRAMS) << BITS), np.int64)
     for batch in batches:
+        y = batch.column(0).to_numpy()
         data, offsets = blobs(batch.column(2))
-        out = []
         for i, j in _blocks(offsets):
             row, feature = _grams(data, offsets[i : j + 1])
-            cuts = np.searchsorted(row, np.arange(j - i + 1))
-            out += [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["y", "k", "features"])
+            for k in (0, 1):
+                out[k] += np.bincount(feature[y[i:j][row] == k], minlength=out.shape[1])
+    found = np.flatnonzero(out.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(out[0, found]), pa.array(out[1, found])], ["feature", "n0", "n1"])
 
 
-def fit(classes: np.ndarray, features: list[np.ndarray], counts: list[int], steps: int = 150, l2: float = 3e-4, smooth: float = 1.0) -> Model:
+def _features(given):
+    """(y, k, features): the used features of each sample row."""
+    import pyarrow as pa
+
+    def run(batches):
+        used = given.value != 0
+        for batch in batches:
+            data, offsets = blobs(batch.column(2))
+            out = []
+            for i, j in _blocks(offsets):
+                row, feature = _grams(data, offsets[i : j + 1], used)
+                cuts = np.searchsorted(row, np.arange(j - i + 1))
+                out += [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["y", "k", "features"])
+
+    return run
+
+
+def fit(classes: np.ndarray, features: list[np.ndarray], ratio: np.ndarray, counts: list[int], steps: int = 150, l2: float = 3e-4) -> Model:
     """Fit on rows of a class and distinct features; ``counts`` are the classes' sizes among all usable labels.
 
     The rows of a class weigh as much as the class among all labels.  Without rows of
@@ -102,13 +123,7 @@ def fit(classes: np.ndarray, features: list[np.ndarray], counts: list[int], step
         share = counts[1] / max(1, sum(counts))
         return Model(np.zeros(size, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     y = classes.astype(np.float64)
-    df = np.zeros((2, size))
-    for k, x in zip(classes, features):
-        df[k, x] += 1  # a row's features are distinct
     n = [max(1, int((y == k).sum())) for k in (0, 1)]
-    ratio = np.log((df[1] + smooth) / (n[1] + 2 * smooth)) - np.log((df[0] + smooth) / (n[0] + 2 * smooth))
-    ratio[(df[0] + df[1] < 3) | (np.abs(ratio) < 0.7)] = 0
-    features = [x[ratio[x] != 0] for x in features]
     owner = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in features])
     flat = np.concatenate(features)
     x = ratio[flat]
@@ -128,15 +143,24 @@ def fit(classes: np.ndarray, features: list[np.ndarray], counts: list[int], step
     return Model((w * ratio).astype(np.float32), b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, per_class: int = PER_CLASS, smooth: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``per_class`` labelled documents of each class."""
     rows, counts = sample(docs, labels, label, F.lit(True) if usable is None else usable, per_class, id_col, text_col)
     if min(counts) == 0:
-        return fit(np.zeros(0, np.int64), [], counts)
-    found = rows.mapInArrow(_features, "y int, k long, features binary").toArrow()  # 2 * per_class rows
+        return fit(np.zeros(0, np.int64), [], np.zeros(0), counts)
+    rows = Scratch(docs.sparkSession, "toxicity").table(rows)  # 2 * per_class texts
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # the log-count ratios; rare features and those that tell little are not used
+    share = lambda c, k: F.log((F.col(c) + smooth) / (n.get(k, 0) + 2 * smooth))
+    told = rows.mapInArrow(_counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    told = told.where("n0 + n1 >= 3").select("feature", (share("n1", 1) - share("n0", 0)).alias("ratio")).where(F.abs("ratio") >= 0.7).toArrow()
+    ratio = np.zeros(len(GRAMS) << BITS)
+    ratio[told["feature"].to_numpy()] = told["ratio"].to_numpy()
+    given = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))  # of a fixed size
+    found = rows.mapInArrow(_features(given), "y int, k long, features binary").toArrow()  # 2 * per_class rows
     order = np.argsort(found["k"].to_numpy(), kind="stable")
     kept = [np.frombuffer(x.as_buffer(), np.int32) for x in found["features"]]
-    return fit(found["y"].to_numpy()[order], [kept[i] for i in order], counts)
+    return fit(found["y"].to_numpy()[order], [kept[i] for i in order], ratio, counts)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
