@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, blobs, blocks, words
 
-TERMS, RANK, OVER = 1 << 13, 48, 8
+TERMS, RANK, OVER = 1 << 13, 40, 4
 #: Words of a passage of the SVD; words that are handled at a time.
 PASSAGE, BLOCK = 64, 1 << 15
-#: Window lengths are multiples of GRID words; a window starts every quarter of its length.
-GRID = 8
+#: Window lengths are multiples of GRID words; a window starts every quarter of its length, at a multiple of four words.
+GRID = 16
 #: Items that are searched in one pass over the documents.
 ITEMS = 50_000
 
@@ -49,10 +49,10 @@ def _rows(batches):
         yield batch.column(0), data.view(np.uint8), offsets
 
 
-def _documents(batches):
-    """Groups of about BLOCK words: (words of all, cuts between documents)."""
+def _documents(batches, times: int = 1):
+    """Groups of about BLOCK (times some) words: (words of all, cuts between documents)."""
     for _, data, offsets in _rows(batches):
-        for i, j in blocks(offsets, 4 * BLOCK):
+        for i, j in blocks(offsets, 4 * BLOCK * times):
             yield np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), np.uint32), (offsets[i : j + 1] - offsets[i]) // 4
 
 
@@ -62,9 +62,10 @@ def _df(batches):
     out = np.zeros(TERMS, np.int64)
     n = 0
     for w, cuts in _documents(batches):
-        owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        key = np.unique(owner * TERMS + (w % TERMS))
-        out += np.bincount(key % TERMS, minlength=TERMS)
+        owner = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint32), np.diff(cuts))
+        key = np.sort(owner * np.uint32(TERMS) + w % np.uint32(TERMS))  # at most 4096 documents
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+        out += np.bincount(key % np.uint32(TERMS), minlength=TERMS)
         n += len(cuts) - 1
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, TERMS, dtype=np.int32)), pa.array(np.concatenate(([n], out)))], ["term", "n"])
 
@@ -74,15 +75,14 @@ def _passages(w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.arange(a, b, PASSAGE) for a, b in zip(cuts[:-1], cuts[1:]) if b > a] or [np.zeros(0, np.int64)]).astype(np.int64)
 
 
-def _unit(w: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The weight of each word occurrence in its passage's TF-IDF vector, scaled to about unit length."""
-    weight = idf[w % TERMS]
-    norm = np.sqrt(np.add.reduceat(weight.astype(np.float64) ** 2, starts))
-    return weight / np.repeat(np.maximum(norm, 1e-9), np.diff(np.append(starts, len(w)))).astype(np.float32)
+def _project(w: np.ndarray, starts: np.ndarray, idf: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(products of the passages' unit TF-IDF vectors with a basis, 1 / length of each passage's vector).
 
-
-def _project(w, weight, starts, basis):
-    return np.add.reduceat(basis[w % TERMS] * weight[:, None], starts, axis=0)
+    ``weighted`` is the basis with its rows times idf; lengths are divided out per passage.
+    """
+    term = w % TERMS
+    scale = 1 / np.maximum(np.sqrt(np.add.reduceat(idf[term].astype(np.float64) ** 2, starts)), 1e-9)
+    return np.add.reduceat(weighted[term], starts, axis=0) * scale[:, None].astype(np.float32), scale.astype(np.float32)
 
 
 def _sums(name: str, matrix: np.ndarray):
@@ -113,31 +113,32 @@ def latent_terms(coded: DataFrame, rank: int = RANK, seed: int = 3) -> tuple[np.
 
     def sketch(batches):
         idf, omega = given.value
+        weighted = omega * idf[:, None]
         out = np.zeros((TERMS, width))
-        for w, cuts in _documents(batches):
+        for w, cuts in _documents(batches, 4):
             if not len(w):
                 continue
             starts = _passages(w, cuts)
-            weight = _unit(w, starts, idf)
-            z = _project(w, weight, starts, omega)
+            z, scale = _project(w, starts, idf, weighted)
+            z *= scale[:, None]
             passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(w))))
             term = (w % TERMS).astype(np.uint16)
             order = np.argsort(term, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], np.diff(term[order]) != 0)))
-            out[term[order][first]] += np.add.reduceat(z[passage[order]] * weight[order][:, None], first, axis=0)
-        yield _sums("term", out)
+            out[term[order][first]] += np.add.reduceat(z[passage[order]], first, axis=0)
+        yield _sums("term", out * idf[:, None])
 
     y = _summed(coded.mapInArrow(sketch, f"term int, {cols}"), "term", width, TERMS)
     q, _ = np.linalg.qr(y)
     shared = context.broadcast(q.astype(np.float32))
 
     def gram(batches):
-        idf, q = given.value[0], shared.value
+        idf, weighted = given.value[0], shared.value * given.value[0][:, None]
         out = np.zeros((width, width))
         for w, cuts in _documents(batches):
             if len(w):
                 starts = _passages(w, cuts)
-                b = _project(w, _unit(w, starts, idf), starts, q)
+                b, _ = _project(w, starts, idf, weighted)
                 out += b.T @ b
         yield _sums("i", out)
 
@@ -165,18 +166,20 @@ class Items:
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.ids, self.sizes, self.masks, self.answers = ids, [len(t) for t in texts], [], []
         groups: dict[int, list[int]] = {}
-        vectors = []
+        vectors, counts = [], []
         for k, t in enumerate(texts):
             masks: dict[int, int] = {}
             for i, w in enumerate(t.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.masks.append(masks)
-            rare = sorted(masks, key=lambda w: (-float(idf[w % TERMS]), w))
-            self.answers.append(set(rare[:answer]))
+            rare = sorted(masks, key=lambda w: (-float(idf[w % TERMS]), w))[:answer]
+            self.answers.append(rare + [-2] * (answer - len(rare)))
+            counts.append(max(1, len(rare)))
             v = latent[t % TERMS].sum(0) if len(t) else np.zeros(latent.shape[1], np.float32)
             vectors.append(v / max(float(np.linalg.norm(v)), 1e-9))
             if len(t):
                 groups.setdefault(-(-len(t) // GRID) * GRID, []).append(k)
+        self.answers, self.n_answers = np.array(self.answers, np.int64).reshape(-1, answer), np.array(counts)
         for length, ks in groups.items():
             self.by_length[length] = np.array(ks), np.stack([vectors[k] for k in ks]).astype(np.float32)
 
@@ -187,17 +190,19 @@ def _search(given, cosine: float, share: float, answers: float):
 
     def run(batches):
         items, latent = given.value
-        longest = max(items.by_length, default=GRID)
+        longest = 2 * max(items.by_length, default=GRID)
         for docs, data, offsets in _rows(batches):
-            out = []
-            for i in range(len(docs)):
-                w = np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), np.uint32)
-                best: dict[int, tuple] = {}
-                for at in range(0, max(1, len(w)), BLOCK):  # long texts in pieces that overlap by the longest window
-                    part = w[max(0, at - 2 * longest) : at + BLOCK]
-                    if len(part):
-                        _leaks(part, items, latent, cosine, share, answers, best)
-                out += [(docs[i].as_py(), items.ids[k], *v) for k, v in sorted(best.items())]
+            best: dict[tuple[int, int], tuple] = {}
+            for i, j in blocks(offsets, 4 * BLOCK):
+                w = np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), np.uint32)
+                cuts = (offsets[i : j + 1] - offsets[i]) // 4
+                if j > i + 1 or len(w) <= 2 * BLOCK:
+                    _leaks(w, cuts, i, items, latent, cosine, share, answers, best)
+                    continue
+                for at in range(0, len(w), BLOCK):  # a long text in pieces that overlap by the longest window
+                    part = w[max(0, at - longest) : at + BLOCK]
+                    _leaks(part, np.array([0, len(part)]), i, items, latent, cosine, share, answers, best)
+            out = [(docs[i].as_py(), items.ids[k], *v) for (i, k), v in sorted(best.items())]
             names = ["doc", "item", "cosine", "lcs_share", "answer_share"]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names)
@@ -205,29 +210,51 @@ def _search(given, cosine: float, share: float, answers: float):
     return run
 
 
-def _leaks(w: np.ndarray, items: Items, latent: np.ndarray, cosine: float, share: float, answers: float, best: dict) -> None:
-    run = np.zeros((len(w) + 1, latent.shape[1]), np.float32)
-    np.cumsum(latent[w % TERMS], axis=0, out=run[1:])
-    listed = None
+def _leaks(w: np.ndarray, cuts: np.ndarray, base: int, items: Items, latent: np.ndarray, cosine: float, share: float, answers: float, best: dict) -> None:
+    """Search the documents that ``cuts`` separates in ``w``; the first has the number ``base``."""
+    if not len(w):
+        return
+    # sums of four words each, a document's last ones filled up with nothing; then running sums
+    sizes = np.diff(cuts)
+    padded = -(-sizes // 4) * 4
+    edges = np.concatenate(([0], np.cumsum(padded)))
+    term = np.full(edges[-1], TERMS)
+    term[np.arange(len(w)) + np.repeat(edges[:-1] - cuts[:-1], sizes)] = w % TERMS
+    latent = np.concatenate((latent, np.zeros((1, latent.shape[1]), np.float32)))
+    four = latent[term[0::4]]
+    for i in (1, 2, 3):
+        four += latent[term[i::4]]
+    run = np.zeros((len(four) + 1, latent.shape[1]), np.float32)
+    np.cumsum(four, axis=0, out=run[1:])
     for length, (ks, vectors) in items.by_length.items():
-        start = np.arange(0, max(1, len(w) - length + length // 4), max(1, length // 4))
-        end = np.minimum(start + length, len(w))
-        v = run[end] - run[start]
-        norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-        for a in range(0, len(start), 4096):
-            close = v[a : a + 4096] @ vectors.T >= cosine * norm[a : a + 4096, None]
-            for p, c in zip(*np.nonzero(close)):
-                k, s = int(ks[c]), int(start[a + p])
-                if listed is None:
-                    listed = w.tolist()
-                near = listed[max(0, s - length // 2) : s + length + length // 2]
-                have = items.answers[k].intersection(near)
-                told = len(have) / len(items.answers[k])
-                if told < answers:
-                    continue
-                part = lcs(items.masks[k], items.sizes[k], near) / items.sizes[k]
-                if part >= share and (k not in best or part > best[k][1]):
-                    best[k] = (float(v[a + p] @ vectors[c] / max(norm[a + p], 1e-9)), part, told)
+        step = max(1, length // 4)
+        n = np.where(sizes > 0, -(-np.maximum(1, sizes - length + step) // step), 0)
+        owner = np.repeat(np.arange(len(sizes)), n)
+        start = cuts[owner] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+        low = (start + (edges[:-1] - cuts[:-1])[owner]) // 4
+        high = np.minimum(low + length // 4, edges[owner + 1] // 4)
+        for a in range(0, len(start), 2048):
+            v = run[high[a : a + 2048]] - run[low[a : a + 2048]]
+            norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+            near = v @ vectors.T
+            win, col = np.nonzero(near >= cosine * norm[:, None])
+            # answers first, for all candidates at once: the window and half a length on both sides
+            for c in range(0, len(win), 4096):
+                p, q = win[c : c + 4096], col[c : c + 4096]
+                o = owner[a + p]
+                at = start[a + p][:, None] + np.arange(-(length // 2), length + length // 2)
+                inside = (at >= cuts[o][:, None]) & (at < cuts[o + 1][:, None])
+                text = np.where(inside, w[np.clip(at, 0, len(w) - 1)].astype(np.int64), -1)
+                told = np.zeros(len(p))
+                for rare in items.answers[ks[q]].T:
+                    told += (text == rare[:, None]).any(1)
+                told /= items.n_answers[ks[q]]
+                for x in np.flatnonzero(told >= answers):
+                    k = int(ks[q[x]])
+                    part = lcs(items.masks[k], items.sizes[k], text[x][inside[x]].tolist()) / items.sizes[k]
+                    key = (base + int(o[x]), k)
+                    if part >= share and (key not in best or part > best[key][1]):
+                        best[key] = (float(near[p[x], q[x]] / max(norm[p[x]], 1e-9)), part, float(told[x]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share: float = 0.6, answers: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
