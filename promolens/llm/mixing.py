@@ -74,19 +74,22 @@ def _inverse_demand(share: Column, knots: Sequence[tuple[float, float]]) -> Colu
 SCHEDULES = {5.0: [(0.0, 1.5), (1.0, 0.5)], 2.0: [(0.0, 1.0), (1.0, 1.0)], 1.0: [(0.0, 0.5), (1.0, 1.5)]}
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row a document: doc, size, source, source_size, weight, target, start, epochs.
 
     ``epochs`` lists the passes (0 to most-1) over the source's stream in which the mix
     takes the document.  A size is the number of words; null and empty texts have size 0
     and are never taken.  A null source is a source of its own.  Rows are entries of their
-    own, also when they repeat an id or have a null id.  An empty table gives an empty
-    plan.  Nothing is drawn at random, so reruns agree.
+    own, also when they repeat an id or have a null id; ``row_col``, a key of the rows, is
+    kept as ``row`` and tells them apart.  An empty table gives an empty plan.  Nothing is
+    drawn at random, so reruns agree.
     """
+    key = [F.col(row_col).alias("row")] if row_col else []
     slim = docs.select(
         F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *key,
     )
+    key = ["row"] if row_col else []
     slim = slim.withColumn("h", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("h", 1, BUCKET_HEX))
     slim = Scratch(docs.sparkSession, "mix").table(slim)  # ids and sizes; the texts are read once
     per = source_targets(slim, weights, most).withColumnRenamed("source", "p_source")
@@ -96,12 +99,12 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
     before = Window.partitionBy("b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = slim.groupBy(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket")).agg(F.sum("size").alias("n"))
     buckets = buckets.select("b_source", "b_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     at = slim.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     at = at.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     at = at.withColumn("start", F.col("start") + F.col("base")).join(per, F.col("source").eqNullSafe(F.col("p_source")))
     taken = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (F.col("size") > 0) & (_middle(e) <= F.col("target")))
-    return at.select("doc", "size", "source", "source_size", "weight", "target", "start", taken.alias("epochs"))
+    return at.select("doc", "size", "source", "source_size", "weight", "target", "start", taken.alias("epochs"), *key)
 
 
 def _middle(epoch: Column) -> Column:
@@ -110,12 +113,12 @@ def _middle(epoch: Column) -> Column:
 
 
 def positions(plan: DataFrame, schedules: dict | None = None) -> DataFrame:
-    """The taken copies of a plan: doc, epoch, position (0 to 1), size, source_size, target."""
+    """The taken copies of a plan: doc, epoch, position (0 to 1), size, source_size, target, and row if the plan has it."""
     copies = plan.withColumn("epoch", F.explode("epochs"))
     share, position = _middle(F.col("epoch")) / F.col("target"), F.lit(None).cast("double")
     for w, knots in (schedules or SCHEDULES).items():
         position = F.when(F.col("weight") == w, _inverse_demand(share, knots)).otherwise(position)
-    return copies.select("doc", "epoch", F.coalesce(position, share).alias("position"), "size", "source_size", "target")
+    return copies.select("doc", "epoch", F.coalesce(position, share).alias("position"), "size", "source_size", "target", *[c for c in plan.columns if c == "row"])
 
 
 def _few(per: DataFrame, most: int = 10_000) -> bool:
@@ -128,12 +131,14 @@ def mix_documents(docs: DataFrame, schedules: dict | None = None, id_col: str =
 
     Adds epoch, position, size, source_size, target and taken (the words of the copy);
     input columns of these names give way.  Documents that the mix does not take are
-    absent.  A repeated id comes once for each pair of row and taken copy of the id, so
-    make ids unique first; rows with a null id are not in the order.
+    absent.  Each row has a key of its own, written once to the shared folder, so rows
+    that repeat an id or have a null id come once for each of their own taken copies.
     """
     new = ["epoch", "position", "size", "source_size", "target", "taken"]
-    taken = positions(plan_mix(docs, id_col=id_col, **how), schedules).withColumn("taken", F.col("size"))
-    out = docs.drop(*new).join(taken.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc")).drop("__doc")
+    # written before it is used: the numbers may differ if the rows are read again
+    keyed = Scratch(docs.sparkSession, "mix-rows").table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    taken = positions(plan_mix(keyed, id_col=id_col, row_col="__row", **how), schedules).withColumn("taken", F.col("size")).drop("doc")
+    out = keyed.drop(*new).join(taken.withColumnRenamed("row", "__row"), "__row").drop("__row")
     return out.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
 
 

@@ -63,6 +63,16 @@ def test_mixing(spark):
     assert mixing.plan_mix(empty(spark)).count() == 0 and mixing.mix_documents(empty(spark)).count() == 0
 
 
+def test_mix_keeps_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, "null id one", "a"), (None, "null id number two", "a"), (1, "same id", "a"), (1, "same id but longer", "a"), (1, "same id", "a"), (2, "plain words here", "b"), (None, "null id three", None), (3, None, "b")]
+    df = docs(spark, rows)
+    want = [(str(r.source), r.doc, r.size, e) for r in mixing.plan_mix(df).collect() for e in r.epochs]
+    got = mixing.mix_documents(df).collect()
+    assert sorted(((str(r.source), r.doc_id, r.size, r.epoch) for r in got), key=str) == sorted(want, key=str)
+    assert {r.text for r in got if r.doc_id is None} == {t for i, t, _ in rows if i is None}
+    assert all(r.taken == r.size == len(r.text.split()) for r in got)
+
+
 @pytest.mark.parametrize("sizes", [[100, 1, 1], [1, 100, 1], [5, 5, 5, 5, 5], [0, 0, 7], [1000, 3, 900, 2, 40, 60, 1], [0, 0]])
 def test_targets_by_repeated_resharing(spark, sizes):
     df = spark.createDataFrame([(f"s{i:02d}", s) for i, s in enumerate(sizes)], "source string, size long")
