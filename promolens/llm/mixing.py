@@ -115,10 +115,22 @@ def _middle(epoch: Column) -> Column:
 def positions(plan: DataFrame, schedules: dict | None = None) -> DataFrame:
     """The taken copies of a plan: doc, epoch, position (0 to 1), size, source_size, target, and row if the plan has it."""
     copies = plan.withColumn("epoch", F.explode("epochs"))
-    share, position = _middle(F.col("epoch")) / F.col("target"), F.lit(None).cast("double")
+    return copies.select("doc", "epoch", _position(F.col("epoch"), schedules).alias("position"), "size", "source_size", "target", *[c for c in plan.columns if c == "row"])
+
+
+def _position(epoch: Column, schedules: dict | None = None) -> Column:
+    """The training time of a document's copy in a pass."""
+    share, position = _middle(epoch) / F.col("target"), F.lit(None).cast("double")
     for w, knots in (schedules or SCHEDULES).items():
         position = F.when(F.col("weight") == w, _inverse_demand(share, knots)).otherwise(position)
-    return copies.select("doc", "epoch", F.coalesce(position, share).alias("position"), "size", "source_size", "target", *[c for c in plan.columns if c == "row"])
+    return F.coalesce(position, share)
+
+
+def training_order(plan: DataFrame, schedules: dict | None = None) -> DataFrame:
+    """A plan with ``positions``, those of all taken copies, range-sorted by them; untaken documents have none and come last."""
+    at = plan.withColumn("positions", F.transform("epochs", lambda e: _position(e, schedules)))
+    order = [F.size("positions") == 0, F.col("positions"), F.col("doc")]
+    return at.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def _few(per: DataFrame, most: int = 10_000) -> bool:
@@ -143,8 +155,9 @@ def mix_documents(docs: DataFrame, schedules: dict | None = None, id_col: str =
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in the order of their first copies in training; the contract has no column for the positions."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return plan_mix(docs).select(
+    return training_order(plan_mix(docs)).select(
         F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("epochs")).cast("long").alias("taken")
     )
 

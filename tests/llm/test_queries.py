@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from promolens.llm import mixing
 from promolens.llm import queries as llm
 from promolens.llm.near_dedup import banding, shingle_sets, sketches
 from tests.conftest import SF, same_rows
@@ -126,6 +127,13 @@ def test_op4_recall(spark):
     assert hit >= 9 * len(got)
 
 
+def test_op3_rows_are_in_training_order(spark):
+    got = llm.queries()["op3_mix_sources"](spark, SF).collect()
+    mixed = mixing.mix_documents(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id").collect()
+    taken = [r.doc_id for r in got if r.taken]
+    assert taken == list(dict.fromkeys(r.doc_id for r in mixed)) and all(r.taken == 0 for r in got[len(taken) :])
+
+
 def test_pipeline_stages(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near-dedup", "decontamination", "mixing"]
