@@ -16,24 +16,37 @@ def match_watches(w: DataFrame, live: DataFrame, tags: DataFrame, t: float = 0.4
     """(watch_id, offer_id) by type: category by tag; keyword by substring; product by substring or similarity.
 
     Distinct queries meet distinct names, not watches offers: names and queries are small
-    vocabularies.  Substrings are found by an equi-join on trigrams, so no pair that shares
-    none is formed.
+    vocabularies.  Substrings are found by an equi-join on a query's first three characters,
+    or on the whole of a shorter query, so no pair that shares none is formed; a blank query
+    is in every name.  Watches may have ``chain_filter`` (slugs) and ``store_filter`` (store
+    ids); a null or empty list asks for nothing, and offers without a store pass any store list.
     """
-    q = w.select(F.col("id").alias("watch_id"), "watch_type", F.lower(F.trim("query")).alias("q"), "max_price_cents")
-    queries = q.where("watch_type <> 'category' AND length(q) >= 3").select("q").distinct()
+    bounds = ["max_price_cents", *[c for c in ("chain_filter", "store_filter") if c in w.columns]]
+    q = w.select(F.col("id").alias("watch_id"), "watch_type", F.lower(F.trim("query")).alias("q"), *bounds)
+    queries = q.where("watch_type <> 'category' AND q IS NOT NULL").select("q").distinct()
     names = live.select(F.lower("raw_name").alias("name")).distinct()
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    # a substring's first trigram occurs in the name
-    sub = queries.withColumn("g", F.substring("q", 1, 3)).join(names.where(F.length("name") >= 3).withColumn("g", F.explode(grams(F.col("name")))), "g").where(F.contains("name", F.col("q"))).select("q", "name", F.lit(True).alias("sub"))
+    none = F.array().cast("array<string>")
+    grams = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(none)
+    # a substring's first characters occur in the name
+    named = names.withColumn("g", F.explode(F.concat(F.array(F.lit("")), *[grams(F.col("name"), n) for n in (1, 2, 3)])))
+    sub = queries.withColumn("g", F.substring("q", 1, 3)).join(named, "g").where(F.contains("name", F.col("q"))).select("q", "name", F.lit(True).alias("sub"))
     like = trigram_join(queries.select(F.col("q").alias("id"), F.col("q").alias("text"), F.lit(1).alias("one")), names.select(F.col("name").alias("id"), F.col("name").alias("text"), F.lit(1).alias("one")), "text", ["one"], t)
     hits = sub.unionByName(like.select(F.col("l_id").alias("q"), F.col("r_id").alias("name"), F.lit(False).alias("sub"))).groupBy("q", "name").agg(F.max("sub").alias("sub"))
-    o = live.select(F.col("id").alias("offer_id"), "sku_id", F.lower("raw_name").alias("name"), "price_cents", "discount_pct", "chain_slug", "raw_name", "valid_to")
+    o = live.select(F.col("id").alias("offer_id"), "sku_id", F.lower("raw_name").alias("name"), "price_cents", "discount_pct", "chain_slug", "raw_name", "valid_to", *(["store_id"] if "store_filter" in bounds else []))
     text = q.where("watch_type <> 'category'").join(hits, "q").where("watch_type = 'product' OR sub").join(o, "name")
     of_tag = tags.select(F.col("id").alias("sku_id"), F.explode("tags").alias("q"))
     category = q.where("watch_type = 'category'").join(of_tag, "q").join(o, "sku_id")
-    cols = ["watch_id", "offer_id", "price_cents", "discount_pct", "chain_slug", "raw_name", "valid_to", "max_price_cents"]
-    both = text.select(*cols).unionByName(category.select(*cols))
-    return both.where("max_price_cents IS NULL OR price_cents <= max_price_cents").drop("max_price_cents")
+    cols = ["watch_id", "offer_id", "price_cents", "discount_pct", "chain_slug", "raw_name", "valid_to"]
+
+    def within(df: DataFrame) -> DataFrame:
+        df = df.where("max_price_cents IS NULL OR price_cents <= max_price_cents")
+        if "chain_filter" in bounds:
+            df = df.where("coalesce(size(chain_filter), 0) <= 0 OR array_contains(chain_filter, chain_slug)")
+        if "store_filter" in bounds:
+            df = df.where("coalesce(size(store_filter), 0) <= 0 OR store_id IS NULL OR array_contains(store_filter, store_id)")
+        return df.select(*cols)
+
+    return within(text).unionByName(within(category))
 
 
 def match_list_items(items: DataFrame, live: DataFrame) -> DataFrame:

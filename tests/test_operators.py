@@ -94,6 +94,28 @@ def test_alerts_run_twice_emit_nothing(spark):
     assert alerts.new_alerts(alerts.match_list_items(items, live(r)), first.select("list_id", "offer_id"), "list_id", 1000).count() == 0
 
 
+def watch_hits(spark, watches, with_lists=True):
+    from promolens.operators import alerts
+
+    offer = "id string, sku_id long, raw_name string, price_cents long, discount_pct long, chain_slug string, valid_to date, store_id long"
+    o = spark.createDataFrame([("a", 1, "Tè verde", 100, 5, "one", AS_OF, 7), ("b", 2, "Latte", 100, 5, "two", AS_OF, 8), ("c", 3, "tè", 100, 5, "two", AS_OF, None), ("d", 4, None, 100, 5, "one", AS_OF, 7)], offer)
+    tags = spark.createDataFrame([(1, ["bio"]), (2, ["bio"]), (3, ["bio"]), (4, [])], "id long, tags array<string>")
+    w = spark.createDataFrame([(*r, None) for r in watches], "id long, watch_type string, query string, chain_filter array<string>, store_filter array<int>, max_price_cents long")
+    return {(r.watch_id, r.offer_id) for r in alerts.match_watches(w if with_lists else w.drop("chain_filter", "store_filter"), o, tags).collect()}
+
+
+def test_short_watches_match(spark):
+    watches = [(1, "keyword", "Tè", None, None), (2, "keyword", "te", None, None), (3, "product", "t", None, None), (4, "keyword", "zz", None, None), (5, "keyword", "tte", None, None), (6, "keyword", None, None, None), (7, "keyword", " ", None, None)]
+    want = {(1, "a"), (1, "c"), (2, "b"), (3, "a"), (3, "b"), (3, "c"), (5, "b"), (7, "a"), (7, "b"), (7, "c")}
+    assert watch_hits(spark, watches, with_lists=False) == want
+
+
+def test_watches_keep_to_their_chains_and_stores(spark):
+    watches = [(1, "category", "bio", ["two"], []), (2, "category", "bio", [], [7]), (3, "category", "bio", None, None), (4, "keyword", "t", ["one"], [8]), (5, "keyword", "t", ["two"], [8]), (6, "product", "latte", ["one", "two"], [7])]
+    want = {(1, "b"), (1, "c"), (2, "a"), (2, "c"), (3, "a"), (3, "b"), (3, "c"), (5, "b"), (5, "c")}
+    assert watch_hits(spark, watches) == want
+
+
 def test_active_day_is_inclusive(spark):
     o = spark.createDataFrame([(AS_OF, AS_OF)], "valid_from date, valid_to date")
     assert offers.active(o, AS_OF).count() == 1
