@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions import similarity as sm
 from ..operators import extract as ex
 from ..operators import writes as wr
 from ..sources import documents as src
@@ -42,6 +43,8 @@ reg.add("e19_italian_dates", lambda r: r.campaigns.select("id", fn.italian_range
 reg.add("e20_split_brand", lambda r: r.skus.select("id", fn.split_brand(F.concat(F.expr("IF(id % 2 = 0, 'Mulino Verde ', 'ACME CO ')"), F.lower("raw_name")), ["Mulino", "Mulino Verde"]).alias("b")).select("id", "b.*"), "SELECT id, CASE WHEN id % 2 = 0 THEN 'Mulino Verde' ELSE 'ACME CO' END AS brand, lower(raw_name) AS rest FROM skus", "skus")
 reg.add("e21_split_size", lambda r: r.skus.select("id", fn.split_size(F.concat_ws(" ", "raw_name", "raw_quantity")).alias("s")).select("id", "s.*"), "SELECT id, raw_name AS name, raw_quantity AS size FROM skus", "skus")
 reg.add("e22_distance", lambda r: r.stores.selectExpr("id", "CAST(round(lat * 100) AS BIGINT) AS y", "CAST(round(lng * 100) AS BIGINT) AS x"), "SELECT id, round(lat * 100)::BIGINT AS y, round(lng * 100)::BIGINT AS x FROM stores", "stores")
+reg.add("e22_great_circle", lambda r: r.stores.select("id", F.round(sm.distance_km(F.col("lat"), F.col("lng"), F.lit(45.3), F.lit(11.0)) * 10).cast("long").alias("hm")),
+        "SELECT id, round(10 * 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(45.3::DOUBLE) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(45.3::DOUBLE)) * pow(sin((radians(11.0::DOUBLE) - radians(lng)) / 2), 2)))))::BIGINT AS hm FROM stores", "stores")
 reg.add("e23_json", lambda r: r.api_events.select("id", F.get_json_object("metadata", "$.k").cast("long").alias("k"), F.get_json_object("metadata", "$.none").isNotNull().alias("has"), F.to_json(F.struct(F.col("event_type").alias("t"))).alias("j")), """SELECT id, json_extract_string(metadata, '$.k')::BIGINT AS k, json_exists(metadata, '$.none') AS has, '{"t":"' || event_type || '"}' AS j FROM api_events""", "api_events")
 reg.add("e24_arrays", lambda r: r.list_items.groupBy("list_id").agg(F.array_sort(F.collect_list("product_id")).alias("a")).select("list_id", F.size(F.array_append("a", F.lit(1))).alias("n"), F.arrays_overlap("a", F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("o")), "SELECT list_id, (count(*) + 1)::INT AS n, bool_or(product_id IN (1, 2)) AS o FROM list_items GROUP BY 1", "list_items")
 reg.add("e25_ip_hash", lambda r: r.stores.select("id", fn.ip_hash(F.col("name"), "pepper").alias("h")), "SELECT id, substr(sha256(name || 'pepper'), 1, 16) AS h FROM stores", "stores")
