@@ -30,10 +30,17 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.most: int | None = None
+
+    def expect(self, rows: int, each: int = 10_000) -> None:
+        """Write tables of about ``rows`` rows from here on: one file a core or one for ``each`` rows, whichever is more."""
+        self.most = max(self.spark.sparkContext.defaultParallelism, -(-rows // each))
 
     def put(self, df: DataFrame, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
         self.n += 1
         path = f"{self.path}/{self.n}"
+        if self.most and not partition_by:
+            df = df.coalesce(self.most)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
