@@ -10,10 +10,10 @@ Documents with equal sets form classes.  Bands over the sketch find candidates b
 classes.  Two summaries drop dissimilar ones: a parity sketch of the set, whose differing
 bits never outnumber the differing shingles, so that it drops no link, and one bit of
 each coordinate, which matters for sets larger than the parity sketch.  The rest are
-confirmed on the full shingle sets.  Inside a bucket every member is
-first compared with the bucket's smallest id only.  Buckets whose members then still lie
-in different components are searched further: members outside the bucket's main
-component against all members of other components.
+confirmed on the full shingle sets.  Every member of a bucket first meets the bucket's
+pivots, and its best one is confirmed.  Buckets whose members are then not known to be
+connected are searched further: members outside the bucket's main part against the
+members of all other parts, a large bucket in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ MISS = 1e-8
 #: Standard deviations below the threshold at which the one-bit estimate drops a pair.
 SIGMAS = 5.5
 BLOCK = 1 << 19
+#: Members of a bucket that are compared at a time.
+BUCKET = 512
 #: Bits of the parity sketch of a set.
 ODD = 512
 #: The columns of the two summaries.
@@ -164,42 +166,125 @@ def _side(side: str) -> list[Column]:
     return [F.col("n").alias(f"n{side}"), *[F.col(c).alias(side + c) for c in BITS]]
 
 
+def _apart(kind: str) -> Column:
+    """The differing bits of the two sides' summaries of one kind."""
+    return sum((F.bit_count(F.col("x" + c).bitwiseXOR(F.col("y" + c))) for c in BITS if c[0] == kind), F.lit(0))
+
+
+def _most_apart(percent: int) -> int:
+    """The differing one-bit coordinates at which a pair is dropped."""
+    p = (1 - percent / 100) / 2
+    return math.floor(COORDS * p + SIGMAS * math.sqrt(COORDS * p * (1 - p)))
+
+
 def _near(percent: int) -> Column:
     """Sizes within the threshold, and neither summary against it."""
-    apart = lambda cols: sum((F.bit_count(F.col("x" + c).bitwiseXOR(F.col("y" + c))) for c in cols), F.lit(0))
-    p = (1 - percent / 100) / 2
-    most = math.floor(COORDS * p + SIGMAS * math.sqrt(COORDS * p * (1 - p)))
     # intersection / union >= t means that at most (1 - t) / (1 + t) of the two sizes differ
     differ = (100 - percent) * (F.col("nx") + F.col("ny"))
-    return (
-        (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-        & ((100 + percent) * apart([c for c in BITS if c[0] == "o"]) <= differ)
-        & (apart([c for c in BITS if c[0] == "b"]) <= most)
-    )
+    return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * _apart("o") <= differ) & (_apart("b") <= _most_apart(percent))
+
+
+def _near_blocks(percent: int):
+    """``_near`` over two blocks of one bucket: the pairs (src, dst) of different labels."""
+    most = _most_apart(percent)
+
+    def run(left, right):
+        import pyarrow as pa
+
+        x, y = ({c: t.column(c).to_numpy() for c in t.column_names} for t in (left, right))
+        src, dst = [], []
+        bits = lambda u, v, cols: sum((np.bitwise_count(u(c) ^ v(c)).astype(np.int16) for c in cols), np.int16(0))
+        odd, coords = [c for c in BITS if c[0] == "o"], [c for c in BITS if c[0] == "b"]
+        for a in range(0, len(x["doc"]), 256):
+            part = {c: v[a : a + 256] for c, v in x.items()}
+            both = part["n"][:, None] + y["n"]
+            least = np.minimum(part["n"][:, None], y["n"])
+            ok = (part["label"][:, None] != y["label"]) & ((y["label"] == y["main"]) | (part["doc"][:, None] < y["doc"]))
+            ok &= 100 * least >= percent * (both - least)
+            if not ok.any():
+                continue
+            # half of the parity bits for all pairs, the rest for those that are left
+            ok &= (100 + percent) * bits(lambda c: part[c][:, None], lambda c: y[c], odd[: len(odd) // 2]).astype(np.int32) <= (100 - percent) * both  # noqa: B023
+            p, q = np.nonzero(ok)
+            for cols, bound in ((odd, lambda: (100 - percent) * both[p, q] // (100 + percent)), (coords, lambda: most)):  # noqa: B023
+                keep = bits(lambda c: part[c][p], lambda c: y[c][q], cols) <= bound()  # noqa: B023
+                p, q = p[keep], q[keep]
+            src.append(np.minimum(part["doc"][p], y["doc"][q]))
+            dst.append(np.maximum(part["doc"][p], y["doc"][q]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"src": np.concatenate(src or [none]), "dst": np.concatenate(dst or [none])})
+
+    return run
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (src, dst) whose full sets meet the threshold."""
-    pairs, pairs_at = scratch.put(pairs)
+    """The pairs (src, dst), a written table, of which some texts' full sets meet the threshold."""
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()
-    sets = docs.join(ids, "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary")
-    sets, sets_at = scratch.put(sets.dropDuplicates(["doc"]))  # one text an id
+    # an id's rows lie together after the join: each of its texts counts once
+    texts = docs.join(ids, "doc", "left_semi").groupBy("doc", F.xxhash64("text").alias("th")).agg(F.min("text").alias("text")).select("doc", "text")
+    sets, sets_at = scratch.put(texts.mapInArrow(_sets(k), "doc long, shingles binary"))
     left = pairs.join(sets.select(F.col("doc").alias("src"), F.col("shingles").alias("s")), "src")
     both = left.join(sets.select(F.col("doc").alias("dst"), F.col("shingles").alias("t")), "dst").select("src", "dst", "s", "t")
     links = scratch.table(both.mapInArrow(_linked(percent), "src long, dst long"))
-    for path in (pairs_at, sets_at):  # the links are written; the sets are the largest table here
-        scratch.drop(path)
+    scratch.drop(sets_at)  # the links are written; the sets are the largest table here
     return links
 
 
+def _pivots(reps: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): each class with two pivots of its buckets, if any are near: the smallest and the most similar.
+
+    A bucket has three pivots: its smallest id, its largest, and that of the smallest hash.
+    """
+    member = reps.select("doc", F.explode("bands").alias("band"))
+    pivots = F.array(F.min("doc"), F.max("doc"), F.min_by("doc", F.xxhash64("doc")))
+    buckets = member.groupBy("band").agg(pivots.alias("pivots")).where("pivots[0] < pivots[1]")
+    # three pivots for each of the bands at most
+    asked = member.join(buckets, "band").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+    x = asked.join(reps.select("doc", *_side("x")), "doc").withColumn("pivot", F.explode("pivots")).drop("pivots").where("doc <> pivot")
+    near = x.join(reps.select(F.col("doc").alias("pivot"), *_side("y")), "pivot").where(_near(percent))
+    best = near.groupBy("doc").agg(F.min("pivot").alias("least"), F.min(F.struct((_apart("b") + _apart("o")).alias("apart"), "pivot"))["pivot"].alias("like"))
+    best = best.select("doc", F.explode(F.array_distinct(F.array("least", "like"))).alias("pivot"))
+    return best.select(F.least("doc", "pivot").alias("src"), F.greatest("doc", "pivot").alias("dst")).distinct()
+
+
+def _open_pairs(reps: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(src, dst): near pairs of different labels in a bucket, which no label spans yet.
+
+    The members outside a bucket's main label meet the members of other labels.  A bucket
+    of up to BUCKET members is one key of a join; a larger one is cut into blocks of about
+    BUCKET members, and each pair of blocks is a group of its own.
+    """
+    known = reps.select("doc", "n", "bands", *BITS).join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    known = known.withColumn("band", F.explode("bands")).drop("bands")
+    per = known.groupBy("band", "label").agg(F.count("*").alias("c"))
+    open_ = per.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1 AND size > 2")
+    inside = scratch.table(known.join(open_.select("band", F.col("m.label").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("rest")), "band"))
+    few = inside.where(F.col("size") <= BUCKET)
+    a = few.where("label <> main").select("band", F.col("doc").alias("p"), F.col("label").alias("lp"), *_side("x"))
+    b = few.select(F.col("band").alias("band2"), F.col("doc").alias("q"), F.col("label").alias("lq"), "main", *_side("y"))
+    pairs = a.join(b, (F.col("band") == F.col("band2")) & (F.col("lp") != F.col("lq")) & ((F.col("lq") == F.col("main")) | (F.col("p") < F.col("q"))) & _near(percent))
+    pairs = pairs.select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"))
+    many = inside.where(F.col("size") > BUCKET)
+    if many.take(1):
+        blocks_of = lambda c: F.ceil(F.col(c) / BUCKET).cast("int")
+        own = lambda c: F.pmod(F.xxhash64("doc"), blocks_of(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), blocks_of(c) - 1))
+        kept = ["band", "doc", "n", "label", "main", *BITS]
+        left = many.where("label <> main").select(*kept, own("rest").alias("i"), every("size").alias("j"))
+        right = many.select(*kept, every("rest").alias("i"), own("size").alias("j"))
+        key = ["band", "i", "j"]
+        pairs = pairs.unionByName(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_near_blocks(percent), "src long, dst long"))
+    return pairs.distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_shingles, component): each document's set size and the smallest id it is linked to.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of
     distinct k-word shingles; a text with fewer words is one shingle as a whole.  Null
     and empty texts have no shingles and no links.  Rows with a null id are left out.  A
-    repeated id should repeat its text: it is one document, with one row out for each
-    distinct set.  An empty table gives an empty result.
+    repeated id is one document: it has the links of all its texts, and each of its rows
+    comes out with its own set's size.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -207,32 +292,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sig = slim.mapInArrow(_signatures(k, rows, bands), "doc long, n long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{c} long" for c in BITS))
     sig = scratch.table(sig)
-    classes = scratch.table(sig.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep")))
-    reps = scratch.table(sig.where("n > 0").join(classes, ["f1", "f2"]).where("doc = rep").drop("rep", "f1", "f2").dropDuplicates(["doc"]))
-    member = reps.select("doc", F.explode("bands").alias("band"))
-    buckets = member.groupBy("band").agg(F.min("doc").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    star = member.join(buckets, "band").where("doc <> pivot").select("doc", "pivot").distinct()
-    x, y = reps.select("doc", *_side("x")), reps.select(F.col("doc").alias("pivot"), *_side("y"))
-    star = star.join(x, "doc").join(y, "pivot").where(_near(percent)).select(F.col("pivot").alias("src"), F.col("doc").alias("dst"))
-    first = _confirm(star, slim, k, percent, scratch)
-    label = scratch.table(components(first))
-    # buckets that hold more than one component
-    known = reps.select("doc", "n", "bands", *BITS).join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    known = scratch.table(known)
-    lab = known.select("doc", "component", F.explode("bands").alias("band"))
-    per = lab.groupBy("band", "component").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size")).where("parts > 1 AND size > 2").select("band", "main")
-    inside = known.select("doc", "component", "n", *BITS, F.explode("bands").alias("band")).join(open_, "band")
-    a = inside.where("component <> main").select("band", F.col("doc").alias("p"), F.col("component").alias("cp"), *_side("x"))
-    b = inside.select(F.col("band").alias("band2"), F.col("doc").alias("q"), F.col("component").alias("cq"), "main", *_side("y"))
-    pairs = a.join(b, (F.col("band") == F.col("band2")) & (F.col("cp") != F.col("cq")) & ((F.col("cq") == F.col("main")) | (F.col("p") < F.col("q"))) & _near(percent))
-    pairs = pairs.select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).distinct()
-    pairs = pairs.join(star, ["src", "dst"], "left_anti")
-    second = _confirm(pairs, slim, k, percent, scratch)
-    links = first.unionByName(second)
+    scratch.expect(sig.count())
+    full = sig.select("doc", "n", "f1", "f2")
+    # equal sets form a class; its smallest id stands for it
+    reps = scratch.table(sig.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("doc"), F.first(F.struct("n", "bands", *BITS)).alias("s")).select("f1", "f2", "doc", "s.*"))
+    classes = reps.select("f1", "f2", F.col("doc").alias("rep"))
+    star = scratch.table(_pivots(reps, percent))
+    links = _confirm(star, slim, k, percent, scratch)
+    label = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    pairs = scratch.table(_open_pairs(reps, label, percent, scratch).join(star, ["src", "dst"], "left_anti"))
+    if pairs.take(1):
+        links = links.unionByName(_confirm(pairs, slim, k, percent, scratch))
+    # an id with several sets ties their classes together
+    torn = full.where("n > 0").groupBy("doc").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).where("a <> b").select("doc")
+    if torn.take(1):
+        links = links.unionByName(full.join(torn, "doc", "left_semi").join(classes, ["f1", "f2"]).select(F.col("doc").alias("src"), F.col("rep").alias("dst")))
     final = components(links).select(F.col("node").alias("rep"), "component")
     of_class = classes.join(final, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    full = sig.select("doc", "n", "f1", "f2")
     linked = full.where("n > 0").join(of_class, ["f1", "f2"]).select("doc", F.col("n").alias("n_shingles"), "component")
     return linked.unionByName(full.where("n = 0").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component")))
 
