@@ -22,8 +22,8 @@ TERMS, RANK, OVER = 1 << 13, 40, 4
 PASSAGE, BLOCK = 64, 1 << 15
 #: Window lengths are multiples of GRID words; a window starts every quarter of its length, at a multiple of four words.
 GRID = 16
-#: Items that are searched in one pass over the documents.
-ITEMS = 50_000
+#: Items, and bytes of their coded words, that are searched in one pass over the documents.
+ITEMS, ITEM_BYTES = 50_000, 1 << 24
 
 
 def _encode(batches):
@@ -75,14 +75,17 @@ def _passages(w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.arange(a, b, PASSAGE) for a, b in zip(cuts[:-1], cuts[1:]) if b > a] or [np.zeros(0, np.int64)]).astype(np.int64)
 
 
-def _project(w: np.ndarray, starts: np.ndarray, idf: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(products of the passages' unit TF-IDF vectors with a basis, 1 / length of each passage's vector).
+def _project(term: np.ndarray, starts: np.ndarray, idf: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(products of a basis with the passages' unit TF-IDF vectors, 1 / length of each passage's vector).
 
-    ``weighted`` is the basis with its rows times idf; lengths are divided out per passage.
+    ``columns`` is the basis, one vector a row, times idf; lengths are divided out per
+    passage.  One vector of the basis at a time stays in the cache.
     """
-    term = w % TERMS
-    scale = 1 / np.maximum(np.sqrt(np.add.reduceat(idf[term].astype(np.float64) ** 2, starts)), 1e-9)
-    return np.add.reduceat(weighted[term], starts, axis=0) * scale[:, None].astype(np.float32), scale.astype(np.float32)
+    scale = (1 / np.maximum(np.sqrt(np.add.reduceat(idf[term].astype(np.float64) ** 2, starts)), 1e-9)).astype(np.float32)
+    out = np.empty((len(columns), len(starts)), np.float32)
+    for c, column in enumerate(columns):
+        np.add.reduceat(column[term], starts, out=out[c])
+    return out * scale, scale
 
 
 def _sums(name: str, matrix: np.ndarray):
@@ -113,33 +116,31 @@ def latent_terms(coded: DataFrame, rank: int = RANK, seed: int = 3) -> tuple[np.
 
     def sketch(batches):
         idf, omega = given.value
-        weighted = omega * idf[:, None]
-        out = np.zeros((TERMS, width))
+        columns = np.ascontiguousarray((omega * idf[:, None]).T)
+        out = np.zeros((width, TERMS))
         for w, cuts in _documents(batches, 4):
             if not len(w):
                 continue
-            starts = _passages(w, cuts)
-            z, scale = _project(w, starts, idf, weighted)
-            z *= scale[:, None]
+            starts, term = _passages(w, cuts), (w % TERMS).astype(np.int64)
+            z, scale = _project(term, starts, idf, columns)
+            z *= scale
             passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(w))))
-            term = (w % TERMS).astype(np.uint16)
-            order = np.argsort(term, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(term[order]) != 0)))
-            out[term[order][first]] += np.add.reduceat(z[passage[order]], first, axis=0)
-        yield _sums("term", out * idf[:, None])
+            for c in range(width):
+                out[c] += np.bincount(term, z[c][passage], TERMS)
+        yield _sums("term", out.T * idf[:, None])
 
     y = _summed(coded.mapInArrow(sketch, f"term int, {cols}"), "term", width, TERMS)
     q, _ = np.linalg.qr(y)
     shared = context.broadcast(q.astype(np.float32))
 
     def gram(batches):
-        idf, weighted = given.value[0], shared.value * given.value[0][:, None]
+        idf = given.value[0]
+        columns = np.ascontiguousarray((shared.value * idf[:, None]).T)
         out = np.zeros((width, width))
-        for w, cuts in _documents(batches):
+        for w, cuts in _documents(batches, 4):
             if len(w):
-                starts = _passages(w, cuts)
-                b, _ = _project(w, starts, idf, weighted)
-                out += b.T @ b
+                b, _ = _project((w % TERMS).astype(np.int64), _passages(w, cuts), idf, columns)
+                out += b @ b.T
         yield _sums("i", out)
 
     values, vectors = np.linalg.eigh(_summed(coded.mapInArrow(gram, f"i int, {cols}"), "i", width, width))
@@ -163,7 +164,7 @@ class Items:
     """Benchmark items by window length, with latent directions and bit masks of their words."""
 
     def __init__(self, ids: list[int], texts: list[np.ndarray], idf: np.ndarray, latent: np.ndarray, answer: int = 8):
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple] = {}
         self.ids, self.sizes, self.masks, self.answers = ids, [len(t) for t in texts], [], []
         groups: dict[int, list[int]] = {}
         vectors, counts = [], []
@@ -181,7 +182,13 @@ class Items:
                 groups.setdefault(-(-len(t) // GRID) * GRID, []).append(k)
         self.answers, self.n_answers = np.array(self.answers, np.int64).reshape(-1, answer), np.array(counts)
         for length, ks in groups.items():
-            self.by_length[length] = np.array(ks), np.stack([vectors[k] for k in ks]).astype(np.float32)
+            rare = np.unique(self.answers[ks])
+            rare = rare[rare >= 0].astype(np.uint32)
+            # the place of each answer word in the group's list; the place after the last one stands for none
+            places = np.where(self.answers[ks] < 0, len(rare), np.searchsorted(rare, self.answers[ks].clip(0)))
+            maybe = np.zeros(1 << 16, bool)
+            maybe[rare & 0xFFFF] = True
+            self.by_length[length] = np.array(ks), np.stack([vectors[k] for k in ks]).astype(np.float32), rare, places, maybe
 
 
 def _search(given, cosine: float, share: float, answers: float):
@@ -226,35 +233,41 @@ def _leaks(w: np.ndarray, cuts: np.ndarray, base: int, items: Items, latent: np.
         four += latent[term[i::4]]
     run = np.zeros((len(four) + 1, latent.shape[1]), np.float32)
     np.cumsum(four, axis=0, out=run[1:])
-    for length, (ks, vectors) in items.by_length.items():
+    for length, (ks, vectors, rare, places, maybe) in items.by_length.items():
         step = max(1, length // 4)
         n = np.where(sizes > 0, -(-np.maximum(1, sizes - length + step) // step), 0)
         owner = np.repeat(np.arange(len(sizes)), n)
         start = cuts[owner] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
         low = (start + (edges[:-1] - cuts[:-1])[owner]) // 4
         high = np.minimum(low + length // 4, edges[owner + 1] // 4)
-        for a in range(0, len(start), 2048):
-            v = run[high[a : a + 2048]] - run[low[a : a + 2048]]
+        # the text of a candidate: the window and half a length on both sides; in it, the answer words of the group
+        begin, end = np.maximum(start - length // 2, cuts[owner]), np.minimum(start + length + length // 2, cuts[owner + 1])
+        at = np.flatnonzero(maybe[w & 0xFFFF])
+        place = np.searchsorted(rare, w[at]).clip(0, len(rare) - 1)
+        at, place = at[rare[place] == w[at]], place[rare[place] == w[at]]
+        from_, to = np.searchsorted(at, begin), np.searchsorted(at, end)
+        rows = min(2048, max(16, (1 << 22) // (len(rare) + 1)))
+        for a in range(0, len(start), rows):
+            v = run[high[a : a + rows]] - run[low[a : a + rows]]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             near = v @ vectors.T
             win, col = np.nonzero(near >= cosine * norm[:, None])
-            # answers first, for all candidates at once: the window and half a length on both sides
-            for c in range(0, len(win), 4096):
-                p, q = win[c : c + 4096], col[c : c + 4096]
-                o = owner[a + p]
-                at = start[a + p][:, None] + np.arange(-(length // 2), length + length // 2)
-                inside = (at >= cuts[o][:, None]) & (at < cuts[o + 1][:, None])
-                text = np.where(inside, w[np.clip(at, 0, len(w) - 1)].astype(np.int64), -1)
-                told = np.zeros(len(p))
-                for rare in items.answers[ks[q]].T:
-                    told += (text == rare[:, None]).any(1)
-                told /= items.n_answers[ks[q]]
-                for x in np.flatnonzero(told >= answers):
-                    k = int(ks[q[x]])
-                    part = lcs(items.masks[k], items.sizes[k], text[x][inside[x]].tolist()) / items.sizes[k]
-                    key = (base + int(o[x]), k)
-                    if part >= share and (key not in best or part > best[key][1]):
-                        best[key] = (float(near[p[x], q[x]] / max(norm[p[x]], 1e-9)), part, float(told[x]))
+            if not len(win):
+                continue
+            # answers first, for all candidates at once
+            many = to[a : a + rows] - from_[a : a + rows]
+            told = np.zeros((len(v), len(rare) + 1), bool)
+            told[np.repeat(np.arange(len(v)), many), place[np.repeat(from_[a : a + rows] - np.cumsum(many) + many, many) + np.arange(many.sum())]] = True
+            part = np.zeros(len(win), np.int8)
+            for c in places.T:
+                part += told[win, c[col]]
+            part = part / items.n_answers[ks[col]]
+            for x in np.flatnonzero(part >= answers):
+                p, k = a + win[x], int(ks[col[x]])
+                same = lcs(items.masks[k], items.sizes[k], w[begin[p] : end[p]].tolist()) / items.sizes[k]
+                key = (base + int(owner[p]), k)
+                if same >= share and (key not in best or same > best[key][1]):
+                    best[key] = (float(near[win[x], col[x]] / max(norm[win[x]], 1e-9)), same, float(part[x]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share: float = 0.6, answers: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -271,13 +284,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share
     coded = scratch.table(code(docs, id_col, text_col))
     bench = scratch.table(code(benchmark, item_col, item_text_col))
     schema = "doc long, item long, cosine double, lcs_share double, answer_share double"
-    n = bench.count()
+    n, size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
     if n == 0:
         return spark.createDataFrame([], schema)
     idf, latent = latent_terms(coded)
-    parts, out = -(-n // ITEMS), None
+    parts, out = max(-(-n // ITEMS), -(-size // ITEM_BYTES)), None
     for b in range(parts):
-        rows = bench.where(F.pmod(F.xxhash64("doc", "words"), F.lit(parts)) == b).collect()  # about ITEMS items
+        rows = bench.where(F.pmod(F.xxhash64("doc", "words"), F.lit(parts)) == b).collect()  # about ITEMS items of ITEM_BYTES
         rows.sort(key=lambda r: (r["doc"], bytes(r["words"])))
         given = spark.sparkContext.broadcast((Items([r["doc"] for r in rows], [np.frombuffer(bytes(r["words"]), np.uint32) for r in rows], idf, latent), latent))
         found = coded.mapInArrow(_search(given, cosine, share, answers), schema)
