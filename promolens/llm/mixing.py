@@ -155,10 +155,11 @@ def mix_documents(docs: DataFrame, schedules: dict | None = None, id_col: str =
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents in the order of their first copies in training; the contract has no column for the positions."""
+    """The documents in the order of their first copies in training, with the positions of the first and the last copy."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return training_order(plan_mix(docs)).select(
-        F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("epochs")).cast("long").alias("taken")
+        F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("epochs")).cast("long").alias("taken"),
+        F.get("positions", F.lit(0)).alias("first_position"), F.try_element_at("positions", F.lit(-1)).alias("last_position"),
     )
 
 
@@ -178,8 +179,17 @@ WITH d AS (
   FROM (SELECT *, arg_min(CASE WHEN rest / left_w * weight <= cap THEN rest / left_w END, CASE WHEN rest / left_w * weight <= cap THEN place END) OVER () AS lvl FROM r)
 ), o AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
+), c AS (
+  SELECT doc_id, size, source_size, target, weight, start,
+         (SELECT count(*) FROM range(3) e(i) WHERE o.size > 0 AND e.i * source_size + start + size / 2 <= target) AS copies
+  FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+), m AS (
+  -- the share of its target that a source has taken at the middle of the first copy and of the last
+  SELECT *, (start + size / 2) / target AS s0, ((copies - 1) * source_size + start + size / 2) / target AS s1 FROM c
 )
-SELECT doc_id, size, source_size, target,
-       (size * (SELECT count(*) FROM range(3) e(i) WHERE o.size > 0 AND e.i * source_size + start + size / 2 <= target))::BIGINT AS taken
-FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+-- inverse of the integrated schedules: 1.5 - t for the heavy sources, 1 for the middle ones, 0.5 + t for the light ones
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
+       CASE WHEN copies > 0 THEN CASE weight WHEN 5 THEN 1.5 - sqrt(greatest(0, 2.25 - 2 * s0)) WHEN 2 THEN s0 ELSE sqrt(0.25 + 2 * s0) - 0.5 END END::DOUBLE AS first_position,
+       CASE WHEN copies > 0 THEN CASE weight WHEN 5 THEN 1.5 - sqrt(greatest(0, 2.25 - 2 * s1)) WHEN 2 THEN s1 ELSE sqrt(0.25 + 2 * s1) - 0.5 END END::DOUBLE AS last_position
+FROM m
 """
