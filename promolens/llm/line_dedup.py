@@ -2,9 +2,10 @@
 
 The index is a family of runs.  A run is a Parquet table sorted by a 128-bit hash of
 the line's key, with the number of documents that hold the key and the largest of
-their ids.  Each new batch becomes a run of level 0; when a level has ``fan_out`` runs
-they are merged into one run of the next level, so a key is rewritten O(log n) times.
-Lookups are sort-merge joins of a batch against the runs.
+their ids.  Each new batch is merge-anti-joined with the runs: its new keys become a run
+of level 0, and its counts of known keys are kept as updates.  When a level has
+``fan_out`` runs they are compacted into one run of the next level, so a key is rewritten
+O(log n) times.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ KEY = ["h1", "h2"]
 class LineRuns:
     """Levelled sorted runs (h1, h2, n_docs, last_doc) in the shared folder.
 
-    A document must come in one batch only.  ``add`` takes lines (doc, h1, h2);
-    repeated lines of a document count once.
+    No key is in two runs.  A document must come in one batch only.  ``add`` takes lines
+    (doc, h1, h2); repeated lines of a document count once.
     """
 
     def __init__(self, spark: SparkSession, fan_out: int = 2):
         self.spark, self.fan_out, self.scratch = spark, fan_out, Scratch(spark, "line-runs")
         self.levels: list[list[tuple[DataFrame, str]]] = []
+        self.updates: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run, _ in level]
@@ -34,35 +36,43 @@ class LineRuns:
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The lines whose key no run holds: a merge-anti-join with each run."""
         for run in self.runs():
-            lines = lines.join(run.hint("merge"), KEY, "left_anti")
+            lines = lines.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
         return lines
 
+    def seen(self, lines: DataFrame) -> DataFrame:
+        """The lines whose key some run holds."""
+        return lines.join(_union(self.runs()).select(*KEY).hint("merge"), KEY, "left_semi")
+
     def add(self, lines: DataFrame) -> None:
+        """A new run of the batch's new keys, and its counts of known keys as updates."""
         # a count of distinct documents; Spark drops a document's repeats before the shuffle by key
-        run = lines.groupBy(*KEY).agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last_doc"))
-        self._push(0, run)
-
-    def _push(self, level: int, run: DataFrame) -> None:
+        batch = self.scratch.table(lines.groupBy(*KEY).agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last_doc")))
+        new = self.scratch.put(self.unseen(batch).sortWithinPartitions(*KEY))
+        if self.runs():
+            self.updates.append(self.scratch.table(self.seen(batch)))
+        self._push(0, new)
+
+    def _push(self, level: int, run: tuple[DataFrame, str]) -> None:
+        """Put a written run on a level; a full level is compacted into one run of the next."""
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(self.scratch.put(run.sortWithinPartitions(*KEY)))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_out:
             old, self.levels[level] = self.levels[level], []
-            self._push(level + 1, _merged([x for x, _ in old]))
+            self._push(level + 1, self.scratch.put(_union([x for x, _ in old]).repartition(*KEY).sortWithinPartitions(*KEY)))
             for _, path in old:
                 self.scratch.drop(path)
 
     def keys(self) -> DataFrame:
-        """Every key once, over all runs."""
-        runs = self.runs()
-        return runs[0] if len(runs) == 1 else _merged(runs)
+        """Every key once, over all runs and updates."""
+        return _union(self.runs() + self.updates).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
-def _merged(runs: list[DataFrame]) -> DataFrame:
+def _union(runs: list[DataFrame]) -> DataFrame:
     out = runs[0]
     for run in runs[1:]:
         out = out.unionByName(run)
-    return out.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    return out
 
 
 def line_keys(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
@@ -92,6 +102,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     index = LineRuns(spark)
     # one pass over the texts; the hashes go to the shared folder, dealt into batches by document
     lines = index.scratch.table(line_keys(docs, min_chars, id_col, text_col, batches), ["batch"])
+    index.scratch.expect(lines.count(), 100_000)
     for b in range(batches):
         index.add(lines.where(F.col("batch") == b))
     shared = index.keys().where(F.col("n_docs") >= min_docs).drop("n_docs")
