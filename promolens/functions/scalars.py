@@ -12,14 +12,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ACCENTED, PLAIN = "àáâäãèéêëìíîïòóôöõùúûüçñÀÁÂÄÃÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
-#: Tags by the words that give them.
-TAG_WORDS = {"cold": "cold", "small": "small", "large": "large", "widget": "widget", "red": "red", "hot": "hot"}
-#: Units, the unit that they are measured in, and how many of it they hold.
-UNITS = {"kg": ("g", 1000.0), "g": ("g", 1.0), "gr": ("g", 1.0), "hg": ("g", 100.0), "l": ("ml", 1000.0), "lt": ("ml", 1000.0), "cl": ("ml", 10.0), "ml": ("ml", 1.0), "pz": ("pz", 1.0)}
+#: Units with the unit that they are measured in and how many of it they hold.
+UNITS = {
+    "kg": ("kg", 1.0), "kilo": ("kg", 1.0), "g": ("kg", 0.001), "gr": ("kg", 0.001), "grammi": ("kg", 0.001), "hg": ("kg", 0.1), "etto": ("kg", 0.1), "etti": ("kg", 0.1),
+    "l": ("L", 1.0), "lt": ("L", 1.0), "litro": ("L", 1.0), "litri": ("L", 1.0), "dl": ("L", 0.1), "cl": ("L", 0.01), "ml": ("L", 0.001),
+    "pz": ("unit", 1.0), "pezzo": ("unit", 1.0), "pezzi": ("unit", 1.0), "rotolo": ("unit", 1.0), "rotoli": ("unit", 1.0), "bustine": ("unit", 1.0), "fette": ("unit", 1.0),
+}
+#: Tags with the parts of a name that give them.
+TAGS = {
+    "senza-lattosio": ["senza lattosio", "delattosato", "lactose free", "s.lattosio"],
+    "senza-glutine": ["senza glutine", "gluten free", "s.glutine"],
+    "integrale": ["integrale", "integrali"],
+    "bio": ["biologic", "bio "],
+    "vegano": ["vegan", "vegetale", "plant based", "plant-based"],
+    "prima-infanzia": ["neonato", "bimbo", "pannolin", "omogenizz", "baby", "infanzia", "crescita"],
+    "proteico": ["proteic", "protein"],
+    "surgelati": ["surgelat", "congelat", "frozen"],
+    "cura-casa": ["detersivo", "detergente", "ammorbidente", "sgrassator", "candeggina", "anticalcar", "lavastoviglie", "pavimenti", "carta igienica", "scottex", "sacchetti"],
+    "cura-persona": ["shampoo", "balsamo", "bagnoschiuma", "dentifricio", "doccia", "crema", "deodorante", "rasoio", "assorbent", "sapone"],
+}
+#: Categories in order of precedence with the parts of a name that give them; \\b is the end of a word.
+CATEGORY_PARTS = [
+    ("latticini", ["latte", "yogurt", "formaggio", "ricotta", "mozzarella", "burrata", "parmigiano", "grana", "mascarpone", "stracchino"]),
+    ("pasta", [r"pasta\b", "spaghett", "penne", "rigatoni", "fusilli", "farfalle", "orecchiette", "tagliatelle", "lasagn"]),
+    ("panificati", ["pane", "grissini", "cracker", "fette biscottate", "pan bauletto", "focaccia"]),
+    ("bevande-alcoliche", ["birra", "vino", "prosecco", "champagne", "lambrusco", "spumante", "aperol", "campari", "spritz"]),
+    ("bevande", ["acqua", "succo", "aranciata", "cola", "limonata", "the ", "te "]),
+    ("salumi", ["prosciutto", "salame", "mortadella", "bresaola", "speck", "pancetta", "wurstel", "salsiccia"]),
+    ("carne", ["pollo", "manzo", "vitello", "maiale", "tacchino", "coniglio", "agnello", "hamburger", "carne"]),
+    ("pesce", ["salmone", "tonno", "merluzzo", "pesce", "gamberi", "calamari", "cozze", "vongole"]),
+    ("dolci-snack", ["biscotti", "cioccolat", "gelato", "torta", "merendina", "croissant", "brioche", "wafer", "snack"]),
+    ("condimenti", ["olio", "aceto", "sale", "pepe", "sugo", "passata", "pelati", "pomodoro", "pesto", "condiment"]),
+    ("cura-casa", ["detersivo", "detergente", "ammorbidente", "candeggina", "sgrassator", "carta igienica", "scottex"]),
+    ("cura-persona", ["shampoo", "balsamo", "bagnoschiuma", "dentifricio", "sapone", "crema", "deodorant"]),
+    ("surgelati", ["surgelat", "congela", "frozen"]),
+    ("caffe-te", ["caffe", "caffè", "orzo", "camomilla"]),
+    ("riso-cereali", [r"riso\b", "risotto", "arborio", "carnaroli", "basmati"]),
+]
+#: Italian words that a match key leaves out.
+FILLERS = "il lo la i gli le un uno una di del dello della dei degli delle al allo alla ai agli alle da dal dallo dalla con su sul sullo sulla per in nel nello nella tra fra e o a".split()
 #: Italian months.
 MONTHS = ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"]
 NUMBER = r"(\d+(?:[.,]\d+)?)"
-UNIT = r"(kg|gr|hg|g|lt|cl|ml|l|pz)\b"
+#: Longer names first, so that no unit hides another.
+MEASURE, COUNT = ("(" + "|".join(sorted((u for u, (base, _) in UNITS.items() if (base == "unit") == counted), key=lambda u: (-len(u), u))) + r")\b" for counted in (False, True))
 
 
 def no_accents(c: Column) -> Column:
@@ -31,17 +67,15 @@ def number(c: Column) -> Column:
 
 
 def parse_price(text: Column) -> Column:
-    """Price of a text, or null unless it lies between 0 and 10000.
+    """Price of a text: that of "da X,XX", else the first number, or null unless it lies between 0 and 10000.
 
-    "da X,XX" gives that price; a dot before three digits and a comma or space is a
-    thousands mark; the comma is the decimal mark.
+    A dot before three digits and a comma or space is a thousands mark; the comma is the
+    decimal mark.
     """
-    t = F.lower(F.regexp_replace(text, r"[€$£ ]", ""))
-    since = F.regexp_extract(t, r"\bda\s+(\d+(?:[.,]\d+)?)", 1)
-    t = F.when(since != "", since).otherwise(t)
-    t = F.trim(F.regexp_replace(t, r"\.(?=\d{3}(,|\s))", ""))
-    v = number(F.regexp_extract(t, r"^\s*(\d+(?:[.,]\d+)?)", 1))
-    return F.when((v > 0) & (v < 10000), v)
+    t = F.regexp_replace(text, "[€$£]", "")
+    since = number(F.regexp_extract(t, r"(?i)\bda\s+(\d+[.,]\d+)", 1))
+    v = number(F.regexp_extract(F.regexp_replace(t, r"(?<=\d)\.(?=\d{3}[,\s])", ""), NUMBER, 1))
+    return F.coalesce(since, F.when((v > 0) & (v < 10000), v))
 
 
 def _of_unit(unit: Column, which: int) -> Column:
@@ -50,48 +84,61 @@ def _of_unit(unit: Column, which: int) -> Column:
 
 
 def parse_quantity(text: Column) -> Column:
-    """Struct (value, unit, base_unit, base_value, confidence) of texts like "2x125 g", "500 g x 3", "1,5 l", "6 pz", "conf da 4"."""
+    """Struct (value, unit, base_unit, base_value, confidence): packs in any order, one measure, pieces, "conf da N".
+
+    The base units are kg, L and unit; a pack's value is the sum of its items.
+    """
     t = F.lower(F.trim(text))
     get = lambda p, i: F.regexp_extract(t, p, i)
 
-    def made(count: Column, value: Column, unit: Column, sure: float) -> Column:
+    def made(count: Column, value: Column, unit: Column, base: Column, times: Column, sure: float) -> Column:
         value = count * value
-        return F.when(value.isNotNull() & (value > 0), F.struct(value.alias("value"), unit.alias("unit"), _of_unit(unit, 0).alias("base_unit"), (value * _of_unit(unit, 1)).alias("base_value"), F.lit(sure).alias("confidence")))
+        return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit"), base.alias("base_unit"), (value * times).alias("base_value"), F.lit(sure).alias("confidence")))
 
-    one = F.lit(1.0)
-    pack, swap, plain, count, box = rf"(\d+)\s*x\s*{NUMBER}\s*{UNIT}", rf"{NUMBER}\s*{UNIT}\s*x\s*(\d+)", rf"{NUMBER}\s*{UNIT}", r"(\d+)\s*(?:pezzi|pz|rotoli|capsule|uova)\b", r"conf(?:ezione)?\.?\s+da\s+(\d+)"
+    def measure(count: Column, value: Column, unit: Column, sure: float) -> Column:
+        return made(count, value, unit, _of_unit(unit, 0), _of_unit(unit, 1), sure)
+
+    one, unit = F.lit(1.0), F.lit("unit")
+    pack, swap, plain = rf"(\d+)\s*[x×]\s*{NUMBER}\s*{MEASURE}", rf"{NUMBER}\s*{MEASURE}\s*[x×]\s*(\d+)", rf"{NUMBER}\s*{MEASURE}"
     return F.coalesce(
-        made(number(get(pack, 1)), number(get(pack, 2)), get(pack, 3), 0.95),
-        made(number(get(swap, 3)), number(get(swap, 1)), get(swap, 2), 0.95),
-        made(one, number(get(plain, 1)), get(plain, 2), 0.9),
-        made(one, number(get(count, 1)), F.lit("pz"), 0.8),
-        made(one, number(get(box, 1)), F.lit("pz"), 0.7),
+        measure(number(get(pack, 1)), number(get(pack, 2)), get(pack, 3), 0.9),
+        measure(number(get(swap, 3)), number(get(swap, 1)), get(swap, 2), 0.9),
+        measure(one, number(get(plain, 1)), get(plain, 2), 0.95),
+        made(one, number(get(rf"(\d+)\s*{COUNT}", 1)), unit, unit, one, 0.9),
+        made(one, number(get(r"\bconf(?:[.]|ezione)? +da +(\d+)", 1)), unit, unit, one, 0.8),
     )
 
 
-def parse_mechanic(text: Column) -> Column:
-    """Struct (mechanic, detail, discount, confidence); the first matching pattern wins."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    get = lambda p, i=0: F.regexp_extract(t, p, i)
-    made = lambda name, detail, pct, sure: F.struct(F.lit(name).alias("mechanic"), detail.alias("detail"), pct.cast("int").alias("discount"), F.lit(sure).alias("confidence"))
-    none = F.lit(None).cast("int")
+def parse_mechanic(text: Column, rebate: Column | None = None) -> Column:
+    """Struct (mechanic, detail, discount, confidence) of a text and a rebate's text; the first rule that matches wins.
+
+    A percentage alone counts in the rebate only.
+    """
+    rebate = F.lit(None).cast("string") if rebate is None else rebate
+    t = F.lower(F.trim(F.concat_ws(" ", text, rebate)))
+    get = lambda p, i=0, c=t: F.regexp_extract(c, p, i)
+    made = lambda name, detail, pct, sure: F.struct(F.lit(name).alias("mechanic"), detail.alias("detail"), pct.cast("double").alias("discount"), F.lit(sure).alias("confidence"))
+    # pattern, mechanic, discount (a number, or the groups that hold it), confidence
     rules = [
-        (r"\b(\d)\s*\+\s*(\d)\b", "buy_x_get_y", None, 0.95),
-        (r"\b(\d)\s*x\s*(\d)\b(?!\s*(?:kg|g|ml|l|cl)\b)", "multi_buy", None, 0.9),
-        (r"second[oa]\s+(?:pezzo\s+)?(?:al|a)\s+(?:-?\s*)(\d+)\s*%", "second_item", 1, 0.9),
-        (r"sottocosto", "below_cost", None, 0.95),
-        (r"\b(?:carta|tessera|fidaty|card)\b", "loyalty_price", None, 0.85),
-        (r"-?\s*(\d{1,2})\s*%", "percentage_off", 1, 0.8),
+        (r"\b3 ?[x×] ?2\b|\bprendi 3 (?:e )?paghi 2\b", "three_for_two", 33.3, 0.98),
+        (r"\b2 ?[x×] ?1\b|\bprendi 2 (?:e )?paghi 1\b", "two_for_price_of_one", 50.0, 0.98),
+        (r"\b50 ?% sul secondo\b|\bsecondo (?:pezzo )?(?:al )?50 ?%", "second_half_price", 25.0, 0.95),
+        (r"\bcon carta\b|\bcarta fedelt[aà]", "loyalty_price", None, 0.95),
+        (r"\bsottocosto\b", "sottocosto", None, 0.99),
+        (r"(?:-|\bsconto (?:del )?) ?(\d+) ?%", "percentage_off", 1, 0.95),
     ]
-    out = made("price_cut", F.lit(""), none, 0.5)
-    for pattern, name, group, sure in reversed(rules):
-        out = F.when(t.rlike(pattern), made(name, F.trim(get(pattern)), get(pattern, group).try_cast("int") if group else none, sure)).otherwise(out)
+    spaced = F.regexp_replace(t, r"\s+", " ")
+    bare = get(r"(\d+)\s*%", 1, F.coalesce(rebate, F.lit("")))
+    out = F.when(bare != "", made("percentage_off", bare, bare.try_cast("int"), 0.8)).otherwise(made("price_cut", F.lit(""), F.lit(None), 0.7))
+    for pattern, name, pct, sure in reversed(rules):
+        value = get(pattern, pct, spaced).try_cast("int") if isinstance(pct, int) else F.lit(pct)
+        out = F.when(spaced.rlike(pattern), made(name, get(pattern, 0, spaced), value, sure)).otherwise(out)
     return out
 
 
 def unit_price(price: Column, base_value: Column, given: Column | None = None) -> Column:
-    """Price for 1000 g or ml (or one piece) to four decimals; a given one wins."""
-    computed = F.round(price / F.nullif(base_value, F.lit(0.0)), 4)
+    """Price for a base unit (kg, L or piece) to four decimals, null unless the quantity is positive; a given one wins."""
+    computed = F.when(base_value > 0, F.round(price / F.nullif(base_value, F.lit(0.0)), 4))
     return F.coalesce(given, computed) if given is not None else computed
 
 
@@ -122,20 +169,33 @@ def norm_text(c: Column) -> Column:
 
 
 def match_key(brand: Column, name: Column, quantity: Column) -> Column:
-    """brand | name without brand, fillers, accents and signs | quantity."""
-    b = F.coalesce(norm_text(no_accents(brand)), F.lit(""))
-    n = F.coalesce(norm_text(no_accents(name)), F.lit(""))
-    quoted = F.concat(F.lit(r"\Q"), b, F.lit(r"\E"))
-    bare = F.when(b != "", F.regexp_replace(F.regexp_replace(n, F.concat(F.lit("^"), quoted, F.lit(r"\b")), F.lit("")), F.concat(F.lit(r"\b"), quoted, F.lit("$")), F.lit(""))).otherwise(n)
-    bare = F.regexp_replace(bare, r"\b(di|del|della|dello|dei|degli|delle|con|al|alla|alle|e|in|per|da)\b", " ")
-    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9 ]", " "), r"\s+", " "))
-    return F.concat_ws("|", b, bare, F.coalesce(normalize_quantity(quantity), F.lit("")))
+    """brand | name without the brand at its ends, fillers, accents and marks | quantity.
+
+    "pasta di semola (di grano duro)" goes, "n. 5" becomes "n5".
+    """
+    b, n = F.lower(F.trim(F.coalesce(brand, F.lit("")))), F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    # plain string functions: a pattern that differs from row to row would be compiled for each
+    front = (b != "") & n.startswith(F.concat(b, F.lit(" ")))
+    n = F.when(front, F.ltrim(F.substr(n, F.length(b) + 2))).otherwise(n)
+    back = (b != "") & n.endswith(F.concat(F.lit(" "), b))
+    n = F.when(back, F.rtrim(F.left(n, F.length(n) - F.length(b) - 1))).otherwise(n)
+    n = F.regexp_replace(n, rf"\b({'|'.join(FILLERS)})\b", " ")
+    n = F.regexp_replace(n, r"pasta\s+semola(\s+grano\s+duro)?\s*", "")
+    n = no_accents(F.regexp_replace(n, r"n[.°]\s*(\d+)", "n$1"))
+    n = F.trim(F.regexp_replace(F.regexp_replace(n, r"""[,;:!?'"()\[\]{}]""", " "), r"\s+", " "))
+    return F.concat_ws("|", no_accents(b), n, F.coalesce(normalize_quantity(quantity), F.lit("")))
 
 
 def normalize_quantity(c: Column) -> Column:
-    """Quantity as whole g, ml or pz, like "1000g"."""
-    q = parse_quantity(c)
-    return F.when(q.isNotNull(), F.concat(F.round(q["base_value"]).cast("long").cast("string"), q["base_unit"]))
+    """Quantity as text in g, ml or pz like "1500 ml"; packs as "2x100 g"; other texts in lower case."""
+    t = F.lower(F.trim(c))
+    spaced = F.replace(F.regexp_replace(t, r"(\d)\s*(kg|g|ml|cl|dl|l|pz)\b", "$1 $2"), F.lit(","), F.lit("."))
+    single = r"^(\d+(?:\.\d+)?) (kg|g|ml|cl|dl|l|pz)$"
+    value, unit = number(F.regexp_extract(spaced, single, 1)), F.regexp_extract(spaced, single, 2)
+    times = F.when(unit.isin("kg", "l"), 1000).when(unit == "dl", 100).when(unit == "cl", 10).otherwise(1)
+    plain = F.regexp_replace((value * times).cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
+    small = F.when(unit == "kg", "g").when(unit.isin("l", "cl", "dl"), "ml").otherwise(unit)
+    return F.when(value.isNotNull(), F.concat_ws(" ", plain, small)).otherwise(F.regexp_replace(spaced, r"(\d+)\s*x\s*(\d+)\s*(kg|g|ml|cl|dl|l|pz)", "$1x$2 $3"))
 
 
 def slugify(c: Column, most: int = 120) -> Column:
@@ -143,19 +203,19 @@ def slugify(c: Column, most: int = 120) -> Column:
     return F.substring(s, 1, most)
 
 
-def first_rule(c: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str = "altro") -> Column:
-    """The category of the first rule of which a keyword occurs as a whole word."""
-    out = F.lit(default)
-    text = F.lower(c)
-    for name, words in reversed(rules):
-        out = F.when(text.rlike(rf"(?U)(^|[^\w])({'|'.join(words)})([^\w]|$)"), name).otherwise(out)
+def infer_category(name: Column, rules: Sequence[tuple[str, Sequence[str]]] = tuple(CATEGORY_PARTS), default: str = "altro") -> Column:
+    """The category of the first rule of which a part occurs anywhere in the name."""
+    text, out = F.lower(name), F.lit(default)
+    for slug, parts in reversed(rules):
+        out = F.when(text.rlike("|".join(parts)), slug).otherwise(out)
     return out
 
 
-def dietary_tags(c: Column, words: dict[str, str] | None = None) -> Column:
-    """All tags whose word occurs in the name."""
-    text = F.lower(c)
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(t)) for w, t in (words or TAG_WORDS).items()]))
+def dietary_tags(c: Column, tags: dict[str, Sequence[str]] | None = None) -> Column:
+    """All tags of which a part occurs in the name, in the order of the table; "bio" may also end it."""
+    text = F.concat(F.lower(c), F.lit(" "))
+    has = lambda parts: functools.reduce(lambda x, y: x | y, [F.contains(text, F.lit(p)) for p in parts])
+    return F.array_compact(F.array(*[F.when(has(parts), F.lit(t)) for t, parts in (tags or TAGS).items()]))
 
 
 def week_start(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import alert_text, ip_hash
 from ..functions.similarity import trigram_join
+from ..storage import Scratch
 from .offers import day, first_per
 
 
@@ -25,6 +26,9 @@ def match_watches(w: DataFrame, live: DataFrame, tags: DataFrame, t: float = 0.4
     q = w.select(F.col("id").alias("watch_id"), "watch_type", F.lower(F.trim("query")).alias("q"), *bounds)
     queries = q.where("watch_type <> 'category' AND q IS NOT NULL").select("q").distinct()
     names = live.select(F.lower("raw_name").alias("name")).distinct()
+    # written once: the star join behind the names is not planned again for each use
+    scratch = Scratch(w.sparkSession, "watches")
+    queries, names = scratch.table(queries), scratch.table(names)
     none = F.array().cast("array<string>")
     grams = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(none)
     # a substring's first characters occur in the name

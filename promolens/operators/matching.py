@@ -82,7 +82,28 @@ def apply_categories(p: DataFrame, decisions: DataFrame, categories: DataFrame)
     return p.join(ok, "id", "left").withColumn("category", F.when(F.col("category") == "altro", F.coalesce("__new", "category")).otherwise(F.col("category"))).drop("__new")
 
 
-def refresh_tags(sk: DataFrame, now: datetime.datetime, since_hours: int = 0) -> DataFrame:
+def classify(df: DataFrame, rules: DataFrame, name: str = "name", id_col: str = "id", default: str = "altro") -> DataFrame:
+    """Each row with the ``slug`` of its first rule (rank, slug, keyword) of which the keyword occurs as whole words.
+
+    Runs of words of the name meet keywords in an equi-join, so a rule table of any size
+    costs no pass for each rule.  Rows that no rule fits get ``default``.
+    """
+    split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    keys = rules.select("rank", "slug", split(F.col("keyword")).alias("k")).where("size(k) > 0").select("rank", "slug", F.array_join("k", " ").alias("k"), F.size("k").alias("n"))
+    most = keys.agg(F.max("n")).first()[0] or 0
+    words = df.select(id_col, split(F.col(name)).alias("w"))
+
+    def run(n: int):
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    runs = F.concat(F.array().cast("array<string>"), *map(run, range(1, most + 1)))
+    found = words.select(id_col, F.explode(F.array_distinct(runs)).alias("k")).join(keys.drop("n"), "k")
+    best = found.groupBy(id_col).agg(F.min(F.struct("rank", "slug"))["slug"].alias("slug"))
+    return df.join(best, id_col, "left").fillna(default, ["slug"])
+
+
+def refresh_tags(sk: DataFrame, now: datetime.datetime, since_hours: int = 0, tags: dict | None = None) -> DataFrame:
     """New tags and normalised names for rows that changed in the last hours; 0 means all."""
     touched = F.lit(True) if since_hours == 0 else F.col("updated_at") >= F.lit(now) - F.make_dt_interval(hours=F.lit(since_hours))
-    return sk.withColumns({"tags": F.when(touched, fn.dietary_tags(F.col("raw_name"))).otherwise(F.col("tags")), "normalized_name": F.when(touched, fn.norm_text(F.col("raw_name"))).otherwise(F.col("normalized_name"))})
+    return sk.withColumns({"tags": F.when(touched, fn.dietary_tags(F.col("raw_name"), tags)).otherwise(F.col("tags")), "normalized_name": F.when(touched, fn.norm_text(F.col("raw_name"))).otherwise(F.col("normalized_name"))})

@@ -123,11 +123,16 @@ def in_bbox(stores: DataFrame, south: float, north: float, west: float, east: fl
 
 
 def other_city(files: DataFrame, cities: DataFrame, city: str, name_col: str = "url") -> DataFrame:
-    """Files whose name holds no known city but this one."""
-    name = F.upper(F.element_at(F.split(F.col(name_col), "/"), -1))
+    """Files whose name holds no known city but this one, be it part of a word or several words.
+
+    Names meet cities of two letters or more by the city's first two.
+    """
+    name = F.upper(F.url_decode(F.element_at(F.split(F.col(name_col), "/"), -1)))
     others = cities.where(F.upper("city") != city.upper()).select(F.upper("city").alias("__city"))
-    tokens = files.select(F.col(name_col).alias("__url"), F.explode(F.array_distinct(F.split(name, "[^A-Z]+"))).alias("__city"))
-    return files.join(tokens.join(others, "__city").select("__url").distinct(), F.col(name_col) == F.col("__url"), "left_anti")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2)))
+    named = files.select(F.col(name_col).alias("__url"), name.alias("__name"), F.explode(F.array_distinct(starts)).alias("__start"))
+    found = named.join(others.withColumn("__start", F.substring("__city", 1, 2)), "__start").where(F.contains("__name", F.col("__city")))
+    return files.join(found.select("__url").distinct(), F.col(name_col) == F.col("__url"), "left_anti")
 
 
 # ---- joins -----------------------------------------------------------------------------
@@ -181,7 +186,8 @@ def link_taxonomy(p: DataFrame, categories: DataFrame) -> DataFrame:
     """Category text to category id; unknown text takes the id of 'altro'."""
     ids = categories.select(F.col("slug").alias("category"), F.col("id").alias("category_id"))
     rest = categories.where("slug = 'altro'").select(F.col("id").alias("__other"))
-    return p.join(ids, "category", "left").join(F.broadcast(rest)).withColumn("category_id", F.coalesce("category_id", "__other")).drop("__other")
+    other = rest.agg(F.min("__other").alias("__other"))  # one row, null without 'altro'
+    return p.join(ids, "category", "left").join(F.broadcast(other)).withColumn("category_id", F.coalesce("category_id", "__other")).drop("__other")
 
 
 def cluster_by_publication(stores: DataFrame, city_pub: DataFrame, slug: Column) -> DataFrame:

@@ -86,26 +86,36 @@ def resolve_stores(ids: DataFrame, stores: DataFrame, key: str = "external_id")
 
 
 def price_history_rollup(o: DataFrame) -> DataFrame:
-    """Per SKU and week: lowest and highest price, mechanic at the lowest, reference price."""
+    """Per SKU and week: lowest and highest price, mechanic at the lowest, lowest reference price.
+
+    With a ``unit_price`` also its lowest and highest, and the lowest that the reference
+    price implies.
+    """
     rows = o.withColumn("week_start", F.to_date(F.date_trunc("week", "valid_from")))
-    by = F.struct("price_cents", "id")
+    by, unit = F.struct("price_cents", "id"), []
+    if "unit_price" in o.columns:
+        implied = F.col("unit_price") * (F.col("original_cents") / F.nullif("price_cents", F.lit(0)))
+        unit = [F.min("unit_price").alias("min_unit_price"), F.max("unit_price").alias("max_unit_price"), F.min(implied).alias("reference_unit_price")]
     return rows.groupBy("sku_id", "week_start").agg(
         F.min("price_cents").alias("min_cents"), F.max("price_cents").alias("max_cents"), F.min_by("mechanic", by).alias("mechanic"),
-        F.max("original_cents").alias("reference_cents"), F.max("campaign_id").alias("campaign_id"))
+        F.min("original_cents").alias("reference_cents"), F.max("campaign_id").alias("campaign_id"), *unit)
 
 
 def merge_history(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Prices widen, the campaign is the newest, mechanic and reference stay from the first."""
+    """Prices and unit prices widen, the campaign is the newest, mechanic and references stay from the first."""
     rows = old.withColumn("__turn", F.lit(0)).unionByName(new.withColumn("__turn", F.lit(1)))
-    first = F.col("__turn")
+    first, unit = F.col("__turn"), []
+    if "min_unit_price" in rows.columns:
+        unit = [F.min("min_unit_price").alias("min_unit_price"), F.max("max_unit_price").alias("max_unit_price"), F.min_by("reference_unit_price", first).alias("reference_unit_price")]
     return rows.groupBy("sku_id", "week_start").agg(
         F.min("min_cents").alias("min_cents"), F.max("max_cents").alias("max_cents"), F.min_by("mechanic", first).alias("mechanic"),
-        F.min_by("reference_cents", first).alias("reference_cents"), F.max_by("campaign_id", first).alias("campaign_id"))
+        F.min_by("reference_cents", first).alias("reference_cents"), F.max_by("campaign_id", first).alias("campaign_id"), *unit)
 
 
 def dedup_watches(w: DataFrame) -> DataFrame:
-    """One watch for each user, type and folded query: the oldest."""
-    return first_per(w, ["user_id", "watch_type", F.lower(F.trim("query"))], [F.col("id")])
+    """One watch for each user, type, folded query and (if there are any) chain and store filters: the oldest."""
+    filters = [c for c in ("chain_filter", "store_filter") if c in w.columns]
+    return first_per(w, ["user_id", "watch_type", F.lower(F.trim("query")), *filters], [F.col(c) for c in ("created_at", "id") if c in w.columns])
 
 
 def upsert_watches(w: DataFrame, batch: DataFrame) -> DataFrame:
@@ -167,11 +177,12 @@ def cascade(children: DataFrame, parents: DataFrame, key: str, parent_key: str =
 def fan_out(o: DataFrame, stores: DataFrame) -> DataFrame:
     """An offer for each store of its formats in the chain, or one row without store.
 
-    Formats come from the promotion text; pet-store promotions go.
+    Formats come from the promotion text; promotions of the chain's pet shops go, those
+    whose name or brand say so, not other words with "pet" in them.
     """
     t = F.lower("promo")
-    names = {"market": "market", "super": "supermarket", "iper": "ipermarket"}
-    formats = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), F.lit(f)) for w, f in names.items()]))
-    rows = o.where(~F.coalesce(t.contains("pet"), F.lit(False))).withColumn("format", F.explode_outer(F.when(F.size(formats) > 0, formats)))
+    names = {"super": "supermarket", "market|supermercat": "market", "iper": "ipermarket", "cash ?(?:& ?)?carry": "cashcarry"}
+    formats = F.array_compact(F.array(*[F.when(t.rlike(w), F.lit(f)) for w, f in names.items()]))
+    rows = o.where(~F.coalesce(t.rlike(r"\bpet ?store|buddy"), F.lit(False))).withColumn("format", F.explode_outer(F.when(F.size(formats) > 0, formats)))
     s = stores.select(F.col("id").alias("target_store"), F.col("chain_id"), F.col("format"))
     return rows.join(s, ["chain_id", "format"], "left").select("id", "chain_id", "format", "target_store")

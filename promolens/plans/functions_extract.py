@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..functions import similarity as sm
 from ..operators import extract as ex
+from ..operators import matching as ma
 from ..operators import writes as wr
 from ..sources import documents as src
 from ..sources.views import AS_OF, NOW
@@ -19,30 +20,39 @@ P = ("products",)
 CENTS = "(1 + (id * 37) % 99999)"
 
 reg.add("e1_parse_price", lambda r: r.products.select("id", F.round(fn.parse_price(F.expr(f"concat('€ ', IF(id % 2 = 0, 'da ', ''), {CENTS} div 100, ',', lpad({CENTS} % 100, 2, '0'))")) * 100).cast("long").alias("cents")), f"SELECT id, {CENTS}::BIGINT AS cents FROM products", *P)
-reg.add("e2_parse_quantity", lambda r: r.products.select("id", fn.parse_quantity(F.expr("CASE id % 5 WHEN 0 THEN concat(id % 9 + 1, 'x125 g') WHEN 1 THEN concat('1,5 l x ', id % 4 + 1) WHEN 2 THEN concat(id % 90 + 1, ' cl') WHEN 3 THEN concat(id % 12 + 1, ' pz') ELSE concat('conf da ', id % 12 + 1) END")).alias("q")).selectExpr("id", "CAST(round(q.base_value * 10) AS BIGINT) AS tenths", "q.base_unit"),
-        "SELECT id, (CASE id % 5 WHEN 0 THEN (id % 9 + 1) * 1250 WHEN 1 THEN (id % 4 + 1) * 15000 WHEN 2 THEN (id % 90 + 1) * 100 ELSE (id % 12 + 1) * 10 END)::BIGINT AS tenths, CASE id % 5 WHEN 0 THEN 'g' WHEN 1 THEN 'ml' WHEN 2 THEN 'ml' ELSE 'pz' END AS base_unit FROM products", *P)
-reg.add("e3_parse_mechanic", lambda r: r.products.select("id", fn.parse_mechanic(F.expr("CASE id % 6 WHEN 0 THEN '1+1 gratis' WHEN 1 THEN 'prendi 3x2' WHEN 2 THEN concat('secondo pezzo al ', id % 80 + 10, '%') WHEN 3 THEN 'Sottocosto' WHEN 4 THEN 'con Carta fedeltà' ELSE concat('-', id % 80 + 10, ' %') END")).alias("m")).selectExpr("id", "m.mechanic", "m.discount"),
-        "SELECT id, CASE id % 6 WHEN 0 THEN 'buy_x_get_y' WHEN 1 THEN 'multi_buy' WHEN 2 THEN 'second_item' WHEN 3 THEN 'below_cost' WHEN 4 THEN 'loyalty_price' ELSE 'percentage_off' END AS mechanic, CASE WHEN id % 6 IN (2, 5) THEN (id % 80 + 10)::INT END AS discount FROM products", *P)
+reg.add("e2_parse_quantity", lambda r: r.products.select("id", fn.parse_quantity(F.expr("CASE id % 5 WHEN 0 THEN concat(id % 9 + 1, 'x125 g') WHEN 1 THEN concat('1,5 l x ', id % 4 + 1) WHEN 2 THEN concat(id % 90 + 1, ' cl') WHEN 3 THEN concat(id % 12 + 1, ' pz') ELSE concat('conf da ', id % 12 + 1) END")).alias("q")).selectExpr("id", "CAST(round(q.base_value * 10000) AS BIGINT) AS parts", "q.base_unit"),
+        "SELECT id, (CASE id % 5 WHEN 0 THEN (id % 9 + 1) * 1250 WHEN 1 THEN (id % 4 + 1) * 15000 WHEN 2 THEN (id % 90 + 1) * 100 ELSE (id % 12 + 1) * 10000 END)::BIGINT AS parts, CASE id % 5 WHEN 0 THEN 'kg' WHEN 1 THEN 'L' WHEN 2 THEN 'L' ELSE 'unit' END AS base_unit FROM products", *P)
+reg.add("e3_parse_mechanic", lambda r: r.products.select("id", fn.parse_mechanic(F.expr("CASE id % 6 WHEN 0 THEN 'Prendi 2 paghi 1' WHEN 1 THEN 'offerta 3x2' WHEN 2 THEN 'Secondo pezzo al 50%' WHEN 3 THEN 'Sottocosto' WHEN 4 THEN 'con Carta fedeltà' ELSE concat('-', id % 80 + 10, ' %') END"), F.expr("IF(id % 4 = 0, concat(id % 9 + 1, '%'), NULL)")).alias("m")).selectExpr("id", "m.mechanic", "m.discount"),
+        "SELECT id, CASE id % 6 WHEN 0 THEN 'two_for_price_of_one' WHEN 1 THEN 'three_for_two' WHEN 2 THEN 'second_half_price' WHEN 3 THEN 'sottocosto' WHEN 4 THEN 'loyalty_price' ELSE 'percentage_off' END AS mechanic, (CASE id % 6 WHEN 0 THEN 50 WHEN 1 THEN 33.3 WHEN 2 THEN 25 WHEN 5 THEN id % 80 + 10 END)::DOUBLE AS discount FROM products", *P)
 reg.add("e4_unit_price", lambda r: r.raw("part").select(F.col("p_partkey").alias("id"), fn.unit_price(F.lit(100.0), F.col("p_size").cast("double"), F.when(F.col("p_partkey") % 5 == 0, 1.5)).alias("u")).selectExpr("id", "CAST(round(u * 1000) AS BIGINT) AS milli"), "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 1500 ELSE round(round(100.0::DOUBLE / nullif(p_size, 0), 4) * 1000)::BIGINT END AS milli FROM part")
 reg.add("e5_discount_cascade", lambda r: live(r).select("id", fn.discount(F.when(F.col("price_cents") % 3 == 0, 95), F.col("discount_pct"), F.lit(80.0), F.lit(100.0)).cast("int").alias("pct")), "SELECT id, coalesce(discount_pct, 20)::INT AS pct FROM active", "active")
 reg.add("e6_clean_ean", lambda r: r.products.select("id", fn.clean_ean(F.expr("IF(id % 2 = 0, concat('x', id), concat('80-', lpad(id, 8, '0')))"), F.expr("concat('EAN ', lpad(id, 13, '9'))")).alias("ean")), "SELECT id, CASE WHEN id % 2 = 0 THEN lpad(id::VARCHAR, 13, '9') ELSE '80' || lpad(id::VARCHAR, 8, '0') END AS ean FROM products", *P)
 reg.add("e7_card_name", lambda r: live(r).select("id", fn.card_name(F.col("chain_name"), F.concat("chain_name", F.lit(" Gold")), F.col("mechanic")).alias("card")), "SELECT id, CASE WHEN mechanic = 'loyalty_price' THEN 'Gold' END AS card FROM active", "active")
 reg.add("e8_raw_quantity", lambda r: r.skus.select("id", fn.raw_quantity(F.upper("raw_quantity")).alias("u"), fn.raw_quantity(F.concat(F.lit("  "), "raw_quantity")).alias("q")), "SELECT id, raw_quantity AS u, raw_quantity AS q FROM skus", "skus")
 reg.add("e9_norm_text", lambda r: r.skus.select("id", fn.norm_text(F.concat(F.lit("  "), F.upper("raw_name"), F.lit("  x "))).alias("n")), "SELECT id, lower(raw_name) || ' x' AS n FROM skus", "skus")
-reg.add("e10_match_key", lambda r: r.skus.select("id", fn.match_key(F.lit("Acme"), F.concat(F.lit("ACME "), "raw_name", F.lit(" di Città")), F.lit("1 kg")).alias("k")), "SELECT id, 'acme|' || lower(raw_name) || ' citta|1000g' AS k FROM skus", "skus")
-reg.add("e11_normalize_quantity", lambda r: r.products.select("id", fn.normalize_quantity(F.expr("concat(id % 7 + 1, ' kg')")).alias("n")), "SELECT id, (id % 7 + 1) * 1000 || 'g' AS n FROM products", *P)
+reg.add("e10_match_key", lambda r: r.skus.select("id", fn.match_key(F.lit("Acme"), F.concat(F.lit("ACME "), "raw_name", F.lit(" di Città")), F.lit("1 kg")).alias("k")), "SELECT id, 'acme|' || lower(raw_name) || ' citta|1000 g' AS k FROM skus", "skus")
+reg.add("e11_normalize_quantity", lambda r: r.raw("part").withColumn("id", F.col("p_partkey")).select("id", fn.normalize_quantity(F.expr("CASE id % 3 WHEN 0 THEN concat(id % 7 + 1, ',5KG') WHEN 1 THEN concat(id % 7 + 1, ' x ', p_size, 'g') ELSE concat(p_size, 'cl') END")).alias("n")), "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN (p_partkey % 7 + 1) * 1000 + 500 || ' g' WHEN 1 THEN (p_partkey % 7 + 1) || 'x' || p_size || ' g' ELSE p_size * 10 || ' ml' END AS n FROM part", *P)
 reg.add("e12_slugify", lambda r: r.products.select("id", fn.slugify(F.concat(F.lit("Caffè -- "), "name", F.lit("!"))).alias("s")), "SELECT id, 'caffe-' || replace(name, ' ', '-') AS s FROM products", *P)
-RULES = [("cold-items", ["cold"]), ("tools", ["bolt", "gear", "anvil"]), ("small", ["small"])]
-RULESQL = "CASE WHEN regexp_matches(name, '(^| )cold( |$)') THEN 'cold-items' WHEN regexp_matches(name, '(^| )(bolt|gear|anvil)( |$)') THEN 'tools' WHEN regexp_matches(name, '(^| )small( |$)') THEN 'small' ELSE 'altro' END"
-reg.add("e13_infer_category", lambda r: r.products.select("id", fn.first_rule(F.col("name"), RULES).alias("c")), f"SELECT id, {RULESQL} AS c FROM products", *P)
-reg.add("e14_keyword_classifier", lambda r: r.products.select(fn.first_rule(F.upper("name"), RULES).alias("c")).groupBy("c").agg(F.count("*").alias("n")), f"SELECT {RULESQL} AS c, count(*) AS n FROM products GROUP BY 1", *P)
-reg.add("e15_tags", lambda r: r.products.select("id", F.array_join(fn.dietary_tags(F.col("name"), {"cold": "fresco", "bolt": "ferro"}), ",").alias("t")), "SELECT id, array_to_string([t FOR t IN [CASE WHEN name LIKE '%cold%' THEN 'fresco' END, CASE WHEN name LIKE '%bolt%' THEN 'ferro' END] IF t IS NOT NULL], ',') AS t FROM products", *P)
+# names with every part of the fixed tables in turn; the SQL applies the same tables
+PARTS = [p.replace(r"\b", "") for _, parts in fn.CATEGORY_PARTS for p in parts] + ["lavagna"]
+TAG_PARTS = [p for parts in fn.TAGS.values() for p in parts] + ["nulla"]
+with_part = lambda parts: f"concat(name, ' ', element_at(array({', '.join(map(repr, parts))}), CAST(id % {len(parts)} AS INT) + 1))"
+with_part_sql = lambda parts: f"(name || ' ' || list_extract([{', '.join(map(repr, parts))}], (id % {len(parts)} + 1)::BIGINT))"
+reg.add("e13_infer_category", lambda r: r.products.select("id", fn.infer_category(F.expr(f"upper({with_part(PARTS)})")).alias("c")), "SELECT id, CASE " + " ".join(f"WHEN regexp_matches(n, '{'|'.join(parts)}') THEN '{slug}'" for slug, parts in fn.CATEGORY_PARTS) + f" ELSE 'altro' END AS c FROM (SELECT id, lower({with_part_sql(PARTS)}) AS n FROM products)", *P)
+# a rule table from the data: each brand stands for the words of its products that start with the letter of its rank
+RULES = lambda r: r.products.selectExpr("brand AS slug", "explode(split(name, ' ')) AS keyword").where("length(keyword) % 5 = length(slug) % 5 OR keyword LIKE '%o%'").groupBy("keyword").agg(F.min("slug").alias("slug"), F.count("*").alias("rank"))
+RULESQL = "rules AS (SELECT keyword, min(slug) AS slug, count(*) AS rank FROM (SELECT brand AS slug, unnest(string_split(name, ' ')) AS keyword FROM products) WHERE length(keyword) % 5 = length(slug) % 5 OR keyword LIKE '%o%' GROUP BY keyword)"
+reg.add("e14_keyword_classifier", lambda r: ma.classify(r.products.select("id", F.upper("name").alias("name")), RULES(r)).select("id", "slug"), f"WITH {RULESQL} SELECT p.id, coalesce((SELECT arg_min(slug, (rank, slug)) FROM rules WHERE list_contains(string_split(p.name, ' '), keyword)), 'altro') AS slug FROM products p", *P)
+reg.add("e15_tags", lambda r: r.products.select("id", F.array_join(fn.dietary_tags(F.expr(f"upper({with_part(TAG_PARTS)})")), ",").alias("t")), "SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN {' OR '.join(f'contains(n, {p!r})' for p in parts)} THEN '{tag}' END" for tag, parts in fn.TAGS.items()) + f") AS t FROM (SELECT id, lower({with_part_sql(TAG_PARTS)}) || ' ' AS n FROM products)", *P)
 reg.add("e18_week", lambda r: r.offers.select("id", fn.week_start(F.col("valid_from")).alias("monday"), fn.current_week(F.col("valid_from"))["sunday"].alias("sunday")), "SELECT id, date_trunc('week', valid_from)::DATE AS monday, date_trunc('week', valid_from)::DATE + 6 AS sunday FROM offers", "offers")
 reg.add("e19_italian_dates", lambda r: r.campaigns.select("id", fn.italian_range(F.expr("CASE id % 3 WHEN 0 THEN concat('dal ', day(valid_from), '/', month(valid_from), ' al ', day(valid_to), '/', month(valid_to)) WHEN 1 THEN concat('DAL ', day(valid_from), ' ', element_at(array('gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'), month(valid_from)), ' AL ', day(valid_to), ' ', element_at(array('gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'), month(valid_to))) ELSE concat('fino al ', day(valid_to), ' marzo 1999') END"), F.lit(1996)).alias("d")).select("id", "d.*"),
         "SELECT id, CASE WHEN id % 3 <> 2 THEN make_date(1996, month(valid_from), day(valid_from)) END AS valid_from, CASE WHEN id % 3 <> 2 THEN make_date(1996, month(valid_to), day(valid_to)) ELSE make_date(1999, 3, day(valid_to)) END AS valid_to FROM campaigns", "campaigns")
 reg.add("e20_split_brand", lambda r: r.skus.select("id", fn.split_brand(F.concat(F.expr("IF(id % 2 = 0, 'Mulino Verde ', 'ACME CO ')"), F.lower("raw_name")), ["Mulino", "Mulino Verde"]).alias("b")).select("id", "b.*"), "SELECT id, CASE WHEN id % 2 = 0 THEN 'Mulino Verde' ELSE 'ACME CO' END AS brand, lower(raw_name) AS rest FROM skus", "skus")
 reg.add("e21_split_size", lambda r: r.skus.select("id", fn.split_size(F.concat_ws(" ", "raw_name", "raw_quantity")).alias("s")).select("id", "s.*"), "SELECT id, raw_name AS name, raw_quantity AS size FROM skus", "skus")
-reg.add("e22_distance", lambda r: r.stores.selectExpr("id", "CAST(round(lat * 100) AS BIGINT) AS y", "CAST(round(lng * 100) AS BIGINT) AS x"), "SELECT id, round(lat * 100)::BIGINT AS y, round(lng * 100)::BIGINT AS x FROM stores", "stores")
+# each store's distance to the first store of its chain
+HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lng) - radians(a.lng)) / 2), 2))))"
+reg.add("e22_distance", lambda r: r.stores.join(r.stores.groupBy("chain_id").agg(F.min_by(F.struct("lat", "lng"), "id").alias("f")), "chain_id").select("id", F.round(sm.distance_km(F.col("lat"), F.col("lng"), F.col("f.lat"), F.col("f.lng")) * 10).cast("long").alias("hm")),
+        f"SELECT a.id, round(10 * {HAVERSINE})::BIGINT AS hm FROM stores a JOIN (SELECT chain_id, arg_min(lat, id) AS lat, arg_min(lng, id) AS lng FROM stores GROUP BY 1) b USING (chain_id)", "stores")
 reg.add("e22_great_circle", lambda r: r.stores.select("id", F.round(sm.distance_km(F.col("lat"), F.col("lng"), F.lit(45.3), F.lit(11.0)) * 10).cast("long").alias("hm")),
         "SELECT id, round(10 * 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(45.3::DOUBLE) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(45.3::DOUBLE)) * pow(sin((radians(11.0::DOUBLE) - radians(lng)) / 2), 2)))))::BIGINT AS hm FROM stores", "stores")
 reg.add("e23_json", lambda r: r.api_events.select("id", F.get_json_object("metadata", "$.k").cast("long").alias("k"), F.get_json_object("metadata", "$.none").isNotNull().alias("has"), F.to_json(F.struct(F.col("event_type").alias("t"))).alias("j")), """SELECT id, json_extract_string(metadata, '$.k')::BIGINT AS k, json_exists(metadata, '$.none') AS has, '{"t":"' || event_type || '"}' AS j FROM api_events""", "api_events")
@@ -53,7 +63,7 @@ reg.add("e27_links", lambda r: r.stores.select("id", fn.maps_link((F.col("id") %
 reg.add("e28_numeric", lambda r: r.offers.selectExpr("id", "greatest(price_cents, original_cents) AS g", "least(price_cents, original_cents) AS l", "nullif(discount_pct, 10) AS n", "CAST(unix_timestamp(CAST(valid_from AS TIMESTAMP)) AS BIGINT) AS e"), "SELECT id, greatest(price_cents, original_cents) AS g, least(price_cents, original_cents) AS l, nullif(discount_pct, 10) AS n, epoch(valid_from)::BIGINT AS e FROM offers", "offers")
 
 # sources: job results made from the offers of each campaign
-JOBS = lambda r: r.offers.where("campaign_id % 7 = 0").groupBy("campaign_id").agg(F.array_sort(F.collect_list(F.struct("id", "price_cents", "sku_id"))).alias("o")).selectExpr(
+JOBS = lambda r: r.offers.groupBy("campaign_id").agg(F.array_sort(F.collect_list(F.struct("id", "price_cents", "sku_id"))).alias("o")).selectExpr(
     "CAST(campaign_id AS STRING) AS job_id", "'x' AS chain",
     "array(named_struct('page', 1, 'raw_text', 't', 'extracted', IF(campaign_id % 2 = 0, to_json(transform(o, x -> map('prodotto', x.id, 'prezzo', cast(x.price_cents AS string)))), to_json(map_from_arrays(transform(o, (x, i) -> cast(i AS string)), transform(o, x -> map('product_name', x.id, 'price', cast(x.price_cents AS string)))))), 'valid_from', '1998-01-01', 'valid_to', '1998-01-07'), named_struct('page', 2, 'raw_text', 't', 'extracted', to_json(map('nome_prodotto', o[0].id, 'prezzo', '7', 'valid_from', '1997-12-31')), 'valid_from', '1998-01-01', 'valid_to', '1998-01-07')) AS results")
 flat = lambda r: src.unify_fields(src.flatten_extracted(src.explode_results(JOBS(r)).drop("valid_from", "valid_to")))
@@ -65,22 +75,24 @@ def _json_round_trip(r):
     return src.read_job_results(r.spark, scratch.path + "/jobs", one_per_file=False).groupBy("job_id", "page").agg(F.count("*").alias("n"), F.max("valid_to").alias("t"))
 
 
-CASES = "SELECT campaign_id::VARCHAR AS job_id, id AS name, price_cents::VARCHAR AS price FROM offers WHERE campaign_id % 7 = 0 UNION ALL SELECT campaign_id::VARCHAR, min(struct_pack(id, price_cents, sku_id)).id, '7' FROM offers WHERE campaign_id % 7 = 0 GROUP BY campaign_id"
-reg.add("s1_read_job_results", _json_round_trip, "SELECT DISTINCT campaign_id::VARCHAR AS job_id, unnest([1, 2])::INT AS page, 1::BIGINT AS n, '1998-01-07' AS t FROM (SELECT DISTINCT campaign_id FROM offers WHERE campaign_id % 7 = 0)", "offers")
+CASES = "SELECT campaign_id::VARCHAR AS job_id, id AS name, price_cents::VARCHAR AS price FROM offers UNION ALL SELECT campaign_id::VARCHAR, min(struct_pack(id, price_cents, sku_id)).id, '7' FROM offers GROUP BY campaign_id"
+reg.add("s1_read_job_results", _json_round_trip, "SELECT DISTINCT campaign_id::VARCHAR AS job_id, unnest([1, 2])::INT AS page, 1::BIGINT AS n, '1998-01-07' AS t FROM (SELECT DISTINCT campaign_id FROM offers)", "offers")
 reg.add("s2_flatten_extracted", lambda r: src.flatten_extracted(src.explode_results(JOBS(r))).groupBy("job_id").agg(F.count("*").alias("n")), f"SELECT job_id, count(*) AS n FROM ({CASES}) GROUP BY 1", "offers")
 reg.add("s3_unify_fields", lambda r: flat(r).select("job_id", "name", "price"), CASES, "offers")
-reg.add("s4_propagate_validity", lambda r: src.propagate_validity(flat(r), src.explode_results(JOBS(r))).groupBy("job_id", "valid_from", "valid_to").agg(F.count("*").alias("n")), "SELECT campaign_id::VARCHAR AS job_id, '1998-01-01' AS valid_from, '1998-01-07' AS valid_to, count(*) AS n FROM offers WHERE campaign_id % 7 = 0 GROUP BY 1 UNION ALL SELECT campaign_id::VARCHAR, '1997-12-31', '1998-01-07', 1 FROM offers WHERE campaign_id % 7 = 0 GROUP BY campaign_id", "offers")
+reg.add("s4_propagate_validity", lambda r: src.propagate_validity(flat(r), src.explode_results(JOBS(r))).groupBy("job_id", "valid_from", "valid_to").agg(F.count("*").alias("n")), "SELECT campaign_id::VARCHAR AS job_id, '1998-01-01' AS valid_from, '1998-01-07' AS valid_to, count(*) AS n FROM offers GROUP BY 1 UNION ALL SELECT campaign_id::VARCHAR, '1997-12-31', '1998-01-07', 1 FROM offers GROUP BY campaign_id", "offers")
 reg.add("s5_union_pages", lambda r: src.union_pages([r.skus.where("id % 3 = 0").select("id", "brand"), r.skus.where("id % 3 = 1").select("id"), r.skus.where("id % 3 = 2").select("brand", "id")]), "SELECT id, CASE WHEN id % 3 <> 1 THEN brand END AS brand FROM skus", "skus")
 
 
 def _csv_round_trip(r):
     scratch = Scratch(r.spark, "csv")
-    src.write_worklist(r.skus.where("id % 5 = 0").selectExpr("id", "concat('https://img/', id, IF(id % 2 = 0, '', ' bad'))  AS image_url"), scratch.path + "/csv")
+    src.write_worklist(r.skus.selectExpr("id", "concat('https://img/', id, IF(id % 2 = 0, '', ' bad'))  AS image_url"), scratch.path + "/csv")
     return src.apply_image_csv(r.skus.withColumn("image_url", F.lit(None).cast("string")), src.read_image_csv(r.spark, scratch.path + "/csv")).select("id", "image_url")
 
 
-reg.add("s14_apply_image_csv", _csv_round_trip, "SELECT id, CASE WHEN id % 10 = 0 THEN 'https://img/' || id END AS image_url FROM skus", "skus")
-reg.add("s17_taxonomy_use", lambda r: r.products.select(F.element_at(F.array(*map(F.lit, src.CATEGORIES)), (F.col("id") % 18 + 1).cast("int")).alias("slug")).join(src.taxonomy(r.spark), "slug").groupBy("slug", "sort_order").agg(F.count("*").alias("n")), "SELECT c.s AS slug, ((c.i - 1) * 10)::INT AS sort_order, count(*) AS n FROM products p JOIN (SELECT unnest(range(1, 19)) AS i, unnest([%s]) AS s) c ON c.i = p.id %% 18 + 1 GROUP BY ALL" % ", ".join(f"'{c}'" for c in src.CATEGORIES), *P)
+reg.add("s14_apply_image_csv", _csv_round_trip, "SELECT id, CASE WHEN id % 2 = 0 THEN 'https://img/' || id END AS image_url FROM skus", "skus")
+SLUGS = [slug for slug, _, _ in src.CATEGORIES]
+reg.add("s17_taxonomy_use", lambda r: r.products.select(F.element_at(F.array(*map(F.lit, SLUGS)), (F.col("id") % 18 + 1).cast("int")).alias("slug")).join(src.taxonomy(r.spark), "slug").groupBy("slug", "name", "sort_order").agg(F.count("*").alias("n")),
+        "SELECT c.slug, c.name, c.sort_order::INT AS sort_order, count(*) AS n FROM products p JOIN (VALUES " + ", ".join(f"({i}, '{s}', '{n}', {o})" for i, (s, n, o) in enumerate(src.CATEGORIES)) + ") c(i, slug, name, sort_order) ON c.i = p.id % 18 GROUP BY ALL", *P)
 reg.add("s18_pivot_properties", lambda r: src.pivot_properties(live(r).selectExpr("id", "array(named_struct('code', 'name', 'values', array(raw_name)), named_struct('code', 'price', 'values', array(cast((price_cents - 100000) / 100.0 AS string))), named_struct('code', 'hidden', 'values', IF(price_cents % 3 = 0, array('true'), array()))) AS props"), ["name", "price", "hidden"]).select("id", "name", F.round(F.col("price") * 100).cast("long").alias("cents")), "SELECT id, raw_name AS name, price_cents - 100000 AS cents FROM active WHERE price_cents > 100000 AND price_cents % 3 <> 0", "active")
 
 # extraction
@@ -107,12 +119,12 @@ def _stream(r, df, name):
 def _daily(r):
     events, scratch = _stream(r, r.api_events, "st1")
     out = st.daily_event_counts(events, "60 days").drop("sessions")
-    # every group goes to the sink again when it changes; the last state of each is the result
+    # a group goes to the sink again when it changes, until the watermark closes it; the last state of each is the result
     def keep(df, batch_id):
-        df.write.mode("overwrite").parquet(scratch.path + "/out")
+        df.write.mode("overwrite").parquet(f"{scratch.path}/out/batch={batch_id}")
 
-    out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch.path + "/cp").trigger(availableNow=True).start().awaitTermination()
-    return r.spark.read.parquet(scratch.path + "/out")
+    out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch.path + "/cp").trigger(availableNow=True).start().awaitTermination()
+    return r.spark.read.parquet(scratch.path + "/out").groupBy("day", "event_type").agg(F.max_by("events", "batch").alias("events"))
 
 
 def _alerts(r):
@@ -136,7 +148,7 @@ def _alerts(r):
 
 
 def _history(r):
-    offers, scratch = _stream(r, r.offers, "st3")
+    offers, scratch = _stream(r, PRICED(r), "st3")
     last: list[str] = []
 
     def write(df, batch_id):
@@ -147,7 +159,7 @@ def _history(r):
     return r.spark.read.parquet(last[0])
 
 
-from .search_writes import HIST, MATCHSQL  # noqa: E402
+from .search_writes import HIST, MATCHSQL, PRICED  # noqa: E402
 
 reg.add("st1_daily_counts", _daily, "SELECT day, event_type, count(*) AS events FROM api_events GROUP BY ALL", "api_events")
 reg.add("st2_stream_alerts", _alerts, f"WITH {MATCHSQL} SELECT watch_id, offer_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified) QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 10", "watches", "active", "notified")

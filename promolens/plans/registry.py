@@ -26,9 +26,13 @@ def live(r: Retail, keep_unmatched: bool = True) -> DataFrame:
     return op.active_offers(r.offers, r.skus, r.products, r.chains, AS_OF, keep_unmatched)
 
 
+#: Words of the generated names that stand for tags.
+TAG_WORDS = {w: [w] for w in ("cold", "small", "large", "widget", "red", "hot")}
+
+
 def tagged(r: Retail) -> DataFrame:
     """SKUs with the tags of their names."""
     from ..functions.scalars import dietary_tags
     from pyspark.sql import functions as F
 
-    return r.skus.withColumn("tags", dietary_tags(F.col("raw_name")))
+    return r.skus.withColumn("tags", dietary_tags(F.col("raw_name"), TAG_WORDS))

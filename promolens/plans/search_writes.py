@@ -13,7 +13,7 @@ from ..operators import offers as op
 from ..operators import search as se
 from ..operators import writes as wr
 from ..sources.views import AS_OF, NOW, TS, D
-from .registry import Registry, live, tagged
+from .registry import TAG_WORDS, Registry, live, tagged
 from .relational import CARDS, CATSQL, TAGGED, cats
 
 reg = Registry()
@@ -72,13 +72,16 @@ reg.add("s15_clean_events", lambda r: al.clean_events(r.api_events.withColumn("i
 reg.add("s16_merge_run_log", lambda r: wr.merge_run_log(r.runs.withColumn("summary", F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))), r.runs.where("id % 2 = 0").selectExpr("id", "'success' AS status", "started_at AS finished_at", "map('b', '3', 'c', cast(id AS string)) AS summary")).selectExpr("id", "status", "finished_at", "summary['a'] AS a", "summary['b'] AS b", "summary['c'] AS c"),
         "SELECT id, CASE WHEN id % 2 = 0 THEN 'success' ELSE status END AS status, CASE WHEN id % 2 = 0 THEN started_at END AS finished_at, '1' AS a, CASE WHEN id % 2 = 0 THEN '3' ELSE '2' END AS b, CASE WHEN id % 2 = 0 THEN id::VARCHAR END AS c FROM runs", "runs")
 reg.add("s19_resolve_stores", lambda r: wr.resolve_stores(r.offers.selectExpr("campaign_id % 200 AS external_id").distinct(), r.stores.where("is_active").select(F.col("id").alias("external_id"), "name"))[1], "SELECT DISTINCT campaign_id % 200 AS external_id FROM offers WHERE campaign_id % 200 NOT IN (SELECT id FROM stores WHERE is_active)", "offers", "stores")
-HIST = "SELECT sku_id, date_trunc('week', valid_from)::DATE AS week_start, min(price_cents) AS min_cents, max(price_cents) AS max_cents, arg_min(mechanic, (price_cents, id)) AS mechanic, max(original_cents) AS reference_cents, max(campaign_id) AS campaign_id FROM offers"
-reg.add("g11_price_history", lambda r: wr.price_history_rollup(r.offers), f"{HIST} GROUP BY 1, 2", "offers")
-reg.add("g12_merge_history", lambda r: wr.merge_history(wr.price_history_rollup(r.offers.where("store_id % 2 = 0")), wr.price_history_rollup(r.offers.where("store_id % 2 = 1 OR store_id IS NULL"))),
+HIST = "SELECT sku_id, date_trunc('week', valid_from)::DATE AS week_start, min(price_cents) AS min_cents, max(price_cents) AS max_cents, arg_min(mechanic, (price_cents, id)) AS mechanic, min(original_cents) AS reference_cents, max(campaign_id) AS campaign_id, min(unit_price) AS min_unit_price, max(unit_price) AS max_unit_price, min(unit_price * (original_cents / nullif(price_cents, 0))) AS reference_unit_price FROM (SELECT *, price_cents / (sku_id % 7 + 1) AS unit_price FROM offers)"
+PRICED = lambda r: r.offers.withColumn("unit_price", F.col("price_cents") / (F.col("sku_id") % 7 + 1))
+reg.add("g11_price_history", lambda r: wr.price_history_rollup(PRICED(r)), f"{HIST} GROUP BY 1, 2", "offers")
+reg.add("g12_merge_history", lambda r: wr.merge_history(wr.price_history_rollup(PRICED(r).where("store_id % 2 = 0")), wr.price_history_rollup(PRICED(r).where("store_id % 2 = 1 OR store_id IS NULL"))),
         f"""WITH a AS ({HIST} WHERE store_id % 2 = 0 GROUP BY 1, 2), b AS ({HIST} WHERE store_id % 2 = 1 OR store_id IS NULL GROUP BY 1, 2) SELECT coalesce(a.sku_id, b.sku_id) AS sku_id, coalesce(a.week_start, b.week_start) AS week_start, least(a.min_cents, b.min_cents) AS min_cents,
-        greatest(a.max_cents, b.max_cents) AS max_cents, coalesce(a.mechanic, b.mechanic) AS mechanic, coalesce(a.reference_cents, b.reference_cents) AS reference_cents, coalesce(b.campaign_id, a.campaign_id) AS campaign_id FROM a FULL JOIN b ON a.sku_id = b.sku_id AND a.week_start = b.week_start""", "offers")
+        greatest(a.max_cents, b.max_cents) AS max_cents, coalesce(a.mechanic, b.mechanic) AS mechanic, coalesce(a.reference_cents, b.reference_cents) AS reference_cents, coalesce(b.campaign_id, a.campaign_id) AS campaign_id, least(a.min_unit_price, b.min_unit_price) AS min_unit_price, greatest(a.max_unit_price, b.max_unit_price) AS max_unit_price, CASE WHEN a.sku_id IS NULL THEN b.reference_unit_price ELSE a.reference_unit_price END AS reference_unit_price FROM a FULL JOIN b ON a.sku_id = b.sku_id AND a.week_start = b.week_start""", "offers")
 W1 = "w1 AS (SELECT * FROM watches QUALIFY row_number() OVER (PARTITION BY user_id, watch_type, lower(trim(query)) ORDER BY id) = 1)"
-reg.add("w1_dedup_watches", lambda r: wr.dedup_watches(r.watches), f"WITH {W1} SELECT * FROM w1", "watches")
+# watches that differ in their chains only stay apart; the newest id is the oldest watch
+FILTERED = lambda r: r.watches.withColumns({"chain_filter": F.expr("IF(id % 2 = 0, array('france', 'italy'), NULL)"), "created_at": F.expr("date_sub(DATE '1998-01-01', CAST(id % 400 AS INT))")})
+reg.add("w1_dedup_watches", lambda r: wr.dedup_watches(FILTERED(r)).drop("chain_filter", "created_at"), "SELECT * FROM watches QUALIFY row_number() OVER (PARTITION BY user_id, watch_type, lower(trim(query)), id % 2 ORDER BY -(id % 400), id) = 1", "watches")
 reg.add("w5_last_run_per_type", lambda r: al.last_run_per_type(r.runs), "SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY run_type ORDER BY started_at DESC, id DESC) = 1", "runs")
 reg.add("w5_recent_runs", lambda r: al.recent_runs(r.runs, NOW), f"SELECT *, (epoch({TS})::BIGINT - floor(epoch(started_at))::BIGINT) AS age_s, status = 'running' AND epoch({TS})::BIGINT - floor(epoch(started_at))::BIGINT > 7200 AS stuck FROM runs ORDER BY started_at DESC, id DESC LIMIT 100", "runs")
 reg.add("w6_keep_first", lambda r: op.keep_first(r.offers, ["campaign_id", "sku_id"], [F.col("valid_from"), F.col("id")]).select("campaign_id", "sku_id", "id"), "SELECT campaign_id, sku_id, id FROM offers QUALIFY row_number() OVER (PARTITION BY campaign_id, sku_id ORDER BY valid_from, id) = 1", "offers")
@@ -95,9 +98,9 @@ reg.add("a6_purge_offers", lambda r: wr.purge_offers(r.offers, AS_OF).groupBy("c
 reg.add("a7_abandoned_campaigns", lambda r: op.abandoned_campaigns(r.campaigns, wr.purge_offers(r.offers, AS_OF), wr.price_history_rollup(r.offers.where("requires_card")), AS_OF).select("id"), f"SELECT id FROM campaigns WHERE valid_to < {D} - 14 AND id NOT IN (SELECT campaign_id FROM offers WHERE valid_to >= {D} - 14) AND id NOT IN (SELECT campaign_id FROM ({HIST} WHERE requires_card GROUP BY 1, 2))", "campaigns")
 reg.add("a9_reset_chain", lambda r: wr.reset_chain(r.offers, r.skus, 3).groupBy("campaign_id").agg(F.count("*").alias("n")), "SELECT campaign_id, count(*) AS n FROM offers WHERE sku_id NOT IN (SELECT id FROM skus WHERE chain_id = 3) GROUP BY 1", "offers", "skus")
 reg.add("a10_cascade", lambda r: wr.cascade(r.notified, r.watches.where("user_id < 25"), "watch_id").groupBy("watch_id").agg(F.count("*").alias("n")), "SELECT watch_id, count(*) AS n FROM notified WHERE watch_id IN (SELECT id FROM watches WHERE user_id < 25) GROUP BY 1", "notified")
-reg.add("j18_fan_out", lambda r: wr.fan_out(live(r).select("id", "chain_id", F.expr("CASE WHEN price_cents % 5 = 0 THEN 'Solo Market' WHEN price_cents % 5 = 1 THEN 'Super e Iper' WHEN price_cents % 5 = 2 THEN 'Pet shop' ELSE NULL END").alias("promo")), r.stores.selectExpr("id", "chain_id", "CASE id % 3 WHEN 0 THEN 'market' WHEN 1 THEN 'supermarket' ELSE 'ipermarket' END AS format")),
-        """WITH f AS (SELECT id, chain_id, unnest(CASE price_cents % 5 WHEN 0 THEN ['market'] WHEN 1 THEN ['supermarket', 'ipermarket'] ELSE [NULL] END) AS format FROM active WHERE price_cents % 5 <> 2)
-        SELECT f.id, f.chain_id, f.format, s.id AS target_store FROM f LEFT JOIN stores s ON s.chain_id = f.chain_id AND f.format = CASE s.id % 3 WHEN 0 THEN 'market' WHEN 1 THEN 'supermarket' ELSE 'ipermarket' END""", "active", "stores")
+reg.add("j18_fan_out", lambda r: wr.fan_out(live(r).select("id", "chain_id", F.expr("CASE WHEN price_cents % 5 = 0 THEN 'Solo Market' WHEN price_cents % 5 = 1 THEN 'Super e Iper' WHEN price_cents % 5 = 2 THEN 'Volantino Pet Store' WHEN price_cents % 5 = 3 THEN 'Petto di pollo, cash & carry' ELSE NULL END").alias("promo")), r.stores.selectExpr("id", "chain_id", "CASE id % 4 WHEN 0 THEN 'market' WHEN 1 THEN 'supermarket' WHEN 2 THEN 'cashcarry' ELSE 'ipermarket' END AS format")),
+        """WITH f AS (SELECT id, chain_id, unnest(CASE price_cents % 5 WHEN 0 THEN ['market'] WHEN 1 THEN ['supermarket', 'ipermarket'] WHEN 3 THEN ['cashcarry'] ELSE [NULL] END) AS format FROM active WHERE price_cents % 5 <> 2)
+        SELECT f.id, f.chain_id, f.format, s.id AS target_store FROM f LEFT JOIN stores s ON s.chain_id = f.chain_id AND f.format = CASE s.id % 4 WHEN 0 THEN 'market' WHEN 1 THEN 'supermarket' WHEN 2 THEN 'cashcarry' ELSE 'ipermarket' END""", "active", "stores")
 
 # matching
 PAIRS = f"pairs AS (SELECT a.id AS l_id, b.id AS r_id, {sim('a.name', 'b.name')} AS similarity FROM products a JOIN products b ON a.brand = b.brand AND a.category = b.category AND a.id < b.id)"
@@ -106,15 +109,15 @@ reg.add("j8_candidate_pairs", lambda r: ma.candidate_pairs(r.products, r.skus),
 LINK = f"SELECT s.id AS sku_id, p.id AS product_id, {sim('s.raw_name', 'p.name')} AS confidence FROM skus s JOIN products p ON lower(s.brand) = lower(p.brand) WHERE s.product_id IS NULL AND {sim('s.raw_name', 'p.name')} > 0.6 QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY confidence DESC, p.id) = 1"
 reg.add("j9_fuzzy_link", lambda r: ma.fuzzy_link(r.skus, r.products), LINK, "skus", "products")
 reg.add("m4_linked_skus", lambda r: r.skus.join(ma.fuzzy_link(r.skus, r.products).select(F.col("sku_id").alias("id"), F.col("product_id").alias("np")), "id", "left").select("id", F.coalesce("product_id", "np").alias("product_id")), f"SELECT s.id, coalesce(s.product_id, l.product_id) AS product_id FROM skus s LEFT JOIN ({LINK}) l ON l.sku_id = s.id", "skus", "products")
-reg.add("m1_match_groups", lambda r: ma.match_groups(r.skus), "SELECT lower(brand) || '|' || lower(raw_name) || '|' || replace(raw_quantity, ' ', '') AS match_key, count(*) AS skus, count(DISTINCT chain_id) AS chains, count(DISTINCT chain_id) > 1 AS multi_chain FROM skus WHERE product_id IS NULL AND split_part(raw_quantity, ' ', 1)::INT > 0 GROUP BY 1", "skus")
+reg.add("m1_match_groups", lambda r: ma.match_groups(r.skus), "SELECT lower(brand) || '|' || lower(raw_name) || '|' || raw_quantity AS match_key, count(*) AS skus, count(DISTINCT chain_id) AS chains, count(DISTINCT chain_id) > 1 AS multi_chain FROM skus WHERE product_id IS NULL AND split_part(raw_quantity, ' ', 1)::INT > 0 GROUP BY 1", "skus")
 reg.add("m2_elect_names", lambda r: ma.elect_names(r.skus).select("id", "raw_name"), "SELECT id, raw_name FROM skus QUALIFY row_number() OVER (PARTITION BY lower(brand), lower(raw_name), raw_quantity ORDER BY length(raw_name) DESC, id) = 1", "skus")
-reg.add("m3_canonicalize", lambda r: ma.canonicalize(r.skus, r.products).select("slug", "created", "base_unit"), "SELECT DISTINCT regexp_replace(lower(brand || ' ' || raw_name || ' ' || raw_quantity), '[^a-z0-9]+', '-', 'g') AS slug, true AS created, 'g' AS base_unit FROM skus WHERE product_id IS NULL", "skus")
+reg.add("m3_canonicalize", lambda r: ma.canonicalize(r.skus, r.products).select("slug", "created", "base_unit"), "SELECT DISTINCT regexp_replace(lower(brand || ' ' || raw_name || ' ' || raw_quantity), '[^a-z0-9]+', '-', 'g') AS slug, true AS created, 'kg' AS base_unit FROM skus WHERE product_id IS NULL", "skus")
 reg.add("m5_merge_products", lambda r: ma.merge_products(r.products.selectExpr("id AS l_id", "id + 7 AS r_id").where("l_id % 21 < 14 AND r_id % 50 <> 0"), r.skus, r.products)[0].select("id", "product_id"))
 reg.add("m5_surviving_products", lambda r: ma.merge_products(r.products.selectExpr("id AS l_id", "id + 1 AS r_id").where("l_id % 4 = 0"), r.skus, r.products)[1].select("id"), "SELECT id FROM products WHERE id % 4 <> 1", "products")
 reg.add("m6_batch_pairs", lambda r: ma.batch_pairs(ma.candidate_pairs(r.products, r.skus)).select("l_id", "r_id", "block", "batch", "place"),
         f"WITH {PAIRS}, {OF}, c AS (SELECT l_id, r_id FROM pairs JOIN ofp x ON x.product_id = l_id JOIN ofp y ON y.product_id = r_id WHERE similarity > 0.3 AND len(list_distinct(list_concat(x.c, y.c))) > 1), n AS (SELECT *, l_id % 64 AS block, row_number() OVER (PARTITION BY l_id % 64 ORDER BY l_id, r_id) AS n FROM c) SELECT l_id, r_id, block, (n - 1) // 30 AS batch, (n - 1) % 30 + 1 AS place FROM n", "products", "skus")
 reg.add("m7_apply_categories", lambda r: ma.apply_categories(r.products.withColumn("category", F.when(F.col("id") % 2 == 0, "altro").otherwise(F.col("category"))), r.products.selectExpr("id", "CASE id % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'bogus' ELSE 'altro' END AS slug"), cats(r)).select("id", "category"), "SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 'economy' ELSE 'altro' END ELSE category END AS category FROM products", "products")
-reg.add("m8_refresh_tags", lambda r: ma.refresh_tags(r.skus.withColumns({"tags": F.array(F.lit("old")), "normalized_name": F.lit("old"), "updated_at": F.expr("TIMESTAMP '2024-01-31 00:00:00' - make_dt_interval(0, CAST(id % 48 AS INT))")}), NOW, 24).selectExpr("id", "array_join(tags, ',') AS tags", "normalized_name"),
+reg.add("m8_refresh_tags", lambda r: ma.refresh_tags(r.skus.withColumns({"tags": F.array(F.lit("old")), "normalized_name": F.lit("old"), "updated_at": F.expr("TIMESTAMP '2024-01-31 00:00:00' - make_dt_interval(0, CAST(id % 48 AS INT))")}), NOW, 24, TAG_WORDS).selectExpr("id", "array_join(tags, ',') AS tags", "normalized_name"),
         f"WITH {TAGGED} SELECT id, CASE WHEN id % 48 <= 24 THEN array_to_string(tags, ',') ELSE 'old' END AS tags, CASE WHEN id % 48 <= 24 THEN lower(raw_name) ELSE 'old' END AS normalized_name FROM tagged", "skus")
 
 # images

@@ -12,7 +12,11 @@ JOB = f"job_id string, chain string, results array<{RESULT}>"
 #: Names that extractors use for one field.
 ALIASES = {"name": ["prodotto", "product_name", "nome_prodotto"], "price": ["prezzo_offerta", "price", "prezzo"], "original": ["prezzo_originale", "original_price"], "quantity": ["quantita_peso", "quantity", "formato"], "brand": ["brand", "marca"], "discount": ["sconto_percentuale", "discount_pct"], "mechanic": ["tipo_offerta", "mechanic"], "valid_from": ["validita_inizio", "valid_from"], "valid_to": ["validita_fine", "valid_to"]}
 #: The categories and the chains that the platform starts with.
-CATEGORIES = ["frutta-verdura", "carne", "pesce", "salumi", "formaggi", "latticini", "pane", "pasta-riso", "conserve", "dolci", "snack", "bevande", "vino-birra", "surgelati", "casa", "persona", "animali", "altro"]
+CATEGORIES = [
+    ("frutta-verdura", "Frutta e Verdura", 10), ("panificati", "Panificati", 20), ("latticini", "Latticini", 30), ("carne", "Carne", 40), ("salumi", "Salumi", 50), ("pesce", "Pesce", 60),
+    ("pasta", "Pasta", 70), ("riso-cereali", "Riso e Cereali", 80), ("condimenti", "Condimenti", 90), ("dolci-snack", "Dolci e Snack", 100), ("caffe-te", "Caffè e Tè", 110), ("bevande", "Bevande", 120),
+    ("bevande-alcoliche", "Bevande Alcoliche", 130), ("surgelati", "Surgelati", 140), ("cura-casa", "Cura Casa", 150), ("cura-persona", "Cura Persona", 160), ("animali", "Animali", 170), ("altro", "Altro", 999),
+]
 
 
 def read_job_results(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
@@ -70,7 +74,7 @@ def pivot_properties(df: DataFrame, codes: Sequence[str], props: str = "props")
 
 def taxonomy(spark: SparkSession) -> DataFrame:
     """The categories in their order."""
-    return spark.createDataFrame([(i + 1, s, i * 10) for i, s in enumerate(CATEGORIES)], "id int, slug string, sort_order int")
+    return spark.createDataFrame([(i + 1, *c) for i, c in enumerate(CATEGORIES)], "id int, slug string, name string, sort_order int")
 
 
 def write_worklist(df: DataFrame, path: str) -> None:

@@ -13,12 +13,12 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize("text, price", [("€ 1,99", 1.99), ("da 2,50 €", 2.5), ("1.299,00", 1299.0), ("1.299", 1.299), ("0", None), ("gratis", None), ("10000", None), (None, None), ("", None)])
+@pytest.mark.parametrize("text, price", [("€ 1,99", 1.99), ("da 2,50 €", 2.5), ("1.299,00", 1299.0), ("1.299", 1.299), ("0", None), ("Prezzo 1,99", 1.99), ("solo oggi 1.299,50 €", 1299.5), ("gratis", None), ("10000", None), (None, None), ("", None)])
 def test_price(spark, text, price):
     assert one(spark, fn.parse_price(F.lit(text).cast("string"))) == price
 
 
-@pytest.mark.parametrize("text, base, value", [("2x125 g", "g", 250), ("500 g x 3", "g", 1500), ("1,5 l", "ml", 1500), ("6 pz", "pz", 6), ("conf da 4", "pz", 4), ("33 cl", "ml", 330)])
+@pytest.mark.parametrize("text, base, value", [("2x125 g", "kg", 0.25), ("500 g x 3", "kg", 1.5), ("90 g x3 pz", "kg", 0.27), ("1,5 l", "L", 1.5), ("2 dl", "L", 0.2), ("1 litro", "L", 1), ("due etti: 2 etti", "kg", 0.2), ("6 pz", "unit", 6), ("10 bustine", "unit", 10), ("conf da 4", "unit", 4), ("confezione da 8", "unit", 8), ("33 cl", "L", 0.33)])
 def test_quantity(spark, text, base, value):
     q = one(spark, fn.parse_quantity(F.lit(text)))
     assert (q.base_unit, round(q.base_value, 6)) == (base, value)
@@ -29,7 +29,7 @@ def test_quantity_of_other_text_is_null(spark):
     assert one(spark, fn.parse_quantity(F.lit(None).cast("string"))) is None
 
 
-@pytest.mark.parametrize("text, name, pct", [("1+1 gratis", "buy_x_get_y", None), ("3x2", "multi_buy", None), ("secondo pezzo al 50%", "second_item", 50), ("SOTTOCOSTO", "below_cost", None), ("-30%", "percentage_off", 30), ("", "price_cut", None), (None, "price_cut", None)])
+@pytest.mark.parametrize("text, name, pct", [("Offerta 3 x 2", "three_for_two", 33.3), ("prendi 2 paghi 1", "two_for_price_of_one", 50), ("50% sul secondo", "second_half_price", 25), ("secondo pezzo al 50%", "second_half_price", 25), ("con carta", "loyalty_price", None), ("SOTTOCOSTO", "sottocosto", None), ("-30%", "percentage_off", 30), ("Sconto del 15 %", "percentage_off", 15), ("12%", "price_cut", None), ("", "price_cut", None), (None, "price_cut", None)])
 def test_mechanic(spark, text, name, pct):
     m = one(spark, fn.parse_mechanic(F.lit(text).cast("string")))
     assert (m.mechanic, m.discount) == (name, pct)
@@ -56,6 +56,29 @@ def test_encryption_round_trip(spark):
     assert one(spark, fn.decrypt(F.lit("plain"), key)) == "plain"
 
 
-def test_match_key(spark):
-    k = fn.match_key(F.lit("Barilla"), F.lit("BARILLA Spaghetti n.5 al Forno"), F.lit("1 kg"))
-    assert one(spark, k) == "barilla|spaghetti n 5 forno|1000g"
+@pytest.mark.parametrize("brand, name, quantity, key", [
+    ("Barilla", "BARILLA Spaghetti n.5 al Forno", "1 kg", "barilla|spaghetti n5 forno|1000 g"),
+    ("De Cecco", "Pasta di semola di grano duro Penne De Cecco", "500g", "de cecco|penne|500 g"),
+    (None, "Caffè e zucchero", "2 X 100 g", "|caffe zucchero|2x100 g"), ("Mila", "Milano salame", "1,5l", "mila|milano salame|1500 ml"), ("X", None, None, "x||"),
+])
+def test_match_key(spark, brand, name, quantity, key):
+    text = lambda v: F.lit(v).cast("string")
+    assert one(spark, fn.match_key(text(brand), text(name), text(quantity))) == key
+
+
+def test_unit_price_is_for_a_kilo_or_a_litre(spark):
+    q = fn.parse_quantity(F.lit("500 g"))
+    assert one(spark, fn.unit_price(F.lit(1.99), q["base_value"])) == 3.98
+    assert one(spark, fn.unit_price(F.lit(1.99), F.lit(0.0))) is None
+    assert one(spark, fn.unit_price(F.lit(1.99), q["base_value"], F.lit(4.5))) == 4.5
+
+
+@pytest.mark.parametrize("name, slug", [("Latte e biscotti", "latticini"), ("PASTA SFOGLIA", "pasta"), ("Pastasciutta", "altro"), ("Crackers", "panificati"), ("Crema di riso", "cura-persona"), ("Caffè", "caffe-te"), (None, "altro")])
+def test_category(spark, name, slug):
+    assert one(spark, fn.infer_category(F.lit(name).cast("string"))) == slug
+
+
+def test_tags(spark):
+    assert one(spark, fn.dietary_tags(F.lit("Yogurt BIO senza lattosio"))) == ["senza-lattosio", "bio"]
+    assert one(spark, fn.dietary_tags(F.lit("Latte bio"))) == ["bio"]
+    assert one(spark, fn.dietary_tags(F.lit("Abbio"))) == ["bio"]

@@ -119,3 +119,22 @@ def test_watches_keep_to_their_chains_and_stores(spark):
 def test_active_day_is_inclusive(spark):
     o = spark.createDataFrame([(AS_OF, AS_OF)], "valid_from date, valid_to date")
     assert offers.active(o, AS_OF).count() == 1
+
+
+def test_classify_takes_the_first_rule_of_whole_words(spark):
+    rules = spark.createDataFrame([(2, "carne", "pollo"), (1, "animali", "cibo per cani"), (3, "altro-cibo", "cibo"), (9, "vuota", " ")], "rank int, slug string, keyword string")
+    names = spark.createDataFrame([(1, "Pollo arrosto"), (2, "Cibo per cani al pollo"), (3, "Pollone"), (4, None), (5, "cibo, per gatti")], "id int, name string")
+    assert {r.id: r.slug for r in matching.classify(names, rules).collect()} == {1: "carne", 2: "animali", 3: "altro", 4: "altro", 5: "altro-cibo"}
+    assert {r.slug for r in matching.classify(names, rules.where("false")).collect()} == {"altro"}
+
+
+def test_other_city_of_several_words(spark):
+    files = spark.createDataFrame([("http://x/volantino-REGGIO%20EMILIA.pdf",), ("http://x/veronaest.pdf",), ("http://x/trento.pdf",), ("http://x/a",)], "url string")
+    cities = spark.createDataFrame([("Reggio Emilia",), ("Verona",), ("Trento",)], "city string")
+    assert sorted(r.url for r in offers.other_city(files, cities, "trento").collect()) == ["http://x/a", "http://x/trento.pdf"]
+
+
+def test_products_stay_without_an_other_category(spark):
+    p = spark.createDataFrame([(1, "pasta"), (2, "x"), (3, None)], "id int, category string")
+    c = spark.createDataFrame([(7, "pasta")], "id int, slug string")
+    assert {r.id: r.category_id for r in offers.link_taxonomy(p, c).collect()} == {1: 7, 2: None, 3: None}
