@@ -35,6 +35,8 @@ SIGMAS = 5.5
 BLOCK = 1 << 19
 #: Members of a bucket that are compared at a time.
 BUCKET = 512
+#: Bitmaps of 32,768 bits that tell the ids of candidates.
+MAPS = 1024
 #: Bits of the parity sketch of a set.
 ODD = 512
 #: The columns of the two summaries.
@@ -217,11 +219,23 @@ def _near_blocks(percent: int):
     return run
 
 
+def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that may have one of the ids: most others go before their texts are shuffled.
+
+    A table of MAPS bitmaps of 4 kB, whatever the number of ids, is sent to the tasks.
+    """
+    place = F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(MAPS << 15))
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("__map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.bitmap_bit_position(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), (F.bitmap_bit_position(place) % 8).cast("int") + 1)) != 0
+    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__map")).where(there).drop("__map", "__bits")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (src, dst), a written table, of which some texts' full sets meet the threshold."""
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()
     # an id's rows lie together after the join: each of its texts counts once
-    texts = docs.join(ids, "doc", "left_semi").groupBy("doc", F.xxhash64("text").alias("th")).agg(F.min("text").alias("text")).select("doc", "text")
+    texts = _perhaps(docs, ids).join(ids, "doc", "left_semi").groupBy("doc", F.xxhash64("text").alias("th")).agg(F.min("text").alias("text")).select("doc", "text")
     sets, sets_at = scratch.put(texts.mapInArrow(_sets(k), "doc long, shingles binary"))
     left = pairs.join(sets.select(F.col("doc").alias("src"), F.col("shingles").alias("s")), "src")
     both = left.join(sets.select(F.col("doc").alias("dst"), F.col("shingles").alias("t")), "dst").select("src", "dst", "s", "t")
@@ -254,11 +268,12 @@ def _open_pairs(reps: DataFrame, label: DataFrame, percent: int, scratch: Scratc
     of up to BUCKET members is one key of a join; a larger one is cut into blocks of about
     BUCKET members, and each pair of blocks is a group of its own.
     """
-    known = reps.select("doc", "n", "bands", *BITS).join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    known = known.withColumn("band", F.explode("bands")).drop("bands")
+    known = reps.select("doc", "bands").join(label, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"), F.explode("bands").alias("band"))
     per = known.groupBy("band", "label").agg(F.count("*").alias("c"))
     open_ = per.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1 AND size > 2")
-    inside = scratch.table(known.join(open_.select("band", F.col("m.label").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("rest")), "band"))
+    # the summaries come to the members of open buckets only
+    inside = known.join(open_.select("band", F.col("m.label").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("rest")), "band")
+    inside = scratch.table(inside.join(reps.select("doc", "n", *BITS), "doc"))
     few = inside.where(F.col("size") <= BUCKET)
     a = few.where("label <> main").select("band", F.col("doc").alias("p"), F.col("label").alias("lp"), *_side("x"))
     b = few.select(F.col("band").alias("band2"), F.col("doc").alias("q"), F.col("label").alias("lq"), "main", *_side("y"))

@@ -23,7 +23,7 @@ from .anchors import GRAM, runs
 from .common import Scratch, blobs
 
 #: Places that are sent to the tasks at most (16 bytes each); classes of a k-gram that one task compares; windows that it sorts at a time.
-AT_ONCE, MOST_CLASSES, WINDOWS = 2_000_000, 20_000, 50_000
+AT_ONCE, MOST_CLASSES, WINDOWS = 2_000_000, 4_000, 50_000
 LEVEL = "kh long, x long, o long, m long, body binary"
 
 
@@ -44,18 +44,18 @@ def _grams(length: int):
 
 
 def _anchors(length: int):
-    """(kh, x, doc, p, o, m): k-gram, extent, first window, anchor - p, last window - p."""
+    """(kh, x, doc, th, p, o, m): k-gram, extent, row by id and text, first window, anchor - p, last window - p."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = blobs(batch.column(1))
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            docs, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for i in range(len(docs)):
                 kh, x, first, last, anchor = runs(data[offsets[i] : offsets[i + 1]], length)
                 if len(kh):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_signed(kh), _signed(x), np.full(len(kh), docs[i]), first, anchor - first, last - first)], ["kh", "x", "doc", "p", "o", "m"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_signed(kh), _signed(x), np.full(len(kh), docs[i]), np.full(len(kh), hashes[i], np.int32), first, anchor - first, last - first)], ["kh", "x", "doc", "th", "p", "o", "m"])
 
     return run
 
@@ -183,10 +183,14 @@ class SuffixLevels:
 
 
 def repeated_windows(docs: DataFrame, length: int, batches: int, scratch: Scratch) -> DataFrame:
-    """(doc, start, end): byte ranges whose every window of ``length`` bytes also starts elsewhere."""
+    """(doc, th, start, end): byte ranges whose every window of ``length`` bytes also starts elsewhere.
+
+    ``docs`` has doc, body and th, a hash of the body that tells apart the texts of one id.
+    """
     spark = docs.sparkSession
-    common = docs.mapInArrow(_grams(length), "kh long").groupBy("kh").count().where("count > 1").select("kh")
-    shape = "kh long, x long, doc long, p long, o long, m long"
+    # written, as are the ranges below: Spark splits a hot key of a join only if both sides are plain shuffles
+    common = scratch.table(docs.mapInArrow(_grams(length), "kh long").groupBy("kh").count().where("count > 1").select("kh"))
+    shape = "kh long, x long, doc long, th int, p long, o long, m long"
     seen = scratch.table(docs.mapInArrow(_anchors(length), shape).join(common, "kh", "left_semi"))
     classes = seen.groupBy("kh", "x").agg(F.count("*").alias("n"), F.min(F.struct("doc", "p")).alias("at"))
     classes = scratch.table(classes)
@@ -219,8 +223,8 @@ def repeated_windows(docs: DataFrame, length: int, batches: int, scratch: Scratc
     whole = classes.where("n > 1").select("kh", "x", F.lit(True).alias("whole"))
     told = whole.join(parts_of, ["kh", "x"], "full_outer")
     ranges = F.when(F.col("whole"), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("m").alias("b")))).otherwise(F.col("ranges"))
-    hits = seen.join(told, ["kh", "x"]).select("doc", "p", F.explode(ranges).alias("r"))
-    return hits.select("doc", (F.col("p") + F.col("r.a")).alias("start"), (F.col("p") + F.col("r.b") + length).alias("end"))
+    hits = seen.join(scratch.table(told), ["kh", "x"]).select("doc", "th", "p", F.explode(ranges).alias("r"))
+    return hits.select("doc", "th", (F.col("p") + F.col("r.a")).alias("start"), (F.col("p") + F.col("r.b") + length).alias("end"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,19 +241,19 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 200, batches: int = 2, id
     Gives id, n_bytes, n_removed, starts and ends (the removed byte ranges) and kept
     (the bytes left).  Texts are UTF-8 bytes; null texts are empty.  Strings are judged
     on the input, overlaps count, and matches never cross documents.  Rows with a null id
-    take no part and stay whole.  A repeated id should repeat its text; its rows are
-    copies of each other.  An empty table gives an empty result.
+    take no part and stay whole.  Rows that repeat an id are rows of their own: equal
+    ones are copies of each other, others are told apart by a 32-bit hash of their text.  An empty table gives an empty result.
     """
     import pyarrow as pa
 
     if length < 2 * GRAM or length > 60_000:
         raise ValueError("length must lie between 64 and 60000 bytes")
     scratch = Scratch(docs.sparkSession, "suffix")
-    slim = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    slim = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")).withColumn("th", F.hash("body"))
     found = repeated_windows(slim.where(F.octet_length("body") >= length).where("doc IS NOT NULL").withColumn("doc", F.col("doc").cast("long")), length, batches, scratch)
-    spans = found.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("start", "end")).alias("r"))
-    spans = spans.select("d", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
-    both = slim.join(spans, F.col("doc").cast("long") == F.col("d"), "left").select("doc", "body", "starts", "ends")
+    spans = found.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("start", "end")).alias("r"))
+    spans = spans.select("d", "t", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
+    both = slim.join(spans, (F.col("doc").cast("long") == F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc", "body", "starts", "ends")
 
     def cut(batches_):
         for batch in batches_:
