@@ -21,6 +21,8 @@ from .common import Scratch, about
 
 #: Vectors that the trees are grown on at most; rows that a leaf should hold; rows of a block of leaves, and of a piece of a larger leaf.
 SAMPLE, LEAF_ROWS, BLOCK_ROWS = 20_000, 128, 4_096
+#: Queries of one group of a block, and of one slice of its distances.
+QUERIES, SLICE = 20_000, 256
 
 
 @dataclass
@@ -122,7 +124,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 1.2, trees: int = 4, seed: int = 11, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.9, trees: int = 4, seed: int = 11, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, by Euclidean distance.
 
     ``queries`` has the columns of ``vectors``; a row is no candidate for the query with
@@ -131,7 +133,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
     (the most frequent; others take no part).  Vectors that are null, zero or hold null
     or non-finite numbers take no part, nor do rows with a null id.  Equal vectors are
     one candidate in the trees; of them only the k+1 smallest ids can be among k nearest,
-    so they stand for all.  Ties go to the smaller id; repeated rows count once.  Without
+    so they stand for all.  Ties go to the smaller id; repeated rows count once, and of
+    an id's several vectors the least in order of its numbers.  Without
     usable rows the result is empty.
     """
     import pyarrow as pa
@@ -144,8 +147,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
     schema = "query_id long, rank int, vec_id long, score double"
     if common is None:
         return spark.createDataFrame([], schema)
-    base = base.where(F.size("v") == common["d"]).dropDuplicates(["id"])
-    asked = usable(queries, id_col, vector_col).where(F.size("v") == common["d"]).dropDuplicates(["id"])
+    base = base.where(F.size("v") == common["d"]).groupBy("id").agg(F.min("v").alias("v"))
+    asked = usable(queries, id_col, vector_col).where(F.size("v") == common["d"]).groupBy("id").agg(F.min("v").alias("v"))
+    shares = -(-asked.count() // QUERIES)
     # equal vectors: a class has one place in each tree and carries its k+1 smallest ids
     first = Window.partitionBy("f1", "f2").orderBy("id")
     key = [F.xxhash64(F.col("v").cast("array<double>")).alias("f1"), F.xxhash64(F.lit(1), F.col("v").cast("array<double>")).alias("f2")]
@@ -196,21 +200,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
             q, x = _matrix(left["v"]), _matrix(right["v"])
             ids = right["ids"].combine_chunks()
             starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            near = (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)
+            centre = x.mean(0)  # distances stay, and numbers far from zero lose no digits
+            y = x - centre
+            far = (y * y).sum(1)
             known, place_of = np.unique(right["leaf"].to_numpy(), return_inverse=True)
             asked_leaves = left["leaves"].combine_chunks()
             visited = np.zeros((len(q), len(known) + 1), bool)
             spot = np.searchsorted(known, asked_leaves.values.to_numpy())
             spot[known[np.minimum(spot, len(known) - 1)] != asked_leaves.values.to_numpy()] = len(known)
             visited[np.repeat(np.arange(len(q)), np.diff(asked_leaves.offsets.to_numpy())), spot] = True
-            near[~visited[:, place_of]] = np.inf
             for i, qid in enumerate(left["id"].to_numpy()):
+                if i % SLICE == 0:  # distances of some queries at a time
+                    part = q[i : i + SLICE] - centre
+                    size = (part * part).sum(1)
+                    slice_ = size[:, None] - 2 * part @ y.T + far
+                    slice_[~visited[i : i + SLICE][:, place_of]] = np.inf
+                near = slice_[i % SLICE]
                 # the k+1 classes nearest by the fast formula, with room for its rounding, then exact distances
-                m = min(k + 1, int(np.isfinite(near[i]).sum()))
+                m = min(k + 1, int(np.isfinite(near).sum()))
                 if not m:
                     continue
-                limit = np.partition(near[i], m - 1)[m - 1]
-                pick = np.flatnonzero(near[i] <= limit + 1e-9 * (1 + abs(limit)))
+                limit = np.partition(near, m - 1)[m - 1]
+                pick = np.flatnonzero(near <= limit + 1e-14 * q.shape[1] * (size[i % SLICE] + far.max()))
                 d = np.sqrt(((x[pick] - q[i]) ** 2).sum(1))
                 c, s = [], []
                 for j, e in zip(pick, d):
@@ -224,7 +235,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
                 out["score"].append(s[best])
         return pa.table({name: pa.array(np.concatenate(v) if v else np.zeros(0), kind) for (name, v), kind in zip(out.items(), (pa.int64(), pa.int64(), pa.float64()))})
 
-    where = ["tree", "block", "piece"]
+    # queries are dealt into groups of about QUERIES; each meets its own copy of a block
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, shares))).cast("int")
+    routed = routed.withColumn("part", part)
+    pieced = pieced.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(1, shares) - 1))))
+    where = ["tree", "block", "piece", "part"]
     found = routed.groupBy(*where).cogroup(pieced.select(*where, "leaf", "ids", "v").groupBy(*where)).applyInArrow(rank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
