@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -14,7 +15,10 @@ RAW = frozenset("script style title textarea noscript template iframe xmp noembe
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements beyond which an implied end does not reach.
 SCOPE = frozenset("table ul ol dl select body html article section div nav aside main form td th".split())
-TAG = re.compile(r"""<(?:!--(?:(?s:.*?)-->|(?s:.*))|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""")
+#: A tag of up to 64 quoted values; one that is longer or broken ends at its first ">".
+TAG = re.compile(r"""<(?:!--(?:(?s:.*?)-->|(?s:.*))|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]+){0,129}+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""")
+#: Ancestors that a block carries, from the nearest on.
+DEPTH = 256
 ATTR = re.compile(r"""\b(class|id|role|hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 
@@ -26,7 +30,14 @@ class Block(NamedTuple):
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, with character references decoded and white space folded."""
+    """The page's blocks in order, with character references decoded and white space folded.
+
+    Linear in the page's length also for broken pages: no tag is sought beyond the last
+    ">", and open elements are counted by name, so that the stack is not searched for
+    those that are not open.  An unclosed comment or script takes the rest of the page.
+    """
+    last = page.rfind(">") + 1
+    opened: Counter[str] = Counter()
     out: list[Block] = []
     stack: list[tuple[str, tuple]] = []
     parts: list[tuple[str, bool]] = []
@@ -37,7 +48,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
-                out.append(Block(tuple(x for x in stack if x[0] not in INLINE), text, sum(len(t) for t, a in parts if a)))
+                out.append(Block(tuple(x for x in stack[-DEPTH:] if x[0] not in INLINE), text, sum(len(t) for t, a in parts if a)))
             parts = []
 
     def add(raw: str) -> None:
@@ -47,12 +58,15 @@ def blocks(page: str) -> list[Block]:
     def pop_to(k: int) -> None:
         nonlocal links
         links -= sum(1 for t, _ in stack[k:] if t == "a")
+        opened.subtract(t for t, _ in stack[k:])
         del stack[k:]
 
     at = 0
-    while m := TAG.search(page, at):
+    while at < last and (m := TAG.search(page, at, last)):
         add(page[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = len(page)
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -60,22 +74,23 @@ def blocks(page: str) -> list[Block]:
         if not inline:
             flush()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
                 if inline and stack[k][0] not in INLINE:
                     break  # a stray end of an inline element does not close blocks
         elif tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last)
             at = end.end() if end else len(page)
         elif tag in VOID:
             if tag == "br":
                 parts.append((" ", False))
         else:
             closes = CLOSES.get(tag, set() if inline else {"p"})
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes or (not inline and stack[k][0] == "p"):
+            ends = closes if inline else closes | {"p"}
+            for k in range(len(stack) - 1, -1, -1) if any(opened[t] for t in ends) else ():
+                if stack[k][0] in ends:
                     pop_to(k)
                     break
                 if stack[k][0] in SCOPE:
@@ -86,7 +101,9 @@ def blocks(page: str) -> list[Block]:
                 names = tuple(sorted({w for a in ATTR.finditer(attrs) for w in TOKEN.findall((a[2] or a[3] or a[4] or a[1]).lower())}))
             if not attrs.endswith("/") or inline or tag in ("p", "div"):
                 stack.append((tag, names))
+                opened[tag] += 1
                 links += tag == "a"
-    add(page[at:])
+    rest = page[at:]
+    add(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     flush()
     return out

@@ -32,10 +32,10 @@ MAIN_NAMES = frozenset("article articlebody body content entry main post story t
 def path_features(path: tuple) -> list[str]:
     out = ["bias"]
     tags = [t for t, _ in path]
-    out += {f"in={t}" for t in tags}
+    out += sorted({f"in={t}" for t in tags})  # sorted: sums must not depend on the process
     out.append(f"own={tags[-1] if tags else ''}")
     names = {w for _, ns in path for w in ns}
-    out += [f"name={w}" for w in names if w in SIDE_NAMES or w in MAIN_NAMES]
+    out += [f"name={w}" for w in sorted(names) if w in SIDE_NAMES or w in MAIN_NAMES]
     out += ["side name"] * any(w in SIDE_NAMES for w in names)
     inner = 0
     for t, ns in path:  # what stands inside the main part, and what around it
