@@ -244,21 +244,23 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: S
     return links
 
 
-def _pivots(reps: DataFrame, percent: int) -> DataFrame:
+def _pivots(reps: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(src, dst): each class with two pivots of its buckets, if any are near: the smallest and the most similar.
 
-    A bucket has three pivots: its smallest id, its largest, and that of the smallest hash.
+    A bucket has three pivots: its smallest id, its largest, and the smallest once some
+    bits are turned.  Also the classes (doc) in buckets of three members or more.
     """
     member = reps.select("doc", F.explode("bands").alias("band"))
-    pivots = F.array(F.min("doc"), F.max("doc"), F.min_by("doc", F.xxhash64("doc")))
-    buckets = member.groupBy("band").agg(pivots.alias("pivots")).where("pivots[0] < pivots[1]")
+    turned = lambda c: c.bitwiseXOR(F.lit(0x5DEECE66D2B7A3C9))
+    buckets = member.groupBy("band").agg(F.array(F.min("doc"), F.max("doc"), turned(F.min(turned(F.col("doc"))))).alias("pivots"), F.count("*").alias("size")).where("pivots[0] < pivots[1]")
     # three pivots for each of the bands at most
-    asked = member.join(buckets, "band").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
-    x = asked.join(reps.select("doc", *_side("x")), "doc").withColumn("pivot", F.explode("pivots")).drop("pivots").where("doc <> pivot")
+    asked = member.join(buckets, "band").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"), F.max("size").alias("most"))
+    asked = scratch.table(asked)
+    x = asked.drop("most").join(reps.select("doc", *_side("x")), "doc").withColumn("pivot", F.explode("pivots")).drop("pivots").where("doc <> pivot")
     near = x.join(reps.select(F.col("doc").alias("pivot"), *_side("y")), "pivot").where(_near(percent))
     best = near.groupBy("doc").agg(F.min("pivot").alias("least"), F.min(F.struct((_apart("b") + _apart("o")).alias("apart"), "pivot"))["pivot"].alias("like"))
     best = best.select("doc", F.explode(F.array_distinct(F.array("least", "like"))).alias("pivot"))
-    return best.select(F.least("doc", "pivot").alias("src"), F.greatest("doc", "pivot").alias("dst")).distinct()
+    return best.select(F.least("doc", "pivot").alias("src"), F.greatest("doc", "pivot").alias("dst")).distinct(), asked.where("most > 2").select("doc")
 
 
 def _open_pairs(reps: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -312,10 +314,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # equal sets form a class; its smallest id stands for it
     reps = scratch.table(sig.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("doc"), F.first(F.struct("n", "bands", *BITS)).alias("s")).select("f1", "f2", "doc", "s.*"))
     classes = reps.select("f1", "f2", F.col("doc").alias("rep"))
-    star = scratch.table(_pivots(reps, percent))
+    star, crowd = _pivots(reps, percent, scratch)
+    star = scratch.table(star)
     links = _confirm(star, slim, k, percent, scratch)
     label = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
-    pairs = scratch.table(_open_pairs(reps, label, percent, scratch).join(star, ["src", "dst"], "left_anti"))
+    pairs = scratch.table(_open_pairs(reps.join(crowd, "doc", "left_semi"), label, percent, scratch).join(star, ["src", "dst"], "left_anti"))
     if pairs.take(1):
         links = links.unionByName(_confirm(pairs, slim, k, percent, scratch))
     # an id with several sets ties their classes together
