@@ -234,8 +234,9 @@ def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (src, dst), a written table, of which some texts' full sets meet the threshold."""
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()
+    # ids are distinct, so this join only filters; the optimiser would move a semi-join below the bitmaps
     # an id's rows lie together after the join: each of its texts counts once
-    texts = _perhaps(docs, ids).join(ids, "doc", "left_semi").groupBy("doc", F.xxhash64("text").alias("th")).agg(F.min("text").alias("text")).select("doc", "text")
+    texts = _perhaps(docs, ids).join(ids, "doc").groupBy("doc", F.xxhash64("text").alias("th")).agg(F.min("text").alias("text")).select("doc", "text")
     sets, sets_at = scratch.put(texts.mapInArrow(_sets(k), "doc long, shingles binary"))
     left = pairs.join(sets.select(F.col("doc").alias("src"), F.col("shingles").alias("s")), "src")
     both = left.join(sets.select(F.col("doc").alias("dst"), F.col("shingles").alias("t")), "dst").select("src", "dst", "s", "t")
