@@ -299,7 +299,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that leak no item, with their input columns; rows without an id stay."""
+    """The documents that leak no item, with their input columns.
+
+    Rows without an id, and null and empty texts, stay.  All rows of an id go if one of them leaks.
+    """
     leaks = find_leaks(docs, benchmark, id_col=id_col, **how).select(F.col("doc").alias("__leak")).distinct()
     return docs.join(leaks, F.col(id_col) == F.col("__leak"), "left_anti")
 

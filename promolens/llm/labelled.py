@@ -13,6 +13,11 @@ def crc_rest(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
+def rest_is(id_col: str, parts: int, rest: int) -> Column:
+    """Whether ``crc_rest`` is ``rest``; false for a null id, which no label can name."""
+    return F.coalesce(crc_rest(id_col, parts) == rest, F.lit(False))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
     """(y, k, text) of at most ``per_class`` documents of each class, and how many rows of class 0 and 1 there are.
 

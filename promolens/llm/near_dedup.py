@@ -333,7 +333,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id; input columns and rows without an id stay."""
+    """One document of each group, the one with the smallest id, with the input columns.
+
+    Rows without an id, and null and empty texts, stay.  Rows that repeat an id stay or go together.
+    """
     found = near_duplicates(docs, k, percent, id_col, text_col)
     gone = found.where("doc <> component").select(F.col("doc").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blobs
-from .labelled import crc_rest, sample
+from .labelled import crc_rest, rest_is, sample
 
 #: Bytes of a chunk, of a filter, between filter positions; embedding size; number of filters.
 CHUNK, WIDTH, STRIDE, EMBED, FILTERS = 512, 12, 2, 4, 32
@@ -140,7 +140,13 @@ def fit(rows: list[tuple[int, str]], counts: list[int], epochs: int = 10, steps:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``per_class`` labelled documents of each class."""
+    """Fit on at most ``per_class`` labelled documents of each class.
+
+    Null and empty texts are learned as one chunk of zeros.  A repeated id is one label,
+    1 if any of its rows has 1, and lends each of its texts.  Null ids and null labels are
+    not learned.  Empty tables, or labels of one class only, give a model that tells all
+    texts the same score.
+    """
     rows, counts = sample(docs, labels, label, F.lit(True) if usable is None else usable, per_class, id_col, text_col)
     found = rows.collect() if min(counts) else []
     return fit([(r["y"], r["text"]) for r in sorted(found, key=lambda r: (r["k"], r["text"]))], counts)
@@ -149,7 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add score (0 to 1) and predicted (1 from ``threshold`` on); input columns of these names give way.
 
-    Whole texts are scored; null and empty texts are one chunk of zeros.
+    Whole texts are scored; null and empty texts are one chunk of zeros.  Each row is
+    scored by itself, so repeated rows get equal scores and rows with a null id theirs; a
+    score of just ``threshold`` is predicted 1.  An empty table gives an empty result.
     """
     import pyarrow as pa
 
@@ -171,4 +179,4 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels, "quality", crc_rest("doc_id", 5) != 0)
-    return score_documents(docs, model, keep=("doc_id",)).select("doc_id", (crc_rest("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return score_documents(docs, model, keep=("doc_id",)).select("doc_id", rest_is("doc_id", 5, 0).alias("held_out"), "score", "predicted")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, blobs
-from .labelled import crc_rest, sample
+from .labelled import crc_rest, rest_is, sample
 
 GRAMS, BITS = (4, 6), 18
 #: Documents of each class that the fit uses at most.
@@ -144,7 +144,12 @@ def fit(classes: np.ndarray, features: list[np.ndarray], ratio: np.ndarray, coun
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, per_class: int = PER_CLASS, smooth: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``per_class`` labelled documents of each class."""
+    """Fit on at most ``per_class`` labelled documents of each class.
+
+    Null and empty texts have no features.  A repeated id is one label, 1 if any of its
+    rows has 1, and lends each of its texts.  Null ids and null labels are not learned.
+    Empty tables, or labels of one class only, give a model that tells all texts the same score.
+    """
     rows, counts = sample(docs, labels, label, F.lit(True) if usable is None else usable, per_class, id_col, text_col)
     if min(counts) == 0:
         return fit(np.zeros(0, np.int64), [], np.zeros(0), counts)
@@ -166,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Colu
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add score (0 to 1) and predicted (1 from ``threshold`` on); input columns of these names give way.
 
-    Whole texts are scored.  Null and empty texts get the score of no features.
+    Whole texts are scored.  Null and empty texts get the score of no features.  Each row
+    is scored by itself, so repeated rows get equal scores and rows with a null id theirs;
+    a score of just ``threshold`` is predicted 1.  An empty table gives an empty result.
     ``keep`` limits the input columns that come back.
     """
     import pyarrow as pa
@@ -186,7 +193,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that score below ``threshold``, with their input columns."""
+    """The documents that score below ``threshold``, with their input columns; null ids and texts as in ``score_documents``."""
     return score_documents(docs, train(docs, labels, id_col=id_col, text_col=text_col), threshold, id_col, text_col).where("predicted = 0").select(*docs.columns)
 
 
@@ -194,4 +201,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels, "toxic", crc_rest("doc_id", 4) != 2)
-    return score_documents(docs, model, keep=("doc_id",)).select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return score_documents(docs, model, keep=("doc_id",)).select("doc_id", rest_is("doc_id", 4, 2).alias("held_out"), "score", "predicted")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from promolens.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, neighbours, quality, sentence_dedup, suffix_dedup, toxicity
 
 LINE = "this is a line that is long enough to count as a shared one"
@@ -227,3 +228,37 @@ def test_html_held_out_accuracy():
     wrong = sum(a != b for page, y in pages for a, b in zip(model.labels(page), y))
     assert wrong <= 0.01 * sum(len(y) for _, y in pages)
 
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """A folder of tables: the edge rows, no labels, one item."""
+    docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, LINE), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_stages_on_edge_rows(spark, tables):
+    df = docs(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    out = {name: stage(spark, df, tables) for name, stage in corpus_pipeline.STAGES}
+    assert all(out[name].columns == df.columns for name in list(stages)[:-1])
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+    assert key(out["toxicity"].collect()) == key(df.collect())
+    lines = {(r.doc_id, r.text) for r in out["line dedup"].collect()}
+    assert out["line dedup"].count() == len(ROWS) and {(1, None), (2, ""), (6, ""), (10, LINE), (None, LINE), (None, None)} <= lines
+    near = [r.doc_id for r in out["near-dedup"].collect()]
+    assert near.count(None) == 2 and {1, 2, 3, 4, 5, 6, 11, 13} <= set(near) and not {8, 10, 12} & set(near)
+    clean = [r.doc_id for r in out["decontamination"].collect()]
+    assert clean.count(None) == 2 and {1, 2, 3, 4, 5, 11, 12, 13} <= set(clean) and not {6, 7, 8, 9, 10} & set(clean)
+    mixed = out["mixing"].collect()
+    assert all(r.taken == r.size == len(r.text.split()) > 0 for r in mixed)
+    for name, stage in stages.items():
+        assert stage(spark, df.limit(0), tables).count() == 0, name
+
+
+def test_held_out_is_never_null(spark, tables):
+    for query in (quality.op2_quality, toxicity.op8_toxicity):
+        got = query(spark, tables).collect()
+        assert len(got) == len(ROWS) and {r.held_out for r in got if r.doc_id is None} == {False}
