@@ -104,11 +104,14 @@ def test_shingles_of_short_texts():
 
 @pytest.mark.parametrize("name, label, least", [("op2_quality", "quality", 0.75), ("op8_toxicity", "toxic", 0.75)])
 def test_classifier_queries(spark, name, label, least):
+    # right on all labelled rows, and on those that the fit did not see
     out = llm.queries()[name](spark, SF).collect()
     want = dict(rows(f"SELECT doc_id, {label} FROM '{SF}/labels.parquet'"))
     assert len(out) == len({r.doc_id for r in out}) and all(0 <= r.score <= 1 for r in out)
     told = [r for r in out if r.doc_id in want]
     assert sum(r.predicted == want[r.doc_id] for r in told) >= least * len(told)
+    held = [r for r in told if r.held_out]
+    assert held and sum(r.predicted == want[r.doc_id] for r in held) >= least * len(held)
 
 
 def test_op4_recall(spark):
