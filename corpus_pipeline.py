@@ -4,7 +4,8 @@ toxicity rejects documents, line dedup rewrites texts, near-dedup keeps the smal
 of each group, decontamination rejects documents that leak a benchmark item, and mixing
 puts the rest in training order.  All but the last return the columns of documents, also
 columns that a stage does not know.  Whole texts of any length are read, an empty table
-gives an empty result, and rows with a null id or text pass the first four stages.
+gives an empty result.  A null id takes no part in the comparisons of the three middle
+stages, which keep its rows; the classifier judges them by their text like all others.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines of 40 code points or more that five documents share; n_chars follows the text.
 
     Every row stays, with an empty text if all its lines went; a null text stays null.  A
-    line is kept in the largest id that holds it, in all rows of that id and text.
+    line is kept in the largest id that holds it, in all rows of that id.
     """
     kept = dedup_lines(docs)
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
