@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, line_dedup, mixing, near_dedup, neighbours, quality, sentence_dedup, suffix_dedup, toxicity
+from . import decontaminate, html_extract, line_dedup, mixing, near_dedup, neighbours, quality, sentence_dedup, suffix_dedup, toxicity, voronoi
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_html_extraction": html_extract.op10_html_extraction,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op11_exact_top_k": voronoi.op11_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL, "op6_sentence_dedup": sentence_dedup.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+    return {
+        "op3_mix_sources": mixing.OP3_SQL,
+        "op6_sentence_dedup": sentence_dedup.OP6_SQL,
+        "op9_line_dedup": line_dedup.OP9_SQL,
+        "op11_exact_top_k": voronoi.OP11_SQL,
+    }
