@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, line_dedup, mixing, near_dedup, neighbours, quality, sentence_dedup, suffix_dedup, toxicity, voronoi
+from . import decontaminate, drift_clusters, html_extract, line_dedup, mixing, near_dedup, neighbours, quality, sentence_dedup, suffix_dedup, toxicity, voronoi
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op10_html_extraction": html_extract.op10_html_extraction,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op11_exact_top_k": voronoi.op11_exact_top_k,
+        "op12_drift_clusters": drift_clusters.op12_drift_clusters,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_sentence_dedup": sentence_dedup.OP6_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
         "op11_exact_top_k": voronoi.OP11_SQL,
+        "op12_drift_clusters": drift_clusters.OP12_SQL,
     }
