@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, drift_clusters, html_extract, line_dedup, mixing, near_dedup, neighbours, quality, sentence_dedup, suffix_dedup, toxicity, voronoi
+from . import decontaminate, drift_clusters, html_extract, lexical, line_dedup, mixing, near_dedup, neighbours, quality, sentence_dedup, suffix_dedup, toxicity, voronoi
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op11_exact_top_k": voronoi.op11_exact_top_k,
         "op12_drift_clusters": drift_clusters.op12_drift_clusters,
+        "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_line_dedup": line_dedup.OP9_SQL,
         "op11_exact_top_k": voronoi.OP11_SQL,
         "op12_drift_clusters": drift_clusters.OP12_SQL,
+        "op13_lexical_search": lexical.OP13_SQL,
     }
