@@ -24,6 +24,8 @@ from .common import Scratch, about, blobs, table
 ITEMS, ITEM_BYTES = 8_192, 4 << 20
 #: Rows of a leaf of the items' and of the documents' hierarchy.
 ITEM_LEAF, DOC_LEAF = 8, 64
+#: Random directions in which rows are compared when a hierarchy is built.
+SKETCH = 16
 #: Documents whose scores give the first k-th scores; they only spare work.
 SEED = 4_096
 #: Bounds are widened by this share, for the rounding of doubles.
@@ -61,17 +63,18 @@ class Sparse:
         return at, np.repeat(np.arange(len(rows)), size)
 
 
-def hierarchy(data: Sparse, rows: np.ndarray, leaf: int, width: int) -> Node:
-    """A binary tree of rows: each node is halved by which of two unlike rows a row shares more with."""
-    dense = np.zeros(width)
+def hierarchy(data: Sparse, rows: np.ndarray, leaf: int, scale: np.ndarray) -> Node:
+    """A binary tree of rows: each node is halved along the main direction of its rows' sketches.
 
-    def shared(rows: np.ndarray, pole: int) -> np.ndarray:
-        own = slice(data.edge[pole], data.edge[pole + 1])
-        dense[data.terms[own]] = data.values[own]
-        at, line = data.places(rows)
-        out = np.bincount(line, dense[data.terms[at]] * data.values[at], len(rows))
-        dense[data.terms[own]] = 0
-        return out
+    ``scale`` weighs the terms.  A sketch is the row, of length 1, in SKETCH random directions.
+    """
+    at, line = data.places(rows)
+    value = data.values[at] * scale[data.terms[at]]
+    ways = np.random.default_rng(5).standard_normal((len(scale), SKETCH)).astype(np.float32)
+    sketch = np.column_stack([np.bincount(line, value * ways[data.terms[at], d], len(rows)) for d in range(SKETCH)])
+    sketch /= np.maximum(np.sqrt(np.bincount(line, value**2.0, len(rows))), 1e-300)[:, None]
+    spot = np.zeros(len(data.edge), np.int64)
+    spot[rows] = np.arange(len(rows))
 
     def grow(rows: np.ndarray) -> Node:
         if len(rows) <= leaf:
@@ -80,10 +83,13 @@ def hierarchy(data: Sparse, rows: np.ndarray, leaf: int, width: int) -> Node:
             t, v = data.terms[at][order], data.values[at][order]
             start = np.flatnonzero(np.diff(t, prepend=-1))
             return Node(rows, t[start], np.maximum.reduceat(v, start) if len(start) else v)
-        a = rows[shared(rows, rows[0]).argmax()]
-        near = shared(rows, a)
-        b = rows[near.argmin()]
-        order = np.argsort(shared(rows, b) - near, kind="stable")
+        x = sketch[spot[rows]]
+        x = x - x.mean(0)
+        way = x[(x * x).sum(1).argmax()]
+        for _ in range(4):
+            way = x.T @ (x @ way)
+            way /= max(np.sqrt(way @ way), 1e-300)
+        order = np.argsort(x @ way, kind="stable")
         half = len(rows) // 2
         below = [grow(rows[np.sort(order[:half])]), grow(rows[np.sort(order[half:])])]
         t = np.union1d(below[0].terms, below[1].terms)
@@ -121,6 +127,8 @@ def search(documents: Sparse, items: Sparse, tree: Node, width: int, best: Best)
     filled = np.flatnonzero(np.diff(documents.edge) > 0)
     if not len(filled) or not len(tree.rows):
         return 0
+    scale = np.zeros(width)
+    scale[tree.terms] = tree.most
     most, where, scored = np.zeros(width), np.full(width, -1, np.int64), 0
     # sums of weight times impact are exact in doubles below 2^53
     heaviest = max(float(np.add.reduceat(items.values, items.edge[:-1][np.diff(items.edge) > 0]).max(initial=0)), 1.0)
@@ -136,7 +144,7 @@ def search(documents: Sparse, items: Sparse, tree: Node, width: int, best: Best)
             weights[id(node)] = out
         return weights[id(node)]
 
-    todo = [(hierarchy(documents, filled, DOC_LEAF, width), [tree])]
+    todo = [(hierarchy(documents, filled, DOC_LEAF, scale), [tree])]
     while todo:
         docs, open_ = todo.pop()
         most[docs.terms] = docs.most
@@ -266,7 +274,7 @@ def _ranked(docs: DataFrame, asked: DataFrame, k: int, scratch: Scratch, id_type
         np.append(0, np.cumsum([len(x) for x in row])).astype(np.int64), np.concatenate(row),
         np.concatenate([weight[x] * np.array(list(c.values()), np.int64) for x, c in zip(row, counted)]),
     )
-    tree = hierarchy(matrix, np.flatnonzero(np.diff(matrix.edge) > 0), ITEM_LEAF, width)
+    tree = hierarchy(matrix, np.flatnonzero(np.diff(matrix.edge) > 0), ITEM_LEAF, np.ones(width))
     many = len(counted)
 
     def over(floor: np.ndarray):
