@@ -39,6 +39,8 @@ BUCKET = 512
 MAPS = 1024
 #: Bits of the parity sketch of a set.
 ODD = 512
+#: Sets of more shingles have a parity sketch of their own width.
+LONG = 512
 #: The columns of the two summaries.
 BITS = [*(f"b{i}" for i in range(COORDS // 64)), *(f"o{i}" for i in range(ODD // 64))]
 _TURN = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
@@ -98,6 +100,20 @@ def sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.reshape(n, COORDS)
 
 
+def wide_parity(shingles: np.ndarray) -> bytes:
+    """A parity sketch of one to two bits for a shingle; the halves of a sketch, XORed, are the sketch of half its width."""
+    width = 2 << (len(shingles).bit_length() - 1)
+    odd = np.bincount((mix64(shingles + np.uint64(0x3C6EF372)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """Rows of a parity sketch brought to ``size`` bytes."""
+    while x.shape[1] > size:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
 def _running(x: np.ndarray) -> np.ndarray:
     """Sums of the first 0 to len(x) values, modulo 2^64."""
     out = np.zeros(len(x) + 1, np.uint64)
@@ -126,8 +142,9 @@ def _signatures(k: int, rows: int, bands: int):
                 bits = np.concatenate((bits, odd), 1)
                 f1, f2 = _running(mix64(flat)), _running(mix64(flat * np.uint64(0x9FB21C651E98DF25) + np.uint64(1)))
                 f1, f2 = f1[starts[1:]] - f1[starts[:-1]], f2[starts[1:]] - f2[starts[:-1]]
+                wide = [wide_parity(flat[e - c : e]) if c > LONG else None for e, c in zip(starts[1:], counts)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, *[pa.array(np.ascontiguousarray(bits[:, c])) for c in range(len(BITS))]], ["doc", "n", "f1", "f2", "bands", *BITS])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, pa.array(wide, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, c])) for c in range(len(BITS))]], ["doc", "n", "f1", "f2", "bands", "wide", *BITS])
 
     return run
 
@@ -186,35 +203,86 @@ def _near(percent: int) -> Column:
     return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * _apart("o") <= differ) & (_apart("b") <= _most_apart(percent))
 
 
-def _near_blocks(percent: int):
+def _far_apart(x: dict, y: dict, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which of the pairs have no fewer than so many differing shingles by their wide sketches: some of the bits first."""
+    ends = [(np.array([len(w) if w is not None else 0 for w in t["wide"]]), t["wide"]) for t in (x, y)]
+    size = np.minimum(ends[0][0][p], ends[1][0][q])
+    out = np.zeros(len(p), bool)
+    for width in np.unique(size[size > 0]):
+        for part in dict.fromkeys((max(width // 4, min(width, 128)), width)):
+            at = np.flatnonzero((size == width) & ~out)
+            sides = []
+            for (long, wide), rows in zip(ends, (p, q)):
+                used = np.unique(rows[at])
+                folded = np.zeros((len(long), part), np.uint8)
+                for w in np.unique(long[used]):
+                    own = used[long[used] == w]
+                    folded[own] = _fold(np.frombuffer(b"".join(wide[i] for i in own), np.uint8).reshape(len(own), w), part)
+                sides.append(folded.view(np.uint64) if part % 8 == 0 else folded)
+            for i in range(0, len(at), 4096):
+                some = at[i : i + 4096]
+                out[some] = np.bitwise_count(sides[0][p[some]] ^ sides[1][q[some]]).sum(1, dtype=np.int64) > most[some]
+    return out
+
+
+def _near_pairs(x: dict, y: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """``_near`` over two blocks of one bucket: the pairs (src, dst) of different labels."""
-    most = _most_apart(percent)
+    most, src, dst = _most_apart(percent), [], []
+    bits = lambda u, v, cols: sum((np.bitwise_count(u(c) ^ v(c)).astype(np.int16) for c in cols), np.int16(0))
+    odd, coords = [c for c in BITS if c[0] == "o"], [c for c in BITS if c[0] == "b"]
+    for a in range(0, len(x["doc"]), 256):
+        part = {c: v[a : a + 256] for c, v in x.items()}
+        both = part["n"][:, None] + y["n"]
+        least = np.minimum(part["n"][:, None], y["n"])
+        ok = (part["label"][:, None] != y["label"]) & ((y["label"] == y["main"]) | (part["doc"][:, None] < y["doc"]))
+        ok &= 100 * least >= percent * (both - least)
+        if not ok.any():
+            continue
+        # half of the parity bits for all pairs, the rest for those that are left
+        ok &= (100 + percent) * bits(lambda c: part[c][:, None], lambda c: y[c], odd[: len(odd) // 2]).astype(np.int32) <= (100 - percent) * both  # noqa: B023
+        p, q = np.nonzero(ok)
+        for cols, bound in ((odd, lambda: (100 - percent) * both[p, q] // (100 + percent)), (coords, lambda: most)):  # noqa: B023
+            keep = bits(lambda c: part[c][p], lambda c: y[c][q], cols) <= bound()  # noqa: B023
+            p, q = p[keep], q[keep]
+        keep = ~_far_apart(part, y, p, q, (100 - percent) * both[p, q] // (100 + percent))
+        p, q = p[keep], q[keep]
+        src.append(np.minimum(part["doc"][p], y["doc"][q]))
+        dst.append(np.maximum(part["doc"][p], y["doc"][q]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate(src or [none]), np.concatenate(dst or [none])
+
+
+def _columns(t) -> dict:
+    return {c: np.array(t.column(c).to_pylist(), object) if c == "wide" else t.column(c).to_numpy() for c in t.column_names}
+
+
+def _near_blocks(percent: int):
+    """``_near_pairs`` of two blocks."""
 
     def run(left, right):
         import pyarrow as pa
 
-        x, y = ({c: t.column(c).to_numpy() for c in t.column_names} for t in (left, right))
-        src, dst = [], []
-        bits = lambda u, v, cols: sum((np.bitwise_count(u(c) ^ v(c)).astype(np.int16) for c in cols), np.int16(0))
-        odd, coords = [c for c in BITS if c[0] == "o"], [c for c in BITS if c[0] == "b"]
-        for a in range(0, len(x["doc"]), 256):
-            part = {c: v[a : a + 256] for c, v in x.items()}
-            both = part["n"][:, None] + y["n"]
-            least = np.minimum(part["n"][:, None], y["n"])
-            ok = (part["label"][:, None] != y["label"]) & ((y["label"] == y["main"]) | (part["doc"][:, None] < y["doc"]))
-            ok &= 100 * least >= percent * (both - least)
-            if not ok.any():
-                continue
-            # half of the parity bits for all pairs, the rest for those that are left
-            ok &= (100 + percent) * bits(lambda c: part[c][:, None], lambda c: y[c], odd[: len(odd) // 2]).astype(np.int32) <= (100 - percent) * both  # noqa: B023
-            p, q = np.nonzero(ok)
-            for cols, bound in ((odd, lambda: (100 - percent) * both[p, q] // (100 + percent)), (coords, lambda: most)):  # noqa: B023
-                keep = bits(lambda c: part[c][p], lambda c: y[c][q], cols) <= bound()  # noqa: B023
-                p, q = p[keep], q[keep]
-            src.append(np.minimum(part["doc"][p], y["doc"][q]))
-            dst.append(np.maximum(part["doc"][p], y["doc"][q]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"src": np.concatenate(src or [none]), "dst": np.concatenate(dst or [none])})
+        return pa.table(dict(zip(("src", "dst"), _near_pairs(_columns(left), _columns(right), percent))))
+
+    return run
+
+
+def _near_buckets(percent: int):
+    """``_near_pairs`` of every bucket of a group of small ones."""
+
+    def run(table):
+        import pyarrow as pa
+
+        every = _columns(table.sort_by("band"))
+        edge = np.append(np.flatnonzero(np.diff(every["band"], prepend=every["band"][0] - 1)), len(every["band"])) if table.num_rows else [0]
+        found = []
+        for i, j in zip(edge[:-1], edge[1:]):
+            y = {c: v[i:j] for c, v in every.items()}
+            out = y["label"] != y["main"]
+            found.append(_near_pairs({c: v[out] for c, v in y.items()}, y, percent))
+        # a pair that shares many buckets is given once by this group
+        pairs = np.unique(np.concatenate([np.column_stack(x) for x in found] or [np.zeros((0, 2), np.int64)]), axis=0)
+        return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
     return run
 
@@ -268,26 +336,34 @@ def _open_pairs(reps: DataFrame, label: DataFrame, percent: int, scratch: Scratc
     """(src, dst): near pairs of different labels in a bucket, which no label spans yet.
 
     The members outside a bucket's main label meet the members of other labels.  A bucket
-    of up to BUCKET members is one key of a join; a larger one is cut into blocks of about
-    BUCKET members, and each pair of blocks is a group of its own.
+    of up to BUCKET members is one key of a join, or with long sets part of a group of
+    several; a larger one is cut into blocks of about BUCKET members, and each pair of
+    blocks is a group of its own.
     """
-    known = reps.select("doc", "bands").join(label, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"), F.explode("bands").alias("band"))
-    per = known.groupBy("band", "label").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1 AND size > 2")
+    known = reps.select("doc", "bands", F.col("n") > LONG).toDF("doc", "bands", "long").join(label, "doc", "left").select("doc", "long", F.coalesce("label", "doc").alias("label"), F.explode("bands").alias("band"))
+    per = known.groupBy("band", "label").agg(F.count("*").alias("c"), F.max("long").alias("long"))
+    open_ = per.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size"), F.count("*").alias("parts"), F.max("long").alias("long")).where("parts > 1 AND size > 2")
     # the summaries come to the members of open buckets only
-    inside = known.join(open_.select("band", F.col("m.label").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("rest")), "band")
-    inside = scratch.table(inside.join(reps.select("doc", "n", *BITS), "doc"))
-    few = inside.where(F.col("size") <= BUCKET)
+    inside = known.drop("long").join(open_.select("band", F.col("m.label").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("rest"), "long"), "band")
+    inside = scratch.table(inside.join(reps.select("doc", "n", "wide", *BITS), "doc"))
+    near_buckets = _near_buckets(percent)
+    few = inside.where((F.col("size") <= BUCKET) & ~F.col("long"))
     a = few.where("label <> main").select("band", F.col("doc").alias("p"), F.col("label").alias("lp"), *_side("x"))
     b = few.select(F.col("band").alias("band2"), F.col("doc").alias("q"), F.col("label").alias("lq"), "main", *_side("y"))
     pairs = a.join(b, (F.col("band") == F.col("band2")) & (F.col("lp") != F.col("lq")) & ((F.col("lq") == F.col("main")) | (F.col("p") < F.col("q"))) & _near(percent))
     pairs = pairs.select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"))
+    kept = ["band", "doc", "n", "wide", "label", "main", *BITS]
+    # buckets with long sets are compared with the sketches of these sets' own width: many small ones to a group
+    long = inside.where((F.col("size") <= BUCKET) & F.col("long"))
+    rows = long.count()
+    if rows:
+        dealt = long.select(*kept, F.pmod(F.xxhash64("band"), F.lit(-(-rows // BUCKET))).alias("deal"))
+        pairs = pairs.unionByName(dealt.groupBy("deal").applyInArrow(lambda t: near_buckets(t.drop_columns("deal")), "src long, dst long"))
     many = inside.where(F.col("size") > BUCKET)
     if many.take(1):
         blocks_of = lambda c: F.ceil(F.col(c) / BUCKET).cast("int")
         own = lambda c: F.pmod(F.xxhash64("doc"), blocks_of(c)).cast("int")
         every = lambda c: F.explode(F.sequence(F.lit(0), blocks_of(c) - 1))
-        kept = ["band", "doc", "n", "label", "main", *BITS]
         left = many.where("label <> main").select(*kept, own("rest").alias("i"), every("size").alias("j"))
         right = many.select(*kept, every("rest").alias("i"), own("size").alias("j"))
         key = ["band", "i", "j"]
@@ -308,12 +384,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch = Scratch(spark, "near")
     rows, bands = banding(percent)
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sig = slim.mapInArrow(_signatures(k, rows, bands), "doc long, n long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{c} long" for c in BITS))
+    sig = slim.mapInArrow(_signatures(k, rows, bands), "doc long, n long, f1 long, f2 long, bands array<long>, wide binary, " + ", ".join(f"{c} long" for c in BITS))
     sig = scratch.table(sig)
     scratch.expect(sig.count())
     full = sig.select("doc", "n", "f1", "f2")
     # equal sets form a class; its smallest id stands for it
-    reps = scratch.table(sig.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("doc"), F.first(F.struct("n", "bands", *BITS)).alias("s")).select("f1", "f2", "doc", "s.*"))
+    reps = scratch.table(sig.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("doc"), F.first(F.struct("n", "bands", "wide", *BITS)).alias("s")).select("f1", "f2", "doc", "s.*"))
     classes = reps.select("f1", "f2", F.col("doc").alias("rep"))
     star, crowd = _pivots(reps, percent, scratch)
     star = scratch.table(star)

@@ -3,7 +3,11 @@
 import random
 import time
 
+import numpy as np
+import pytest
+
 from promolens.graph import components
+from promolens.llm import near_dedup
 from promolens.llm.near_dedup import near_duplicates
 
 
@@ -54,3 +58,31 @@ def test_components_of_paths_loops_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     want = {i: 100 for i in range(100, 141)} | {7: 7, 50: 50, 51: 50} | {j: 900 for j in (900, 1000, *range(2000, 2300))}
     assert got == want
+
+
+@pytest.mark.parametrize("n", [60, 240])
+def test_long_texts_below_the_threshold_are_seldom_confirmed(spark, monkeypatch, n):
+    # 150 of 3,000 words of each text are its own: sets of 2,998 with a mutual similarity of about 0.73
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(near_copies(n, 3000, 150, 5))], "doc_id long, text string").repartition(8)
+    asked, confirm = [], near_dedup._confirm
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_confirm", counted)
+    got = {r.doc: r.component for r in near_duplicates(docs, k=3, percent=85).collect()}
+    assert got == {i: i for i in range(n)}
+    assert sum(asked) <= 2 * n
+
+
+def test_wide_sketches_never_hide_a_link():
+    draw = np.random.default_rng(3)
+    common = draw.integers(0, 1 << 63, 4000).astype(np.uint64)
+    for own in (0, 50, 200, 400):
+        x, y = (np.unique(np.concatenate((common, draw.integers(0, 1 << 63, m).astype(np.uint64)))) for m in (own, 2 * own))
+        differ = len(np.setxor1d(x, y))
+        sides = [{"wide": [near_dedup.wide_parity(s)]} for s in (x, y)]
+        one = np.zeros(1, np.int64)
+        assert not near_dedup._far_apart(*sides, one, one, np.array([differ]))[0]
+        assert differ == 0 or near_dedup._far_apart(*sides, one, one, np.array([differ // 2]))[0]
