@@ -23,6 +23,14 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def whole_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """``df``, if its ids are whole numbers; else an error that says so."""
+    kind = dict(df.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind}; give other ids a number first")
+    return df
+
+
 def hash128(*cols: Column) -> list[Column]:
     """Two 64-bit hashes with different seeds: a key that 10^13 values share by chance with odds below 1e-12."""
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(7919), *cols).alias("h2")]

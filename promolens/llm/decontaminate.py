@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blobs, blocks, words
+from .common import Scratch, blobs, blocks, whole_ids, words
 
 TERMS, RANK, OVER = 1 << 13, 40, 4
 #: Words of a passage of the SVD; words that are handled at a time.
@@ -276,11 +276,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share
     Whole texts and all items are searched, in blocks of items.  Rows with null ids, and
     null and empty texts, leak nothing and are not leaked.  A repeated document row
     repeats its rows; a repeated item id is searched with each of its texts and keeps the
-    best.  An empty table gives an empty result.
+    best.  An empty table gives an empty result.  Ids that are no whole numbers raise a
+    TypeError.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
-    code = lambda df, i, t: df.where(F.col(i).isNotNull() & F.col(t).isNotNull()).select(F.col(i).cast("long").alias("doc"), F.col(t).alias("text")).mapInArrow(_encode, "doc long, words binary")
+    code = lambda df, i, t: whole_ids(df, i).where(F.col(i).isNotNull() & F.col(t).isNotNull()).select(F.col(i).cast("long").alias("doc"), F.col(t).alias("text")).mapInArrow(_encode, "doc long, words binary")
     coded = scratch.table(code(docs, id_col, text_col))
     bench = scratch.table(code(benchmark, item_col, item_text_col))
     schema = "doc long, item long, cosine double, lcs_share double, answer_share double"

@@ -19,31 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import about
-from .html_blocks import Block, blocks
+from .html_blocks import SIDE_NAMES, SIDE_PARTS, Block, Place, blocks
 
 #: Built layouts and sampled pages that the fit uses at most.
 BUILT, SAMPLED = 500, 200
-SIDE = "nav header footer aside form button select label menu dialog figcaption"
-#: Words in names of elements around other than main text.
-SIDE_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie consent copyright disclaimer footer header hidden login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
-MAIN_NAMES = frozenset("article articlebody body content entry main post story text".split())
-
-
-def path_features(path: tuple) -> list[str]:
-    out = ["bias"]
-    tags = [t for t, _ in path]
-    out += sorted({f"in={t}" for t in tags})  # sorted: sums must not depend on the process
-    out.append(f"own={tags[-1] if tags else ''}")
-    names = {w for _, ns in path for w in ns}
-    out += [f"name={w}" for w in sorted(names) if w in SIDE_NAMES or w in MAIN_NAMES]
-    out += ["side name"] * any(w in SIDE_NAMES for w in names)
-    inner = 0
-    for t, ns in path:  # what stands inside the main part, and what around it
-        if t in ("article", "main") or any(w in MAIN_NAMES for w in ns):
-            inner = 1
-        if inner and (t in SIDE.split() or any(w in SIDE_NAMES for w in ns)):
-            inner = 2
-    out.append(f"inner={inner}")
+
+
+def path_features(place: Place) -> list[str]:
+    out = ["bias", *sorted(f"in={t}" for t in place.tags)]  # sorted: sums must not depend on the process
+    out.append(f"own={place.own}")
+    out += [f"name={w}" for w in sorted(place.names)]
+    out += ["side name"] * any(w in SIDE_NAMES or w in SIDE_PARTS for w in place.names)
+    out.append(f"inner={place.inner}")
     return out
 
 
@@ -51,7 +38,7 @@ def text_features(block: Block, i: int, n: int) -> tuple[str, ...]:
     size, text = len(block.text), block.text
     links = 0 if not block.linked else 1 if 2 * block.linked < size else 2
     length = 0 if size < 15 else 1 if size < 40 else 2 if size < 120 else 3
-    return (f"length={length}", f"links={links}", f"end={text[-1] in '.!?…:;”\"'}", f"sign={text[0] in '©®|»›'}", f"first={i == 0}", f"last={i == n - 1}")
+    return (f"length={length}", f"links={links}", f"end={text[-1] in '.!?…:;”\"'}", f"sign={text[0] in '©®|»›'}", f"first={i == 0}", f"last={i == n - 1}", f"alone={n == 1}")
 
 
 @dataclass
@@ -77,10 +64,10 @@ class Field:
         (m00, m01), (m10, m11) = self.moves.tolist()
         back, v0, v1 = [], 0.0, 0.0
         for i, b in enumerate(page):
-            if (p := self._paths.get(b.path)) is None:
+            if (p := self._paths.get(b.place)) is None:
                 if len(self._paths) > 50_000:
                     self._paths.clear()
-                p = self._paths[b.path] = self._sum(path_features(b.path))
+                p = self._paths[b.place] = self._sum(path_features(b.place))
             shape = text_features(b, i, len(page))
             if (t := self._texts.get(shape)) is None:
                 t = self._texts[shape] = self._sum(shape)
@@ -101,13 +88,13 @@ class Field:
         return "\n".join(b.text for b, y in zip(found, self.labels(found)) if y)
 
 
-def fit(pages: list[tuple[list[Block], list[int]]], rounds: int = 60, rate: float = 0.3, l2: float = 1e-3) -> Field:
+def fit(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, rate: float = 0.8, l2: float = 1e-3) -> Field:
     """Maximise the conditional log-likelihood by gradient ascent (Adagrad), with forward-backward sums."""
     names: dict[str, int] = {}
     data = []
     for page, labels in pages:
         if page:
-            rows = [[names.setdefault(f, len(names)) for f in (*path_features(b.path), *text_features(b, i, len(page)))] for i, b in enumerate(page)]
+            rows = [[names.setdefault(f, len(names)) for f in (*path_features(b.place), *text_features(b, i, len(page)))] for i, b in enumerate(page)]
             data.append((rows, np.array(labels)))
     w, moves = np.zeros((len(names), 2)), np.zeros((2, 2))
     flat = np.array([f for rows, _ in data for r in rows for f in r], np.int64)
@@ -168,10 +155,15 @@ def labelled_pages(n: int = BUILT, seed: int = 5) -> list[tuple[list[Block], lis
         return f'<{tag} {attr}="{draw.choice(names.split())}">{inner}</{tag}>'
 
     def main(k: int) -> str:
-        kinds = [lambda: f"<p>@@ {say(8, 60)}</p>", lambda: f"<p>@@ <b>{say(2, 8)}</b> {say(5, 30)}", lambda: f"<h2>@@ {say(2, 6, '')}</h2>", lambda: f"<ul><li>@@ {say(3, 12)}</li><li>@@ {say(3, 12, '')}</li></ul>", lambda: f"<blockquote>@@ {say(6, 20)}</blockquote>", lambda: f"<p>@@ {say(1, 4)}</p>", lambda: f'<p>@@ {say(4, 12)} <a href="/y">{say(2, 4, "")}</a> {say(3, 9)}</p>', lambda: f"<pre>@@ {say(3, 15)}</pre>", lambda: f"<table><tr><td>@@ {say(1, 3, '')}</td><td>@@ {say(1, 3, '')}</td></tr></table>"]
-        weights = [8, 2, 1, 1, 1, 2, 1, 0.3, 0.3]
+        kinds = [lambda: f"<p>@@ {say(8, 60)}</p>", lambda: f"<p>@@ <b>{say(2, 8)}</b> {say(5, 30)}", lambda: f"<h2>@@ {say(2, 6, '')}</h2>", lambda: f"<ul><li>@@ {say(3, 12)}</li><li>@@ {say(3, 12, '')}</li></ul>", lambda: f"<blockquote>@@ {say(6, 20)}</blockquote>", lambda: f"<p>@@ {say(1, 4)}</p>", lambda: f'<p>@@ {say(4, 12)} <a href="/y">{say(2, 4, "")}</a> {say(3, 9)}</p>', lambda: f"<pre>@@ {say(3, 15)}</pre>", lambda: f"<table><tr><td>@@ {say(1, 3, '')}</td><td>@@ {say(1, 3, '')}</td></tr></table><p>@@ {say(2, 20)}</p>"]
+        weights = [8, 2, 1, 1, 1, 2, 1, 0.3, 0.8]
         return f"<h1>@@ {say(3, 9, draw.choice(['', '.']))}</h1>" + "".join(draw.choices(kinds, weights)[0]() for _ in range(k))
 
+    def comments() -> str:
+        """Reader comments, most of them in paragraphs or items like those of the main text."""
+        each = draw.choice([lambda: f'<div class="comment"><b>{say(1, 2, "")}</b><p>{say(4, 40)}</p></div>', lambda: f"<p>{say(4, 40)}</p>", lambda: f"<li>{say(4, 40)}</li>", lambda: f"<h4>{say(1, 2, '')}</h4><p>{say(4, 40)}</p>"])
+        return box("comments comment-list commentlist respond replies disqus_thread feedback reader-feedback discussion responses guestbook talkback", "".join(each() for _ in range(draw.randint(1, 4))), "div section ol")
+
     def side() -> str:
         return draw.choice([
             lambda: box("ad ads advert advertisement banner sponsored promo", say(3, 20)),
@@ -180,7 +172,7 @@ def labelled_pages(n: int = BUILT, seed: int = 5) -> list[tuple[list[Block], lis
             lambda: box("cookie-notice consent notice disclaimer popup", f"<p>{say(6, 25)}</p><button>{say(1, 2, '')}</button>"),
             lambda: box("share social tags newsletter subscribe breadcrumb pagination", f"<span>{say(1, 6, '')}</span><p>{say(3, 10)}</p>"),
             lambda: f"<form><label>{say(1, 3, '')}</label><input><button>{say(1, 2, '')}</button><p>{say(2, 8)}</p></form>",
-            lambda: box("comments comment-list respond replies", "".join(f'<div class="comment"><b>{say(1, 2, "")}</b><p>{say(4, 40)}</p></div>' for _ in range(draw.randint(1, 4))), "div section"),
+            comments, comments,
             lambda: f"<nav><ul>{links(draw.randint(2, 6))}</ul></nav>",
         ])()
 
@@ -189,15 +181,17 @@ def labelled_pages(n: int = BUILT, seed: int = 5) -> list[tuple[list[Block], lis
         body = main(draw.randint(1, 9))
         if draw.random() < 0.4:
             body += side()
-        elif draw.random() < 0.3:
+        elif draw.random() < 0.5:
             at = body.find("<p>", len(body) // 2)
             body = body[:at] + side() + body[at:] if at > 0 else body
         open_, close = draw.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post">', "</div></div>"), ('<main><article class="entry">', "</article></main>"), ("", "")])
         head = draw.choice([f"<nav><ul>{links(draw.randint(2, 8))}</ul></nav>", f"<header><p>{say(1, 6, '')}</p><nav><ul>{links(5)}</ul></nav></header>", box("header masthead menu navbar", f"<ul>{links(4)}</ul><p>{say(2, 8)}</p>"), ""])
         foot = draw.choice([f"<footer>&copy; {say(1, 4)} &middot; {say(2, 12)}</footer>", f"<footer><p>{say(3, 20)}</p><ul>{links(3)}</ul></footer>", box("footer copyright", f"<p>© {say(2, 15)}</p>"), ""])
         page = head + "".join(side() for _ in range(draw.randint(0, 2))) + open_ + body + close + "".join(side() for _ in range(draw.randint(0, 2))) + foot
+        if draw.random() < 0.12:  # nothing but main text, with few tags or none
+            page = draw.choice([f"@@ {say(2, 40)}", f"<p>@@ {say(1, 40)}</p>", body, f"<html><body>{main(draw.randint(1, 4))}</body></html>"])
         found = blocks(page)
-        out.append(([Block(b.path, b.text.replace("@@ ", ""), b.linked) for b in found], [int("@@" in b.text) for b in found]))
+        out.append(([Block(b.place, b.text.replace("@@ ", ""), b.linked) for b in found], [int("@@" in b.text) for b in found]))
     return out
 
 
@@ -207,7 +201,7 @@ def marked_pages(pages: list[str]) -> list[tuple[list[Block], list[int]]]:
     for page in pages:
         if page.lower().count("<article") + page.lower().count("<main") == 1:
             found = blocks(page)
-            out.append((found, [int("inner=1" in path_features(b.path) and any(t in ("article", "main") for t, _ in b.path)) for b in found]))
+            out.append((found, [int("inner=1" in path_features(b.place) and not b.place.tags.isdisjoint(("article", "main"))) for b in found]))
     return out
 
 

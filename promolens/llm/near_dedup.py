@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import components
-from .common import Scratch, blobs, blocks, mix64, words
+from .common import Scratch, blobs, blocks, mix64, whole_ids, words
 
 COORDS = 256
 #: The chance that a pair at the threshold shares no band is at most this.
@@ -378,12 +378,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     distinct k-word shingles; a text with fewer words is one shingle as a whole.  Null
     and empty texts have no shingles and no links.  Rows with a null id are left out.  A
     repeated id is one document: it has the links of all its texts, and each of its rows
-    comes out with its own set's size.  An empty table gives an empty result.
+    comes out with its own set's size.  An empty table gives an empty result.  Ids that are
+    no whole numbers raise a TypeError.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     rows, bands = banding(percent)
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = whole_ids(docs, id_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sig = slim.mapInArrow(_signatures(k, rows, bands), "doc long, n long, f1 long, f2 long, bands array<long>, wide binary, " + ", ".join(f"{c} long" for c in BITS))
     sig = scratch.table(sig)
     scratch.expect(sig.count())

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, about
+from .common import Scratch, about, whole_ids
 
 #: Vectors that the trees are grown on at most; rows that a leaf should hold; rows of a block of leaves, and of a piece of a larger leaf.
 SAMPLE, LEAF_ROWS, BLOCK_ROWS = 20_000, 128, 4_096
@@ -121,7 +121,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """(id, v): rows with an id whose vector is not null or zero and holds finite numbers only."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    return whole_ids(vectors, id_col).where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.9, trees: int = 4, seed: int = 11, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -135,7 +135,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
     one candidate in the trees; of them only the k+1 smallest ids can be among k nearest,
     so they stand for all.  Ties go to the smaller id; repeated rows count once, and of
     an id's several vectors the least in order of its numbers.  Without
-    usable rows the result is empty.
+    usable rows the result is empty.  Ids that are no whole numbers raise a TypeError.
     """
     import pyarrow as pa
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, runs
-from .common import Scratch, blobs
+from .common import Scratch, blobs, whole_ids
 
 #: Places that are sent to the tasks at most (16 bytes each); classes of a k-gram that one task compares; windows that it sorts at a time.
 AT_ONCE, MOST_CLASSES, WINDOWS = 2_000_000, 4_000, 50_000
@@ -242,14 +242,15 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 200, batches: int = 2, id
     (the bytes left).  Texts are UTF-8 bytes; null texts are empty.  Strings are judged
     on the input, overlaps count, and matches never cross documents.  Rows with a null id
     take no part and stay whole.  Rows that repeat an id are rows of their own: equal
-    ones are copies of each other, others are told apart by a 32-bit hash of their text.  An empty table gives an empty result.
+    ones are copies of each other, others are told apart by a 32-bit hash of their text.  An empty table gives an empty result.  Ids
+    that are no whole numbers raise a TypeError.
     """
     import pyarrow as pa
 
     if length < 2 * GRAM or length > 60_000:
         raise ValueError("length must lie between 64 and 60000 bytes")
     scratch = Scratch(docs.sparkSession, "suffix")
-    slim = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")).withColumn("th", F.hash("body"))
+    slim = whole_ids(docs, id_col).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")).withColumn("th", F.hash("body"))
     found = repeated_windows(slim.where(F.octet_length("body") >= length).where("doc IS NOT NULL").withColumn("doc", F.col("doc").cast("long")), length, batches, scratch)
     spans = found.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("start", "end")).alias("r"))
     spans = spans.select("d", "t", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
