@@ -6,18 +6,30 @@ All are column expressions; none is a Python UDF.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ACCENTED, PLAIN = "àáâäãèéêëìíîïòóôöõùúûüçñÀÁÂÄÃÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
-#: Units with the unit that they are measured in and how many of it they hold.
+#: Units with the unit that they are measured in, how many of it they hold, and the unit of match keys (None: keys leave them).
 UNITS = {
-    "kg": ("kg", 1.0), "kilo": ("kg", 1.0), "g": ("kg", 0.001), "gr": ("kg", 0.001), "grammi": ("kg", 0.001), "hg": ("kg", 0.1), "etto": ("kg", 0.1), "etti": ("kg", 0.1),
-    "l": ("L", 1.0), "lt": ("L", 1.0), "litro": ("L", 1.0), "litri": ("L", 1.0), "dl": ("L", 0.1), "cl": ("L", 0.01), "ml": ("L", 0.001),
-    "pz": ("unit", 1.0), "pezzo": ("unit", 1.0), "pezzi": ("unit", 1.0), "rotolo": ("unit", 1.0), "rotoli": ("unit", 1.0), "bustine": ("unit", 1.0), "fette": ("unit", 1.0),
+    "kg": ("kg", 1.0, "g"), "kilo": ("kg", 1.0, None), "g": ("kg", 0.001, "g"), "gr": ("kg", 0.001, None), "grammi": ("kg", 0.001, None),
+    "hg": ("kg", 0.1, None), "etto": ("kg", 0.1, None), "etti": ("kg", 0.1, None),
+    "l": ("L", 1.0, "ml"), "lt": ("L", 1.0, None), "litri": ("L", 1.0, None), "litro": ("L", 1.0, None), "ml": ("L", 0.001, "ml"), "cl": ("L", 0.01, "ml"), "dl": ("L", 0.1, "ml"),
+    "pz": ("unit", 1.0, "pz"), "pezzi": ("unit", 1.0, None), "pezzo": ("unit", 1.0, None), "rotoli": ("unit", 1.0, None), "rotolo": ("unit", 1.0, None),
+    "bustine": ("unit", 1.0, None), "fette": ("unit", 1.0, None),
 }
+#: Mechanics with the phrases that name them (# is a number), the discount in percent ("#": that number), and the confidence; the first that fits wins.
+MECHANICS = [
+    ("three_for_two", ["3x2", "prendi 3 paghi 2"], 33.3, 0.98),
+    ("two_for_price_of_one", ["2x1", "prendi 2 paghi 1"], 50.0, 0.98),
+    ("second_half_price", ["50% sul secondo", "secondo al 50%", "secondo 50%", "secondo pezzo al 50%", "secondo pezzo 50%"], 25.0, 0.95),
+    ("loyalty_price", ["con carta", "carta fedeltà", "carta fedelta"], None, 0.95),
+    ("sottocosto", ["sottocosto"], None, 0.99),
+    ("percentage_off", ["-#%", "sconto #%", "sconto del #%"], "#", 0.95),
+]
 #: Tags with the parts of a name that give them.
 TAGS = {
     "senza-lattosio": ["senza lattosio", "delattosato", "lactose free", "s.lattosio"],
@@ -54,10 +66,6 @@ FILLERS = "il lo la i gli le un uno una di del dello della dei degli delle al al
 #: Italian months.
 MONTHS = ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"]
 NUMBER = r"(\d+(?:[.,]\d+)?)"
-#: Longer names first, so that no unit hides another.
-MEASURE, COUNT = ("(" + "|".join(sorted((u for u, (base, _) in UNITS.items() if (base == "unit") == counted), key=lambda u: (-len(u), u))) + r")\b" for counted in (False, True))
-
-
 def no_accents(c: Column) -> Column:
     return F.translate(c, ACCENTED, PLAIN)
 
@@ -78,9 +86,36 @@ def parse_price(text: Column) -> Column:
     return F.coalesce(since, F.when((v > 0) & (v < 10000), v))
 
 
+def tokens(text: Column) -> Column:
+    """Numbers, words and single signs of a text in lower case; the times sign is "x"."""
+    return F.regexp_extract_all(F.translate(F.lower(text), "×", "x"), F.lit(r"\d+(?:[.,]\d+)?|\p{L}+|[^\s\p{L}\d]"), F.lit(0))
+
+
+def _run(t: Column, *tests) -> Column:
+    """The 0-based place of the first run of tokens that pass the tests one after the other, or null."""
+    starts = F.when(F.size(t) >= len(tests), F.sequence(F.lit(0), F.size(t) - len(tests))).otherwise(F.array().cast("array<int>"))
+    fits = lambda i: functools.reduce(lambda x, y: x & y, [test(F.get(t, i + k)) for k, test in enumerate(tests)])
+    return F.get(F.filter(starts, fits), 0)
+
+
+def _is_number(c: Column) -> Column:
+    return c.rlike(r"^\d")
+
+
+def _is_whole(c: Column) -> Column:
+    return c.rlike(r"^\d+$")
+
+
+def _is_unit(counted: bool):
+    return lambda c: c.isin([u for u, (base, *_) in UNITS.items() if (base == "unit") == counted])
+
+
+def _is(*words: str):
+    return lambda c: c.isin(*words)
+
+
 def _of_unit(unit: Column, which: int) -> Column:
-    pairs = [x for u, v in UNITS.items() for x in (F.lit(u), F.lit(v[which]))]
-    return F.create_map(*pairs)[unit]
+    return F.create_map(*[x for u, v in UNITS.items() for x in (F.lit(u), F.lit(v[which]))])[unit]
 
 
 def parse_quantity(text: Column) -> Column:
@@ -88,51 +123,52 @@ def parse_quantity(text: Column) -> Column:
 
     The base units are kg, L and unit; a pack's value is the sum of its items.
     """
-    t = F.lower(F.trim(text))
-    get = lambda p, i: F.regexp_extract(t, p, i)
+    t = tokens(text)
+    times, measure = _is("x"), _is_unit(False)
 
-    def made(count: Column, value: Column, unit: Column, base: Column, times: Column, sure: float) -> Column:
-        value = count * value
-        return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit"), base.alias("base_unit"), (value * times).alias("base_value"), F.lit(sure).alias("confidence")))
+    def made(value: Column, unit: Column, base: Column, of_base: Column, sure: float) -> Column:
+        return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit"), base.alias("base_unit"), (value * of_base).alias("base_value"), F.lit(sure).alias("confidence")))
 
-    def measure(count: Column, value: Column, unit: Column, sure: float) -> Column:
-        return made(count, value, unit, _of_unit(unit, 0), _of_unit(unit, 1), sure)
+    def measured(value: Column, unit: Column, sure: float) -> Column:
+        return made(value, unit, _of_unit(unit, 0), _of_unit(unit, 1), sure)
 
-    one, unit = F.lit(1.0), F.lit("unit")
-    pack, swap, plain = rf"(\d+)\s*[x×]\s*{NUMBER}\s*{MEASURE}", rf"{NUMBER}\s*{MEASURE}\s*[x×]\s*(\d+)", rf"{NUMBER}\s*{MEASURE}"
+    at = lambda i, k: F.get(t, i + k)
+    pack, swapped, plain = _run(t, _is_whole, times, _is_number, measure), _run(t, _is_number, measure, times, _is_whole), _run(t, _is_number, measure)
+    pieces, boxed = _run(t, _is_whole, _is_unit(True)), _run(F.filter(t, lambda w: w != "."), _is("conf", "confezione"), _is("da"), _is_whole)
+    one = F.lit("unit")
     return F.coalesce(
-        measure(number(get(pack, 1)), number(get(pack, 2)), get(pack, 3), 0.9),
-        measure(number(get(swap, 3)), number(get(swap, 1)), get(swap, 2), 0.9),
-        measure(one, number(get(plain, 1)), get(plain, 2), 0.95),
-        made(one, number(get(rf"(\d+)\s*{COUNT}", 1)), unit, unit, one, 0.9),
-        made(one, number(get(r"\bconf(?:[.]|ezione)? +da +(\d+)", 1)), unit, unit, one, 0.8),
+        measured(number(at(pack, 0)) * number(at(pack, 2)), at(pack, 3), 0.9),
+        measured(number(at(swapped, 0)) * number(at(swapped, 3)), at(swapped, 1), 0.9),
+        measured(number(at(plain, 0)), at(plain, 1), 0.95),
+        made(number(at(pieces, 0)), one, one, F.lit(1.0), 0.9),
+        made(number(F.get(F.filter(t, lambda w: w != "."), boxed + 2)), one, one, F.lit(1.0), 0.8),
     )
 
 
+def _phrase(phrase: str) -> str:
+    """The pattern of a phrase in a text of tokens that are parted by blanks."""
+    found = re.findall(r"\d+|[^\W\d]+|[^\s\w]", phrase.replace("×", "x"))
+    return "(?<= )" + " ".join(r"(\d+)" if w == "#" else re.escape(w) for w in found) + "(?= )"
+
+
 def parse_mechanic(text: Column, rebate: Column | None = None) -> Column:
-    """Struct (mechanic, detail, discount, confidence) of a text and a rebate's text; the first rule that matches wins.
+    """Struct (mechanic, detail, discount, confidence) of a text and a rebate's text, by the table of phrases.
 
-    A percentage alone counts in the rebate only.
+    Phrases are compared by tokens, so blanks and letter case do not matter; the detail is
+    the phrase found.  A percentage alone counts in the rebate only.
     """
     rebate = F.lit(None).cast("string") if rebate is None else rebate
-    t = F.lower(F.trim(F.concat_ws(" ", text, rebate)))
-    get = lambda p, i=0, c=t: F.regexp_extract(c, p, i)
+    line = lambda c: F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(c, F.lit(""))), " "), F.lit(" "))
+    t = line(F.concat_ws(" ", text, rebate))
     made = lambda name, detail, pct, sure: F.struct(F.lit(name).alias("mechanic"), detail.alias("detail"), pct.cast("double").alias("discount"), F.lit(sure).alias("confidence"))
-    # pattern, mechanic, discount (a number, or the groups that hold it), confidence
-    rules = [
-        (r"\b3 ?[x×] ?2\b|\bprendi 3 (?:e )?paghi 2\b", "three_for_two", 33.3, 0.98),
-        (r"\b2 ?[x×] ?1\b|\bprendi 2 (?:e )?paghi 1\b", "two_for_price_of_one", 50.0, 0.98),
-        (r"\b50 ?% sul secondo\b|\bsecondo (?:pezzo )?(?:al )?50 ?%", "second_half_price", 25.0, 0.95),
-        (r"\bcon carta\b|\bcarta fedelt[aà]", "loyalty_price", None, 0.95),
-        (r"\bsottocosto\b", "sottocosto", None, 0.99),
-        (r"(?:-|\bsconto (?:del )?) ?(\d+) ?%", "percentage_off", 1, 0.95),
-    ]
-    spaced = F.regexp_replace(t, r"\s+", " ")
-    bare = get(r"(\d+)\s*%", 1, F.coalesce(rebate, F.lit("")))
+    bare = F.regexp_extract(line(rebate), _phrase("#%"), 1)
     out = F.when(bare != "", made("percentage_off", bare, bare.try_cast("int"), 0.8)).otherwise(made("price_cut", F.lit(""), F.lit(None), 0.7))
-    for pattern, name, pct, sure in reversed(rules):
-        value = get(pattern, pct, spaced).try_cast("int") if isinstance(pct, int) else F.lit(pct)
-        out = F.when(spaced.rlike(pattern), made(name, get(pattern, 0, spaced), value, sure)).otherwise(out)
+    for name, phrases, pct, sure in reversed(MECHANICS):
+        pattern = "|".join(map(_phrase, phrases))
+        value = F.lit(pct)
+        if pct == "#":
+            value = F.coalesce(*[F.nullif(F.regexp_extract(t, pattern, i), F.lit("")) for i in range(1, len(phrases) + 1)]).try_cast("int")
+        out = F.when(t.rlike(pattern), made(name, F.regexp_extract(t, pattern, 0), value, sure)).otherwise(out)
     return out
 
 
@@ -143,10 +179,13 @@ def unit_price(price: Column, base_value: Column, given: Column | None = None) -
 
 
 def discount(parsed: Column, mechanic: Column, price: Column, original: Column) -> Column:
-    """The parser's discount, else the mechanic's, else from the prices; kept between 0 and 90."""
-    computed = F.round((1 - price / F.nullif(original, F.lit(0.0))) * 100)
-    keep = lambda c: F.when((c > 0) & (c < 90), c.cast("double"))
-    return F.coalesce(keep(parsed), keep(mechanic), keep(computed))
+    """The parser's discount, else the mechanic's, else from the prices if they fall; null unless it lies between 0 and 90.
+
+    The bounds hold for the value that the cascade gives: one out of bounds does not fall to the next.
+    """
+    computed = F.when(price < original, F.round((1 - price / F.nullif(original, F.lit(0.0))) * 100))
+    found = F.coalesce(parsed.cast("double"), mechanic.cast("double"), computed)
+    return F.when((found > 0) & (found < 90), found)
 
 
 def clean_ean(*cols: Column) -> Column:
@@ -161,7 +200,8 @@ def card_name(chain: Column, card: Column, mechanic: Column) -> Column:
 
 
 def raw_quantity(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"(?i)(\d)\s*(kg|gr|g|l|ml|cl|pz)\b", "$1 $2")))
+    units = "|".join(u for u in UNITS if len(u) <= 2)
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), rf"(?i)(?<=\d)\s*(?=(?:{units})\b)", " ")))
 
 
 def norm_text(c: Column) -> Column:
@@ -187,15 +227,21 @@ def match_key(brand: Column, name: Column, quantity: Column) -> Column:
 
 
 def normalize_quantity(c: Column) -> Column:
-    """Quantity as text in g, ml or pz like "1500 ml"; packs as "2x100 g"; other texts in lower case."""
-    t = F.lower(F.trim(c))
-    spaced = F.replace(F.regexp_replace(t, r"(\d)\s*(kg|g|ml|cl|dl|l|pz)\b", "$1 $2"), F.lit(","), F.lit("."))
-    single = r"^(\d+(?:\.\d+)?) (kg|g|ml|cl|dl|l|pz)$"
-    value, unit = number(F.regexp_extract(spaced, single, 1)), F.regexp_extract(spaced, single, 2)
-    times = F.when(unit.isin("kg", "l"), 1000).when(unit == "dl", 100).when(unit == "cl", 10).otherwise(1)
-    plain = F.regexp_replace((value * times).cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
-    small = F.when(unit == "kg", "g").when(unit.isin("l", "cl", "dl"), "ml").otherwise(unit)
-    return F.when(value.isNotNull(), F.concat_ws(" ", plain, small)).otherwise(F.regexp_replace(spaced, r"(\d+)\s*x\s*(\d+)\s*(kg|g|ml|cl|dl|l|pz)", "$1x$2 $3"))
+    """Quantity as text in g, ml or pz like "1500 ml"; packs as "2x100 g"; other texts in lower case.
+
+    Units of match keys are parted from their number by one blank, a first comma is a decimal mark.
+    """
+    keyed = [u for u, (*_, key) in UNITS.items() if key]
+    unit_next = rf"(?:{'|'.join(keyed)})\b"
+    text = F.regexp_replace(F.lower(F.trim(c)), rf"(?<=\d)\s*(?={unit_next})", " ")
+    text = F.regexp_replace(text, r"^([^,]*),", "$1.")
+    t = tokens(text)
+    single = (F.size(t) == 2) & _is_number(F.get(t, 0)) & F.get(t, 1).isin(keyed)
+    unit = F.get(t, 1)
+    small = _of_unit(unit, 2)
+    value = number(F.get(t, 0)) * F.when(small == "pz", 1.0).otherwise(_of_unit(unit, 1) * 1000)
+    plain = F.regexp_replace(value.cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
+    return F.when(single, F.concat_ws(" ", plain, small)).otherwise(F.regexp_replace(text, rf"(?<=\d)\s*x\s*(?=\d+\s*{unit_next})", "x"))
 
 
 def slugify(c: Column, most: int = 120) -> Column:
@@ -255,6 +301,11 @@ def italian_range(text: Column, year: Column) -> Column:
     )
 
 
+def compact_date(c: Column) -> Column:
+    """The day of a time stamp YYYYMMDDHHMMSS, of which eight digits at least must be there."""
+    return F.try_to_date(F.regexp_extract(F.trim(c), r"^(\d{8})\d*$", 1), "yyyyMMdd")
+
+
 def split_brand(name: Column, brands: Sequence[str]) -> Column:
     """Struct (brand, rest): a known brand in front (longest first), else leading capitals, else a known brand at the end."""
     known = "|".join("\\Q" + b + "\\E" for b in sorted(brands, key=lambda b: (-len(b), b))) or r"(?!)"
@@ -265,7 +316,7 @@ def split_brand(name: Column, brands: Sequence[str]) -> Column:
 
 def split_size(name: Column) -> Column:
     """Struct (name, size): the size at the end of a name taken off."""
-    p = rf"(?i)\s+((?:\d+\s*x\s*)?{NUMBER}\s*(?:kg|gr|g|lt|l|cl|ml|pz))\.?$"
+    p = rf"(?i)\s+((?:\d+\s*x\s*)?{NUMBER}\s*(?:{'|'.join(u for u in UNITS if len(u) <= 2)}))\.?$"
     return F.struct(F.trim(F.regexp_replace(name, p, "")).alias("name"), F.nullif(F.regexp_extract(name, p, 1), F.lit("")).alias("size"))
 
 

@@ -25,7 +25,9 @@ reg.add("e2_parse_quantity", lambda r: r.products.select("id", fn.parse_quantity
 reg.add("e3_parse_mechanic", lambda r: r.products.select("id", fn.parse_mechanic(F.expr("CASE id % 6 WHEN 0 THEN 'Prendi 2 paghi 1' WHEN 1 THEN 'offerta 3x2' WHEN 2 THEN 'Secondo pezzo al 50%' WHEN 3 THEN 'Sottocosto' WHEN 4 THEN 'con Carta fedeltà' ELSE concat('-', id % 80 + 10, ' %') END"), F.expr("IF(id % 4 = 0, concat(id % 9 + 1, '%'), NULL)")).alias("m")).selectExpr("id", "m.mechanic", "m.discount"),
         "SELECT id, CASE id % 6 WHEN 0 THEN 'two_for_price_of_one' WHEN 1 THEN 'three_for_two' WHEN 2 THEN 'second_half_price' WHEN 3 THEN 'sottocosto' WHEN 4 THEN 'loyalty_price' ELSE 'percentage_off' END AS mechanic, (CASE id % 6 WHEN 0 THEN 50 WHEN 1 THEN 33.3 WHEN 2 THEN 25 WHEN 5 THEN id % 80 + 10 END)::DOUBLE AS discount FROM products", *P)
 reg.add("e4_unit_price", lambda r: r.raw("part").select(F.col("p_partkey").alias("id"), fn.unit_price(F.lit(100.0), F.col("p_size").cast("double"), F.when(F.col("p_partkey") % 5 == 0, 1.5)).alias("u")).selectExpr("id", "CAST(round(u * 1000) AS BIGINT) AS milli"), "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 1500 ELSE round(round(100.0::DOUBLE / nullif(p_size, 0), 4) * 1000)::BIGINT END AS milli FROM part")
-reg.add("e5_discount_cascade", lambda r: live(r).select("id", fn.discount(F.when(F.col("price_cents") % 3 == 0, 95), F.col("discount_pct"), F.lit(80.0), F.lit(100.0)).cast("int").alias("pct")), "SELECT id, coalesce(discount_pct, 20)::INT AS pct FROM active", "active")
+reg.add("e5_discount_cascade", lambda r: live(r).select("id", fn.discount(F.when(F.col("price_cents") % 3 == 0, 95), F.when(F.col("price_cents") % 5 != 0, F.col("discount_pct")), F.col("price_cents"), F.col("original_cents")).cast("int").alias("pct")),
+        """SELECT id, CASE WHEN found > 0 AND found < 90 THEN found::INT END AS pct FROM (SELECT id, CASE WHEN price_cents % 3 = 0 THEN 95 WHEN price_cents % 5 <> 0 AND discount_pct IS NOT NULL THEN discount_pct
+        WHEN price_cents < original_cents THEN round((1 - price_cents::DOUBLE / original_cents) * 100) END AS found FROM active)""", "active")
 reg.add("e6_clean_ean", lambda r: r.products.select("id", fn.clean_ean(F.expr("IF(id % 2 = 0, concat('x', id), concat('80-', lpad(id, 8, '0')))"), F.expr("concat('EAN ', lpad(id, 13, '9'))")).alias("ean")), "SELECT id, CASE WHEN id % 2 = 0 THEN lpad(id::VARCHAR, 13, '9') ELSE '80' || lpad(id::VARCHAR, 8, '0') END AS ean FROM products", *P)
 reg.add("e7_card_name", lambda r: live(r).select("id", fn.card_name(F.col("chain_name"), F.concat("chain_name", F.lit(" Gold")), F.col("mechanic")).alias("card")), "SELECT id, CASE WHEN mechanic = 'loyalty_price' THEN 'Gold' END AS card FROM active", "active")
 reg.add("e8_raw_quantity", lambda r: r.skus.select("id", fn.raw_quantity(F.upper("raw_quantity")).alias("u"), fn.raw_quantity(F.concat(F.lit("  "), "raw_quantity")).alias("q")), "SELECT id, raw_quantity AS u, raw_quantity AS q FROM skus", "skus")
@@ -47,6 +49,7 @@ reg.add("e15_tags", lambda r: r.products.select("id", F.array_join(fn.dietary_ta
 reg.add("e18_week", lambda r: r.offers.select("id", fn.week_start(F.col("valid_from")).alias("monday"), fn.current_week(F.col("valid_from"))["sunday"].alias("sunday")), "SELECT id, date_trunc('week', valid_from)::DATE AS monday, date_trunc('week', valid_from)::DATE + 6 AS sunday FROM offers", "offers")
 reg.add("e19_italian_dates", lambda r: r.campaigns.select("id", fn.italian_range(F.expr("CASE id % 3 WHEN 0 THEN concat('dal ', day(valid_from), '/', month(valid_from), ' al ', day(valid_to), '/', month(valid_to)) WHEN 1 THEN concat('DAL ', day(valid_from), ' ', element_at(array('gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'), month(valid_from)), ' AL ', day(valid_to), ' ', element_at(array('gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'), month(valid_to))) ELSE concat('fino al ', day(valid_to), ' marzo 1999') END"), F.lit(1996)).alias("d")).select("id", "d.*"),
         "SELECT id, CASE WHEN id % 3 <> 2 THEN make_date(1996, month(valid_from), day(valid_from)) END AS valid_from, CASE WHEN id % 3 <> 2 THEN make_date(1996, month(valid_to), day(valid_to)) ELSE make_date(1999, 3, day(valid_to)) END AS valid_to FROM campaigns", "campaigns")
+reg.add("e19_compact_dates", lambda r: r.offers.select("id", fn.compact_date(F.concat(F.date_format("valid_from", "yyyyMMdd"), F.expr("IF(price_cents % 2 = 0, '235959', '')"))).alias("day")), "SELECT id, valid_from AS day FROM offers", "offers")
 reg.add("e20_split_brand", lambda r: r.skus.select("id", fn.split_brand(F.concat(F.expr("IF(id % 2 = 0, 'Mulino Verde ', 'ACME CO ')"), F.lower("raw_name")), ["Mulino", "Mulino Verde"]).alias("b")).select("id", "b.*"), "SELECT id, CASE WHEN id % 2 = 0 THEN 'Mulino Verde' ELSE 'ACME CO' END AS brand, lower(raw_name) AS rest FROM skus", "skus")
 reg.add("e21_split_size", lambda r: r.skus.select("id", fn.split_size(F.concat_ws(" ", "raw_name", "raw_quantity")).alias("s")).select("id", "s.*"), "SELECT id, raw_name AS name, raw_quantity AS size FROM skus", "skus")
 # each store's distance to the first store of its chain

@@ -18,10 +18,10 @@ def test_price(spark, text, price):
     assert one(spark, fn.parse_price(F.lit(text).cast("string"))) == price
 
 
-@pytest.mark.parametrize("text, base, value", [("2x125 g", "kg", 0.25), ("500 g x 3", "kg", 1.5), ("90 g x3 pz", "kg", 0.27), ("1,5 l", "L", 1.5), ("2 dl", "L", 0.2), ("1 litro", "L", 1), ("due etti: 2 etti", "kg", 0.2), ("6 pz", "unit", 6), ("10 bustine", "unit", 10), ("conf da 4", "unit", 4), ("confezione da 8", "unit", 8), ("33 cl", "L", 0.33)])
+@pytest.mark.parametrize("text, base, value", [("2x125 g", "kg", 0.25), ("500 g x 3", "kg", 1.5), ("90 g x3 pz", "kg", 0.27), ("1,5 l", "L", 1.5), ("2 dl", "L", 0.2), ("1 litro", "L", 1), ("due etti: 2 etti", "kg", 0.2), ("6 pz", "unit", 6), ("10 bustine", "unit", 10), ("conf da 4", "unit", 4), ("confezione da 8", "unit", 8), ("33 cl", "L", 0.33), ("CONF. DA 6", "unit", 6), ("2 × 1,5 L", "L", 3), ("4x grana 200gr", "kg", 0.2), ("3 grandi fette", None, None)])
 def test_quantity(spark, text, base, value):
     q = one(spark, fn.parse_quantity(F.lit(text)))
-    assert (q.base_unit, round(q.base_value, 6)) == (base, value)
+    assert (q and (q.base_unit, round(q.base_value, 6))) == (base and (base, value))
 
 
 def test_quantity_of_other_text_is_null(spark):
@@ -29,7 +29,7 @@ def test_quantity_of_other_text_is_null(spark):
     assert one(spark, fn.parse_quantity(F.lit(None).cast("string"))) is None
 
 
-@pytest.mark.parametrize("text, name, pct", [("Offerta 3 x 2", "three_for_two", 33.3), ("prendi 2 paghi 1", "two_for_price_of_one", 50), ("50% sul secondo", "second_half_price", 25), ("secondo pezzo al 50%", "second_half_price", 25), ("con carta", "loyalty_price", None), ("SOTTOCOSTO", "sottocosto", None), ("-30%", "percentage_off", 30), ("Sconto del 15 %", "percentage_off", 15), ("12%", "price_cut", None), ("", "price_cut", None), (None, "price_cut", None)])
+@pytest.mark.parametrize("text, name, pct", [("Offerta 3 x 2", "three_for_two", 33.3), ("prendi 2 paghi 1", "two_for_price_of_one", 50), ("50% sul secondo", "second_half_price", 25), ("secondo pezzo al 50%", "second_half_price", 25), ("con carta", "loyalty_price", None), ("SOTTOCOSTO", "sottocosto", None), ("-30%", "percentage_off", 30), ("Sconto del 15 %", "percentage_off", 15), ("12%", "price_cut", None), ("13x2", "price_cut", None), ("PRENDI  3\nPAGHI 2", "three_for_two", 33.3), ("sconto 7%", "percentage_off", 7), ("secondo pezzo 50 %", "second_half_price", 25), ("Carta Fedelta'", "loyalty_price", None), ("", "price_cut", None), (None, "price_cut", None)])
 def test_mechanic(spark, text, name, pct):
     m = one(spark, fn.parse_mechanic(F.lit(text).cast("string")))
     assert (m.mechanic, m.discount) == (name, pct)
@@ -82,3 +82,19 @@ def test_tags(spark):
     assert one(spark, fn.dietary_tags(F.lit("Yogurt BIO senza lattosio"))) == ["senza-lattosio", "bio"]
     assert one(spark, fn.dietary_tags(F.lit("Latte bio"))) == ["bio"]
     assert one(spark, fn.dietary_tags(F.lit("Abbio"))) == ["bio"]
+
+
+@pytest.mark.parametrize("parsed, mechanic, price, original, want", [(20, 30, 8, 10, 20), (None, 30, 8, 10, 30), (None, None, 8, 10, 20), (95, 30, 80, 100, None), (0, 30, 8, 10, None), (None, 100, 8, 10, None), (None, None, 10, 8, None), (None, None, 10, None, None), (None, None, 5, 0, None)])
+def test_discount_is_bounded_after_the_cascade(spark, parsed, mechanic, price, original, want):
+    number = lambda v: F.lit(v).cast("double")
+    assert one(spark, fn.discount(*map(number, (parsed, mechanic, price, original)))) == want
+
+
+@pytest.mark.parametrize("text, want", [("500G", "500 g"), ("1,5l", "1500 ml"), ("2 x 100 g", "2x100 g"), ("500 gr", "500 gr"), ("3 pz", "3 pz"), ("0,33 L", "330 ml"), ("5 dl", "500 ml"), (" Al Banco ", "al banco"), (None, None)])
+def test_normal_quantity(spark, text, want):
+    assert one(spark, fn.normalize_quantity(F.lit(text).cast("string"))) == want
+
+
+@pytest.mark.parametrize("text, want", [("20260417000000", datetime.date(2026, 4, 17)), ("20260417", datetime.date(2026, 4, 17)), ("2026041", None), ("20261341000000", None), ("", None), (None, None)])
+def test_compact_date(spark, text, want):
+    assert one(spark, fn.compact_date(F.lit(text).cast("string"))) == want
