@@ -57,12 +57,17 @@ def trigram_join(left: DataFrame, right: DataFrame, text: str, block: Sequence[s
     return pairs.join(ids(left, "l"), ["l_text", *block]).join(ids(right, "r"), ["r_text", *block]).select("l_id", "r_id", "similarity")
 
 
-def stems(c: Column) -> Column:
-    """Distinct stems: folded words without stop words and without their final vowels."""
+def stem_list(c: Column) -> Column:
+    """The stems of a text in order: folded words without stop words and without their final vowels."""
     from .scalars import no_accents
 
     words = F.filter(F.split(no_accents(F.lower(c)), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(STOP))
-    return F.array_distinct(F.transform(words, lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, "[aeiou]+$", "")).otherwise(w)))
+    return F.transform(words, lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, "[aeiou]+$", "")).otherwise(w))
+
+
+def stems(c: Column) -> Column:
+    """The distinct stems of a text."""
+    return F.array_distinct(stem_list(c))
 
 
 def text_match(doc: Column, query: str) -> Column:

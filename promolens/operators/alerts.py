@@ -114,6 +114,14 @@ def recent_runs(r: DataFrame, now: datetime.datetime, k: int = 100, stuck_hours:
     return r.withColumns({"age_s": age, "stuck": (F.col("status") == "running") & (age > stuck_hours * 3600)}).orderBy(F.desc("started_at"), F.desc("id")).limit(k)
 
 
+def run_feed(r: DataFrame, now: datetime.datetime, run_type: str | None = None, chain: str | None = None, status: str | None = None, k: int = 50) -> DataFrame:
+    """The newest runs of a type, chain and status (None: any), 1 to 200 of them, with their age and the stuck flag."""
+    for column, value in (("run_type", run_type), ("chain", chain), ("status", status)):
+        if value is not None:
+            r = r.where(F.col(column) == value)
+    return recent_runs(r, now, max(1, min(k, 200)))
+
+
 def last_run_per_type(r: DataFrame) -> DataFrame:
     return first_per(r, ["run_type"], [F.desc("started_at"), F.desc("id")])
 
@@ -123,9 +131,14 @@ def last_failures(r: DataFrame, now: datetime.datetime, days: int = 14, k: int =
 
 
 def run_rollup(r: DataFrame) -> DataFrame:
-    """Per day: successes, failures and the level (critical without a success, warning with failures)."""
-    g = r.groupBy(F.to_date("started_at").alias("day")).agg(F.count_if(F.col("status") == "success").alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"))
-    return g.withColumn("level", F.when(F.col("ok") == 0, "critical").when(F.col("failed") > 0, "warning").otherwise("ok"))
+    """Per day: successes, failures, the products of the successes (0 without such a column), and the level.
+
+    The level is critical without a success, warning with failures, else info.
+    """
+    ok = F.col("status") == "success"
+    products = F.sum(F.when(ok, F.col("products"))) if "products" in r.columns else F.lit(None).cast("long")
+    g = r.groupBy(F.to_date("started_at").alias("day")).agg(F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(products, F.lit(0)).alias("products"))
+    return g.withColumn("level", F.when(F.col("ok") == 0, "critical").when(F.col("failed") > 0, "warning").otherwise("info"))
 
 
 def new_failures(obs: DataFrame) -> DataFrame:

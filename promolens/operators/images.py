@@ -11,6 +11,7 @@ from ..functions.scalars import norm_text
 from ..functions.similarity import trigram_join
 from ..storage import Scratch
 from .offers import first_per
+from .text_index import TrigramIndex
 
 
 def register_images(registry: DataFrame, batch: DataFrame) -> DataFrame:
@@ -55,6 +56,28 @@ def lookup_image(sk: DataFrame, registry: DataFrame, same_brand: float = 0.3, an
     return found
 
 
+def lookup_one_image(registry: DataFrame, index: TrigramIndex, name: str, brand: str | None = None, quantity: str | None = None, ean: str | None = None, same_brand: float = 0.3, any_brand: float = 0.45, shortest: int = 6) -> DataFrame:
+    """(image_url, step): what ``lookup_image`` finds for one product, one row at most.
+
+    ``registry`` has an ``id``; ``index`` is over its normalised names by this id, so similar
+    names are found without a pass over all names.
+    """
+    text = lambda v: norm_text(F.lit(v).cast("string"))
+    n, b, q = text(name), text(brand), text(quantity)
+    r = registry.select("id", "ean", *[norm_text(F.col(c)).alias(c) for c in ("name", "brand", "quantity")], "image_url", "times_seen")
+    none = F.lit(None).cast("double").alias("similarity")
+    step = lambda df, i, s=none: df.select("image_url", "times_seen", s, F.lit(i).alias("step"))
+    found = step(r.where((F.col("name") == n) & F.col("brand").eqNullSafe(b) & F.col("quantity").eqNullSafe(q)), 2).unionByName(step(r.where(F.col("name") == n), 3))
+    if ean is not None:
+        found = found.unionByName(step(r.where(F.col("ean") == ean), 1))
+    if len(name.strip()) >= shortest:
+        fits = r.where(F.col("quantity").isNull() | q.isNull() | (F.col("quantity") == q))
+        like = fits.join(index.similar(name, min(same_brand, any_brand)), "id")
+        alike = F.col("similarity").alias("similarity")
+        found = found.unionByName(step(like.where((F.col("brand") == b) & (F.col("similarity") > same_brand)), 4, alike)).unionByName(step(like.where(F.col("similarity") > any_brand), 5, alike))
+    return found.orderBy("step", F.desc("similarity"), F.desc("times_seen"), "image_url").limit(1).select("image_url", "step")
+
+
 def backfill_images(sk: DataFrame, registry: DataFrame) -> DataFrame:
     """SKUs without an image get the registry's."""
     found = lookup_image(sk.where("image_url IS NULL"), registry).select("id", F.col("image_url").alias("__u"))
@@ -68,15 +91,27 @@ def heal_images(sk: DataFrame) -> DataFrame:
 
 
 def attach_images(df: DataFrame, images: DataFrame, name: str = "raw_name") -> DataFrame:
-    """Images by name: exact, else by a part between slashes, else by containment of whole words; first by ``pos``."""
-    key = lambda c: F.lower(F.trim(c))
-    img = images.select(key(F.col("name")).alias("k"), "image_url", "pos")
-    want = df.where("image_url IS NULL").select("id", key(F.col(name)).alias("n"))
+    """Images by name: exact, else by a part between slashes, else by containment of either name in the other; first by ``pos``.
+
+    Distinct names meet distinct names by the first three characters of the contained one
+    (all of it, if it is shorter) among the other's grams.  Blank names match nothing.
+    """
+    key = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    scratch = Scratch(df.sparkSession, "attach")
+    img = scratch.table(images.select(key(F.col("name")).alias("k"), "image_url", "pos").where("k IS NOT NULL"))
+    want = scratch.table(df.where("image_url IS NULL").select("id", key(F.col(name)).alias("n")).where("n IS NOT NULL"))
     exact = want.join(img, F.col("n") == F.col("k")).select("id", "image_url", "pos", F.lit(1).alias("step"))
-    part = want.join(img.withColumn("k", F.explode(F.transform(F.split("k", "/"), F.trim))), F.col("n") == F.col("k")).select("id", "image_url", "pos", F.lit(2).alias("step"))
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: F.length(w) >= 4)
-    tokens = want.withColumn("w", F.explode(words(F.col("n")))).join(img.withColumn("w", F.explode(words(F.col("k")))), "w")
-    inside = tokens.where(F.contains("n", F.col("k")) | F.contains("k", F.col("n"))).select("id", "image_url", "pos", F.lit(3).alias("step"))
+    # the own name's parts, the first of them that is a whole name of an image
+    part = want.select("id", F.posexplode(F.transform(F.split("n", "/"), lambda x: F.trim(x))).alias("at", "part")).join(img, F.col("part") == F.col("k")).select("id", "image_url", "pos", (F.col("at") + 2).alias("step"))
+    first = lambda c: F.substring(c, 1, 3)
+    none = F.array().cast("array<string>")
+    cut = lambda c, m: F.when(F.length(c) >= m, F.transform(F.sequence(F.lit(1), F.length(c) - (m - 1)), lambda i: F.substring(c, i, F.lit(m)))).otherwise(none)
+    grams = lambda c: F.explode(F.array_distinct(F.concat(*[cut(c, m) for m in (1, 2, 3)])))
+    names, keys = want.select("n").distinct(), img.groupBy("k").agg(F.min(F.struct("pos", "image_url")).alias("best"))
+    inner = keys.withColumn("g", first(F.col("k"))).join(names.withColumn("g", grams(F.col("n"))), "g").where(F.contains("n", F.col("k")))
+    outer = names.withColumn("g", first(F.col("n"))).join(keys.withColumn("g", grams(F.col("k"))), "g").where(F.contains("k", F.col("n")))
+    of_name = inner.select("n", "best").unionByName(outer.select("n", "best")).groupBy("n").agg(F.min("best").alias("best"))
+    inside = want.join(of_name, "n").select("id", "best.image_url", "best.pos", F.lit(1 << 30).alias("step"))
     best = first_per(exact.unionByName(part).unionByName(inside), ["id"], [F.col("step"), F.col("pos"), F.col("image_url")]).select("id", F.col("image_url").alias("__u"))
     return df.join(best, "id", "left").withColumn("image_url", F.coalesce("image_url", "__u")).drop("__u")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..functions.similarity import trigram_join
+from ..functions.similarity import stems, trigram_join
 from ..graph import components
 from .offers import first_per
 
@@ -62,18 +62,24 @@ def merge_products(pairs: DataFrame, sk: DataFrame, p: DataFrame) -> tuple[DataF
 
 
 def batch_pairs(pairs: DataFrame, size: int = 30) -> DataFrame:
-    """Pairs in batches per leading block: batch number and 1-based place, for an outside decision.
+    """Pairs in batches of ``size``: batch number and 1-based place, for an outside decision.
 
-    Numbers run inside a block (the left id modulo 64), so no task holds all pairs.
+    Numbers run through all pairs, by (l_id modulo 64, l_id, r_id): places inside a block
+    plus the sizes of the blocks before it, so no task holds all pairs and only the last
+    batch is smaller.
     """
-    place = F.row_number().over(Window.partitionBy(F.pmod("l_id", F.lit(64))).orderBy("l_id", "r_id"))
-    rows = pairs.withColumns({"block": F.pmod("l_id", F.lit(64)), "__n": place})
-    return rows.withColumns({"batch": F.floor((F.col("__n") - 1) / size), "place": (F.col("__n") - 1) % size + 1}).drop("__n")
+    block = F.pmod("l_id", F.lit(64))
+    rows = pairs.withColumn("__block", block).withColumn("__n", F.row_number().over(Window.partitionBy("__block").orderBy("l_id", "r_id")))
+    sizes = pairs.groupBy(block.alias("__block")).agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))  # at most 64 rows
+    starts = sizes.withColumn("__start", F.coalesce(before, F.lit(0))).drop("__size")
+    at = F.col("__start") + F.col("__n") - 1
+    return rows.join(F.broadcast(starts), "__block").withColumns({"batch": F.floor(at / size), "place": (at % size + 1).cast("int")}).drop("__n", "__block", "__start")
 
 
 def apply_decisions(batched: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The pairs whose (block, batch, place) is confirmed."""
-    return batched.join(decisions, ["block", "batch", "place"], "left_semi").select("l_id", "r_id")
+    """The pairs whose (batch, place) is confirmed."""
+    return batched.join(decisions, ["batch", "place"], "left_semi").select("l_id", "r_id")
 
 
 def apply_categories(p: DataFrame, decisions: DataFrame, categories: DataFrame) -> DataFrame:
@@ -104,6 +110,9 @@ def classify(df: DataFrame, rules: DataFrame, name: str = "name", id_col: str =
 
 
 def refresh_tags(sk: DataFrame, now: datetime.datetime, since_hours: int = 0, tags: dict | None = None) -> DataFrame:
-    """New tags and normalised names for rows that changed in the last hours; 0 means all."""
+    """New tags, normalised names and, if there is such a column, stems of name and brand for rows that changed in the last hours; 0 means all."""
     touched = F.lit(True) if since_hours == 0 else F.col("updated_at") >= F.lit(now) - F.make_dt_interval(hours=F.lit(since_hours))
-    return sk.withColumns({"tags": F.when(touched, fn.dietary_tags(F.col("raw_name"), tags)).otherwise(F.col("tags")), "normalized_name": F.when(touched, fn.norm_text(F.col("raw_name"))).otherwise(F.col("normalized_name"))})
+    new = {"tags": fn.dietary_tags(F.col("raw_name"), tags), "normalized_name": fn.norm_text(F.col("raw_name"))}
+    if "stems" in sk.columns:
+        new["stems"] = stems(F.concat_ws(" ", "raw_name", "brand"))
+    return sk.withColumns({c: F.when(touched, v).otherwise(F.col(c)) for c, v in new.items()})

@@ -68,9 +68,19 @@ def contains_text(q: str, *cols: str) -> Column:
 
 
 def word_score(name: Column, q: str) -> Column:
-    """2 for the query as the first word, plus 1 as a whole word; 0 for neither."""
-    text = "\\Q" + q.lower().replace("\\E", "") + "\\E"
-    return F.when(F.lower(name).rlike(rf"^\s*{text}(\s|$)"), 2).otherwise(0) + F.when(F.lower(name).rlike(rf"(^|\s){text}(\s|$)"), 1).otherwise(0)
+    """2 for the query as the head of the name, behind one token of letters at most, plus 1 as whole words; 0 for neither."""
+    text, low = "\\Q" + q.strip().lower().replace("\\E", "") + "\\E", F.lower(name)
+    head = low.rlike(rf"^\s*(?:[a-z&.]+\s+)?{text}(?![\p{{L}}\p{{N}}_])")
+    return F.when(head, 2).otherwise(0) + F.when(low.rlike(rf"(?:^|\s){text}(?:\s|$)"), 1).otherwise(0)
+
+
+#: Words with which the fragment of a name starts that is no name of a product.
+FRAGMENT_STARTS = "e con al alla alle allo della delle dello del dei di in per su da".split()
+
+
+def not_fragment(name: Column, shortest: int = 4) -> Column:
+    """Names of four characters or more that do not go on from other text."""
+    return (F.length(name) >= shortest) & ~F.lower(name).rlike(rf"^\s*(?:{'|'.join(FRAGMENT_STARTS)})\s")
 
 
 def has_tag(tag: str, col: str = "tags") -> Column:
@@ -88,9 +98,14 @@ def deal_quality(most_cents: int = 5000, longest: int = 120) -> Column:
     return F.col("discount_pct").isNotNull() & (F.col("price_cents") < most_cents) & (F.length("raw_name") < longest)
 
 
-def not_banner(col: str = "raw_name") -> Column:
-    """Names of 6 to 90 characters that are no promotion banner."""
-    return F.length(col).between(6, 90) & ~F.lower(col).rlike(r"(^|\s)(sconto|promo|offerta|punti|coupon|volantino|sconti)(\s|$)")
+#: Parts of a name that make it a promotion banner.
+BANNERS = ["settimana dal", "concorso", "partecipa", "vince!", "app despar", "happy card", "raccolta punti", "tribù"]
+
+
+def not_banner(col: str = "raw_name", banners: Sequence[str] = tuple(BANNERS)) -> Column:
+    """Names of 6 to 90 characters that hold no part of a promotion banner."""
+    name = F.lower(col)
+    return F.length(col).between(6, 90) & ~functools.reduce(lambda a, b: a | b, [F.contains(name, F.lit(x)) for x in banners])
 
 
 def allowed_url(url: Column, hosts: Sequence[str]) -> Column:
@@ -112,9 +127,13 @@ def current_promotion(promos: DataFrame, d: datetime.date, keys: Sequence[str] =
     return first_per(promos, keys, [covers.desc(), *[F.col(c) for c in order]])
 
 
-def usable_promos(promos: DataFrame, groups: DataFrame, key: str = "promo_id") -> DataFrame:
-    """Promotions with an alias that is neither hidden nor editorial, and with groups."""
-    return promos.where(~F.lower("alias").rlike("hidden|sponsor|news|ricett|recipe")).join(groups, key, "left_semi")
+def usable_promos(promos: DataFrame, groups: DataFrame, key: str = "promo_id", parts: Sequence[str] = ("sponsor", "ricet"), starts: Sequence[str] = ("news",)) -> DataFrame:
+    """Promotions with groups whose alias holds none of the parts and starts with none of the starts; hidden ones go if there is such a column."""
+    alias = F.lower("alias")
+    bad = functools.reduce(lambda a, b: a | b, [*(F.contains(alias, F.lit(x)) for x in parts), *(alias.startswith(x) for x in starts)])
+    if "hidden" in promos.columns:
+        bad = bad | F.coalesce(F.col("hidden"), F.lit(False))
+    return promos.where(~bad).join(groups, key, "left_semi")
 
 
 def in_bbox(stores: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
@@ -139,7 +158,8 @@ def other_city(files: DataFrame, cities: DataFrame, city: str, name_col: str = "
 
 def active_offers(o: DataFrame, sk: DataFrame, p: DataFrame, c: DataFrame, d: datetime.date, keep_unmatched: bool = True) -> DataFrame:
     """The star join of active offers; unmatched SKUs stay with category 'uncategorized' or go."""
-    sku = sk.select(F.col("id").alias("sku_id"), "chain_id", "product_id", "raw_name", F.col("brand").alias("sku_brand"), "raw_quantity")
+    more = [c for c in ("image_url", "tags") if c in sk.columns]
+    sku = sk.select(F.col("id").alias("sku_id"), "chain_id", "product_id", "raw_name", F.col("brand").alias("sku_brand"), "raw_quantity", *more)
     product = p.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), F.col("brand").alias("product_brand"), F.col("category"))
     chain = c.select(F.col("id").alias("chain_id"), F.col("slug").alias("chain_slug"), F.col("name").alias("chain_name"))
     out = active(o, d).join(sku, "sku_id").join(product, "product_id", "left" if keep_unmatched else "inner").join(chain, "chain_id")
@@ -169,11 +189,26 @@ def abandoned_campaigns(fc: DataFrame, o: DataFrame, history: DataFrame, d: date
 
 
 def best_offer_per_product(live: DataFrame) -> DataFrame:
-    """Of each product the best price, where it is, and the number of chains."""
+    """Of each product the best price, where it is, the number of chains, and the image of the cheapest offer that has one."""
     by = F.struct("price_cents", "id")
+    image = [F.min_by("image_url", F.when(F.col("image_url").isNotNull(), by)).alias("best_image")] if "image_url" in live.columns else []
     return live.where("product_id IS NOT NULL").groupBy("product_id").agg(
         F.min("price_cents").alias("best_cents"), F.min_by("chain_slug", by).alias("best_chain"), F.min_by("discount_pct", by).alias("best_discount"),
-        F.min_by("original_cents", by).alias("best_original"), F.count_distinct("chain_id").alias("chains"))
+        F.min_by("original_cents", by).alias("best_original"), F.count_distinct("chain_id").alias("chains"), *image)
+
+
+def list_view(items: DataFrame, p: DataFrame, live: DataFrame, categories: DataFrame, override: str = "category_override") -> DataFrame:
+    """List items with their category's label and order, and their product's best offer.
+
+    ``categories`` has slug, label and sort_order; a category that is not among them has neither.
+    """
+    label = categories.select(F.col("slug").alias("category"), F.col("label").alias("category_label"), F.col("sort_order").alias("category_order"))
+    return list_with_category(items, p, override).join(label, "category", "left").join(best_offer_per_product(live), "product_id", "left")
+
+
+def list_order() -> list[Column]:
+    """The order of a list view: categories (those without an order last), then items by their own order, the newest first."""
+    return [F.asc_nulls_last("category_order"), F.asc_nulls_last("sort_key"), F.desc_nulls_first("created_at"), F.col("product_id")]
 
 
 def loyalty_programs(c: DataFrame, live: DataFrame, programs: DataFrame) -> DataFrame:
@@ -270,21 +305,32 @@ def offers_per_chain(c: DataFrame, live: DataFrame, positive: bool = False) -> D
     return out.where("offers > 0") if positive else out
 
 
-def deal_cards(live: DataFrame) -> DataFrame:
-    """A card per SKU across stores: price range, best discount, window, stores as JSON."""
+def deal_cards(live: DataFrame, *more: Column) -> DataFrame:
+    """A card per SKU across stores: price range, best discount, window, stores as JSON, and ``more`` aggregates."""
     stores = F.array_sort(F.collect_list(F.when(F.col("store_id").isNotNull(), F.struct("price_cents", "store_id"))))
     return live.groupBy("sku_id", "raw_name", "chain_slug").agg(
         F.min("price_cents").alias("min_cents"), F.max("price_cents").alias("max_cents"), F.max("discount_pct").alias("best_discount"), F.min("valid_from").alias("valid_from"),
         F.min("valid_to").alias("first_end"), F.max("valid_to").alias("valid_to"), F.count_distinct("store_id").alias("stores"), F.bool_or(F.col("store_id").isNull()).alias("national"),
-        F.to_json(stores).alias("stores_json"))
+        F.to_json(stores).alias("stores_json"), *more)
 
 
-def chain_health(c: DataFrame, live: DataFrame, fc: DataFrame, d: datetime.date, stale_days: int = 9) -> DataFrame:
-    """Per chain: active offers and SKUs, campaigns by state, last start, stale flag; facts are summed before they are joined."""
-    o = live.groupBy("chain_id").agg(F.count("*").alias("active_offers"), F.count_distinct("sku_id").alias("active_skus"))
-    f = fc.groupBy("chain_id").agg(F.max("valid_from").alias("last_start"), F.count_if(F.col("valid_to") < day(d)).alias("ended"), F.count_if(day(d).between(F.col("valid_from"), F.col("valid_to"))).alias("running"))
-    out = c.select(F.col("id").alias("chain_id"), "slug").join(o, "chain_id", "left").join(f, "chain_id", "left").fillna(0, ["active_offers", "active_skus", "ended", "running"])
-    return out.withColumn("stale", F.coalesce(F.datediff(day(d), F.col("last_start")) > stale_days, F.lit(True)) | (F.col("active_offers") == 0))
+def chain_health(c: DataFrame, o: DataFrame, sk: DataFrame, fc: DataFrame, d: datetime.date, stale_days: int = 9, recent_days: int = 7) -> DataFrame:
+    """Per chain: open offers and the share of those with an image, last campaign update, campaigns by state, stale flag.
+
+    Open are offers that end on the day or later.  ``fc`` has chain_id, scrape_status,
+    valid_to and updated_at.  Stale is a chain with loaded campaigns that are not over but
+    no open offer, or whose last update is more than ``stale_days`` old; a chain without
+    campaigns is not.  Facts are summed before they are joined.
+    """
+    offers = not_expired(o, d).join(sk.select(F.col("id").alias("sku_id"), "chain_id", "image_url"), "sku_id")
+    offers = offers.groupBy("chain_id").agg(F.count("*").alias("active_offers"), F.round(F.count("image_url") * 100 / F.count("*"), 1).alias("pct_image"))
+    recent = F.col("updated_at") > F.date_sub(day(d), recent_days)
+    of = lambda state, when: F.count_if((F.col("scrape_status") == state) & when)
+    runs = fc.groupBy("chain_id").agg(
+        F.max("updated_at").alias("last_update"), of("loaded", F.col("valid_to") >= day(d)).alias("loaded_active"), of("failed", recent).alias("failed_recent"), of("empty", recent).alias("empty_recent"))
+    out = c.select(F.col("id").alias("chain_id"), "slug").join(offers, "chain_id", "left").join(runs, "chain_id", "left").fillna(0, ["active_offers", "loaded_active", "failed_recent", "empty_recent"])
+    idle = (F.col("loaded_active") > 0) & (F.col("active_offers") == 0)
+    return out.withColumn("stale", idle | F.coalesce(F.datediff(day(d), F.col("last_update")) > stale_days, F.lit(False)))
 
 
 def match_coverage(sk: DataFrame) -> DataFrame:
@@ -331,6 +377,20 @@ def first_per(df: DataFrame, keys: Sequence, order: Sequence, k: int = 1, rank:
 keep_first = first_per
 
 
+def merge_promotions(rows: DataFrame, keys: Sequence, order: Sequence[str], text: str = "promotion") -> DataFrame:
+    """The first row of each key with the promotion texts of all its rows, in order.
+
+    A text that the ones before already hold is left out; null texts are.
+    """
+    at = F.struct(*order)
+    named = rows.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
+    told = F.transform(F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(at.alias("at"), F.col(text).alias("text"))))), lambda x: x["text"])
+    join = F.aggregate(told, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).when(F.contains(a, x), a).otherwise(F.concat(a, F.lit(" + "), x)))
+    first = F.min_by(F.struct(*[c for c in rows.columns if c != text]), at)
+    merged = named.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(first.alias("__row"), join.alias(text))
+    return merged.select("__row.*", text).select(*rows.columns)
+
+
 def cheapest_per(live: DataFrame, keys: Sequence[str] = ("product_id", "chain_id")) -> DataFrame:
     return first_per(live, keys, [F.col("price_cents"), F.col("id")])
 

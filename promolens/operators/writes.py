@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,14 +120,34 @@ def dedup_watches(w: DataFrame) -> DataFrame:
 
 
 def upsert_watches(w: DataFrame, batch: DataFrame) -> DataFrame:
-    """A watch of an existing folded key takes the batch's price and is active again; others are created."""
-    fold = lambda df: df.withColumn("__q", F.lower(F.trim("query")))
-    keys = ["user_id", "watch_type", "__q"]
-    t, b = fold(dedup_watches(w)).alias("t"), fold(batch).alias("b")
+    """A watch of an existing key takes the batch's price and is active again; others are created.
+
+    The key is user, type, folded query and both filters (``chain_filter``,
+    ``store_filter``; a missing or null one is an empty list).  A key that the batch holds
+    several times counts with its first row.
+    """
+    def prepared(df: DataFrame) -> DataFrame:
+        for c, kind in (("chain_filter", "array<string>"), ("store_filter", "array<bigint>")):
+            df = df.withColumn(c, F.coalesce(F.col(c) if c in df.columns else F.lit(None), F.array()).cast(kind))
+        if "is_active" not in df.columns:
+            df = df.withColumn("is_active", F.lit(True))
+        return dedup_watches(df).withColumn("__q", F.lower(F.trim("query")))
+
+    keys = ["user_id", "watch_type", "__q", "chain_filter", "store_filter"]
+    t, b = prepared(w).withColumn("__old", F.lit(True)).alias("t"), prepared(batch).withColumn("__new", F.lit(True)).alias("b")
     both = t.join(b, [F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full_outer")
-    new = F.col("b.__q").isNotNull()
-    return both.select(F.coalesce("t.id", "b.id").alias("id"), F.coalesce("t.user_id", "b.user_id").alias("user_id"), F.coalesce("t.watch_type", "b.watch_type").alias("watch_type"),
-                       F.coalesce("t.query", "b.query").alias("query"), F.when(new, F.col("b.max_price_cents")).otherwise(F.col("t.max_price_cents")).alias("max_price_cents"), F.col("t.id").isNull().alias("created"))
+    old, new = F.col("t.__old").isNotNull(), F.col("b.__new").isNotNull()
+    either = lambda c: F.when(old, F.col(f"t.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    return both.select(
+        *map(either, ("id", "user_id", "watch_type", "query", "chain_filter", "store_filter")), F.when(new, F.col("b.max_price_cents")).otherwise(F.col("t.max_price_cents")).alias("max_price_cents"),
+        F.when(new, True).otherwise(F.col("t.is_active")).alias("is_active"), (~old).alias("created"))
+
+
+def mark_notified(w: DataFrame, sent: DataFrame, now: datetime.datetime) -> DataFrame:
+    """Watches with ``last_notified_at``: now for those of which an alert (watch_id) was sent, else as before."""
+    told = sent.select(F.col("watch_id").alias("id")).distinct().withColumn("__now", F.lit(now))
+    old = F.col("last_notified_at") if "last_notified_at" in w.columns else F.lit(None).cast("timestamp")
+    return w.join(told, "id", "left").withColumn("last_notified_at", F.coalesce("__now", old)).drop("__now")
 
 
 def patch_items(items: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -174,15 +195,32 @@ def cascade(children: DataFrame, parents: DataFrame, key: str, parent_key: str =
     return children.join(parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_semi")
 
 
-def fan_out(o: DataFrame, stores: DataFrame) -> DataFrame:
-    """An offer for each store of its formats in the chain, or one row without store.
+#: Store formats with the parts of a promotion's text that name them.
+FORMATS = [("supermarket", ["super"]), ("market", ["market", "supermercat"]), ("ipermarket", ["iper"]), ("cashcarry", ["cash carry", "cashcarry", "cash&carry", "cash & carry"])]
+#: Parts that name a pet shop.
+PET_SHOPS = ["pet store", "petstore", "buddy"]
+
+
+def fan_out(o: DataFrame, stores: DataFrame, by_format: Sequence[int] | None = None) -> DataFrame:
+    """(id, chain_id, target_store): an offer once for each of its stores.
 
-    Formats come from the promotion text; promotions of the chain's pet shops go, those
-    whose name or brand say so, not other words with "pet" in them.
+    An offer's own list (``store_ids``, not empty) wins.  Else the offers of the chains
+    ``by_format`` (None: all) go to the active stores of the formats that the promotion's
+    text names, to all active stores of the chain if it names none or there is no text, and
+    to none if it is a pet shop's; a chain without such stores has no rows.  Offers of other
+    chains keep their ``store_id``, or none.
     """
-    t = F.lower("promo")
-    names = {"super": "supermarket", "market|supermercat": "market", "iper": "ipermarket", "cash ?(?:& ?)?carry": "cashcarry"}
-    formats = F.array_compact(F.array(*[F.when(t.rlike(w), F.lit(f)) for w, f in names.items()]))
-    rows = o.where(~F.coalesce(t.rlike(r"\bpet ?store|buddy"), F.lit(False))).withColumn("format", F.explode_outer(F.when(F.size(formats) > 0, formats)))
-    s = stores.select(F.col("id").alias("target_store"), F.col("chain_id"), F.col("format"))
-    return rows.join(s, ["chain_id", "format"], "left").select("id", "chain_id", "format", "target_store")
+    text = F.regexp_replace(F.lower(F.coalesce("promo", F.lit(""))), r"\s+", " ")
+    holds = lambda parts: functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in parts])
+    own = F.col("store_ids") if "store_ids" in o.columns else F.lit(None).cast("array<bigint>")
+    dealt = F.lit(True) if by_format is None else F.col("chain_id").isin(list(by_format))
+    formats = F.array_compact(F.array(*[F.when(holds(parts), F.lit(f)) for f, parts in FORMATS]))
+    rows = o.withColumns({"__own": F.coalesce(F.size(own), F.lit(0)) > 0, "__dealt": dealt, "__formats": formats, "__pet": holds(PET_SHOPS)})
+    given = rows.where("__own").select("id", "chain_id", F.explode("store_ids").alias("target_store")) if "store_ids" in o.columns else None
+    keep = F.col("store_id") if "store_id" in o.columns else F.lit(None).cast("bigint")
+    single = rows.where("NOT __own AND NOT __dealt").select("id", "chain_id", keep.alias("target_store"))
+    active = stores.where("is_active") if "is_active" in stores.columns else stores
+    s = active.select(F.col("id").alias("target_store"), "chain_id", "format")
+    many = rows.where("NOT __own AND __dealt AND NOT __pet").join(s, "chain_id").where((F.size("__formats") == 0) | F.array_contains("__formats", F.col("format"))).select("id", "chain_id", "target_store")
+    out = single.unionByName(many)
+    return out if given is None else out.unionByName(given)

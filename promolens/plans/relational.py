@@ -10,6 +10,18 @@ from .registry import Registry, live, tagged
 
 reg = Registry()
 A = ("active",)
+
+
+def with_images(r):
+    """SKUs with an image for three in four."""
+    return r.skus.withColumn("image_url", F.expr("IF(id % 4 = 0, NULL, concat('https://img/', id))"))
+
+
+def pictured(r):
+    """Live offers with the images of their SKUs."""
+    return op.active_offers(r.offers, with_images(r), r.products, r.chains, AS_OF)
+
+
 OFFER = "id, sku_id, store_id, price_cents, discount_pct, valid_from, valid_to"
 CARD = ["id", "sku_id", "store_id", "price_cents", "discount_pct", "valid_from", "valid_to"]
 L = ["id", "sku_id", "chain_slug", "price_cents", "discount_pct"]
@@ -29,12 +41,15 @@ reg.add("f6_store_offers", lambda r: op.store_offers(live(r), r.stores, 3).selec
 reg.add("f7_contains_text", lambda r: live(r).where(op.contains_text("Bolt", "raw_name", "product_name", "sku_brand")).select(*L),
         f"SELECT {LS} FROM active WHERE lower(raw_name) LIKE '%bolt%' OR lower(coalesce(product_name, '')) LIKE '%bolt%' OR lower(sku_brand) LIKE '%bolt%'", *A)
 reg.add("f8_word_match", lambda r: live(r).withColumn("score", op.word_score(F.col("raw_name"), "hot")).where("score > 0").select("id", "score"),
-        r"SELECT id, CASE WHEN regexp_matches(lower(raw_name), '^\s*hot(\s|$)') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(raw_name), '(^|\s)hot(\s|$)') THEN 1 ELSE 0 END AS score FROM active WHERE regexp_matches(lower(raw_name), '(^|\s)hot(\s|$)')", *A)
+        r"""SELECT * FROM (SELECT id, CASE WHEN regexp_matches(lower(raw_name), '^\s*([a-z&.]+\s+)?hot\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(raw_name), '(^|\s)hot(\s|$)') THEN 1 ELSE 0 END AS score FROM active) WHERE score > 0""", *A)
+reg.add("f8_not_fragment", lambda r: r.products.selectExpr("id", "element_at(array('', 'e ', 'CON ', 'dei', 'su  '), CAST(id % 5 AS INT) + 1) || IF(id % 7 = 0, 'ab', name) AS name").where(op.not_fragment(F.col("name"))).select("id"),
+        "SELECT id FROM products WHERE (id % 5 = 0 AND id % 7 <> 0) OR id % 5 = 3", "products")
 reg.add("f9_has_tag", lambda r: tagged(r).where(op.has_tag("cold")).select("id"), f"WITH {TAGGED} SELECT id FROM tagged WHERE list_contains(tags, 'cold')", "skus")
 reg.add("f10_any_tag", lambda r: tagged(r).where(op.has_any_tag(["cold", "red", "bogus"], ["cold", "red", "hot"])).select("id"), f"WITH {TAGGED} SELECT id FROM tagged WHERE list_has_any(tags, ['cold', 'red'])", "skus")
 reg.add("f11_expiring", lambda r: op.expiring(r.offers, AS_OF, 7).select(*CARD), f"SELECT {OFFER} FROM offers WHERE valid_to >= {D} AND valid_to <= {D} + 7", "offers")
 reg.add("f12_deal_quality", lambda r: live(r).where(op.deal_quality(120000)).select(*L), f"SELECT {LS} FROM active WHERE discount_pct IS NOT NULL AND price_cents < 120000 AND length(raw_name) < 120", *A)
-reg.add("f13_not_banner", lambda r: r.skus.where(op.not_banner()).select("id"), r"SELECT id FROM skus WHERE length(raw_name) BETWEEN 6 AND 90 AND NOT regexp_matches(lower(raw_name), '(^|\s)(sconto|promo|offerta|punti|coupon|volantino|sconti)(\s|$)')", "skus")
+reg.add("f13_not_banner", lambda r: r.skus.withColumn("raw_name", F.expr("IF(id % 4 = 0, concat(raw_name, element_at(array(' Settimana dal 3', ' concorso', ' VINCE!', ' punti', ' tribù'), CAST(id div 4 % 5 AS INT) + 1)), raw_name)")).where(op.not_banner()).select("id"),
+        "SELECT id FROM skus WHERE (id % 4 <> 0 OR id // 4 % 5 = 3) AND length(raw_name) + CASE WHEN id % 4 = 0 THEN 6 ELSE 0 END BETWEEN 6 AND 90", "skus")
 reg.add("f14_allowed_url", lambda r: r.raw("pages").where(op.allowed_url(F.col("url"), ["example.com", "example.org"])).select("page_id", "url"),
         r"SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '^https?://([^/:@?#]*\.)?example\.(com|org)([:/?#]|$)')")
 FLY = lambda r: r.campaigns
@@ -42,10 +57,10 @@ reg.add("f15_fresh_flyers", lambda r: op.fresh_flyers(r.campaigns, AS_OF)[0], f"
 reg.add("f15_stale_flyers", lambda r: op.fresh_flyers(r.campaigns, AS_OF)[1].groupBy("chain_id").agg(F.count("*").alias("n")), f"SELECT chain_id, count(*) AS n FROM campaigns WHERE NOT ({D} BETWEEN valid_from AND valid_to) GROUP BY chain_id", "campaigns")
 reg.add("f16_current_promotion", lambda r: op.current_promotion(r.campaigns, AS_OF, order=("valid_from", "id")),
         f"SELECT * FROM campaigns QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY {D} BETWEEN valid_from AND valid_to DESC, valid_from, id) = 1", "campaigns")
-reg.add("f17_usable_promos", lambda r: op.usable_promos(r.products.selectExpr("id AS promo_id", "name AS alias"), r.skus.selectExpr("product_id AS promo_id")),
-        "SELECT id AS promo_id, name AS alias FROM products WHERE NOT regexp_matches(lower(name), 'hidden|sponsor|news|ricett|recipe') AND id IN (SELECT product_id FROM skus)", "products", "skus")
-reg.add("f19_null_safe_keys", lambda r: r.offers.alias("a").join(r.offers.where("price_cents % 97 = 0").select("store_id", "sku_id").distinct().alias("b"), F.col("a.store_id").eqNullSafe(F.col("b.store_id")) & (F.col("a.sku_id") == F.col("b.sku_id"))).select("a.id"),
-        "SELECT a.id FROM offers a JOIN (SELECT DISTINCT store_id, sku_id FROM offers WHERE price_cents % 97 = 0) b ON a.store_id IS NOT DISTINCT FROM b.store_id AND a.sku_id = b.sku_id", "offers")
+reg.add("f17_usable_promos", lambda r: op.usable_promos(r.products.selectExpr("id AS promo_id", "concat(element_at(array('', 'news-', 'big-news ', 'Sponsor ', 'RICETTA '), CAST(id % 5 AS INT) + 1), name) AS alias", "id % 3 = 0 AS hidden"), r.skus.selectExpr("product_id AS promo_id")).select("promo_id"),
+        "SELECT id AS promo_id FROM products WHERE id % 5 IN (0, 2) AND id % 3 <> 0 AND id IN (SELECT product_id FROM skus)", "products", "skus")
+reg.add("f19_null_safe_keys", lambda r: r.offers.alias("a").join(r.offers.where("requires_card").select("store_id", "sku_id").distinct().alias("b"), F.col("a.store_id").eqNullSafe(F.col("b.store_id")) & (F.col("a.sku_id") == F.col("b.sku_id"))).select("a.id"),
+        "SELECT a.id FROM offers a JOIN (SELECT DISTINCT store_id, sku_id FROM offers WHERE requires_card) b ON coalesce(a.store_id, -1) = coalesce(b.store_id, -1) AND a.sku_id = b.sku_id", "offers")
 reg.add("f20_display_labels", lambda r: op.with_display(live(r)).select("id", "display_name", "display_brand", "category"), "SELECT id, coalesce(product_name, raw_name) AS display_name, coalesce(product_brand, sku_brand) AS display_brand, category FROM active", *A)
 reg.add("f21_in_bbox", lambda r: op.in_bbox(r.stores, 45.2, 45.5, 10.7, 11.2).select("id"), "SELECT id FROM stores WHERE lat BETWEEN 45.2 AND 45.5 AND lng BETWEEN 10.7 AND 11.2", "stores")
 reg.add("f22_other_city", lambda r: op.other_city(r.products.selectExpr("concat('http://x/', upper(replace(name, ' ', '-')), '.pdf') AS url").distinct(), r.spark.createDataFrame([("COLD",), ("HOT",), ("RED",)], "city string"), "red"),
@@ -59,9 +74,10 @@ reg.add("j4_cross_chain_prices", lambda r: live(r, False).select("product_id", "
 reg.add("j5_national_chains", lambda r: op.national_chains(r.chains, live(r)), "SELECT * FROM chains WHERE id IN (SELECT chain_id FROM active WHERE store_id IS NULL)", *A)
 reg.add("j7_abandoned_campaigns", lambda r: op.abandoned_campaigns(r.campaigns, r.offers.where("valid_from > DATE '1996-01-01'"), r.offers.where("price_cents % 5 = 0"), AS_OF).select("id"),
         f"SELECT id FROM campaigns WHERE valid_to < {D} - 14 AND id NOT IN (SELECT campaign_id FROM offers WHERE valid_from > DATE '1996-01-01') AND id NOT IN (SELECT campaign_id FROM offers WHERE price_cents % 5 = 0)", "campaigns")
-reg.add("j10_best_offer_per_product", lambda r: r.products.select(F.col("id").alias("product_id"), "name").join(op.best_offer_per_product(live(r)), "product_id", "left"),
+reg.add("j10_best_offer_per_product", lambda r: r.products.select(F.col("id").alias("product_id"), "name").join(op.best_offer_per_product(pictured(r)), "product_id", "left"),
         """SELECT p.id AS product_id, p.name, b.* EXCLUDE (product_id) FROM products p LEFT JOIN (SELECT product_id, min(price_cents) AS best_cents, arg_min(chain_slug, (price_cents, id)) AS best_chain,
-        first(discount_pct ORDER BY price_cents, id) AS best_discount, arg_min(original_cents, (price_cents, id)) AS best_original, count(DISTINCT chain_id) AS chains FROM active GROUP BY product_id) b ON p.id = b.product_id""", *A)
+        first(discount_pct ORDER BY price_cents, id) AS best_discount, arg_min(original_cents, (price_cents, id)) AS best_original, count(DISTINCT chain_id) AS chains,
+        arg_min('https://img/' || sku_id, (price_cents, id)) FILTER (WHERE sku_id % 4 <> 0) AS best_image FROM active GROUP BY product_id) b ON p.id = b.product_id""", *A)
 reg.add("j19_loyalty_programs", lambda r: op.loyalty_programs(r.chains, live(r), r.spark.createDataFrame([("card",), ("app",)], "program string")).select("slug", "program", "card_offers", "card_skus"),
         "SELECT slug, program, coalesce(n, 0) AS card_offers, coalesce(s, 0) AS card_skus FROM chains CROSS JOIN (VALUES ('card'), ('app')) v(program) LEFT JOIN (SELECT chain_id, count(*) AS n, count(DISTINCT sku_id) AS s FROM active WHERE requires_card GROUP BY chain_id) a ON a.chain_id = chains.id", *A)
 CATS = [(1, "economy"), (2, "promo"), (3, "large"), (4, "altro")]
@@ -93,10 +109,14 @@ CARDS = "cards AS (SELECT sku_id, raw_name, chain_slug, min(price_cents) AS min_
 reg.add("g17_deal_cards", lambda r: op.deal_cards(live(r)).drop("stores_json"), f"WITH {CARDS} SELECT * FROM cards", *A)
 reg.add("g17_deal_card_stores", lambda r: op.deal_cards(live(r)).select("sku_id", "stores_json"),
         """SELECT sku_id, '[' || coalesce(string_agg('{"price_cents":' || price_cents || ',"store_id":' || store_id || '}', ',' ORDER BY price_cents, store_id) FILTER (WHERE store_id IS NOT NULL), '') || ']' AS stores_json FROM active GROUP BY sku_id, raw_name, chain_slug""", *A)
-reg.add("g18_chain_health", lambda r: op.chain_health(r.chains, live(r), r.campaigns, AS_OF),
-        f"""SELECT c.id AS chain_id, slug, coalesce(n, 0) AS active_offers, coalesce(s, 0) AS active_skus, last_start, coalesce(ended, 0) AS ended, coalesce(running, 0) AS running, coalesce({D} - last_start > 9, true) OR coalesce(n, 0) = 0 AS stale FROM chains c
-        LEFT JOIN (SELECT chain_id, count(*) AS n, count(DISTINCT sku_id) AS s FROM active GROUP BY chain_id) a ON a.chain_id = c.id
-        LEFT JOIN (SELECT chain_id, max(valid_from) AS last_start, count(*) FILTER (WHERE valid_to < {D}) AS ended, count(*) FILTER (WHERE {D} BETWEEN valid_from AND valid_to) AS running FROM campaigns GROUP BY chain_id) f ON f.chain_id = c.id""", "active", "campaigns")
+STATES = "CASE id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'empty' ELSE 'loaded' END AS scrape_status"
+reg.add("g18_chain_health", lambda r: op.chain_health(r.chains, r.offers.where("sku_id % 100 <> 5"), with_images(r), r.campaigns.where("chain_id % 9 <> 2").selectExpr("*", STATES, "date_sub(valid_from, CAST(id % 3 AS INT) + IF(chain_id % 2 = 0, 30, 0)) AS updated_at").where(f"updated_at <= {D}"), AS_OF),
+        f"""WITH fc AS (SELECT *, {STATES}, valid_from - (id % 3)::INT - CASE WHEN chain_id % 2 = 0 THEN 30 ELSE 0 END AS updated_at FROM campaigns WHERE chain_id % 9 <> 2),
+        f AS (SELECT chain_id, max(updated_at) AS last_update, count(*) FILTER (WHERE scrape_status = 'loaded' AND valid_to >= {D}) AS loaded_active, count(*) FILTER (WHERE scrape_status = 'failed' AND updated_at > {D} - 7) AS failed_recent,
+          count(*) FILTER (WHERE scrape_status = 'empty' AND updated_at > {D} - 7) AS empty_recent FROM fc WHERE updated_at <= {D} GROUP BY chain_id),
+        a AS (SELECT sku_id % 100 AS chain_id, count(*) AS n, round(count(*) FILTER (WHERE sku_id % 4 <> 0) * 100.0::DOUBLE / count(*), 1) AS pct FROM offers WHERE valid_to >= {D} AND sku_id % 100 <> 5 GROUP BY 1)
+        SELECT c.id AS chain_id, slug, coalesce(n, 0) AS active_offers, pct AS pct_image, last_update, coalesce(loaded_active, 0) AS loaded_active, coalesce(failed_recent, 0) AS failed_recent, coalesce(empty_recent, 0) AS empty_recent,
+          (coalesce(loaded_active, 0) > 0 AND coalesce(n, 0) = 0) OR coalesce({D} - last_update > 9, false) AS stale FROM chains c LEFT JOIN a ON a.chain_id = c.id LEFT JOIN f ON f.chain_id = c.id""", "offers", "campaigns", "chains")
 reg.add("g19_match_coverage", lambda r: op.match_coverage(r.skus), "SELECT count(*) AS total, count(product_id) AS matched, count(DISTINCT product_id) AS products, count(*) FILTER (WHERE product_id IS NULL) AS unmatched FROM skus", "skus")
 reg.add("g19_cross_chain_products", lambda r: op.cross_chain_products(r.skus), "SELECT product_id, count(DISTINCT chain_id) AS chains FROM skus WHERE product_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT chain_id) >= 2", "skus")
 reg.add("g21_modal_window", lambda r: op.modal_window(r.offers, ["campaign_id"], "id"), "SELECT campaign_id, valid_from, valid_to, n FROM (SELECT campaign_id, valid_from, valid_to, count(*) AS n, min(id) AS f FROM offers GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY n DESC, f) = 1", "offers")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
@@ -12,9 +13,11 @@ from ..operators import matching as ma
 from ..operators import offers as op
 from ..operators import search as se
 from ..operators import writes as wr
+from ..operators.text_index import TextIndex, TrigramIndex
 from ..sources.views import AS_OF, NOW, TS, D
+from ..storage import Scratch
 from .registry import TAG_WORDS, Registry, live, tagged
-from .relational import CARDS, CATSQL, TAGGED, cats
+from .relational import CARDS, CATSQL, TAGGED, cats, pictured
 
 reg = Registry()
 A = ("active",)
@@ -37,26 +40,69 @@ reg.add("g17_explore", lambda r: se.explore(live(r), se.ExploreSpec(q="bolt", ca
         f"WITH hit AS (SELECT * FROM active WHERE (lower(raw_name) LIKE '%bolt%') AND category IN ('economy', 'promo', 'large') AND valid_to <= {D} + 14), {CARDS.replace('FROM active', 'FROM hit')} SELECT * FROM cards ORDER BY min_cents, sku_id LIMIT 100", *A)
 reg.add("f18_explore_chains", lambda r: se.explore(live(r), se.ExploreSpec(chains=["nation_1", "nation_2", "nation_3"], most_cents=150000, sort="discount"), AS_OF).drop("stores_json"),
         f"WITH hit AS (SELECT * FROM active WHERE chain_slug IN ('nation_1', 'nation_2', 'nation_3') AND price_cents <= 150000), {CARDS.replace('FROM active', 'FROM hit')} SELECT * FROM cards ORDER BY best_discount DESC NULLS LAST, min_cents, sku_id LIMIT 100", *A)
-reg.add("t3_compare_prices", lambda r: se.compare_prices(live(r), "cold bolt").select("id", "price_cents"), f"SELECT id, price_cents FROM active WHERE {sim('raw_name', chr(39) + 'cold bolt' + chr(39))} > 0.25 OR lower(raw_name) LIKE '%cold bolt%' ORDER BY price_cents, id LIMIT 50", *A)
-reg.add("t4_search", lambda r: se.search(live(r), "cold").select("id", "word", "similarity"),
-        f"""WITH hit AS (SELECT *, row_number() OVER (PARTITION BY sku_id, chain_id ORDER BY price_cents, id) AS k FROM active WHERE lower(raw_name) LIKE '%cold%')
-        SELECT id, word, similarity FROM (SELECT id, price_cents, CASE WHEN lower(raw_name) LIKE 'cold %' THEN 3 WHEN regexp_matches(lower(raw_name), '(^| )cold( |$)') THEN 1 ELSE 0 END AS word, 1.0 / len(list_distinct(string_split(lower(raw_name), ' '))) AS rank, {sim('raw_name', chr(39) + 'cold' + chr(39))} AS similarity FROM hit WHERE k = 1)
-        ORDER BY word DESC, rank DESC, similarity DESC, price_cents, id LIMIT 50""", *A)
-reg.add("t5_relevance", lambda r: se.explore(live(r), se.ExploreSpec(q="widget", sort="relevance"), AS_OF).select("sku_id", "relevance", "best_discount"),
-        f"WITH hit AS (SELECT * FROM active WHERE lower(raw_name) LIKE '%widget%'), {CARDS.replace('FROM active', 'FROM hit')} SELECT sku_id, {sim('raw_name', chr(39) + 'widget' + chr(39))} AS relevance, best_discount FROM cards ORDER BY relevance DESC, best_discount DESC NULLS LAST, sku_id LIMIT 100", *A)
-reg.add("t6_search_products", lambda r: se.search_products(r.products, "cold bolt").select("id", "name", "front"),
+
+
+def indexes(r, names, key="id", text="name"):
+    """A word and a trigram index over names, in the shared folder."""
+    scratch = Scratch(r.spark, "index")
+    words, grams = TextIndex(r.spark, scratch.path + "/words", 16), TrigramIndex(r.spark, scratch.path + "/grams", 16)
+    for index in (words, grams):
+        index.refresh(names, key, text)
+    return words, grams
+
+
+def grams_of(r, names, key="id", text="name"):
+    index = TrigramIndex(r.spark, Scratch(r.spark, "index").path + "/grams", 16)
+    index.refresh(names, key, text)
+    return index
+
+
+reg.add("f18_explore_geo", lambda r: se.explore(live(r), se.ExploreSpec(near=(45.3, 11.0, 20.0), sort="expiring"), AS_OF, r.stores).drop("stores_json"),
+        f"""WITH near AS (SELECT id FROM stores WHERE 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(45.3::DOUBLE)) / 2), 2) + cos(radians(45.3::DOUBLE)) * cos(radians(lat)) * pow(sin((radians(lng) - radians(11.0::DOUBLE)) / 2), 2)))) <= 20),
+        hit AS (SELECT * FROM active WHERE store_id IS NULL OR store_id IN (SELECT id FROM near)), {CARDS.replace('FROM active', 'FROM hit')} SELECT * FROM cards ORDER BY first_end, best_discount DESC NULLS LAST, sku_id LIMIT 100""", "active", "stores")
+reg.add("t3_compare_prices", lambda r: se.compare_prices(live(r), "cold bolt", index=grams_of(r, r.skus, text="raw_name")).select("id", "price_cents"), f"SELECT id, price_cents FROM active WHERE {sim('raw_name', chr(39) + 'cold bolt' + chr(39))} > 0.25 OR lower(raw_name) LIKE '%cold bolt%' ORDER BY price_cents, id LIMIT 50", *A)
+# every seventh name reads like the fragment of another one
+NAMED = lambda r: r.products.withColumn("name", F.expr("IF(id % 7 = 0, concat('con ', name), name)"))
+reg.add("t4_search", lambda r: se.search(r.offers, r.skus, NAMED(r), r.chains, "Cold Bolt", AS_OF, *indexes(r, NAMED(r)), chains=[f"nation_{i}" for i in range(20)]).select("id", "product_id", "word", "similarity"),
+        f"""WITH hit AS (SELECT id AS product_id, name, CASE WHEN regexp_matches(name, '^([a-z&.]+ +)?cold bolt\\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(name, '(^| )cold bolt( |$)') THEN 1 ELSE 0 END AS word,
+          list_has_all(string_split(name, ' '), ['cold', 'bolt']) AS fts, 2.0::DOUBLE / len(list_distinct(string_split(name, ' '))) AS rank, {sim('name', chr(39) + 'cold bolt' + chr(39))} AS similarity FROM products WHERE id % 7 <> 0),
+        o AS (SELECT offers.id, product_id, chain_id, price_cents, word, CASE WHEN fts THEN rank ELSE 0 END AS rank, similarity FROM offers JOIN skus ON skus.id = sku_id JOIN hit USING (product_id)
+          WHERE valid_to >= {D} AND chain_id < 20 AND (word IN (1, 3) OR fts OR similarity > 0.4) QUALIFY row_number() OVER (PARTITION BY product_id, chain_id ORDER BY price_cents, offers.id) = 1)
+        SELECT id, product_id, word, similarity FROM o ORDER BY word DESC, rank DESC, similarity DESC, price_cents, id LIMIT 50""", "offers", "skus", "products")
+reg.add("e17_index_match", lambda r: indexes(r, r.skus, text="raw_name")[0].match("il widget cold"),
+        "SELECT id, 2.0::DOUBLE / len(list_distinct(string_split(lower(raw_name), ' '))) AS rank, len([w FOR w IN string_split(lower(raw_name), ' ') IF w IN ('cold', 'widget')])::BIGINT AS tf FROM skus WHERE list_has_all(string_split(lower(raw_name), ' '), ['cold', 'widget'])", "skus")
+
+
+def refreshed(r):
+    """An index of old names, refreshed for the SKUs that got new ones."""
+    index = TextIndex(r.spark, Scratch(r.spark, "index").path + "/words", 16)
+    index.refresh(r.skus.selectExpr("id", "IF(id % 10 = 0, 'old cold name', raw_name) AS name"))
+    index.refresh(r.skus.where("id % 10 = 0").selectExpr("id", "raw_name AS name"))
+    return index.match("cold").select("id")
+
+
+reg.add("m8_refresh_index", refreshed, "SELECT id FROM skus WHERE list_contains(string_split(lower(raw_name), ' '), 'cold')", "skus")
+reg.add("t5_relevance", lambda r: se.explore(live(r).withColumn("product_name", F.expr("IF(sku_id % 3 = 0, 'widget', product_name)")), se.ExploreSpec(q="widget", sort="relevance"), AS_OF).select("sku_id", "relevance", "best_discount"),
+        f"WITH hit AS (SELECT *, CASE WHEN sku_id % 3 = 0 THEN 1.0 ELSE {sim('raw_name', chr(39) + 'widget' + chr(39))} END AS s FROM active WHERE sku_id % 3 = 0 OR lower(raw_name) LIKE '%widget%') SELECT sku_id, max(s)::DOUBLE AS relevance, max(discount_pct) AS best_discount FROM hit GROUP BY sku_id, raw_name, chain_slug ORDER BY relevance DESC, best_discount DESC NULLS LAST, sku_id LIMIT 100", *A)
+reg.add("t6_search_products", lambda r: se.search_products(r.products, "cold bolt", index=grams_of(r, r.products)).select("id", "name", "front"),
         f"SELECT id, name, CASE WHEN name LIKE 'cold bolt%' THEN 0 ELSE 1 END AS front FROM products WHERE {sim('name', chr(39) + 'cold bolt' + chr(39))} > 0.3 OR name LIKE '%cold bolt%' ORDER BY front, {sim('name', chr(39) + 'cold bolt' + chr(39))} DESC, name, id LIMIT 50", "products")
 reg.add("j11_within_km", lambda r: sm.within_km(r.stores, 45.3, 11.0, 20).selectExpr("id", "CAST(round(distance_km * 10) AS BIGINT) AS hm"),
         "SELECT id, round(round(km, 1) * 10)::BIGINT AS hm FROM (SELECT id, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(45.3::DOUBLE)) / 2), 2) + cos(radians(45.3::DOUBLE)) * cos(radians(lat)) * pow(sin((radians(lng) - radians(11.0::DOUBLE)) / 2), 2)))) AS km FROM stores) WHERE km <= 20", "stores")
-reg.add("j11_geo_join", lambda r: sm.geo_join(r.stores.where("id % 7 = 0"), r.stores, 8.0).select("point_id", "store_id"),
-        "SELECT a.id AS point_id, b.id AS store_id FROM stores a JOIN stores b ON a.id % 7 = 0 AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lng) - radians(a.lng)) / 2), 2)))) <= 8.0", "stores")
+reg.add("j11_geo_join", lambda r: sm.geo_join(r.stores, r.stores, 8.0).select("point_id", "store_id"),
+        "SELECT a.id AS point_id, b.id AS store_id FROM stores a JOIN stores b ON 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lng) - radians(a.lng)) / 2), 2)))) <= 8.0", "stores")
 
 # writes
 BATCH = lambda r: r.skus.where("id % 7 = 0").selectExpr("id + 1 AS id", "chain_id", "product_id", "upper(raw_name) AS raw_name", "IF(id % 2 = 0, brand, NULL) AS brand", "raw_quantity")
 BATCHSQL = "batch AS (SELECT id + 1 AS id, chain_id, product_id, upper(raw_name) AS raw_name, CASE WHEN id % 2 = 0 THEN brand END AS brand, raw_quantity FROM skus WHERE id % 7 = 0)"
 reg.add("s6_upsert", lambda r: wr.upsert(r.skus, BATCH(r), ["id"]), f"WITH {BATCHSQL} SELECT * FROM batch UNION ALL SELECT * FROM skus WHERE id NOT IN (SELECT id FROM batch)", "skus")
 reg.add("s7_upsert_coalesce", lambda r: wr.upsert(r.skus, BATCH(r), ["id"], {"brand": "coalesce_new", "chain_id": "keep"}).select("id", "chain_id", "raw_name", "brand"),
-        f"WITH {BATCHSQL} SELECT coalesce(s.id, b.id) AS id, coalesce(s.chain_id, b.chain_id) AS chain_id, coalesce(b.raw_name, s.raw_name) AS raw_name, coalesce(b.brand, s.brand) AS brand FROM skus s FULL JOIN batch b ON s.id = b.id", "skus")
+        f"""WITH old AS MATERIALIZED (SELECT * FROM skus), {BATCHSQL.replace("FROM skus", "FROM old").replace("AS (", "AS MATERIALIZED (", 1)}
+        SELECT b.id, coalesce(s.chain_id, b.chain_id) AS chain_id, b.raw_name, coalesce(b.brand, s.brand) AS brand FROM batch b LEFT JOIN old s ON s.id = b.id
+        UNION ALL SELECT id, chain_id, raw_name, brand FROM old WHERE id NOT IN (SELECT id FROM batch)""", "skus")
+PROPS = "IF(id % 5 = 0, NULL, map('a', brand, 'b', CAST(id % 3 AS STRING))) AS props"
+reg.add("s7_map_merge", lambda r: wr.upsert(r.skus.selectExpr("id", PROPS), r.skus.where("id % 2 = 0").selectExpr("id", "IF(id % 3 = 0, NULL, map('b', 'new', 'c', raw_name)) AS props"), ["id"], {"props": "map_merge"}).selectExpr("id", "props['a'] AS a", "props['b'] AS b", "props['c'] AS c", "size(props) AS n"),
+        """SELECT id, CASE WHEN id % 5 <> 0 THEN brand END AS a, CASE WHEN fresh THEN 'new' WHEN id % 5 <> 0 THEN (id % 3)::VARCHAR END AS b, CASE WHEN fresh THEN raw_name END AS c,
+        CASE WHEN fresh AND id % 5 <> 0 THEN 3 WHEN fresh OR id % 5 <> 0 THEN 2 END::INT AS n FROM (SELECT *, id % 2 = 0 AND id % 3 <> 0 AS fresh FROM skus)""", "skus")
 reg.add("s8_store_upsert", lambda r: wr.upsert(r.stores.select("id", "name", "lat"), r.stores.where("id % 3 = 0").selectExpr("id", "concat(name, ' x') AS name", "lat + 1 AS lat"), ["id"]), "SELECT id, CASE WHEN id % 3 = 0 THEN name || ' x' ELSE name END AS name, CASE WHEN id % 3 = 0 THEN lat + 1 ELSE lat END AS lat FROM stores", "stores")
 reg.add("s9_replace_scope", lambda r: wr.replace_scope(r.offers, r.offers.where("campaign_id = 30100").selectExpr("concat(id, '-n') AS id", *r.offers.columns[1:]), 30100).groupBy("campaign_id").agg(F.count("*").alias("n"), F.max("id").alias("m")),
         "SELECT campaign_id, count(*) AS n, max(CASE WHEN campaign_id = 30100 THEN id || '-n' ELSE id END) AS m FROM offers GROUP BY campaign_id", "offers")
@@ -85,22 +131,34 @@ reg.add("w1_dedup_watches", lambda r: wr.dedup_watches(FILTERED(r)).drop("chain_
 reg.add("w5_last_run_per_type", lambda r: al.last_run_per_type(r.runs), "SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY run_type ORDER BY started_at DESC, id DESC) = 1", "runs")
 reg.add("w5_recent_runs", lambda r: al.recent_runs(r.runs, NOW), f"SELECT *, (epoch({TS})::BIGINT - floor(epoch(started_at))::BIGINT) AS age_s, status = 'running' AND epoch({TS})::BIGINT - floor(epoch(started_at))::BIGINT > 7200 AS stuck FROM runs ORDER BY started_at DESC, id DESC LIMIT 100", "runs")
 reg.add("w6_keep_first", lambda r: op.keep_first(r.offers, ["campaign_id", "sku_id"], [F.col("valid_from"), F.col("id")]).select("campaign_id", "sku_id", "id"), "SELECT campaign_id, sku_id, id FROM offers QUALIFY row_number() OVER (PARTITION BY campaign_id, sku_id ORDER BY valid_from, id) = 1", "offers")
+# the same name at the same price is one offer with the texts of all its promotions, the longest promotion first
+PROMOS = "SELECT name, price, promotion, pos FROM (SELECT upper(raw_name) AS name, price_cents AS price, 'promo ' || sku_id % 3 AS promotion, id AS pos FROM active)"
+reg.add("w6_merge_promotions", lambda r: op.merge_promotions(live(r).selectExpr("raw_name AS name", "price_cents AS price", "concat('promo ', sku_id % 3) AS promotion", "id AS pos"), [F.upper("name"), F.col("price")], ["pos"]).select(F.upper("name").alias("name"), "price", "promotion", "pos"),
+        f"WITH p AS ({PROMOS}), f AS (SELECT name, price, promotion, min(pos) AS pos FROM p GROUP BY ALL) SELECT name, price, string_agg(promotion, ' + ' ORDER BY pos) AS promotion, min(pos) AS pos FROM f GROUP BY name, price", *A)
 reg.add("w7_apply_order", lambda r: wr.apply_order(r.list_items, r.list_items.groupBy("list_id").agg(F.reverse(F.array_sort(F.collect_list("product_id"))).alias("product_ids"))), "SELECT list_id, product_id, ((row_number() OVER (PARTITION BY list_id ORDER BY product_id DESC) - 1) * 10)::INT AS sort_key FROM list_items", "list_items")
 reg.add("w8_cap_list", lambda r: wr.cap_list(r.list_items, 3)[0].select("list_id", "product_id"), "SELECT list_id, product_id FROM list_items QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY product_id) <= 3", "list_items")
 reg.add("w8_cap_rejects", lambda r: wr.cap_list(r.list_items, 3)[1].select("list_id", "product_id"), "SELECT list_id, product_id FROM list_items QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY product_id) > 3", "list_items")
 reg.add("w9_default_lists", lambda r: wr.ensure_default_list(r.watches.select("user_id").distinct(), r.list_items.selectExpr("list_id % 50 AS user_id", "list_id", "list_id % 2 = 0 AS is_default")).selectExpr("user_id", "IF(list_id BETWEEN 0 AND 100000000, list_id, NULL) AS list_id"),
         "SELECT u.user_id, l.list_id FROM (SELECT DISTINCT user_id FROM watches UNION SELECT DISTINCT list_id % 50 FROM list_items WHERE list_id % 2 = 0) u LEFT JOIN (SELECT list_id % 50 AS user_id, min(list_id) AS list_id FROM list_items WHERE list_id % 2 = 0 GROUP BY 1) l ON u.user_id = l.user_id", "watches", "list_items")
-reg.add("a3_upsert_watches", lambda r: wr.upsert_watches(r.watches, wr.dedup_watches(r.watches.where("id % 5 = 0").selectExpr("id + 1000000 AS id", "(user_id + 10) % 50 AS user_id", "watch_type", "upper(query) AS query", "CAST(123 AS BIGINT) AS max_price_cents"))).select("user_id", "watch_type", F.lower(F.trim("query")).alias("q"), "max_price_cents", "created"),
-        f"WITH {W1}, b AS (SELECT DISTINCT (user_id + 10) % 50 AS user_id, watch_type, lower(trim(query)) AS q FROM watches WHERE id % 5 = 0) SELECT coalesce(w.user_id, b.user_id) AS user_id, coalesce(w.watch_type, b.watch_type) AS watch_type, coalesce(lower(trim(w.query)), b.q) AS q, CASE WHEN b.q IS NULL THEN w.max_price_cents ELSE 123 END AS max_price_cents, w.id IS NULL AS created FROM w1 w FULL JOIN b ON w.user_id = b.user_id AND w.watch_type = b.watch_type AND lower(trim(w.query)) = b.q", "watches")
+WF = "IF(id % 2 = 0, array('nation_1', 'nation_2'), array()) AS chain_filter"
+WFSQL = "CASE WHEN id % 2 = 0 THEN 'x' ELSE '' END AS f"
+reg.add("a3_upsert_watches", lambda r: wr.upsert_watches(r.watches.selectExpr("*", WF, "id % 7 <> 0 AS is_active"), r.watches.where("id % 5 = 0").selectExpr("id + 1000000 AS id", "(user_id + 10) % 50 AS user_id", "watch_type", "upper(query) AS query", "CAST(123 AS BIGINT) AS max_price_cents", WF)).select("user_id", "watch_type", F.lower(F.trim("query")).alias("q"), F.size("chain_filter").alias("chains"), "max_price_cents", "is_active", "created"),
+        f"""WITH t AS (SELECT *, {WFSQL} FROM watches QUALIFY row_number() OVER (PARTITION BY user_id, watch_type, lower(trim(query)), f ORDER BY id) = 1),
+        b AS (SELECT DISTINCT (user_id + 10) % 50 AS user_id, watch_type, lower(trim(query)) AS q, {WFSQL} FROM watches WHERE id % 5 = 0),
+        m AS (SELECT t.user_id, t.watch_type, lower(trim(query)) AS q, t.f, CASE WHEN b.q IS NULL THEN max_price_cents ELSE 123 END AS max_price_cents, b.q IS NOT NULL OR id % 7 <> 0 AS is_active, false AS created FROM t LEFT JOIN b ON t.user_id = b.user_id AND t.watch_type = b.watch_type AND lower(trim(t.query)) = b.q AND t.f = b.f
+          UNION ALL SELECT b.user_id, b.watch_type, q, b.f, 123, true, true FROM b WHERE (user_id, watch_type, q, f) NOT IN (SELECT (user_id, watch_type, lower(trim(query)), f) FROM t))
+        SELECT user_id, watch_type, q, CASE f WHEN 'x' THEN 2 ELSE 0 END AS chains, max_price_cents, is_active, created FROM m""", "watches")
 reg.add("a4_patch_items", lambda r: wr.patch_items(r.list_items.withColumn("note", F.lit("old")), r.list_items.where("product_id % 2 = 0").withColumn("note", F.expr("IF(product_id % 4 = 0, 'new', NULL)")), ["list_id", "product_id"]), "SELECT list_id, product_id, CASE WHEN product_id % 4 = 0 THEN 'new' ELSE 'old' END AS note FROM list_items", "list_items")
 reg.add("a4_delete_owned", lambda r: wr.delete_owned(r.list_items, r.list_items.where("product_id % 2 = 0").selectExpr("list_id", "product_id", "list_id % 3 AS user_id"), r.list_items.selectExpr("list_id", "list_id % 2 AS user_id").distinct()), "SELECT * FROM list_items WHERE NOT (product_id % 2 = 0 AND list_id % 3 = list_id % 2)", "list_items")
 reg.add("a6_purge_offers", lambda r: wr.purge_offers(r.offers, AS_OF).groupBy("campaign_id").agg(F.count("*").alias("n")), f"SELECT campaign_id, count(*) AS n FROM offers WHERE valid_to >= {D} - 14 GROUP BY 1", "offers")
 reg.add("a7_abandoned_campaigns", lambda r: op.abandoned_campaigns(r.campaigns, wr.purge_offers(r.offers, AS_OF), wr.price_history_rollup(r.offers.where("requires_card")), AS_OF).select("id"), f"SELECT id FROM campaigns WHERE valid_to < {D} - 14 AND id NOT IN (SELECT campaign_id FROM offers WHERE valid_to >= {D} - 14) AND id NOT IN (SELECT campaign_id FROM ({HIST} WHERE requires_card GROUP BY 1, 2))", "campaigns")
 reg.add("a9_reset_chain", lambda r: wr.reset_chain(r.offers, r.skus, 3).groupBy("campaign_id").agg(F.count("*").alias("n")), "SELECT campaign_id, count(*) AS n FROM offers WHERE sku_id NOT IN (SELECT id FROM skus WHERE chain_id = 3) GROUP BY 1", "offers", "skus")
 reg.add("a10_cascade", lambda r: wr.cascade(r.notified, r.watches.where("user_id < 25"), "watch_id").groupBy("watch_id").agg(F.count("*").alias("n")), "SELECT watch_id, count(*) AS n FROM notified WHERE watch_id IN (SELECT id FROM watches WHERE user_id < 25) GROUP BY 1", "notified")
-reg.add("j18_fan_out", lambda r: wr.fan_out(live(r).select("id", "chain_id", F.expr("CASE WHEN price_cents % 5 = 0 THEN 'Solo Market' WHEN price_cents % 5 = 1 THEN 'Super e Iper' WHEN price_cents % 5 = 2 THEN 'Volantino Pet Store' WHEN price_cents % 5 = 3 THEN 'Petto di pollo, cash & carry' ELSE NULL END").alias("promo")), r.stores.selectExpr("id", "chain_id", "CASE id % 4 WHEN 0 THEN 'market' WHEN 1 THEN 'supermarket' WHEN 2 THEN 'cashcarry' ELSE 'ipermarket' END AS format")),
-        """WITH f AS (SELECT id, chain_id, unnest(CASE price_cents % 5 WHEN 0 THEN ['market'] WHEN 1 THEN ['supermarket', 'ipermarket'] WHEN 3 THEN ['cashcarry'] ELSE [NULL] END) AS format FROM active WHERE price_cents % 5 <> 2)
-        SELECT f.id, f.chain_id, f.format, s.id AS target_store FROM f LEFT JOIN stores s ON s.chain_id = f.chain_id AND f.format = CASE s.id % 4 WHEN 0 THEN 'market' WHEN 1 THEN 'supermarket' WHEN 2 THEN 'cashcarry' ELSE 'ipermarket' END""", "active", "stores")
+FORMAT = "CASE id % 4 WHEN 0 THEN 'market' WHEN 1 THEN 'supermarket' WHEN 2 THEN 'cashcarry' ELSE 'ipermarket' END AS format"
+reg.add("j18_fan_out", lambda r: wr.fan_out(live(r).select("id", "chain_id", "store_id", F.expr("CASE price_cents % 6 WHEN 0 THEN 'Solo Market' WHEN 1 THEN 'Super e Iper' WHEN 2 THEN 'Volantino Pet  Store' WHEN 3 THEN 'Petto di pollo, cash & carry' WHEN 4 THEN 'Grandi marche' ELSE NULL END").alias("promo"), F.expr("IF(price_cents % 10 = 7, array(1L, 2L), NULL)").alias("store_ids")), r.stores.selectExpr("id", "chain_id", "is_active", FORMAT), by_format=range(12)),
+        f"""WITH o AS (SELECT id, chain_id, store_id, price_cents % 10 = 7 AS own, CASE price_cents % 6 WHEN 0 THEN ['market'] WHEN 1 THEN ['supermarket', 'ipermarket'] WHEN 3 THEN ['cashcarry'] ELSE [] END AS formats, price_cents % 6 = 2 AS pet FROM active), s AS (SELECT *, {FORMAT} FROM stores WHERE is_active)
+        SELECT id, chain_id, unnest([1, 2])::BIGINT AS target_store FROM o WHERE own UNION ALL SELECT id, chain_id, store_id FROM o WHERE NOT own AND chain_id >= 12
+        UNION ALL SELECT o.id, o.chain_id, s.id FROM o JOIN s ON s.chain_id = o.chain_id WHERE NOT own AND o.chain_id < 12 AND NOT pet AND (len(formats) = 0 OR list_contains(formats, s.format))""", "active", "stores")
 
 # matching
 PAIRS = f"pairs AS (SELECT a.id AS l_id, b.id AS r_id, {sim('a.name', 'b.name')} AS similarity FROM products a JOIN products b ON a.brand = b.brand AND a.category = b.category AND a.id < b.id)"
@@ -108,17 +166,26 @@ OF = "ofp AS (SELECT product_id, list_distinct(list(chain_id)) AS c FROM skus WH
 reg.add("j8_candidate_pairs", lambda r: ma.candidate_pairs(r.products, r.skus), f"WITH {PAIRS}, {OF} SELECT l_id, r_id, similarity FROM pairs JOIN ofp x ON x.product_id = l_id JOIN ofp y ON y.product_id = r_id WHERE similarity > 0.3 AND len(list_distinct(list_concat(x.c, y.c))) > 1", "products", "skus")
 LINK = f"SELECT s.id AS sku_id, p.id AS product_id, {sim('s.raw_name', 'p.name')} AS confidence FROM skus s JOIN products p ON lower(s.brand) = lower(p.brand) WHERE s.product_id IS NULL AND {sim('s.raw_name', 'p.name')} > 0.6 QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY confidence DESC, p.id) = 1"
 reg.add("j9_fuzzy_link", lambda r: ma.fuzzy_link(r.skus, r.products), LINK, "skus", "products")
-reg.add("m4_linked_skus", lambda r: r.skus.join(ma.fuzzy_link(r.skus, r.products).select(F.col("sku_id").alias("id"), F.col("product_id").alias("np")), "id", "left").select("id", F.coalesce("product_id", "np").alias("product_id")), f"SELECT s.id, coalesce(s.product_id, l.product_id) AS product_id FROM skus s LEFT JOIN ({LINK}) l ON l.sku_id = s.id", "skus", "products")
+# trigram sets once for each distinct name
+NAMESIM = f"""u AS MATERIALIZED (SELECT DISTINCT lower(brand) AS b, lower(raw_name) AS name FROM skus WHERE product_id IS NULL), ug AS MATERIALIZED (SELECT *, {grams('name')} AS g FROM u), pg AS MATERIALIZED (SELECT id, lower(brand) AS b, {grams('name')} AS g FROM products),
+  nb AS MATERIALIZED (SELECT ug.b, ug.name, pg.id, len(list_intersect(ug.g, pg.g)) AS n, len(ug.g) + len(pg.g) AS s FROM ug JOIN pg ON ug.b = pg.b),
+  best AS MATERIALIZED (SELECT b, name, id FROM nb WHERE n::DOUBLE / (s - n) > 0.6 QUALIFY row_number() OVER (PARTITION BY b, name ORDER BY n::DOUBLE / (s - n) DESC, id) = 1)"""
+reg.add("m4_linked_skus", lambda r: r.skus.join(ma.fuzzy_link(r.skus, r.products).select(F.col("sku_id").alias("id"), F.col("product_id").alias("np")), "id", "left").select("id", F.coalesce("product_id", "np").alias("product_id")),
+        f"WITH {NAMESIM} SELECT s.id, coalesce(s.product_id, best.id) AS product_id FROM skus s LEFT JOIN best ON s.product_id IS NULL AND lower(s.brand) = best.b AND lower(s.raw_name) = best.name", "skus", "products")
 reg.add("m1_match_groups", lambda r: ma.match_groups(r.skus), "SELECT lower(brand) || '|' || lower(raw_name) || '|' || raw_quantity AS match_key, count(*) AS skus, count(DISTINCT chain_id) AS chains, count(DISTINCT chain_id) > 1 AS multi_chain FROM skus WHERE product_id IS NULL AND split_part(raw_quantity, ' ', 1)::INT > 0 GROUP BY 1", "skus")
 reg.add("m2_elect_names", lambda r: ma.elect_names(r.skus).select("id", "raw_name"), "SELECT id, raw_name FROM skus QUALIFY row_number() OVER (PARTITION BY lower(brand), lower(raw_name), raw_quantity ORDER BY length(raw_name) DESC, id) = 1", "skus")
 reg.add("m3_canonicalize", lambda r: ma.canonicalize(r.skus, r.products).select("slug", "created", "base_unit"), "SELECT DISTINCT regexp_replace(lower(brand || ' ' || raw_name || ' ' || raw_quantity), '[^a-z0-9]+', '-', 'g') AS slug, true AS created, 'kg' AS base_unit FROM skus WHERE product_id IS NULL", "skus")
-reg.add("m5_merge_products", lambda r: ma.merge_products(r.products.selectExpr("id AS l_id", "id + 7 AS r_id").where("l_id % 21 < 14 AND r_id % 50 <> 0"), r.skus, r.products)[0].select("id", "product_id"))
+# links run from id to id + 7, so a component is a run of links; its smallest id is the last start before
+reg.add("m5_merge_products", lambda r: ma.merge_products(r.products.selectExpr("id AS l_id", "id + 7 AS r_id").where("l_id % 21 < 14 AND r_id % 50 <> 0"), r.skus, r.products)[0].select("id", "product_id"),
+        """WITH n AS (SELECT id FROM products UNION SELECT id + 7 FROM products WHERE id % 21 < 14 AND (id + 7) % 50 <> 0),
+        c AS (SELECT id, max(CASE WHEN NOT (id - 7 IN (SELECT id FROM products) AND (id - 7) % 21 < 14 AND id % 50 <> 0) THEN id END) OVER (PARTITION BY id % 7 ORDER BY id) AS c FROM n)
+        SELECT s.id, coalesce(c.c, s.product_id) AS product_id FROM skus s LEFT JOIN c ON c.id = s.product_id""", "skus", "products")
 reg.add("m5_surviving_products", lambda r: ma.merge_products(r.products.selectExpr("id AS l_id", "id + 1 AS r_id").where("l_id % 4 = 0"), r.skus, r.products)[1].select("id"), "SELECT id FROM products WHERE id % 4 <> 1", "products")
-reg.add("m6_batch_pairs", lambda r: ma.batch_pairs(ma.candidate_pairs(r.products, r.skus)).select("l_id", "r_id", "block", "batch", "place"),
-        f"WITH {PAIRS}, {OF}, c AS (SELECT l_id, r_id FROM pairs JOIN ofp x ON x.product_id = l_id JOIN ofp y ON y.product_id = r_id WHERE similarity > 0.3 AND len(list_distinct(list_concat(x.c, y.c))) > 1), n AS (SELECT *, l_id % 64 AS block, row_number() OVER (PARTITION BY l_id % 64 ORDER BY l_id, r_id) AS n FROM c) SELECT l_id, r_id, block, (n - 1) // 30 AS batch, (n - 1) % 30 + 1 AS place FROM n", "products", "skus")
+reg.add("m6_batch_pairs", lambda r: ma.batch_pairs(ma.candidate_pairs(r.products, r.skus)).select("l_id", "r_id", "batch", "place"),
+        f"WITH {PAIRS}, {OF}, c AS (SELECT l_id, r_id FROM pairs JOIN ofp x ON x.product_id = l_id JOIN ofp y ON y.product_id = r_id WHERE similarity > 0.3 AND len(list_distinct(list_concat(x.c, y.c))) > 1), n AS (SELECT *, row_number() OVER (ORDER BY l_id % 64, l_id, r_id) AS n FROM c) SELECT l_id, r_id, (n - 1) // 30 AS batch, ((n - 1) % 30 + 1)::INT AS place FROM n", "products", "skus")
 reg.add("m7_apply_categories", lambda r: ma.apply_categories(r.products.withColumn("category", F.when(F.col("id") % 2 == 0, "altro").otherwise(F.col("category"))), r.products.selectExpr("id", "CASE id % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'bogus' ELSE 'altro' END AS slug"), cats(r)).select("id", "category"), "SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 'economy' ELSE 'altro' END ELSE category END AS category FROM products", "products")
-reg.add("m8_refresh_tags", lambda r: ma.refresh_tags(r.skus.withColumns({"tags": F.array(F.lit("old")), "normalized_name": F.lit("old"), "updated_at": F.expr("TIMESTAMP '2024-01-31 00:00:00' - make_dt_interval(0, CAST(id % 48 AS INT))")}), NOW, 24, TAG_WORDS).selectExpr("id", "array_join(tags, ',') AS tags", "normalized_name"),
-        f"WITH {TAGGED} SELECT id, CASE WHEN id % 48 <= 24 THEN array_to_string(tags, ',') ELSE 'old' END AS tags, CASE WHEN id % 48 <= 24 THEN lower(raw_name) ELSE 'old' END AS normalized_name FROM tagged", "skus")
+reg.add("m8_refresh_tags", lambda r: ma.refresh_tags(r.skus.withColumns({"tags": F.array(F.lit("old")), "normalized_name": F.lit("old"), "stems": F.array(F.lit("old")), "updated_at": F.expr("TIMESTAMP '2024-01-31 00:00:00' - make_dt_interval(0, CAST(id % 48 AS INT))")}), NOW, 24, TAG_WORDS).selectExpr("id", "array_join(tags, ',') AS tags", "normalized_name", "size(stems) AS stems"),
+        f"WITH {TAGGED} SELECT id, CASE WHEN id % 48 <= 24 THEN array_to_string(tags, ',') ELSE 'old' END AS tags, CASE WHEN id % 48 <= 24 THEN lower(raw_name) ELSE 'old' END AS normalized_name, CASE WHEN id % 48 <= 24 THEN len(list_distinct(string_split(lower(raw_name || ' ' || replace(brand, '#', ' ')), ' '))) ELSE 1 END::INT AS stems FROM tagged", "skus")
 
 # images
 IMG = lambda r: r.skus.withColumn("image_url", F.expr("IF(id % 4 = 0, NULL, concat('https://img/', product_id % 50))")).withColumn("updated_at", F.col("id"))
@@ -127,13 +194,15 @@ REGT = lambda r: r.products.selectExpr("IF(id % 3 = 0, CAST(id AS STRING), NULL)
 reg.add("im1_register_images", lambda r: im.register_images(im.register_images(REGT(r).limit(0).drop("pos").withColumn("times_seen", F.lit(1).cast("long")), REGT(r)), REGT(r).where("pos % 2 = 0")).select("ean", "brand", "name", "quantity", "image_url", "times_seen"),
         """WITH b AS (SELECT CASE WHEN id % 3 = 0 THEN id::VARCHAR END AS ean, brand, name, id % 10 || ' g' AS quantity, 'https://img/' || id AS image_url, id FROM products WHERE id % 11 <> 0)
         SELECT ean, arg_min(brand, id) AS brand, arg_min(name, id) AS name, arg_min(quantity, id) AS quantity, coalesce(arg_max(image_url, id) FILTER (WHERE id % 2 = 0), arg_max(image_url, id)) AS image_url, (count(*) + count(*) FILTER (WHERE id % 2 = 0))::BIGINT AS times_seen FROM b GROUP BY ean, CASE WHEN ean IS NULL THEN lower(brand || '|' || name || '|' || quantity) END""", "products")
-reg.add("j14_lookup_image", lambda r: im.lookup_image(r.skus.where("product_id IS NULL").selectExpr("id", "IF(id % 3 = 0, CAST(id AS STRING), NULL) AS ean", "raw_name", "brand", "raw_quantity"), r.products.where("id % 20 = 0").selectExpr("CAST(id * 3 AS STRING) AS ean", "brand", "name", "CAST(NULL AS STRING) AS quantity", "concat('https://img/', id) AS image_url", "CAST(1 AS BIGINT) AS times_seen")))
-reg.add("im2_backfill_images", lambda r: im.backfill_images(IMG(r).withColumn("ean", F.lit(None).cast("string")), r.products.where("id % 20 = 0").selectExpr("CAST(NULL AS STRING) AS ean", "brand", "name", "CAST(NULL AS STRING) AS quantity", "concat('https://img/', id) AS image_url", "CAST(1 AS BIGINT) AS times_seen")).select("id", "image_url"))
+reg.add("j14_lookup_image", lambda r: im.lookup_image(r.skus.where("product_id IS NULL").selectExpr("id", "IF(id % 3 = 0, CAST(id AS STRING), NULL) AS ean", "raw_name", "brand", "raw_quantity"), r.products.selectExpr("CAST(id * 3 AS STRING) AS ean", "brand", "name", "CAST(NULL AS STRING) AS quantity", "concat('https://img/', id) AS image_url", "CAST(1 AS BIGINT) AS times_seen")))
+reg.add("im2_backfill_images", lambda r: im.backfill_images(IMG(r).withColumn("ean", F.lit(None).cast("string")), r.products.selectExpr("CAST(NULL AS STRING) AS ean", "brand", "name", "CAST(NULL AS STRING) AS quantity", "concat('https://img/', id) AS image_url", "CAST(1 AS BIGINT) AS times_seen")).select("id", "image_url"))
 HEAL = f"WITH {IMGSQL} SELECT i.id, coalesce(i.image_url, b.u) AS image_url FROM img i LEFT JOIN (SELECT product_id, arg_max(image_url, id) FILTER (WHERE image_url IS NOT NULL) AS u FROM img WHERE product_id IS NOT NULL GROUP BY 1) b ON i.product_id = b.product_id"
 reg.add("j16_heal_images", lambda r: im.heal_images(IMG(r)).select("id", "image_url"), HEAL, "skus")
 reg.add("im3_heal_summary", lambda r: im.heal_images(IMG(r)).groupBy("chain_id").agg(F.count("image_url").alias("with_image")), f"SELECT s.chain_id, count(h.image_url) AS with_image FROM skus s JOIN ({HEAL}) h ON h.id = s.id GROUP BY 1", "skus")
-reg.add("j15_attach_images", lambda r: im.attach_images(r.products.withColumn("image_url", F.lit(None).cast("string")), r.products.where("id % 9 = 0").selectExpr("IF(id % 2 = 0, name, concat(name, '/other thing')) AS name", "concat('https://img/', name) AS image_url", "id AS pos"), "name").where("image_url IS NOT NULL").select("id", "image_url"), """WITH i AS (SELECT CASE WHEN id % 2 = 0 THEN name ELSE name || '/other thing' END AS k, 'https://img/' || name AS image_url, id AS pos, name FROM products WHERE id % 9 = 0)
-        SELECT p.id, arg_min(i.image_url, (CASE WHEN p.name = k THEN 1 WHEN p.name = i.name THEN 2 ELSE 3 END, pos)) AS image_url FROM products p JOIN i ON p.name = i.name OR ((contains(p.name, k) OR contains(k, p.name)) AND list_has_any([w FOR w IN string_split(p.name, ' ') IF length(w) >= 4], [w FOR w IN string_split(k, ' ') IF length(w) >= 4])) GROUP BY p.id""", "products")
+# images named like a product, like one and another thing, and like the last word of one; every third product has two names
+reg.add("j15_attach_images", lambda r: im.attach_images(r.products.selectExpr("id", "IF(id % 3 = 0, concat('te / ', name), name) AS name", "CAST(NULL AS STRING) AS image_url"), r.products.selectExpr("CASE id % 3 WHEN 0 THEN name WHEN 1 THEN concat(name, ' x', id) ELSE split_part(name, ' ', -1) || id % 4 END AS name", "concat('https://img/', id) AS image_url", "id AS pos"), "name").where("image_url IS NOT NULL").select("id", "image_url"),
+        """WITH i AS (SELECT CASE id % 3 WHEN 0 THEN name WHEN 1 THEN name || ' x' || id ELSE split_part(name, ' ', -1) || id % 4 END AS k, 'https://img/' || id AS image_url, id AS pos FROM products), w AS (SELECT id, name AS own, CASE WHEN id % 3 = 0 THEN 'te / ' || name ELSE name END AS n FROM products),
+        d AS (SELECT n, own, arg_min(image_url, (CASE WHEN n = k THEN 1 WHEN own = k AND n <> own THEN 2 ELSE 3 END, pos)) AS image_url FROM (SELECT DISTINCT n, own FROM w) JOIN i ON contains(n, k) OR contains(k, n) GROUP BY n, own) SELECT id, image_url FROM w JOIN d USING (n, own)""", "products")
 LIB = lambda r: r.runs.selectExpr("run_type AS source", "CAST(id % 40 AS STRING) AS ean", "started_at AS created_at", "concat('u', id % 20) AS image_url")
 LIBSQL = "lib AS (SELECT run_type AS source, (id % 40)::VARCHAR AS ean, started_at AS created_at, 'u' || id % 20 AS image_url FROM runs)"
 reg.add("g9_image_library_status", lambda r: im.image_library_status(LIB(r), NOW), f"WITH {LIBSQL} SELECT source, count(*) AS images, count(DISTINCT ean) AS eans, count(*) FILTER (WHERE created_at >= {TS} - INTERVAL 7 DAY) AS new_7, count(*) FILTER (WHERE created_at >= {TS} - INTERVAL 30 DAY) AS new_30, min(created_at) AS first_seen, max(created_at) AS last_seen FROM lib GROUP BY source", "runs")
@@ -154,14 +223,30 @@ reg.add("j12_match_watches", lambda r: hits(r).groupBy("watch_id").agg(F.count("
 reg.add("j6_not_notified", lambda r: hits(r).join(r.notified, ["watch_id", "offer_id"], "left_anti").groupBy("watch_id").agg(F.count("*").alias("n")), f"WITH {MATCHSQL} SELECT watch_id, count(*) AS n FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified) GROUP BY 1", "watches", "active", "notified")
 reg.add("t7_top_per_watch", lambda r: op.first_per(hits(r), ["watch_id"], [F.desc_nulls_last("discount_pct"), F.col("price_cents"), F.col("offer_id")], 10).select("watch_id", "offer_id"), f"WITH {MATCHSQL} SELECT watch_id, offer_id FROM m QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 10", "watches", "active")
 reg.add("a1_watch_alerts", lambda r: al.new_alerts(hits(r), r.notified, "watch_id", 10).select("watch_id", "offer_id"), f"WITH {MATCHSQL} SELECT watch_id, offer_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified) QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 10", "watches", "active", "notified")
+TOLD = "TIMESTAMP '2024-01-01 00:00:00'"
+reg.add("a1_last_notified", lambda r: al_marked(r), f"WITH {MATCHSQL}, sent AS (SELECT DISTINCT watch_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified)) SELECT id, CASE WHEN id IN (SELECT watch_id FROM sent) THEN {TS} WHEN id % 2 = 0 THEN {TOLD} END AS last_notified_at FROM watches", "watches", "active", "notified")
+
+
+def al_marked(r):
+    """Watches of which an alert goes out are marked with the time."""
+    sent = al.new_alerts(hits(r), r.notified, "watch_id", 10)
+    return wr.mark_notified(r.watches.withColumn("last_notified_at", F.expr(f"IF(id % 2 = 0, {TOLD}, NULL)")), sent, NOW).select("id", "last_notified_at")
+
+
 LI = lambda r: r.list_items.selectExpr("list_id", "product_id", "IF(product_id % 2 = 0, 150000, NULL) AS max_price_cents", "IF(product_id % 3 = 0, 5, NULL) AS min_discount")
 LISQL = "h AS (SELECT list_id, a.product_id, a.id AS offer_id, price_cents, discount_pct, raw_name, chain_slug, valid_to FROM list_items l JOIN active a ON a.product_id = l.product_id WHERE (l.product_id % 2 <> 0 OR price_cents <= 150000) AND (l.product_id % 3 <> 0 OR discount_pct >= 5))"
 reg.add("j13_match_list_items", lambda r: al.match_list_items(LI(r), live(r)).select("list_id", "product_id", "offer_id"), f"WITH {LISQL} SELECT list_id, product_id, offer_id FROM h", "list_items", "active")
 reg.add("a2_list_alerts", lambda r: al.new_alerts(al.match_list_items(LI(r), live(r)), r.notified.select(F.col("watch_id").alias("list_id"), "offer_id"), "list_id", 5).select("list_id", "offer_id", "text"),
         f"WITH {LISQL} SELECT list_id, offer_id, raw_name || ' @ ' || chain_slug || ' ' || (price_cents // 100) || '.' || lpad((price_cents % 100)::VARCHAR, 2, '0') || ' EUR' || coalesce(' -' || discount_pct || '%', '') || ' fino al ' || strftime(valid_to, '%d/%m/%Y') AS text FROM h WHERE (list_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified) QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 5", "list_items", "active", "notified")
-reg.add("a5_list_view", lambda r: op.list_with_category(r.list_items, r.products).join(op.best_offer_per_product(live(r)), "product_id", "left").select("list_id", "product_id", "category", "best_cents", "best_chain"),
-        "SELECT list_id, l.product_id, category, best_cents, best_chain FROM list_items l JOIN products p ON p.id = l.product_id LEFT JOIN (SELECT product_id, min(price_cents) AS best_cents, arg_min(chain_slug, (price_cents, id)) AS best_chain FROM active GROUP BY 1) b ON b.product_id = l.product_id", "list_items", "active")
-reg.add("t9_list_order", lambda r: op.list_with_category(r.list_items, r.products).orderBy("category", "list_id", F.desc("product_id")).select("list_id", "product_id", "category"), "SELECT list_id, product_id, category FROM list_items JOIN products p ON p.id = product_id", "list_items", "products")
+LABELS = [("economy anodized steel", "Economy", 2), ("promo burnished copper", "Promo", 1)]
+ITEMS = lambda r: r.list_items.selectExpr("*", "IF(product_id % 4 = 0, NULL, CAST(product_id % 9 AS INT)) AS sort_key", "date_add(DATE '1998-01-01', CAST(list_id % 30 AS INT)) AS created_at", "IF(product_id % 6 = 0, 'promo burnished copper', IF(product_id % 5 = 0, 'economy anodized steel', NULL)) AS category_override")
+ITEMSQL = "it AS (SELECT *, CASE WHEN product_id % 4 = 0 THEN NULL ELSE (product_id % 9)::INT END AS sort_key, DATE '1998-01-01' + (list_id % 30)::INT AS created_at, CASE WHEN product_id % 6 = 0 THEN 'promo burnished copper' WHEN product_id % 5 = 0 THEN 'economy anodized steel' END AS ov FROM list_items), lab(slug, label, sort_order) AS (VALUES ('economy anodized steel', 'Economy', 2), ('promo burnished copper', 'Promo', 1))"
+viewed = lambda r: op.list_view(ITEMS(r), r.products, pictured(r), r.spark.createDataFrame(LABELS, "slug string, label string, sort_order int"))
+reg.add("a5_list_view", lambda r: viewed(r).select("list_id", "product_id", "category", "category_label", "best_cents", "best_chain", "best_image"),
+        f"WITH {ITEMSQL} SELECT list_id, l.product_id, coalesce(ov, category) AS category, label AS category_label, best_cents, best_chain, best_image FROM it l JOIN products p ON p.id = l.product_id LEFT JOIN lab ON lab.slug = coalesce(ov, category) LEFT JOIN (SELECT product_id, min(price_cents) AS best_cents, arg_min(chain_slug, (price_cents, id)) AS best_chain, arg_min('https://img/' || sku_id, (price_cents, id)) FILTER (WHERE sku_id % 4 <> 0) AS best_image FROM active GROUP BY 1) b ON b.product_id = l.product_id", "list_items", "active")
+# the place of each item in its list
+reg.add("t9_list_order", lambda r: viewed(r).select("list_id", "product_id", F.row_number().over(Window.partitionBy("list_id").orderBy(*op.list_order())).alias("place")),
+        f"WITH {ITEMSQL} SELECT list_id, product_id, row_number() OVER (PARTITION BY list_id ORDER BY sort_order NULLS LAST, sort_key NULLS LAST, created_at DESC NULLS FIRST, product_id)::INT AS place FROM it l JOIN products p ON p.id = l.product_id LEFT JOIN lab ON lab.slug = coalesce(ov, category)", "list_items", "products")
 OBS = lambda r: r.raw("events").selectExpr("event_id AS id", "user_id AS unit", "CAST(ts AS TIMESTAMP) AS ts", "event_type = 'error' AS failed", "event_id div 3 AS exit_time")
 reg.add("a8_new_failures", lambda r: al.new_failures(OBS(r)).select("id", "unit"), "SELECT id, unit FROM (SELECT event_id AS id, user_id AS unit, event_type = 'error' AS failed, event_id // 3 AS x, lag(event_type = 'error') OVER w AS was, lag(event_id // 3) OVER w AS px FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE failed AND (was IS NULL OR NOT was OR x IS DISTINCT FROM px)")
 E_D = NOW.date()
@@ -169,7 +254,8 @@ WIN = "day > DATE '2024-01-31' - 30 AND day <= DATE '2024-01-31'"
 reg.add("g4_event_summary", lambda r: al.event_summary(r.api_events, E_D), f"SELECT day, event_type, count(*) AS events, count(DISTINCT session_id) AS sessions, count(DISTINCT telegram_user_id) AS users FROM api_events WHERE {WIN} GROUP BY ALL", "api_events")
 reg.add("g5_event_totals", lambda r: al.event_totals(r.api_events, E_D), f"SELECT count(*) AS events, count(DISTINCT session_id) AS sessions, count(DISTINCT telegram_user_id) AS users FROM api_events WHERE {WIN}", "api_events")
 reg.add("g6_top_searches", lambda r: al.top_searches(r.api_events, E_D), f"SELECT json_extract_string(metadata, '$.k') AS term, count(*) AS n FROM api_events WHERE {WIN} AND json_extract_string(metadata, '$.k') IS NOT NULL GROUP BY 1 ORDER BY n DESC, term LIMIT 10", "api_events")
-reg.add("g22_run_rollup", lambda r: al.run_rollup(r.runs), "SELECT started_at::DATE AS day, count(*) FILTER (WHERE status = 'success') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed, CASE WHEN count(*) FILTER (WHERE status = 'success') = 0 THEN 'critical' WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'warning' ELSE 'ok' END AS level FROM runs GROUP BY 1", "runs")
+reg.add("g22_run_rollup", lambda r: al.run_rollup(r.runs.withColumn("products", F.col("id") % 100)), "SELECT started_at::DATE AS day, count(*) FILTER (WHERE status = 'success') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed, coalesce(sum(id % 100) FILTER (WHERE status = 'success'), 0)::BIGINT AS products, CASE WHEN count(*) FILTER (WHERE status = 'success') = 0 THEN 'critical' WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'warning' ELSE 'info' END AS level FROM runs GROUP BY 1", "runs")
+reg.add("t8_run_feed", lambda r: al.run_feed(r.runs.withColumn("chain", F.concat(F.lit("c"), F.col("id") % 3)), NOW, run_type="error", chain="c1", status="failed", k=500).select("id", "stuck"), "SELECT id, false AS stuck FROM runs WHERE run_type = 'error' AND id % 3 = 1 AND status = 'failed' ORDER BY started_at DESC, id DESC LIMIT 200", "runs")
 reg.add("g23_event_mix", lambda r: al.event_mix(r.api_events), "SELECT event_type, count(*) AS n, (count(*) * 1000 // (SELECT count(*) FROM api_events)) AS per_mille FROM api_events GROUP BY 1", "api_events")
 reg.add("g23_daily_series", lambda r: al.daily_series(r.api_events, E_D), "WITH c AS (SELECT unnest(generate_series(DATE '2024-01-31' - INTERVAL 29 DAY, DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day), n AS (SELECT c.day, count(e.id) AS n FROM c LEFT JOIN api_events e ON e.day = c.day GROUP BY 1) SELECT day, n, n * 100 // max(n) OVER () AS pct_of_top FROM n", "api_events")
 reg.add("t8_last_failures", lambda r: al.last_failures(r.runs, NOW).select("id", "run_type"), f"SELECT id, run_type FROM runs WHERE status = 'failed' AND started_at >= {TS} - INTERVAL 14 DAY ORDER BY started_at DESC, id DESC LIMIT 20", "runs")
