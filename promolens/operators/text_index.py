@@ -14,36 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.similarity import stem_list, stems, trigrams
+from ..storage import Generations
 
 
 class PostingIndex:
     """Postings in generations; subclasses make them from texts."""
 
-    #: Columns of a posting beside key and id.
-    payload = ""
-
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     # ---- files
 
-    def _children(self, path: str, prefix: str) -> list[int]:
-        """The numbers n of the complete tables ``prefix``n in a folder."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(at):
-            return []
-        found = [s.getPath() for s in files.listStatus(at) if s.getPath().getName().startswith(prefix)]
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(x.getName()[len(prefix) :]) for x in found if files.exists(done(x, "_SUCCESS")))
+    def _ids(self, version: int) -> Generations:
+        return Generations(self.spark, f"{self.path}/v{version}/ids")
 
     def _version(self) -> int:
         """The newest version whose first generation is complete; 0 without any."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
-        made = [int(x[1:]) for x in names if x[0] == "v" and x[1:].isdigit()]
-        return max((v for v in made if self._children(f"{self.path}/v{v}/ids", "gen=")), default=0)
+        version = 0
+        while self._ids(version + 1).complete():
+            version += 1
+        return version
 
     def _bucket(self, key):
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -66,32 +56,29 @@ class PostingIndex:
         none.  Of repeated ids all texts count.
         """
         version = self._version()
-        there = self._children(f"{self.path}/v{version}/ids", "gen=")
         slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        self._write(version, there[-1] + 1 if there else 0, self._postings(slim), slim.select("id").distinct())
+        self._write(version, self._ids(version).next(), self._postings(slim), slim.select("id").distinct())
 
     def rows(self, keys: list[str] | None = None) -> DataFrame:
         """The live postings of some keys (None: of all)."""
         version = self._version()
-        top, there = f"{self.path}/v{version}", self._children(f"{self.path}/v{version}/ids", "gen=")
+        there = self._ids(version).complete()
         if not there:
             raise FileNotFoundError(f"no index in {self.path}")
-        read = lambda kind: self.spark.read.option("basePath", f"{top}/{kind}").parquet(*[f"{top}/{kind}/gen={g}" for g in there])
-        found = read("postings")
+        found = Generations(self.spark, f"{self.path}/v{version}/postings").read(there)
         if keys is not None:
             # the hash that chose the bucket folds to constants, and these prune partitions
             places = self.spark.createDataFrame([(k,) for k in keys], "key string").select(self._bucket(F.col("key")).alias("b")).distinct().collect() if keys else []
             found = found.where(F.col("bucket").isin([r["b"] for r in places]) & F.col("key").isin(keys))
         if len(there) > 1:
-            later = read("ids").where(F.col("gen") > there[0]).select(F.col("id").alias("__id"), F.col("gen").alias("__gen"))
+            later = self._ids(version).read(there[1:]).select(F.col("id").alias("__id"), F.col("gen").alias("__gen"))
             found = found.join(later, (F.col("id") == F.col("__id")) & (F.col("__gen") > F.col("gen")), "left_anti")
         return found.drop("gen", "bucket")
 
     def compact(self) -> None:
         """Write the live postings as one generation of a new version."""
         version = self._version()
-        top, there = f"{self.path}/v{version}", self._children(f"{self.path}/v{version}/ids", "gen=")
-        ids = self.spark.read.parquet(*[f"{top}/ids/gen={g}" for g in there]).distinct()
+        ids = self._ids(version).read(self._ids(version).complete()).select("id").distinct()
         self._write(version + 1, 0, self.rows(), ids)
 
     def _one(self, column, text: str):

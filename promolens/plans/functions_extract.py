@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions import similarity as sm
+from ..functions import sql
+from ..operators import alerts as al
 from ..operators import extract as ex
+from ..operators import layouts as ly
 from ..operators import matching as ma
+from ..operators import tables as tb
 from ..operators import writes as wr
 from ..sources import documents as src
 from ..sources.views import AS_OF, NOW
 from ..storage import Scratch
 from ..streaming import streams as st
-from .registry import Registry, live
+from .registry import Registry, live, tagged
 
 reg = Registry()
 P = ("products",)
@@ -81,6 +85,11 @@ def _json_round_trip(r):
 CASES = "SELECT campaign_id::VARCHAR AS job_id, id AS name, price_cents::VARCHAR AS price FROM offers UNION ALL SELECT campaign_id::VARCHAR, min(struct_pack(id, price_cents, sku_id)).id, '7' FROM offers GROUP BY campaign_id"
 reg.add("s1_read_job_results", _json_round_trip, "SELECT DISTINCT campaign_id::VARCHAR AS job_id, unnest([1, 2])::INT AS page, 1::BIGINT AS n, '1998-01-07' AS t FROM (SELECT DISTINCT campaign_id FROM offers)", "offers")
 reg.add("s2_flatten_extracted", lambda r: src.flatten_extracted(src.explode_results(JOBS(r))).groupBy("job_id").agg(F.count("*").alias("n")), f"SELECT job_id, count(*) AS n FROM ({CASES}) GROUP BY 1", "offers")
+# results with numbers and nested lists: an array on even campaigns, an object of places on odd ones
+NESTED = lambda r: r.offers.groupBy("campaign_id").agg(F.array_sort(F.collect_list(F.struct("id", "price_cents", "sku_id"))).alias("o")).selectExpr(
+    "campaign_id AS job_id", "CASE WHEN campaign_id % 2 = 0 THEN to_json(transform(o, x -> named_struct('prodotto', x.id, 'prezzo', x.price_cents / 100, 'formati', array(x.sku_id % 7, x.sku_id % 3)))) ELSE to_json(map_from_arrays(transform(o, (x, i) -> cast(i AS string)), transform(o, x -> named_struct('product_name', x.id, 'price', x.price_cents / 100, 'formati', array(x.sku_id % 7, x.sku_id % 3))))) END AS extracted")
+reg.add("s2_flatten_variant", lambda r: src.unify_variant(src.flatten_variant(NESTED(r)), kinds={"price": "double"}).select("job_id", "name", F.round(F.col("price") * 100).cast("long").alias("cents"), (F.try_variant_get("item", "$.formati[0]", "int") + F.try_variant_get("item", "$.formati[1]", "int")).alias("formats")),
+        "SELECT campaign_id AS job_id, id AS name, price_cents AS cents, (sku_id % 7 + sku_id % 3)::INT AS formats FROM offers", "offers")
 reg.add("s3_unify_fields", lambda r: flat(r).select("job_id", "name", "price"), CASES, "offers")
 reg.add("s4_propagate_validity", lambda r: src.propagate_validity(flat(r), src.explode_results(JOBS(r))).groupBy("job_id", "valid_from", "valid_to").agg(F.count("*").alias("n")), "SELECT campaign_id::VARCHAR AS job_id, '1998-01-01' AS valid_from, '1998-01-07' AS valid_to, count(*) AS n FROM offers GROUP BY 1 UNION ALL SELECT campaign_id::VARCHAR, '1997-12-31', '1998-01-07', 1 FROM offers GROUP BY campaign_id", "offers")
 reg.add("s5_union_pages", lambda r: src.union_pages([r.skus.where("id % 3 = 0").select("id", "brand"), r.skus.where("id % 3 = 1").select("id"), r.skus.where("id % 3 = 2").select("brand", "id")]), "SELECT id, CASE WHEN id % 3 <> 1 THEN brand END AS brand FROM skus", "skus")
@@ -101,13 +110,24 @@ reg.add("s18_pivot_properties", lambda r: src.pivot_properties(live(r).selectExp
 # extraction
 reg.add("x1_cards", lambda r: ex.extract_cards(r.raw("pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), r'<a href="[^"]*">[^<]*</a>', {"href": r'href="([^"]*)"', "label": r">([^<]*)<"}, key="href").select("doc_id", "href", "label"),
         """SELECT doc_id, regexp_extract(c, 'href="([^"]*)"', 1) AS href, nullif(regexp_extract(c, '>([^<]*)<', 1), '') AS label FROM (SELECT page_id AS doc_id, unnest(l) AS c, unnest(range(len(l))) AS p FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages)) QUALIFY row_number() OVER (PARTITION BY doc_id, regexp_extract(c, 'href="([^"]*)"', 1) ORDER BY p) = 1""")
-FLY = lambda r: live(r).groupBy(F.col("chain_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("id", "raw_name", "price_cents"))).alias("o"))
-FLYSQL = "fly AS (SELECT chain_id AS doc_id, id, raw_name, price_cents, row_number() OVER (PARTITION BY chain_id ORDER BY id) - 1 AS pos FROM active)"
+# pages of the live offers of some neighbouring products: as many as there are products
+FLY = lambda r: live(r).groupBy(F.expr("sku_id div 500").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("id", "raw_name", "price_cents"))).alias("o"))
+FLYSQL = "fly AS (SELECT sku_id // 500 AS doc_id, id, raw_name, price_cents, row_number() OVER (PARTITION BY sku_id // 500 ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY sku_id // 500) AS n FROM active)"
 EUR = "concat(x.price_cents div 100, ',', lpad(x.price_cents % 100, 2, '0'))"
 reg.add("x2_anchors", lambda r: ex.extract_anchored(FLY(r).selectExpr("doc_id", f"array_join(transform(o, x -> concat(x.raw_name, ' scad. lotto ', {EUR}, ' €')), '\\n') AS text"), r"\d{1,4}[.,]\d{2} €", r"scad\. lotto").selectExpr("doc_id", "pos", "name", "CAST(round(price * 100) AS BIGINT) AS cents"), f"WITH {FLYSQL} SELECT doc_id, pos::INT AS pos, raw_name AS name, price_cents AS cents FROM fly WHERE price_cents < 1000000", "active")
 reg.add("x3_sections", lambda r: ex.extract_sections(FLY(r).selectExpr("doc_id", "array_join(flatten(transform(o, (x, i) -> IF(i % 3 = 0, array(concat('## S', i), x.id), array(x.id)))), '\\n') AS text"), r"^## (.*)$").select("doc_id", F.col("line").alias("id"), "section"), f"WITH {FLYSQL} SELECT doc_id, id, 'S' || (pos - pos % 3) AS section FROM fly", "active")
 reg.add("x4_blocks", lambda r: ex.extract_blocks(FLY(r).selectExpr("doc_id", f"array_join(flatten(transform(o, x -> array(concat('* ', x.id), x.raw_name, concat('al kg ', {EUR})))), '\\n') AS text"), r"^\* ").select("doc_id", F.col("block").cast("int").alias("block"), "carried"), f"WITH {FLYSQL} SELECT doc_id, (pos + 1)::INT AS block, lag((price_cents // 100) || ',' || lpad((price_cents % 100)::VARCHAR, 2, '0')) OVER (PARTITION BY doc_id ORDER BY pos) AS carried FROM fly", "active")
 reg.add("x5_passes", lambda r: ex.extract_passes(FLY(r).selectExpr("doc_id", f"array_join(transform(o, x -> concat(x.id, '\\nconservare in frigo\\n', IF(x.price_cents % 2 = 0, 'solo ', ''), {EUR}, ' €')), '\\n') AS text"), [r"solo \d{1,4}[.,]\d{2} €", r"\d{1,4}[.,]\d{2} €"], stop="conservare|€|solo").select("doc_id", "name", "pass"), f"WITH {FLYSQL} SELECT doc_id, id AS name, CASE WHEN price_cents % 2 = 0 THEN 0 ELSE 1 END AS pass FROM fly", "active")
+# two prices, a price and one for each, and a price carried over from the line before, in turn
+MONEY = lambda c: f"concat({c} div 100, ',', lpad({c} % 100, 2, '0'))"
+BLOCK_PAGE = f"""array_join(flatten(transform(o, (x, i) -> concat(IF(i % 3 = 2, array({MONEY('(x.price_cents + 100)')}), array({MONEY('x.price_cents')}, concat(IF(i % 3 = 1, 'cad. ', ''), {MONEY('(x.price_cents + 100)')}))), array('/', x.raw_name, '500 g'),
+  array(concat('al kg Euro 1,00', IF(i % 3 = 1 AND i + 1 < size(o), concat(' ', {MONEY('o[i + 1].price_cents')}), '')))))), '\n') AS text"""
+reg.add("x4_price_blocks", lambda r: ly.extract_price_blocks(FLY(r).selectExpr("doc_id", BLOCK_PAGE)).selectExpr("doc_id", "name", "CAST(round(offer * 100) AS BIGINT) AS offer", "CAST(round(original * 100) AS BIGINT) AS original", "unit", "quantity", "discount"),
+        f"WITH {FLYSQL} SELECT doc_id, raw_name AS name, price_cents AS offer, price_cents + 100 AS original, 'kg' AS unit, '500 g' AS quantity, round((1 - (price_cents / 100.0::DOUBLE) / ((price_cents + 100) / 100.0::DOUBLE)) * 100)::INT AS discount FROM fly", "active")
+PASS_PAGE = f"""concat('Offerta valida\n', array_join(transform(o, (x, i) -> concat(upper(x.raw_name), '\n', CASE i % 4 WHEN 0 THEN concat({EUR}, ' €\n-20% € ', {MONEY('(x.price_cents + 100)')}) WHEN 1 THEN concat({EUR}, ' €\n€/kg 1,00') WHEN 2 THEN concat({EUR}, '\n€\nal kg') ELSE '30%' END)), '\n'), '\nfine') AS text"""
+reg.add("x5_price_passes", lambda r: ly.extract_by_passes(FLY(r).selectExpr("doc_id", PASS_PAGE)).selectExpr("doc_id", "name", "pass", "CAST(round(offer * 100) AS BIGINT) AS offer", "CAST(round(original * 100) AS BIGINT) AS original", "discount", "unit"),
+        f"""WITH {FLYSQL}, p AS (SELECT doc_id, upper(raw_name) AS name, CASE pos % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 7 END AS pass, CASE WHEN pos % 4 < 3 THEN price_cents END AS offer, CASE WHEN pos % 4 = 0 THEN price_cents + 100 END AS original, CASE pos % 4 WHEN 0 THEN 20 WHEN 3 THEN 30 END AS discount, CASE WHEN pos % 4 IN (1, 2) THEN 'kg' END AS unit, pos FROM fly)
+        SELECT doc_id, name, pass, offer, original, discount, unit FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, name, coalesce(offer, -1) ORDER BY pass, pos) = 1""", "active")
 reg.add("x6_repairs", lambda r: ex.repair(live(r).selectExpr("id", "chain_id AS doc_id", "valid_from", "IF(price_cents % 2 = 0, valid_to, NULL) AS valid_to", "array('', ' ', concat('https://', id)) AS images"), r.chains.where("id % 5 = 0").selectExpr("id AS doc_id", "DATE '1998-06-01' AS valid_from", "CAST(NULL AS DATE) AS valid_to")).select("id", "valid_from", "valid_to", "image_url"),
         "SELECT id, CASE WHEN chain_id % 5 = 0 THEN DATE '1998-06-01' ELSE valid_from END AS valid_from, CASE WHEN price_cents % 2 = 0 THEN valid_to WHEN chain_id % 5 = 0 THEN DATE '1998-06-07' ELSE valid_from + 6 END AS valid_to, 'https://' || id AS image_url FROM active", "active")
 
@@ -130,24 +150,15 @@ def _daily(r):
     return r.spark.read.parquet(scratch.path + "/out").groupBy("day", "event_type").agg(F.max_by("events", "batch").alias("events"))
 
 
-def _alerts(r):
-    offers, scratch = _stream(r, live(r), "st2")
-    schema = "watch_id long, offer_id string"
-    empty = r.notified.selectExpr("CAST(watch_id AS BIGINT) AS watch_id", "offer_id")
-    written: list[str] = []
-
-    def read_sent():
-        return empty if not written else empty.unionByName(r.spark.read.schema(schema).parquet(*written))
-
-    def write_sent(df, batch_id):
-        path = f"{scratch.path}/sent/{batch_id}"
-        df.write.mode("overwrite").parquet(path)
-        written.append(path)
-
-    from .registry import tagged
-
-    st.stream_alerts(offers, r.watches, tagged(r), read_sent, write_sent, scratch.path + "/cp").awaitTermination()
-    return r.spark.read.schema(schema).parquet(*written)
+def _alerts(r, batches=1, k=10):
+    """Alerts of the offers in some micro-batches, without those that were sent before the stream began."""
+    scratch = Scratch(r.spark, "st2")
+    live(r).repartition(batches, "id").write.parquet(scratch.path + "/in")
+    schema = r.spark.read.parquet(scratch.path + "/in").schema
+    offers = r.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1 if batches > 1 else 1000).parquet(scratch.path + "/in")
+    sink = st.AlertSink(r.spark, scratch.path + "/sent")
+    st.stream_alerts(offers, r.watches, tagged(r), sink, scratch.path + "/cp", k, r.notified.selectExpr("CAST(watch_id AS BIGINT) AS watch_id", "offer_id")).awaitTermination()
+    return sink.read()
 
 
 def _history(r):
@@ -162,8 +173,69 @@ def _history(r):
     return r.spark.read.parquet(last[0])
 
 
+from .relational import TAGGED  # noqa: E402
+from .registry import TAG_WORDS  # noqa: E402
 from .search_writes import HIST, MATCHSQL, PRICED  # noqa: E402
 
 reg.add("st1_daily_counts", _daily, "SELECT day, event_type, count(*) AS events FROM api_events GROUP BY ALL", "api_events")
 reg.add("st2_stream_alerts", _alerts, f"WITH {MATCHSQL} SELECT watch_id, offer_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified) QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 10", "watches", "active", "notified")
+reg.add("st2_stream_batches", lambda r: _alerts(r, 3, 1 << 30), f"WITH {MATCHSQL} SELECT DISTINCT watch_id, offer_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified)", "watches", "active", "notified")
 reg.add("st3_stream_history", _history, f"{HIST} GROUP BY 1, 2", "offers")
+
+
+def _purge_counts(r):
+    counts = tb.purge_counted(r.offers, AS_OF, Scratch(r.spark, "purge").path + "/kept")
+    return r.spark.createDataFrame([(counts["kept"], counts["purged"])], "kept long, purged long")
+
+
+def _reject_counts(r):
+    rules = [("no_brand", F.col("brand").isNull()), ("unmatched", F.col("product_id").isNull()), ("banner", F.length("raw_name") < 8)]
+    counts = tb.rejects_counted(r.skus, rules, Scratch(r.spark, "rejects").path + "/rows")
+    return r.spark.createDataFrame(sorted(counts.items()), "reason string, n long")
+
+
+def _swapped(r):
+    """All offers, of which two campaigns in ten are replaced, one in ten with nothing, and one store of another tenth."""
+    table = tb.ScopedTable(r.spark, Scratch(r.spark, "swap").path)
+    ids = lambda rest: r.campaigns.where(f"id % 10 IN ({rest})").select(F.col("id").alias("campaign_id"))
+    renamed = lambda rest, mark: r.offers.where(f"campaign_id % 10 IN ({rest})").withColumn("id", F.concat("id", F.lit(mark)))
+    table.replace(r.offers, ids("0, 1, 2, 3, 4, 5, 6, 7, 8, 9"))
+    table.replace(renamed("1, 2", "-n"), ids("1, 2, 3"))
+    table.replace(renamed("4", "-s").where("store_id = 3"), ids("4").withColumn("store_id", F.lit(3).cast("long")))
+    return table.read().groupBy("campaign_id").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+
+
+def _cascaded(r):
+    users = r.watches.select("user_id").distinct().where("user_id % 3 <> 0")
+    lists = r.list_items.selectExpr("list_id", "IF(list_id % 11 = 0, NULL, list_id % 50) AS user_id").distinct()
+    told = r.list_items.where("product_id % 2 = 0").selectExpr("list_id", "product_id")
+    tables = {"users": users, "lists": lists, "items": r.list_items.where("product_id % 5 <> 0").withColumn("item", F.concat_ws("-", "list_id", "product_id")), "told": told.withColumn("item", F.concat_ws("-", "list_id", "product_id"))}
+    out = tb.cascade_all(tables, [("told", "item", "items", "item"), ("items", "list_id", "lists", "list_id"), ("lists", "user_id", "users", "user_id")])
+    return out["told"].groupBy("list_id").agg(F.count("*").alias("n"))
+
+
+def _sketched(r):
+    """Events of a window, and whether the stored sketches tell its sessions and users within three standard errors, by type."""
+    day = NOW.date()
+    sketches = Scratch(r.spark, "sketches").table(al.daily_sketches(r.api_events))
+    near = al.sketch_totals(sketches, day, by=("event_type",)).toDF("event_type", "events", "sessions", "users")
+    rows = r.api_events.where(f"day > DATE '{day}' - 30 AND day <= DATE '{day}'")
+    exact = rows.groupBy("event_type").agg(F.count_distinct("session_id").alias("s"), F.count_distinct("telegram_user_id").alias("u"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b) + 1
+    return near.join(exact, "event_type").select("event_type", "events", close("sessions", "s").alias("sessions_near"), close("users", "u").alias("users_near"))
+
+
+def _by_sql(r):
+    """Normalised names, tags and images of SKUs without a product through SQL functions."""
+    r.products.selectExpr("CAST(id * 3 AS STRING) AS ean", "brand", "name", "CAST(NULL AS STRING) AS quantity", "concat('https://img/', id) AS image_url", "CAST(id % 5 AS BIGINT) AS times_seen").createOrReplaceTempView("promolens_images")
+    sql.register(r.spark, "promolens_images", TAG_WORDS)
+    r.skus.createOrReplaceTempView("promolens_skus")
+    return r.spark.sql("SELECT id, norm_text(concat(' ', raw_name, ' ')) AS name, array_join(dietary_tags(raw_name), ',') AS tags FROM promolens_skus")
+
+
+reg.add("a6_purge_counts", _purge_counts, "SELECT count(*) FILTER (WHERE valid_to >= DATE '1998-06-15' - 14) AS kept, count(*) FILTER (WHERE valid_to < DATE '1998-06-15' - 14) AS purged FROM offers", "offers")
+reg.add("s12_reject_counts", _reject_counts, "WITH m AS (SELECT CASE WHEN brand IS NULL THEN 'no_brand' WHEN product_id IS NULL THEN 'unmatched' WHEN length(raw_name) < 8 THEN 'banner' ELSE 'good' END AS reason FROM skus) SELECT r AS reason, count(m.reason) AS n FROM (VALUES ('banner'), ('good'), ('no_brand'), ('unmatched')) v(r) LEFT JOIN m ON m.reason = r GROUP BY r", "skus")
+reg.add("s9_swap_on_disk", _swapped, """SELECT campaign_id, count(*) AS n, max(id || CASE WHEN campaign_id % 10 IN (1, 2) THEN '-n' WHEN campaign_id % 10 = 4 AND store_id = 3 THEN '-s' ELSE '' END) AS m FROM offers GROUP BY 1""", "offers")
+reg.add("a10_cascade_all", _cascaded, "SELECT list_id, count(*) AS n FROM list_items WHERE product_id % 2 = 0 AND product_id % 5 <> 0 AND (list_id % 11 = 0 OR (list_id % 50 % 3 <> 0 AND list_id % 50 IN (SELECT user_id FROM watches))) GROUP BY 1", "list_items", "watches")
+reg.add("g5_sketch_totals", _sketched, "SELECT event_type, count(*)::BIGINT AS events, true AS sessions_near, true AS users_near FROM api_events WHERE day > DATE '2024-01-31' - 30 AND day <= DATE '2024-01-31' GROUP BY 1", "api_events")
+reg.add("e9_sql_functions", _by_sql, f"WITH {TAGGED} SELECT id, lower(raw_name) AS name, array_to_string(tags, ',') AS tags FROM tagged", "skus")

@@ -43,6 +43,26 @@ def flatten_extracted(results: DataFrame) -> DataFrame:
     return results.withColumn("items", items).select("*", F.posexplode("items").alias("item_pos", "item")).drop("items", "extracted")
 
 
+def flatten_variant(results: DataFrame) -> DataFrame:
+    """One row a product (item: VARIANT), so that numbers and nested values keep their kind.
+
+    An array gives its elements, an object with numeric keys its values, another object
+    itself; other JSON and texts that are none give nothing.
+    """
+    v = F.try_parse_json("extracted")
+    listed, named = v.try_cast("array<variant>"), v.try_cast("map<string,variant>")
+    numeric = (F.size(F.map_keys(named)) > 0) & F.forall(F.map_keys(named), lambda k: k.rlike(r"^\d+$"))
+    items = F.when(listed.isNotNull(), listed).when(numeric, F.map_values(named)).when(named.isNotNull(), F.array(v))
+    return results.withColumn("items", items).select("*", F.posexplode("items").alias("item_pos", "item")).drop("items", "extracted")
+
+
+def unify_variant(items: DataFrame, aliases: dict[str, Sequence[str]] | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
+    """Columns for the fields that extractors name differently, of the asked kinds (text without one); the first name that has such a value wins."""
+    kinds = kinds or {}
+    get = lambda n, kind: F.try_variant_get("item", f"$.{n}", kind)
+    return items.withColumns({field: F.coalesce(*[get(n, kinds.get(field, "string")) for n in names]) for field, names in (aliases or ALIASES).items()})
+
+
 def unify_fields(items: DataFrame, aliases: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Columns for the fields that extractors name differently; the first name that has a value wins."""
     return items.withColumns({field: F.coalesce(*[F.element_at("item", n) for n in names]) for field, names in (aliases or ALIASES).items()})

@@ -51,3 +51,31 @@ class Scratch:
     def drop(self, path: str | None = None) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path or self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Generations:
+    """Tables ``path``/gen=0, gen=1, ... that are written one after the other; only complete ones count."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def complete(self) -> list[int]:
+        """The generations whose write has ended, in order."""
+        at, files = self._folder(self.path)
+        if not files.exists(at):
+            return []
+        names = [x.getPath().getName() for x in files.listStatus(at)]
+        numbers = sorted(int(x[4:]) for x in names if x.startswith("gen=") and x[4:].isdigit())
+        return [g for g in numbers if files.exists(self._folder(f"{self.path}/gen={g}/_SUCCESS")[0])]
+
+    def next(self) -> int:
+        there = self.complete()
+        return there[-1] + 1 if there else 0
+
+    def read(self, generations: list[int]) -> DataFrame:
+        """Their rows with the column gen."""
+        return self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/gen={g}" for g in generations])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.alerts import match_watches, new_alerts
-from ..operators.writes import insert_ignore, merge_history, price_history_rollup
+from ..operators.writes import merge_history, price_history_rollup
+from ..storage import Generations
 
 
 def daily_event_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -19,16 +20,38 @@ def daily_event_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
             .select(F.to_date("window.start").alias("day"), "event_type", "events", "sessions"))
 
 
-def stream_alerts(offers: DataFrame, watches: DataFrame, tags: DataFrame, read_sent: Callable[[], DataFrame], write_sent: Callable[[DataFrame, int], None], checkpoint: str, k: int = 10) -> StreamingQuery:
-    """New offers against watches, each batch without what the sink already holds.
+class AlertSink:
+    """Sent alerts (watch_id, offer_id) on disk, a folder a micro-batch: the memory that outlives a restart."""
 
-    The sink table is the memory, since a watermark cannot keep it for ever;
-    ``write_sent`` gets the batch id, so that a repeated batch overwrites itself.
+    def __init__(self, spark: SparkSession, path: str, kinds: str = "watch_id long, offer_id string"):
+        self.spark, self.path, self.kinds = spark, path.rstrip("/"), kinds
+        self.batches = Generations(spark, self.path)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """Alerts of the complete batches, or of those before one."""
+        there = [g for g in self.batches.complete() if before is None or g < before]
+        return self.batches.read(there).drop("gen") if there else self.spark.createDataFrame([], self.kinds)
+
+    def write(self, found: DataFrame, batch_id: int) -> None:
+        found.write.mode("overwrite").parquet(f"{self.path}/gen={batch_id}")
+
+
+def stream_alerts(offers: DataFrame, watches: DataFrame, tags: DataFrame, sink: AlertSink, checkpoint: str, k: int = 10, sent: DataFrame | None = None) -> StreamingQuery:
+    """New offers against watches, each batch without what earlier batches sent, or ``sent`` holds.
+
+    A batch that runs again after a restart sees the batches before it only and overwrites
+    itself, so no pair is sent twice and none is lost.  An offer that comes again while the
+    stream's watermark (column ``ts``, if it has one) remembers it is dropped before it is
+    matched; the sink remembers for ever.
     """
+    if "ts" in offers.columns:
+        offers = offers.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["id"])
+
     def batch(df: DataFrame, batch_id: int) -> None:
-        sent = read_sent()
-        found = new_alerts(match_watches(watches, df.dropDuplicates(["id"]), tags), sent, "watch_id", k).select("watch_id", "offer_id")
-        write_sent(insert_ignore(sent.select("watch_id", "offer_id").limit(0), found, ["watch_id", "offer_id"]), batch_id)
+        told = sink.read(before=batch_id)
+        told = told if sent is None else told.unionByName(sent.select("watch_id", "offer_id"))
+        found = new_alerts(match_watches(watches, df.dropDuplicates(["id"]), tags), told, "watch_id", k).select("watch_id", "offer_id")
+        sink.write(found.dropDuplicates(), batch_id)
 
     return offers.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
