@@ -19,6 +19,8 @@ from .common import WORD, Scratch
 
 #: Hash buckets of a source's stream; a source's prefix sum runs over buckets first, then inside each.
 BUCKET_HEX = 3
+#: Rows of one id of a source from which on they have buckets of their own, by size.
+HOT = 1_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -90,23 +92,44 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *key,
     )
     key = ["row"] if row_col else []
-    slim = slim.withColumn("h", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("h", 1, BUCKET_HEX))
+    slim = slim.withColumn("h", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary")))
+    if not row_col:
+        # rows of one id and size are alike: one row with their number, until their places are known
+        slim = slim.groupBy("doc", "source", "size", "h").agg(F.count("*").alias("rows"))
+    else:
+        slim = slim.withColumn("rows", F.lit(1).cast("long"))
     slim = Scratch(docs.sparkSession, "mix").table(slim)  # ids and sizes; the texts are read once
-    per = source_targets(slim, weights, most).withColumnRenamed("source", "p_source")
+    per = source_targets(slim.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, most).withColumnRenamed("source", "p_source")
     if _few(per):
         per = F.broadcast(per)
+    slim = slim.join(_hot_ids(slim), F.col("source").eqNullSafe(F.col("h_source")) & (F.substring("h", 1, BUCKET_HEX) == F.col("h_prefix")), "left")
+    # a hot id's rows lie in buckets by size (and row), between those of the hashes before and behind it
+    last_hot = F.array_max(F.filter("hot", lambda x: x <= F.col("h")))
+    size = F.concat(F.col("h"), F.lit("-"), F.lpad(F.col("size").cast("string"), 20, "0"), F.substring(F.md5(F.col("row").cast("string").cast("binary")), 1, 2) if row_col else F.lit(""))
+    prefix = F.substring("h", 1, BUCKET_HEX)
+    slim = slim.withColumn("bucket", F.when(last_hot == F.col("h"), size).when(last_hot.isNotNull(), F.concat(last_hot, F.lit("~"))).otherwise(F.concat(prefix, F.lit(" ")))).drop("hot", "h_source", "h_prefix")
     # the stream offset of a document: the buckets before its own, then the documents before it in the bucket
     before = Window.partitionBy("b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = slim.groupBy(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket")).agg(F.sum("size").alias("n"))
+    words = F.col("size") * F.col("rows")
+    buckets = slim.groupBy(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket")).agg(F.sum(words).alias("n"))
     buckets = buckets.select("b_source", "b_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
-    at = slim.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    at = slim.withColumn("start", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     at = at.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    at = at.withColumn("start", F.col("start") + F.col("base")).join(per, F.col("source").eqNullSafe(F.col("p_source")))
+    at = at.withColumn("start", F.col("start") + F.col("base"))
+    if not row_col:
+        at = at.withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("start", F.col("start") + F.col("__nth") * F.col("size"))
+    at = at.join(per, F.col("source").eqNullSafe(F.col("p_source")))
     taken = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (F.col("size") > 0) & (_middle(e) <= F.col("target")))
     return at.select("doc", "size", "source", "source_size", "weight", "target", "start", taken.alias("epochs"), *key)
 
 
+def _hot_ids(slim: DataFrame) -> DataFrame:
+    """(h_source, h_prefix, hot): the hashes of ids with HOT rows or more, in arrays by source and bucket prefix."""
+    counts = slim.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    return counts.groupBy(F.col("source").alias("h_source"), F.substring("h", 1, BUCKET_HEX).alias("h_prefix")).agg(F.collect_list("h").alias("hot"))
+
+
 def _middle(epoch: Column) -> Column:
     """Where in its source's stream the middle of a document's copy lies."""
     return epoch * F.col("source_size") + F.col("start") + F.col("size") / 2

@@ -270,3 +270,19 @@ def test_ids_must_be_whole_numbers(spark):
     for run in (lambda: decontaminate.find_leaks(df, item), lambda: near_dedup.near_duplicates(df), lambda: suffix_dedup.drop_repeated_bytes(df), lambda: neighbours.nearest(df, df, id_col="doc_id")):
         with pytest.raises(TypeError, match="doc_id must hold whole numbers"):
             run()
+
+
+@pytest.mark.parametrize("row_col", [None, "row"])
+def test_hot_ids_of_the_mix_are_many_buckets(spark, monkeypatch, row_col):
+    monkeypatch.setattr(mixing, "HOT", 50)
+    rows = [(None if i % 2 else i, " ".join(["w"] * (i % 37)), "s" if i % 3 else None, i) for i in range(1200)] + [(5, "a b c", "s", 2000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+    got = mixing.plan_mix(df, row_col=row_col).collect()
+    assert len(got) == len(rows)
+    for source in ("s", None):
+        own = sorted((r.start, r.size) for r in got if r.source == source)
+        at = 0
+        for start, size in own:  # the documents of a source lie one behind the other
+            assert start == at
+            at += size
+        assert at == sum(len(t.split()) for _, t, s, _ in rows if s == source) == next(r.source_size for r in got if r.source == source)
