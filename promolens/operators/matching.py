@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,23 +89,27 @@ def apply_categories(p: DataFrame, decisions: DataFrame, categories: DataFrame)
     return p.join(ok, "id", "left").withColumn("category", F.when(F.col("category") == "altro", F.coalesce("__new", "category")).otherwise(F.col("category"))).drop("__new")
 
 
-def classify(df: DataFrame, rules: DataFrame, name: str = "name", id_col: str = "id", default: str = "altro") -> DataFrame:
+def classify(df: DataFrame, rules: DataFrame, texts: Sequence[str] = ("name", "brand", "description"), id_col: str = "id", default: str = "altro") -> DataFrame:
     """Each row with the ``slug`` of its first rule (rank, slug, keyword) of which the keyword occurs as whole words.
 
-    Runs of words of the name meet keywords in an equi-join, so a rule table of any size
-    costs no pass for each rule.  Rows that no rule fits get ``default``.
+    The words of the columns ``texts`` that the row has follow one another.  A keyword with
+    a blank at its end asks for a word behind it.  Runs of words meet keywords in an
+    equi-join, so a rule table of any size costs no pass for each rule.  Rows that no rule
+    fits get ``default``; of rules of one rank the least slug wins.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    keys = rules.select("rank", "slug", split(F.col("keyword")).alias("k")).where("size(k) > 0").select("rank", "slug", F.array_join("k", " ").alias("k"), F.size("k").alias("n"))
+    keys = rules.select("rank", "slug", F.col("keyword").endswith(" ").alias("more"), split(F.col("keyword")).alias("k")).where("size(k) > 0")
+    keys = keys.select("rank", "slug", "more", F.array_join("k", " ").alias("k"), F.size("k").alias("n"))
     most = keys.agg(F.max("n")).first()[0] or 0
-    words = df.select(id_col, split(F.col(name)).alias("w"))
+    words = df.select(id_col, split(F.concat_ws(" ", *[F.col(c) for c in texts if c in df.columns])).alias("w"))
 
     def run(n: int):
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.transform(starts, lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("k"), (i + n <= F.size("w")).alias("followed")))
 
-    runs = F.concat(F.array().cast("array<string>"), *map(run, range(1, most + 1)))
-    found = words.select(id_col, F.explode(F.array_distinct(runs)).alias("k")).join(keys.drop("n"), "k")
+    runs = F.concat(F.array().cast("array<struct<k:string,followed:boolean>>"), *map(run, range(1, most + 1)))
+    found = words.select(id_col, F.explode(F.array_distinct(runs)).alias("r")).select(id_col, "r.*")
+    found = found.join(keys.drop("n"), "k").where("followed OR NOT more")
     best = found.groupBy(id_col).agg(F.min(F.struct("rank", "slug"))["slug"].alias("slug"))
     return df.join(best, id_col, "left").fillna(default, ["slug"])
 

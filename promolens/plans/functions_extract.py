@@ -45,10 +45,13 @@ TAG_PARTS = [p for parts in fn.TAGS.values() for p in parts] + ["nulla"]
 with_part = lambda parts: f"concat(name, ' ', element_at(array({', '.join(map(repr, parts))}), CAST(id % {len(parts)} AS INT) + 1))"
 with_part_sql = lambda parts: f"(name || ' ' || list_extract([{', '.join(map(repr, parts))}], (id % {len(parts)} + 1)::BIGINT))"
 reg.add("e13_infer_category", lambda r: r.products.select("id", fn.infer_category(F.expr(f"upper({with_part(PARTS)})")).alias("c")), "SELECT id, CASE " + " ".join(f"WHEN regexp_matches(n, '{'|'.join(parts)}') THEN '{slug}'" for slug, parts in fn.CATEGORY_PARTS) + f" ELSE 'altro' END AS c FROM (SELECT id, lower({with_part_sql(PARTS)}) AS n FROM products)", *P)
-# a rule table from the data: each brand stands for the words of its products that start with the letter of its rank
-RULES = lambda r: r.products.selectExpr("brand AS slug", "explode(split(name, ' ')) AS keyword").where("length(keyword) % 5 = length(slug) % 5 OR keyword LIKE '%o%'").groupBy("keyword").agg(F.min("slug").alias("slug"), F.count("*").alias("rank"))
-RULESQL = "rules AS (SELECT keyword, min(slug) AS slug, count(*) AS rank FROM (SELECT brand AS slug, unnest(string_split(name, ' ')) AS keyword FROM products) WHERE length(keyword) % 5 = length(slug) % 5 OR keyword LIKE '%o%' GROUP BY keyword)"
-reg.add("e14_keyword_classifier", lambda r: ma.classify(r.products.select("id", F.upper("name").alias("name")), RULES(r)).select("id", "slug"), f"WITH {RULESQL} SELECT p.id, coalesce((SELECT arg_min(slug, (rank, slug)) FROM rules WHERE list_contains(string_split(p.name, ' '), keyword)), 'altro') AS slug FROM products p", *P)
+# rules over name, brand and category: words, runs of words, and words that must be followed by another one
+RULES = [(1, "fredo", "cold ring"), (2, "viti", "bolt "), (3, "marca", "brand 13"), (4, "ottone", "polished brass"), (5, "caldo", "hot"), (6, "piccolo", "small"), (7, "acciaio", "steel"), (8, "anelli", "ring "), (9, "rame", "copper")]
+TEXT = "lower(p.name || ' ' || replace(p.brand, '#', ' ') || ' ' || p.category) || ' '"
+reg.add("e14_keyword_classifier", lambda r: ma.classify(r.products.select("id", F.upper("name").alias("name"), "brand", F.col("category").alias("description")), r.spark.createDataFrame(RULES, "rank int, slug string, keyword string")).select("id", "slug"),
+        "SELECT id, CASE " + " ".join(f"WHEN contains(' ' || t, ' {k.strip()} ') THEN '{slug}'" for _, slug, k in RULES) + f" ELSE 'altro' END AS slug FROM (SELECT id, {TEXT} AS t FROM products p)", *P)
+reg.add("e14_name_only", lambda r: ma.classify(r.products.select("id", "name"), r.spark.createDataFrame(RULES, "rank int, slug string, keyword string")).select("id", "slug"),
+        "SELECT id, CASE " + " ".join(f"WHEN contains(' ' || name || '{'' if k.endswith(' ') else ' '}', ' {k.strip()} ') THEN '{slug}'" for _, slug, k in RULES) + " ELSE 'altro' END AS slug FROM products", *P)
 reg.add("e15_tags", lambda r: r.products.select("id", F.array_join(fn.dietary_tags(F.expr(f"upper({with_part(TAG_PARTS)})")), ",").alias("t")), "SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN {' OR '.join(f'contains(n, {p!r})' for p in parts)} THEN '{tag}' END" for tag, parts in fn.TAGS.items()) + f") AS t FROM (SELECT id, lower({with_part_sql(TAG_PARTS)}) || ' ' AS n FROM products)", *P)
 reg.add("e18_week", lambda r: r.offers.select("id", fn.week_start(F.col("valid_from")).alias("monday"), fn.current_week(F.col("valid_from"))["sunday"].alias("sunday")), "SELECT id, date_trunc('week', valid_from)::DATE AS monday, date_trunc('week', valid_from)::DATE + 6 AS sunday FROM offers", "offers")
 reg.add("e19_italian_dates", lambda r: r.campaigns.select("id", fn.italian_range(F.expr("CASE id % 3 WHEN 0 THEN concat('dal ', day(valid_from), '/', month(valid_from), ' al ', day(valid_to), '/', month(valid_to)) WHEN 1 THEN concat('DAL ', day(valid_from), ' ', element_at(array('gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'), month(valid_from)), ' AL ', day(valid_to), ' ', element_at(array('gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'), month(valid_to))) ELSE concat('fino al ', day(valid_to), ' marzo 1999') END"), F.lit(1996)).alias("d")).select("id", "d.*"),
