@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,19 @@ def match_watches(w: DataFrame, live: DataFrame, tags: DataFrame, t: float = 0.4
     is in every name.  Watches may have ``chain_filter`` (slugs) and ``store_filter`` (store
     ids); a null or empty list asks for nothing, and offers without a store pass any store list.
     """
+    q, hits, o, bounds = _hits(w, live, t)
+    text = q.where("watch_type <> 'category'").join(hits, "q").where("watch_type = 'product' OR sub").join(o, "name")
+    category = q.where("watch_type = 'category'").join(_of_tag(tags), "q").join(o, "sku_id")
+    cols = ["watch_id", "offer_id", *OFFER]
+    return _within(text, bounds).select(*cols).unionByName(_within(category, bounds).select(*cols))
+
+
+#: What a hit tells of its offer.
+OFFER = ["price_cents", "discount_pct", "chain_slug", "raw_name", "valid_to"]
+
+
+def _hits(w: DataFrame, live: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(watches, (query, name, whether it is a substring), offers, the bounds that watches have)."""
     bounds = ["max_price_cents", *[c for c in ("chain_filter", "store_filter") if c in w.columns]]
     q = w.select(F.col("id").alias("watch_id"), "watch_type", F.lower(F.trim("query")).alias("q"), *bounds)
     queries = q.where("watch_type <> 'category' AND q IS NOT NULL").select("q").distinct()
@@ -36,21 +50,59 @@ def match_watches(w: DataFrame, live: DataFrame, tags: DataFrame, t: float = 0.4
     sub = queries.withColumn("g", F.substring("q", 1, 3)).join(named, "g").where(F.contains("name", F.col("q"))).select("q", "name", F.lit(True).alias("sub"))
     like = trigram_join(queries.select(F.col("q").alias("id"), F.col("q").alias("text"), F.lit(1).alias("one")), names.select(F.col("name").alias("id"), F.col("name").alias("text"), F.lit(1).alias("one")), "text", ["one"], t)
     hits = sub.unionByName(like.select(F.col("l_id").alias("q"), F.col("r_id").alias("name"), F.lit(False).alias("sub"))).groupBy("q", "name").agg(F.max("sub").alias("sub"))
-    o = live.select(F.col("id").alias("offer_id"), "sku_id", F.lower("raw_name").alias("name"), "price_cents", "discount_pct", "chain_slug", "raw_name", "valid_to", *(["store_id"] if "store_filter" in bounds else []))
-    text = q.where("watch_type <> 'category'").join(hits, "q").where("watch_type = 'product' OR sub").join(o, "name")
-    of_tag = tags.select(F.col("id").alias("sku_id"), F.explode("tags").alias("q"))
-    category = q.where("watch_type = 'category'").join(of_tag, "q").join(o, "sku_id")
-    cols = ["watch_id", "offer_id", "price_cents", "discount_pct", "chain_slug", "raw_name", "valid_to"]
+    o = live.select(F.col("id").alias("offer_id"), "sku_id", F.lower("raw_name").alias("name"), *OFFER, *(["store_id"] if "store_filter" in bounds else []))
+    return q, hits, o, bounds
+
 
-    def within(df: DataFrame) -> DataFrame:
-        df = df.where("max_price_cents IS NULL OR price_cents <= max_price_cents")
-        if "chain_filter" in bounds:
-            df = df.where("coalesce(size(chain_filter), 0) <= 0 OR array_contains(chain_filter, chain_slug)")
-        if "store_filter" in bounds:
-            df = df.where("coalesce(size(store_filter), 0) <= 0 OR store_id IS NULL OR array_contains(store_filter, store_id)")
-        return df.select(*cols)
+def _of_tag(tags: DataFrame) -> DataFrame:
+    return tags.select(F.col("id").alias("sku_id"), F.explode("tags").alias("q"))
 
-    return within(text).unionByName(within(category))
+
+def _within(df: DataFrame, bounds: list[str]) -> DataFrame:
+    """Pairs of watch and offer within the watch's bounds."""
+    df = df.where("max_price_cents IS NULL OR price_cents <= max_price_cents")
+    if "chain_filter" in bounds:
+        df = df.where("coalesce(size(chain_filter), 0) <= 0 OR array_contains(chain_filter, chain_slug)")
+    if "store_filter" in bounds:
+        df = df.where("coalesce(size(store_filter), 0) <= 0 OR store_id IS NULL OR array_contains(store_filter, store_id)")
+    return df
+
+
+def best_for_watches(w: DataFrame, live: DataFrame, tags: DataFrame, k: int = 10, sent: DataFrame | None = None, t: float = 0.4, block: int = 64) -> DataFrame:
+    """(watch_id, offer_id, ..., place): the ``k`` best hits of each watch, without those in ``sent`` (watch_id, offer_id).
+
+    The same as the first of ``match_watches``, by discount, price and id, without making all
+    hits: the offers of each distinct query or tag are ranked once, and the watches read
+    their ranked list in blocks, each four times the one before, until they have ``k`` within their bounds
+    or the list ends.
+    """
+    scratch = Scratch(w.sparkSession, "best")
+    q, hits, o, bounds = _hits(w, live, t)
+    text = hits.join(o, "name").drop("name", "sku_id")
+    lists = text.where("sub").withColumn("kind", F.lit("keyword")).unionByName(text.withColumn("kind", F.lit("product"))).drop("sub")
+    lists = lists.unionByName(_of_tag(tags).join(o, "sku_id").drop("name", "sku_id").withColumn("kind", F.lit("category")))
+    # only what some watch asks for
+    asked = q.select(F.col("watch_type").alias("kind"), "q").distinct()
+    order = Window.partitionBy("kind", "q").orderBy(F.desc_nulls_last("discount_pct"), "price_cents", "offer_id")
+    lists = scratch.table(lists.join(asked, ["kind", "q"], "left_semi").withColumn("rank", F.row_number().over(order)))
+    ends = lists.groupBy("kind", "q").agg(F.max("rank").alias("last"))
+    open_ = scratch.table(q.withColumnRenamed("watch_type", "kind").join(ends, ["kind", "q"]).withColumn("have", F.lit(0).cast("long")))
+    told = None if sent is None else scratch.table(sent.select("watch_id", "offer_id"))
+    parts, low = [], 0
+    while open_.take(1):
+        high = low + block
+        some = _within(open_.join(lists.where(f"rank > {low} AND rank <= {high}"), ["kind", "q"]), bounds)
+        if told is not None:
+            some = some.join(told, ["watch_id", "offer_id"], "left_anti")
+        parts.append(scratch.table(some.select("watch_id", "offer_id", *OFFER, "rank")))
+        n = parts[-1].groupBy("watch_id").agg(F.count("*").alias("__n"))
+        open_ = open_.join(n, "watch_id", "left").withColumn("have", F.col("have") + F.coalesce("__n", F.lit(0))).drop("__n")
+        open_ = scratch.table(open_.where((F.col("have") < k) & (F.col("last") > high)))
+        low, block = high, 4 * block
+    if not parts:
+        return q.select("watch_id").join(o, F.lit(False)).select("watch_id", "offer_id", *OFFER, F.lit(1).alias("place"))
+    found = functools.reduce(DataFrame.unionByName, parts)
+    return first_per(found, ["watch_id"], [F.col("rank")], k, "place").drop("rank")
 
 
 def match_list_items(items: DataFrame, live: DataFrame) -> DataFrame:
@@ -68,6 +120,11 @@ def new_alerts(hits: DataFrame, notified: DataFrame, key: str, k: int) -> DataFr
     """Hits that were not told before, the ``k`` best of each key, with their text."""
     fresh = hits.join(notified.select(key, "offer_id"), [key, "offer_id"], "left_anti")
     best = first_per(fresh, [key], [F.desc_nulls_last("discount_pct"), F.col("price_cents"), F.col("offer_id")], k, "place")
+    return with_text(best)
+
+
+def with_text(best: DataFrame) -> DataFrame:
+    """Alerts with their text."""
     return best.withColumn("text", alert_text(F.col("raw_name"), F.col("chain_slug"), F.col("price_cents"), F.col("discount_pct"), F.col("valid_to")))
 
 

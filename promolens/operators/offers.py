@@ -214,7 +214,8 @@ def list_order() -> list[Column]:
 def loyalty_programs(c: DataFrame, live: DataFrame, programs: DataFrame) -> DataFrame:
     """Each chain with each loyalty program's label, and its live card offers."""
     n = live.where("requires_card").groupBy("chain_id").agg(F.count("*").alias("card_offers"), F.count_distinct("sku_id").alias("card_skus"))
-    return c.crossJoin(F.broadcast(programs)).join(n, F.col("id") == F.col("chain_id"), "left").drop("chain_id").fillna(0, ["card_offers", "card_skus"])
+    every = c.withColumn("__all", F.lit(1)).join(programs.withColumn("__all", F.lit(1)), "__all").drop("__all")  # each chain has a row for each program
+    return every.join(n, F.col("id") == F.col("chain_id"), "left").drop("chain_id").fillna(0, ["card_offers", "card_skus"])
 
 
 def link_taxonomy(p: DataFrame, categories: DataFrame) -> DataFrame:

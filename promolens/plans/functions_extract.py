@@ -144,13 +144,19 @@ def _stream(r, df, name):
 
 def _daily(r):
     events, scratch = _stream(r, r.api_events, "st1")
-    out = st.daily_event_counts(events, "60 days").drop("sessions")
+    out = st.daily_event_counts(events, "60 days")
     # a group goes to the sink again when it changes, until the watermark closes it; the last state of each is the result
     def keep(df, batch_id):
         df.write.mode("overwrite").parquet(f"{scratch.path}/out/batch={batch_id}")
 
     out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch.path + "/cp").trigger(availableNow=True).start().awaitTermination()
-    return r.spark.read.parquet(scratch.path + "/out").groupBy("day", "event_type").agg(F.max_by("events", "batch").alias("events"))
+    return r.spark.read.parquet(scratch.path + "/out").groupBy("day", "event_type").agg(F.max_by("events", "batch").alias("events"), F.max_by("sessions", "batch").alias("sessions"))
+
+
+def _daily_sessions(r):
+    """Daily counts of the stream, and whether its sessions lie within three standard errors (5 % each) of the exact ones."""
+    exact = r.api_events.groupBy("day", "event_type").agg(F.count_distinct("session_id").alias("s"))
+    return _daily(r).join(exact, ["day", "event_type"]).select("day", "event_type", "events", (F.abs(F.col("sessions") - F.col("s")) <= 0.15 * F.col("s") + 1).alias("sessions_near"))
 
 
 def _alerts(r, batches=1, k=10):
@@ -180,7 +186,8 @@ from .relational import TAGGED  # noqa: E402
 from .registry import TAG_WORDS  # noqa: E402
 from .search_writes import HIST, MATCHSQL, PRICED  # noqa: E402
 
-reg.add("st1_daily_counts", _daily, "SELECT day, event_type, count(*) AS events FROM api_events GROUP BY ALL", "api_events")
+reg.add("st1_daily_sessions", _daily_sessions, "SELECT day, event_type, count(*) AS events, true AS sessions_near FROM api_events GROUP BY ALL", "api_events")
+reg.add("st1_daily_counts", lambda r: _daily(r).drop("sessions"), "SELECT day, event_type, count(*) AS events FROM api_events GROUP BY ALL", "api_events")
 reg.add("st2_stream_alerts", _alerts, f"WITH {MATCHSQL} SELECT watch_id, offer_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified) QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 10", "watches", "active", "notified")
 reg.add("st2_stream_batches", lambda r: _alerts(r, 3, 1 << 30), f"WITH {MATCHSQL} SELECT DISTINCT watch_id, offer_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified)", "watches", "active", "notified")
 reg.add("st3_stream_history", _history, f"{HIST} GROUP BY 1, 2", "offers")

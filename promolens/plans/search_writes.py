@@ -221,15 +221,15 @@ MATCHSQL = f"""{NAMES}, m AS (SELECT w.id AS watch_id, a.id AS offer_id, a.price
 hits = lambda r: al.match_watches(r.watches, live(r), tagged(r))
 reg.add("j12_match_watches", lambda r: hits(r).groupBy("watch_id").agg(F.count("*").alias("n"), F.min("price_cents").alias("low")), f"WITH {MATCHSQL} SELECT watch_id, count(*) AS n, min(price_cents) AS low FROM m GROUP BY 1", "watches", "active")
 reg.add("j6_not_notified", lambda r: hits(r).join(r.notified, ["watch_id", "offer_id"], "left_anti").groupBy("watch_id").agg(F.count("*").alias("n")), f"WITH {MATCHSQL} SELECT watch_id, count(*) AS n FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified) GROUP BY 1", "watches", "active", "notified")
-reg.add("t7_top_per_watch", lambda r: op.first_per(hits(r), ["watch_id"], [F.desc_nulls_last("discount_pct"), F.col("price_cents"), F.col("offer_id")], 10).select("watch_id", "offer_id"), f"WITH {MATCHSQL} SELECT watch_id, offer_id FROM m QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 10", "watches", "active")
-reg.add("a1_watch_alerts", lambda r: al.new_alerts(hits(r), r.notified, "watch_id", 10).select("watch_id", "offer_id"), f"WITH {MATCHSQL} SELECT watch_id, offer_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified) QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 10", "watches", "active", "notified")
+reg.add("t7_top_per_watch", lambda r: al.best_for_watches(r.watches, live(r), tagged(r)).select("watch_id", "offer_id"), f"WITH {MATCHSQL} SELECT watch_id, offer_id FROM m QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 10", "watches", "active")
+reg.add("a1_watch_alerts", lambda r: al.with_text(al.best_for_watches(r.watches, live(r), tagged(r), 10, r.notified)).select("watch_id", "offer_id"), f"WITH {MATCHSQL} SELECT watch_id, offer_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified) QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY discount_pct DESC NULLS LAST, price_cents, offer_id) <= 10", "watches", "active", "notified")
 TOLD = "TIMESTAMP '2024-01-01 00:00:00'"
 reg.add("a1_last_notified", lambda r: al_marked(r), f"WITH {MATCHSQL}, sent AS (SELECT DISTINCT watch_id FROM m WHERE (watch_id, offer_id) NOT IN (SELECT watch_id, offer_id FROM notified)) SELECT id, CASE WHEN id IN (SELECT watch_id FROM sent) THEN {TS} WHEN id % 2 = 0 THEN {TOLD} END AS last_notified_at FROM watches", "watches", "active", "notified")
 
 
 def al_marked(r):
     """Watches of which an alert goes out are marked with the time."""
-    sent = al.new_alerts(hits(r), r.notified, "watch_id", 10)
+    sent = al.best_for_watches(r.watches, live(r), tagged(r), 1, r.notified)
     return wr.mark_notified(r.watches.withColumn("last_notified_at", F.expr(f"IF(id % 2 = 0, {TOLD}, NULL)")), sent, NOW).select("id", "last_notified_at")
 
 

@@ -272,3 +272,20 @@ def test_late_events_are_dropped(spark, tmp_path):
     run()
     last = spark.read.parquet(path + "/out").groupBy("day").agg(F.max_by(F.struct("events", "sessions"), "batch").alias("x"))
     assert {(r.day.day, r.x.events, r.x.sessions) for r in last.collect()} == {(9, 1, 1), (10, 2, 2), (14, 2, 2)}
+
+
+def test_best_for_watches_equals_the_first_of_all_hits(spark):
+    rnd = random.Random(4)
+    rows = [(f"o{i}", i % 90, rnd.choice(["latte intero", "latte bio", "pane di segale", "riso"]), rnd.randint(50, 300), rnd.choice([None, 5, 10, 20]), rnd.choice("ab"), rnd.choice([None, 1, 2]), datetime.date(2026, 1, 31)) for i in range(400)]
+    live = spark.createDataFrame(rows, "id string, sku_id long, raw_name string, price_cents long, discount_pct int, chain_slug string, store_id int, valid_to date")
+    tags = spark.createDataFrame([(i, ["bio"] if i % 3 else ["bio", "raro"]) for i in range(90)], "id long, tags array<string>")
+    w = spark.createDataFrame([(i, rnd.choice(["keyword", "product", "category"]), rnd.choice(["latte", "LATTE bio", "pane", "te", "bio", "raro", "zz", None]), rnd.choice([None, 60, 150]), rnd.choice([None, [], ["a"]]), rnd.choice([None, [2]])) for i in range(60)], "id long, watch_type string, query string, max_price_cents long, chain_filter array<string>, store_filter array<int>")
+    sent = spark.createDataFrame([(i, f"o{j}") for i in range(60) for j in range(0, 400, 3)], "watch_id long, offer_id string")
+    every = alerts.match_watches(w, live, tags)
+    for told in (None, sent):
+        left = every if told is None else every.join(told, ["watch_id", "offer_id"], "left_anti")
+        want = offers.first_per(left, ["watch_id"], [F.desc_nulls_last("discount_pct"), F.col("price_cents"), F.col("offer_id")], 7, "place")
+        got = alerts.best_for_watches(w, live, tags, 7, told, block=3)
+        rows = lambda df: sorted((r.watch_id, r.place, r.offer_id) for r in df.collect())
+        assert rows(got) == rows(want) != []
+    assert alerts.best_for_watches(w.limit(0), live, tags).count() == 0
