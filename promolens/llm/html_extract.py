@@ -219,7 +219,10 @@ def train(pages: DataFrame | None = None, built: int = BUILT, sampled: int = SAM
 def extract_main_text(pages: DataFrame, model: Field, html_col: str = "html", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add text and n_chars: the blocks labelled as main text, joined by line feeds.
 
-    Null and empty pages, and pages without main text, give an empty text.  Input columns
+    Null and empty pages, and pages without main text, give an empty text.  Each row is
+    extracted by itself, so repeated rows come out alike; pages may be of any length, depth
+    and number of attributes; equally likely labels fall to the side of no main text.  An
+    empty table gives an empty result.  Input columns
     named text or n_chars give way; ``keep`` limits the input columns that come back.
     """
     import pyarrow as pa

@@ -83,7 +83,8 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
     takes the document.  A size is the number of words; null and empty texts have size 0
     and are never taken.  A null source is a source of its own.  Rows are entries of their
     own, also when they repeat an id or have a null id; ``row_col``, a key of the rows, is
-    kept as ``row`` and tells them apart.  An empty table gives an empty plan.  Nothing is
+    kept as ``row`` and tells them apart.  However many rows share an id or have none, they are
+    spread over buckets by size.  An empty table gives an empty plan.  Nothing is
     drawn at random, so reruns agree.
     """
     key = [F.col(row_col).alias("row")] if row_col else []

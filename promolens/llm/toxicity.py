@@ -149,6 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Colu
     Null and empty texts have no features.  A repeated id is one label, 1 if any of its
     rows has 1, and lends each of its texts.  Null ids and null labels are not learned.
     Empty tables, or labels of one class only, give a model that tells all texts the same score.
+    A feature is used if three of the sample's rows hold it and its log-count ratio is 0.7
+    or more either way; features of fewer rows would be learned by heart.
     """
     rows, counts = sample(docs, labels, label, F.lit(True) if usable is None else usable, per_class, id_col, text_col)
     if min(counts) == 0:
