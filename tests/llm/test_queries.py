@@ -161,3 +161,14 @@ def test_pipeline_runs(spark):
         x[0] += r.taken
         x[1], x[2] = r.target, max(x[2], r.size)
     assert all(abs(t - g) <= most for t, g, most in by.values())
+
+
+def test_op8_finds_held_out_toxic_texts(spark):
+    """Toxic labels of texts without any insult contradict the texts; of the others all held-out ones are found."""
+    larger = SF.replace("sf0.001", "sf0.01")
+    insult = re.compile(r"\b(trash|scum|worthless|idiot|clown|loser|disgusting|pathetic|moron|stupid)\b", re.I)
+    told = {i: (toxic, bool(insult.search(t or ""))) for i, t, toxic in rows(f"SELECT doc_id, text, toxic FROM '{larger}/documents.parquet' JOIN '{larger}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL")}
+    held = [(r.predicted, *told[r.doc_id]) for r in llm.queries()["op8_toxicity"](spark, larger).collect() if r.held_out and r.doc_id in told]
+    toxic, clean = [p for p, y, plain in held if y and plain], [p for p, y, _ in held if not y]
+    assert len(toxic) >= 5 and all(toxic)
+    assert sum(clean) <= 0.02 * len(clean) + 1
