@@ -66,3 +66,47 @@ def test_fuzzy_link_ranks_names(spark):
     assert {(r.sku_id, r.product_id, r.confidence) for r in df.collect()} == {(i, 71, 1.0) for i in range(1, 30, 2)}
     # ranked by name, never by SKU
     assert not [line for _, line in tree(df) if "Window" in line and "l_id" in line]
+
+
+def test_images_are_looked_up_by_distinct_names(spark):
+    from promolens.operators import images
+
+    # 300 copies of two SKUs and of two registry rows
+    sk = spark.createDataFrame([(i, None if i % 3 else f"{i}", "cold bolts" if i % 2 else "hot ring", "X", None) for i in range(600)], "id long, ean string, raw_name string, brand string, raw_quantity string")
+    registry = spark.createDataFrame([("6" if i == 0 else None, "cold bolt" if i % 2 else "hot ring", "X", None, f"u{i:03}", i // 100) for i in range(600)], "ean string, name string, brand string, quantity string, image_url string, times_seen long")
+    df = images.lookup_image(sk, registry)
+    assert {(r.id, r.image_url, r.step) for r in df.collect()} == {(i, "u000", 1) if i == 6 else (i, "u501", 4) if i % 2 else (i, "u500", 2) for i in range(600)}
+    nulls = images.lookup_image(sk, registry.withColumn("times_seen", matching.F.expr("IF(image_url = 'u500', NULL, times_seen)")))
+    assert {r.image_url for r in nulls.where("id % 2 = 0 AND id <> 6").collect()} == {"u502"}
+    # SKUs meet one row a triple or EAN
+    assert most_rows(df) <= 1300
+
+
+def test_images_are_attached_by_distinct_names(spark):
+    from promolens.operators import images
+
+    rows = spark.createDataFrame([(i, "te / Cold bolt" if i % 2 else "cold bolt") for i in range(400)], "id long, name string").withColumn("image_url", matching.F.lit(None).cast("string"))
+    img = spark.createDataFrame([("cold bolt" if i % 2 else "bolt", f"u{i}", i) for i in range(400)], "name string, image_url string, pos long")
+    df = images.attach_images(rows, img, "name")
+    assert {r.image_url for r in df.collect()} == {"u1"}
+    assert most_rows(df) <= 900
+
+
+def most_rows(df) -> int:
+    """The largest number of rows that a node of the plan puts out; the result must have been read."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+            continue
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            most = max(most, metric.get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
