@@ -110,3 +110,36 @@ def most_rows(df) -> int:
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return most
+
+
+def test_watches_that_ask_for_the_same_are_matched_once(spark):
+    from promolens.operators import alerts
+    from promolens.streaming.streams import AlertSink
+    import tempfile
+
+    w = spark.createDataFrame([(i, i % 2, "keyword" if i % 3 else "product", [" Bolt", "bolt"][i % 2], 50 if i % 5 == 0 else None) for i in range(120)], "id long, user_id long, watch_type string, query string, max_price_cents long")
+    live = spark.createDataFrame([(f"o{i:02}", i, 10 * i, i % 7, "c", "cold bolt" if i % 4 else "bolts", None) for i in range(20)], "id string, sku_id long, price_cents long, discount_pct int, chain_slug string, raw_name string, valid_to date")
+    tags = spark.createDataFrame([], "id long, tags array<string>")
+    hits = alerts.match_watches(w, live, tags)
+    users = spark.createDataFrame([(0, "o06"), (0, "o13"), (7, "o20")], "user_id long, offer_id string")
+    known = hits.join(w.select(matching.F.col("id").alias("watch_id"), "user_id"), "watch_id").join(users, ["user_id", "offer_id"], "left_anti")
+    for sent, rows in ((None, hits), (users, known)):
+        want = rows.groupBy("watch_id").agg(matching.F.count("*").alias("n"), matching.F.min("price_cents").alias("low"))
+        assert sorted(want.collect()) == sorted(alerts.watch_totals(w, live, tags, sent).collect())
+    plain = {(r.watch_id, r.offer_id) for r in alerts.new_alerts(hits, known.limit(0), "watch_id", 4).collect()}
+    found, members = alerts.best_of_classes(w, live, tags, 4)
+    assert (found.count(), members.count()) == (16, 120)
+    assert {(r.watch_id, r.offer_id) for r in members.join(found, "id").collect()} == plain
+    # a watch that was told of one of the offers is a class of its own, one that was told of others is not
+    one = spark.createDataFrame([(4, "o13"), (8, "gone")], "watch_id long, offer_id string")
+    found, members = alerts.best_of_classes(w, live, tags, 4, one)
+    assert found.count() == 20
+    got = {(r.watch_id, r.offer_id) for r in members.join(found, "id").collect()}
+    assert (4, "o13") in plain and (4, "o13") not in got and {x for x in got if x[0] != 4} == {x for x in plain if x[0] != 4}
+    # the sink stores classes, beside single alerts
+    sink = AlertSink(spark, tempfile.mkdtemp(prefix="spark-") + "/sent")
+    sink.write(sink.of_classes(found, members), 0)
+    sink.write(spark.createDataFrame([(500, "x")], sink.kinds), 1)
+    assert {(r.watch_id, r.offer_id) for r in sink.read().collect()} == got | {(500, "x")}
+    assert {(r.watch_id, r.offer_id) for r in sink.read(1, spark.createDataFrame([("o13",)], "offer_id string")).collect()} == {x for x in got if x[1] == "o13"}
+    assert spark.read.parquet(sink.path + "/gen=0").count() == 140
