@@ -143,3 +143,14 @@ def test_watches_that_ask_for_the_same_are_matched_once(spark):
     assert {(r.watch_id, r.offer_id) for r in sink.read().collect()} == got | {(500, "x")}
     assert {(r.watch_id, r.offer_id) for r in sink.read(1, spark.createDataFrame([("o13",)], "offer_id string")).collect()} == {x for x in got if x[1] == "o13"}
     assert spark.read.parquet(sink.path + "/gen=0").count() == 140
+
+
+def test_geo_join_compares_positions_and_deals_the_stores(spark):
+    from promolens.functions.similarity import geo_join
+
+    at = spark.createDataFrame([(i, 45.1 + (i % 3) / 100 if i else None, 10.5) for i in range(241)], "id long, lat double, lng double")
+    df = geo_join(at, at, 1.5)
+    got = {(r.point_id, r.store_id) for r in df.collect()}
+    assert got == {(a, b) for a in range(1, 241) for b in range(1, 241) if abs(a % 3 - b % 3) <= 1}
+    sizes = [r["count"] for r in df.groupBy(matching.F.spark_partition_id()).count().collect()]
+    assert max(sizes) < len(got) / 4
