@@ -154,3 +154,17 @@ def test_geo_join_compares_positions_and_deals_the_stores(spark):
     assert got == {(a, b) for a in range(1, 241) for b in range(1, 241) if abs(a % 3 - b % 3) <= 1}
     sizes = [r["count"] for r in df.groupBy(matching.F.spark_partition_id()).count().collect()]
     assert max(sizes) < len(got) / 4
+
+
+def test_a_frequent_key_is_written_by_several_tasks(spark, tmp_path):
+    from promolens.operators.text_index import TextIndex
+
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        index = TextIndex(spark, str(tmp_path / "words"), 4)
+        index.refresh(spark.range(300).withColumn("name", matching.F.lit("latte")))
+        assert index.rows(["latt"]).select(matching.F.input_file_name()).distinct().count() > 1
+        assert index.match("latte").count() == 300
+    finally:
+        spark.conf.unset(merge)
