@@ -168,3 +168,18 @@ def test_a_frequent_key_is_written_by_several_tasks(spark, tmp_path):
         assert index.match("latte").count() == 300
     finally:
         spark.conf.unset(merge)
+
+
+def test_analytics_and_skus_are_dealt_over_tasks(spark):
+    from promolens.operators import offers
+    from promolens.sources.views import Retail
+
+    dealt = [line for _, line in tree(plans.queries()["g7_promotion_analytics"](spark, SF)) if "REPARTITION_BY_NUM" in line]
+    assert [k for k in ("sku_id", "l_partkey") if any(k in line for line in dealt)] == ["sku_id", "l_partkey"]
+    skus = Retail(spark, SF).skus.select("raw_name", "id")
+    # part is joined behind the distinct keys, never carried through it
+    assert not [line for line in below(tree(skus), "REPARTITION_BY_NUM") if "p_name" in line]
+    sk = spark.createDataFrame([(1, 7, ["a", "b"]), (1, 7, ["a"]), (2, 7, []), (3, 8, None)], "id long, chain_id int, tags array<string>")
+    o = spark.createDataFrame([(i % 3 + 1, 100 - i, "m", False) for i in range(6)] + [(None, 1, "m", True)], "sku_id long, price_cents long, mechanic string, requires_card boolean").selectExpr("*", "DATE '2026-01-07' AS valid_from")
+    got = {(r.chain_id, str(r.week), r.tag, r.offers, r.skus, r.min_cents) for r in offers.promotion_analytics(o, sk).collect()}
+    assert got == {(7, "2026-01-05", "a", 4, 1, 97), (7, "2026-01-05", "b", 2, 1, 97), (7, "2026-01-05", "uncategorized", 2, 1, 96), (8, "2026-01-05", "uncategorized", 2, 1, 95)}
