@@ -170,6 +170,34 @@ def test_a_frequent_key_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset(merge)
 
 
+@pytest.mark.parametrize("query, table, name, kinds", [("t3_compare_prices", "skus", "raw_name", 1), ("e17_index_match", "skus", "raw_name", 1)])
+def test_search_indexes_hold_each_name_once(spark, monkeypatch, query, table, name, kinds):
+    from promolens.operators.text_index import PostingIndex
+    from promolens.sources.views import Retail
+
+    made, refresh = [], PostingIndex.refresh
+    monkeypatch.setattr(PostingIndex, "refresh", lambda self, *args: made.append(self) or refresh(self, *args))
+    plans.queries()[query](spark, SF)
+    rows = getattr(Retail(spark, SF), table)
+    names = {r[0].removeprefix("con ") for r in rows.select(name).distinct().collect()}
+    assert len(made) == kinds
+    for index in made:
+        held = [(r.key, r.id) for r in index.rows().collect()]
+        assert len(held) == len(set(held)) and {i.removeprefix("con ") for _, i in held} == names and len(names) < rows.count()
+
+
+def test_postings_are_not_grouped(spark, tmp_path):
+    from promolens.operators.text_index import TextIndex, TrigramIndex
+
+    docs = spark.createDataFrame([(1, "latte latte bio"), (1, "latte latte bio"), (2, "pane"), (3, None), (4, "")], "id long, text string")
+    for kind in (TextIndex, TrigramIndex):
+        index = kind(spark, str(tmp_path / kind.__name__), 4)
+        assert not [line for _, line in tree(index._postings(docs)) if "Aggregate" in line or "Exchange" in line]
+        index.refresh(docs, "id", "text")
+    assert sorted(map(tuple, TextIndex(spark, str(tmp_path / "TextIndex"), 4).match("latte").collect())) == [(1, 0.5, 4)]
+    assert sorted(map(tuple, TrigramIndex(spark, str(tmp_path / "TrigramIndex"), 4).similar("pane", 0.9).collect())) == [(2, 1.0)]
+
+
 def test_analytics_and_skus_are_dealt_over_tasks(spark):
     from promolens.operators import offers
     from promolens.sources.views import Retail
