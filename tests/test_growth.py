@@ -170,7 +170,7 @@ def test_a_frequent_key_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset(merge)
 
 
-@pytest.mark.parametrize("query, table, name, kinds", [("t3_compare_prices", "skus", "raw_name", 1), ("e17_index_match", "skus", "raw_name", 1)])
+@pytest.mark.parametrize("query, table, name, kinds", [("t3_compare_prices", "skus", "raw_name", 1), ("t6_search_products", "products", "name", 1), ("e17_index_match", "skus", "raw_name", 1)])
 def test_search_indexes_hold_each_name_once(spark, monkeypatch, query, table, name, kinds):
     from promolens.operators.text_index import PostingIndex
     from promolens.sources.views import Retail
