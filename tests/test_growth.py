@@ -170,7 +170,7 @@ def test_a_frequent_key_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset(merge)
 
 
-@pytest.mark.parametrize("query, table, name, kinds", [("t3_compare_prices", "skus", "raw_name", 1), ("t6_search_products", "products", "name", 1), ("e17_index_match", "skus", "raw_name", 1)])
+@pytest.mark.parametrize("query, table, name, kinds", [("t3_compare_prices", "skus", "raw_name", 1), ("t6_search_products", "products", "name", 1), ("t4_search", "products", "name", 2), ("e17_index_match", "skus", "raw_name", 1)])
 def test_search_indexes_hold_each_name_once(spark, monkeypatch, query, table, name, kinds):
     from promolens.operators.text_index import PostingIndex
     from promolens.sources.views import Retail
@@ -198,6 +198,34 @@ def test_postings_are_not_grouped(spark, tmp_path):
     assert sorted(map(tuple, TrigramIndex(spark, str(tmp_path / "TrigramIndex"), 4).similar("pane", 0.9).collect())) == [(2, 1.0)]
 
 
+@pytest.mark.parametrize("q", ["Cold Bolt", "c"])
+def test_indexes_by_name_find_what_indexes_by_id_find(spark, tmp_path, q):
+    import datetime
+
+    from promolens.operators import search
+    from promolens.operators.text_index import TextIndex, TrigramIndex
+
+    names = ["cold bolt", "Cold BOLTS", None, "hot bolt", "con cold bolt", "", "old bolt x", "cold bolt"]
+    p = spark.createDataFrame([(i, names[i % 8]) for i in range(48)], "id long, name string")
+    each = p.select("name").distinct()
+    made = {}
+    for kind in (TextIndex, TrigramIndex):
+        made[kind, "id"], made[kind, "name"] = kind(spark, str(tmp_path / f"i{kind.__name__}"), 4), kind(spark, str(tmp_path / f"n{kind.__name__}"), 4)
+        made[kind, "id"].refresh(p)
+        made[kind, "name"].refresh(each, "name", "name")
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    plain = rows(search.search_products(p, q, 100))
+    assert plain == rows(search.search_products(p, q, 100, index=made[TrigramIndex, "name"], key="name"))
+    d = datetime.date(2026, 1, 10)
+    sk = spark.createDataFrame([(100 * c + i, c, i, names[i % 8]) for i in range(48) for c in (1, 2)], "id long, chain_id int, product_id long, raw_name string")
+    o = sk.selectExpr("id AS sku_id", "explode(array(0, 1, 2)) AS k").selectExpr("concat(sku_id, '-', k) AS id", "sku_id", "5L AS store_id", "sku_id % 7 + k AS price_cents", "DATE '2026-01-01' AS valid_from", "date_add(DATE '2026-01-09', k) AS valid_to")
+    c = spark.createDataFrame([(1, "one"), (2, "two")], "id int, slug string")
+    found = [[(r.id, r.product_id, r.product_name, r.chain_slug, r.word, r.rank, r.similarity) for r in search.search(o, sk, p, c, q, d, made[TextIndex, k], made[TrigramIndex, k], k=200, key=k).collect()] for k in ("id", "name")]
+    assert found[0] == found[1]
+    live = o.join(sk.selectExpr("id AS sku_id", "raw_name"), "sku_id")
+    assert rows(search.compare_prices(live, q, 500).select("id", "similarity")) == rows(search.compare_prices(live, q, 500, index=made[TrigramIndex, "name"], key="raw_name").select("id", "similarity"))
+
+
 def test_analytics_and_skus_are_dealt_over_tasks(spark):
     from promolens.operators import offers
     from promolens.sources.views import Retail
