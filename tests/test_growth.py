@@ -239,3 +239,77 @@ def test_analytics_and_skus_are_dealt_over_tasks(spark):
     o = spark.createDataFrame([(i % 3 + 1, 100 - i, "m", False) for i in range(6)] + [(None, 1, "m", True)], "sku_id long, price_cents long, mechanic string, requires_card boolean").selectExpr("*", "DATE '2026-01-07' AS valid_from")
     got = {(r.chain_id, str(r.week), r.tag, r.offers, r.skus, r.min_cents) for r in offers.promotion_analytics(o, sk).collect()}
     assert got == {(7, "2026-01-05", "a", 4, 1, 97), (7, "2026-01-05", "b", 2, 1, 97), (7, "2026-01-05", "uncategorized", 2, 1, 96), (8, "2026-01-05", "uncategorized", 2, 1, 95)}
+
+
+def test_alerts_of_a_class_are_dealt_in_parts(spark, monkeypatch, tmp_path):
+    from promolens.streaming import streams
+
+    monkeypatch.setattr(streams, "PART", 8)
+    sink = streams.AlertSink(spark, str(tmp_path / "sent"))
+    # a class with nearly all, one with a watch without id and one twice, and the same class numbers in another batch
+    first = {1: ([f"o{i}" for i in range(120)], list(range(50))), 2: (["o1", "x"], [None, 70, 70])}
+    second = {1: (["y"], [80, 81]), 3: (["z"], [82])}
+    want = [(90, "single")]
+    for batch, classes in enumerate((first, second)):
+        found = [(None, c, o) for c, (offers, _) in classes.items() for o in offers]
+        members = [(w, c, None) for c, (_, watches) in classes.items() for w in watches]
+        sink.write(spark.createDataFrame(found + members + [(90, None, "single")] * (batch == 0), "watch_id long, cls long, offer_id string"), batch)
+        want += [(w, o) for offers, watches in classes.values() for o in offers for w in watches]
+    key = lambda r: (r[0] or -1, r[1])
+    df = sink.read()
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
+    sizes = [r["count"] for r in df.groupBy(matching.F.spark_partition_id()).count().collect()]
+    assert max(sizes) < len(want) / 3
+    asked = spark.createDataFrame([("y",), ("gone",)], "offer_id string")
+    assert sorted(map(tuple, sink.read(2, asked).collect())) == [(80, "y"), (81, "y")]
+    assert [sink.knows(n, asked) for n in (0, 1, 2)] == [False, False, True]
+
+
+def test_lists_are_read_at_once_where_all_offers_are_asked_for(spark, monkeypatch):
+    from promolens.operators import alerts
+
+    w = spark.createDataFrame([(i, "keyword", "bolt", 150 if i else None) for i in range(4)], "id long, watch_type string, query string, max_price_cents long")
+    live = spark.createDataFrame([(f"o{i:03}", i, i, i % 7, "c", "cold bolt", None) for i in range(200)], "id string, sku_id long, price_cents long, discount_pct int, chain_slug string, raw_name string, valid_to date")
+    tags, rounds, within = spark.createDataFrame([], "id long, tags array<string>"), [], alerts._within
+    monkeypatch.setattr(alerts, "_within", lambda *args: rounds.append(1) or within(*args))
+    for k, n in ((1 << 30, 200), (200, 200), (160, 160)):
+        rounds.clear()
+        got = alerts.best_for_watches(w, live, tags, k, block=3)
+        assert [(r["count"], r["last"]) for r in got.groupBy("watch_id").agg(matching.F.count("*").alias("count"), matching.F.max("place").alias("last")).orderBy("watch_id").collect()] == [(n, n)] + [(151, 151)] * 3
+        assert len(rounds) == (1 if k >= 200 else 2)
+    found, _ = alerts.best_of_classes(w, live, tags, 1 << 30, block=3)
+    assert not [line for _, line in tree(found.select("id", "offer_id")) if "Window" in line]
+
+
+def test_micro_batches_do_not_read_the_source_tables_again(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from promolens.plans.registry import live, tagged
+    from promolens.sources.views import Retail
+    from promolens.streaming import streams
+
+    seen = {}
+    monkeypatch.setattr(streams, "stream_alerts", lambda offers, watches, tags, sink, checkpoint, k, sent_to_users: seen.update(tags=tags, told=sent_to_users) or SimpleNamespace(awaitTermination=lambda: None))
+    plans.queries()["st2_stream_batches"](spark, SF)
+    r = Retail(spark, SF)
+    for name in ("tags", "told"):
+        assert not [f for f in seen[name].inputFiles() if "lineitem" in f or "part.parquet" in f]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(seen["told"]) == rows(r.told) != []
+    assert rows(seen["tags"].select("id", "tags")) == rows(tagged(r).join(live(r).select("sku_id").distinct(), matching.F.col("id") == matching.F.col("sku_id")).select("id", "tags")) != []
+
+
+def test_offers_that_come_again_are_sent_once(spark, tmp_path):
+    from promolens.streaming import streams
+
+    path = str(tmp_path)
+    w = spark.createDataFrame([(i, "keyword", "bolt", 5 if i == 2 else None) for i in range(3)], "id long, watch_type string, query string, max_price_cents long")
+    tags = spark.createDataFrame([], "id long, tags array<string>")
+    sent = spark.createDataFrame([(0, "o7")], "watch_id long, offer_id string")
+    for part, ids in enumerate((range(0, 6), range(3, 9), range(0, 9))):
+        spark.createDataFrame([(f"o{i}", i, i, 1, "c", "cold bolt", None) for i in ids], "id string, sku_id long, price_cents long, discount_pct int, chain_slug string, raw_name string, valid_to date").coalesce(1).write.parquet(f"{path}/in/p{part}")
+    source = spark.readStream.schema(spark.read.parquet(path + "/in/p0").schema).option("maxFilesPerTrigger", 1).parquet(path + "/in/*")
+    sink = streams.AlertSink(spark, path + "/sent")
+    streams.stream_alerts(source, w, tags, sink, path + "/cp", 100, sent).awaitTermination()
+    want = sorted({(i, f"o{j}") for i in range(3) for j in range(9) if i != 2 or j <= 5} - {(0, "o7")})
+    assert len(sink.batches.complete()) == 3 and sorted(map(tuple, sink.read().collect())) == want
