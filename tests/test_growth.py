@@ -313,3 +313,16 @@ def test_offers_that_come_again_are_sent_once(spark, tmp_path):
     streams.stream_alerts(source, w, tags, sink, path + "/cp", 100, sent).awaitTermination()
     want = sorted({(i, f"o{j}") for i in range(3) for j in range(9) if i != 2 or j <= 5} - {(0, "o7")})
     assert len(sink.batches.complete()) == 3 and sorted(map(tuple, sink.read().collect())) == want
+
+
+def test_stream_batches_are_as_many_as_asked_for(spark, monkeypatch):
+    from promolens.streaming import streams
+
+    written, write = [], streams.AlertSink.write
+    monkeypatch.setattr(streams.AlertSink, "write", lambda self, found, batch_id: written.append(batch_id) or write(self, found, batch_id))
+    frame = type(spark.range(0))
+    deal = frame.repartition
+    # a session may deal rows over more tasks than are asked for
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *keys: deal(self, 7 if n == 3 else n, *keys))
+    plans.queries()["st2_stream_batches"](spark, SF)
+    assert written == [0, 1, 2]
